@@ -96,7 +96,7 @@ def thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
             .select(F.col("source").alias("s"), "at.*")
         )
         state = materialise(
-            state.join(over, F.col("source").eqNullSafe(F.col("s")), "left").select(
+            state.drop("bucket", "low", "high").join(over, F.col("source").eqNullSafe(F.col("s")), "left").select(
                 "source", "source_size", "target", "base", "budget",
                 (F.col("acc") + F.coalesce(F.col("upto") - F.col("size"), F.lit(0))).alias("acc"),
                 F.coalesce("low", "cut").alias("cut"),
