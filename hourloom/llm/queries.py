@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import decontaminate, mixing, ngram_join, sharding, store, token_files
+from hourloom.llm import decontaminate, mixing, ngram_join, sharding, store, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,13 +35,22 @@ def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit_on(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.scores(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"),
+    )
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_files(_table(spark, sf_dir, "documents"), store.new_path(spark, "token-files"))
     return token_files.read_digests(manifest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard_join, op3_decontaminate, op4_virtual_slots, op9_token_files)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard_join, op3_decontaminate, op4_virtual_slots, op6_toxicity, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
