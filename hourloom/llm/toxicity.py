@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hourloom.llm import store
 
@@ -166,7 +167,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model.margins())
     at = docs.columns.index("text")
     rows = docs.select(F.col("text"), F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("rest"))
-    schema = rows.schema.add("score", "double")
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
