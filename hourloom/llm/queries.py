@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import decontaminate, mixing, ngram_join, sharding, store, token_files, toxicity
+from hourloom.llm import decontaminate, media, mixing, ngram_join, sharding, store, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit_on(docs, _table(spark, sf_dir, "labels"))
@@ -50,7 +54,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard_join, op3_decontaminate, op4_virtual_slots, op6_toxicity, op9_token_files)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard_join, op3_decontaminate, op4_virtual_slots, op5_audio_features, op6_toxicity, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
