@@ -3,9 +3,15 @@
 Sets of similar size share a band. In a band, shingles hash into m segments of the universe. Two sets that link differ in
 at most H shingles, H following from the band's sizes; so with units of 1 for a segment that is compared as it is and 2 for
 one that is compared up to one deletion, a set whose units exceed H shares at least one signature with every set it
-links with. Empty segments say nothing and would be shared by everyone: each band gets spare segments, by the cost of a
-signature against the number of empty segments expected, so that sets can leave their empty ones out. Should a set
-still lack units, the pass is repeated with more spares: no set is left to chance.
+links with. Which way a band's segments are compared follows from costs: segments of small sets are short and short
+signatures are shared by chance, so small bands take few, long segments and their one-deletion neighbourhoods; for large
+sets these would be many rows, so large bands take more segments as they are. Empty segments say nothing and would be
+shared by everyone: bands get spare segments, so that sets can leave their empty ones out. Should a set still lack
+units, the pass is repeated with more spares: no set is left to chance.
+
+In large bands a set with f full segments that may differ from its partners in d shingles shares not one but f - d
+signatures with each, so its f - d - 1 most frequent signatures can be left out: by the order of frequency, the rarest
+common signature is among the others on both sides.
 
 Signatures are dealt by hash. In each group of rows with one signature, all are compared to the smallest id first; groups that
 then still join different components go on with their other members, so a group of n copies costs n comparisons. Pairs
@@ -31,6 +37,8 @@ from pyspark.sql.window import Window as W
 from hourloom.llm import store
 from hourloom.llm.components import components
 
+#: Sets up to about this size are compared by one-deletion neighbourhoods: an expected segment of 8 shingles against 3.
+LOOSE_UPTO = 131
 #: Ratio of a band's largest size to its smallest.
 BAND_RATIO = 1.3
 #: Partners of one text that are verified together.
@@ -40,7 +48,8 @@ FILTER_BITS = 1 << 27
 #: Words that a worker remembers the hash of.
 WORDS_KEPT = 1_000_000
 
-SIGNATURE, INFO, COPY, LACKING = 0, 1, 2, 3
+#: Kinds of rows: below INFO a signature, by the number of its band.
+INFO, COPY, LACKING = 100, 101, 102
 
 
 def split_words(text: bytes) -> list[bytes]:
@@ -106,22 +115,25 @@ class Band:
 
 
 def bands(percent: int, slack: float, largest: int = 1 << 31) -> list[Band]:
-    """All bands; slack: how many standard deviations above its mean the number of empty segments may be."""
+    """All bands; slack: how many standard deviations below its mean the number of full segments may be."""
     out, low = [], 1
     while low <= largest:
         high = max(low, math.ceil(low * BAND_RATIO) - 1)
         # |A| + |B| - 2 I with I >= p U, |B| <= |A| / p
         bound = (high + 100 * high // percent) * (100 - percent) // (100 + percent)
-        loose = int(bound >= 2)
-        spare = 0
-        if bound:
-            while True:
-                m = bound + 1 + spare - loose
-                empty = m * math.exp(-low / m)
-                if spare >= empty + slack * math.sqrt(empty) + 1 or m > 4 * high + 8 * slack:
-                    break
-                spare += max(1, int(empty / 8))
-        out.append(Band(len(out), low, high, bound, bound + 1 + spare - loose, loose))
+        if bound and high <= LOOSE_UPTO:
+            # Units as if each segment could be short of one: a spare for one in six.
+            m = loose = math.ceil((bound + 1) / 2 * (1 + slack / 30)) + 1
+        else:
+            m, loose = bound + 1, 0
+        while bound and not loose and m < 4 * high + 8 * slack:
+            # Full segments of the band's smallest sets: mean and variance of an occupancy count.
+            one, two = (1 - 1 / m) ** low, max(0.0, 1 - 2 / m) ** low
+            mean, var = m * (1 - one), m * (m - 1) * two + m * one - (m * one) ** 2
+            if mean - slack * math.sqrt(max(var, 0.1)) >= bound + 1:
+                break
+            m += 1 + m // 64
+        out.append(Band(len(out), low, high, bound, m, loose))
         low = high + 1
     return out
 
@@ -134,14 +146,14 @@ class Signer:
         self.bands = bands(percent, slack)
         self.lows = np.array([b.low for b in self.bands])
 
-    def sign(self, s: np.ndarray) -> tuple[np.ndarray, bool]:
-        """(signatures, whether units suffice in each band)."""
-        own = int(np.searchsorted(self.lows, len(s), "right")) - 1
-        first = int(np.searchsorted(self.lows, -(-len(s) * self.percent // 100), "right")) - 1
-        parts, enough = [], True
+    def sign(self, s: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
+        """(band, signatures, least number of them shared with a partner) for each band; below 1, units are lacking."""
+        n = len(s)
+        own = int(np.searchsorted(self.lows, n, "right")) - 1
+        first = int(np.searchsorted(self.lows, -(-n * self.percent // 100), "right")) - 1
         token = mixed(s * _MIX[0])
         upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(token, dtype=np.uint64)))
-        high32 = (s >> np.uint64(32)).astype(np.uint64)
+        high32 = s >> np.uint64(32)
         for band in self.bands[first : own + 1]:
             m = band.segments
             segment = (high32 * np.uint64(m)) >> np.uint64(32)  # grows with the hash, so segments are runs
@@ -150,15 +162,21 @@ class Signer:
             total = upto[cuts[1:]] - upto[cuts[:-1]]
             key = np.arange(m, dtype=np.uint64) * _MIX[1] + np.uint64((band.number + 1) * int(_MIX[2]) % 2**64)
             full = size > 0
-            parts.append(mixed(total[full] + key[full]))
-            units = int(full.sum())
-            for k in range(m - band.loose, m):
-                if size[k] > 1:
-                    units += 1
-                    parts.append(mixed(total[k] - token[cuts[k] : cuts[k + 1]] + key[k]))
-            enough &= units > band.bound
-        return np.concatenate(parts), enough
-
+            sigs = mixed(total[full] + key[full])
+            if band.loose:
+                wide = np.flatnonzero(size > 1)
+                units = int(full.sum()) + len(wide)
+                inside = np.isin(segment, wide.astype(np.uint64))
+                at = segment[inside].astype(np.int64)
+                yield band.number, np.unique(np.concatenate((sigs, mixed(total[at] - token[inside] + key[at])))), int(units > band.bound)
+            else:
+                most = min(band.high, n) if band.number < own else 100 * n // self.percent
+                bound = (n + most) * (100 - self.percent) // (100 + self.percent)
+                yield band.number, np.unique(sigs), int(full.sum()) - bound
+
+
+#: A signature row's val: the set's size times this, plus the least number of signatures shared with a partner.
+PACK = 1 << 28
 
 ROWS = "sig long, id long, kind byte, val long"
 
@@ -189,10 +207,10 @@ def signature_rows(docs: DataFrame, n: int, percent: int, slack: float) -> DataF
                     size = len(s)
                     seen[digest] = (doc_id, size)
                     if size:
-                        sig, enough = signer.sign(s)
-                        put(np.unique(sig).view(np.int64), doc_id, SIGNATURE, size)
-                        if not enough:
-                            put(own, doc_id, LACKING, size)
+                        for band, sig, shared in signer.sign(s):
+                            put(sig.view(np.int64), doc_id, band, size * PACK + max(1, shared))
+                            if shared < 1:
+                                put(own, doc_id, LACKING, size)
                 elif size and first != doc_id:
                     put(own, doc_id, COPY, first)
                 put(own, doc_id, INFO, size)
@@ -265,24 +283,29 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     store.small_batches(spark)
     slack = 5.0
+    by = W.partitionBy("sig")
     while True:
-        w = W.partitionBy("sig")
         rows = signature_rows(docs, n, percent, slack)
-        rows = rows.withColumn("hub", F.min("id").over(w)).withColumn("top", F.max("id").over(w))
-        kept = store.materialise(rows.where((F.col("kind") != SIGNATURE) | (F.col("hub") < F.col("top"))).drop("top"), "shared-signatures")
+        rows = rows.withColumn("hub", F.min("id").over(by)).withColumn("top", F.max("id").over(by)).withColumn("df", F.count("*").over(by))
+        kept = store.materialise(rows.where((F.col("kind") >= INFO) | (F.col("hub") < F.col("top"))).drop("hub", "top"), "shared-signatures")
         if kept.where(F.col("kind") == LACKING).isEmpty():
             break
         slack *= 2
     info = kept.where(F.col("kind") == INFO).select(F.col("id").alias("doc_id"), F.col("val").alias("n_shingles"))
-    signed = kept.where(F.col("kind") == SIGNATURE).select("sig", "id", "hub", F.col("val").alias("n"))
     edges = kept.where(F.col("kind") == COPY).select(F.col("val").alias("a"), F.col("id").alias("b"))
+    # The least shared number holds for one set; ids with several rows keep all their signatures.
+    again = info.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows")).where("rows > 1").select("id", F.lit(True).alias("again"))
+    mine = W.partitionBy("id", "kind")
+    some = kept.where(F.col("kind") < INFO).withColumn("rank", F.row_number().over(mine.orderBy("df", "sig"))).withColumn("all", F.count("*").over(mine))
+    some = some.join(again, "id", "left").where(F.col("again").isNotNull() | (F.col("rank") <= F.col("all") - F.col("val") % PACK + 1))
+    some = some.select("sig", "id", F.floor(F.col("val") / PACK).alias("n"), F.min("id").over(by).alias("hub"), F.max("id").over(by).alias("top"))
+    signed = store.materialise(some.where(F.col("hub") < F.col("top")).drop("top"), "signatures")
     first = store.materialise(signed.where(F.col("id") > F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     edges = store.materialise(edges.union(verify(docs, first, n, percent)), "links")
     labels = components(edges)
     # Groups whose members are not yet one component: their other pairs.
-    mine = labels.withColumnRenamed("id", "node")
-    named = signed.join(mine, signed["id"] == mine["node"], "left").select("sig", "id", "n", F.coalesce("comp", "id").alias("comp"))
-    by = W.partitionBy("sig")
+    ends = labels.withColumnRenamed("id", "node")
+    named = signed.join(ends, signed["id"] == ends["node"], "left").select("sig", "id", "n", F.coalesce("comp", "id").alias("comp"))
     open_ = named.withColumn("low", F.min("comp").over(by)).withColumn("high", F.max("comp").over(by)).where(F.col("low") < F.col("high"))
     open_ = store.materialise(open_.select("sig", "id", "n", "comp", F.row_number().over(by.orderBy("id")).alias("nth")), "open-groups")
     nth = 1
@@ -300,8 +323,8 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         if not found.isEmpty():
             edges = store.materialise(edges.union(found), "links")
             labels = components(edges, labels)
-            mine = labels.withColumnRenamed("id", "node")
-            open_ = store.materialise(open_.drop("comp").join(mine, open_["id"] == mine["node"], "left").select("sig", "id", "n", "nth", F.coalesce("comp", "id").alias("comp")), "open-groups")
+            ends = labels.withColumnRenamed("id", "node")
+            open_ = store.materialise(open_.drop("comp").join(ends, open_["id"] == ends["node"], "left").select("sig", "id", "n", "nth", F.coalesce("comp", "id").alias("comp")), "open-groups")
         if all_at_once:
             break
     ends = labels.withColumnRenamed("id", "node")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import decontaminate, media, mixing, ngram_join, sharding, store, token_files, toxicity
+from hourloom.llm import decontaminate, media, mixing, ngram_join, secrets, sharding, span_text, store, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,18 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(manifest)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(_table(spark, sf_dir, "documents"))
+    every = F.concat("base", "added")
+    return found.select(
+        "doc_id", *[span_text.count_of("base", k) for k in secrets.KINDS],
+        F.sha2(span_text.line(F.col("base"), secrets.KINDS), 256).alias("base_sha256"),
+        span_text.line(every, [*secrets.KINDS, secrets.ADDED]).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard_join, op3_decontaminate, op4_virtual_slots, op5_audio_features, op6_toxicity, op9_token_files)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard_join, op3_decontaminate, op4_virtual_slots, op5_audio_features, op6_toxicity, op9_token_files, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
