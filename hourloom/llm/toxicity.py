@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from hourloom.llm import store
 
 #: Most labelled rows that a fit uses (a hash sample of them if there are more) and the bytes of text it takes of them at most.
-FIT_ROWS, FIT_BYTES = 12_000, 48 << 20
-BUCKETS, DIM, RATE = 1 << 20, 8, 0.5
+FIT_ROWS, FIT_BYTES = 10_000, 40 << 20
+BUCKETS, DIM, RATE = 1 << 19, 8, 0.5
 #: A mean of vectors is scaled by this, so that a few words among hundreds move it.
 SCALE = 64.0
 #: Texts of the fit that must hold a subword before its vector moves.
@@ -97,13 +97,15 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         model.vectors[:] = 0
         model.bias[1] = 60.0 if share else -60.0
         return model
-    memo: dict[str, list[int]] = {}
+    memo: dict[str, list[int]] = {}  # bounded: texts hold ever more different words
     bags = []
     seen_in = np.zeros(BUCKETS, np.int32)
     for t in texts:
         at: list[int] = []
         for w in words_of(t):
             if w not in memo:
+                if len(memo) > 100_000:
+                    memo.clear()
                 memo[w] = subwords(w)
             at += memo[w]
         buckets, counts = np.unique(np.array(at, np.int32), return_counts=True)
@@ -157,8 +159,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_bytes:
     place = F.pmod(F.xxhash64("label_id"), F.lit(1 << 30))
     own = store.materialise(own.where(place < int(keep * (1 << 30))), "fit-labels")
     found = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("label_id")).orderBy("doc_id", "toxic").select("text", "toxic")
-    got = found.toPandas()
-    return fit(got["text"].fillna("").tolist(), got["toxic"].tolist())
+    got = found.collect()
+    return fit([r.text or "" for r in got], [r.toxic for r in got])
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
