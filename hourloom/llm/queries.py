@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import decontaminate, media, mixing, ngram_join, secrets, sharding, span_text, store, token_files, toxicity
+from hourloom.llm import decontaminate, media, mixing, ngram_join, personal_data, secrets, sharding, span_text, store, token_counts, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,21 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[span_text.count_of("base", k) for k in personal_data.KINDS],
+        F.sha2(span_text.line(F.col("base"), personal_data.KINDS), 256).alias("base_sha256"),
+        span_text.line(F.concat("base", "added"), personal_data.KINDS).alias("spans"),
+    )
+
+
+def op8_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = store.materialise(token_counts.build_trees(_table(spark, sf_dir, "documents")), "token-trees")
+    edited = token_counts.apply_edits(trees, token_counts.redaction_edits(F.col("text")))
+    return edited.select("doc_id", "tokens_before", "tokens_after", "leaves", "leaves_encoded")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_files(_table(spark, sf_dir, "documents"), store.new_path(spark, "token-files"))
     return token_files.read_digests(manifest)
@@ -64,7 +79,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard_join, op3_decontaminate, op4_virtual_slots, op5_audio_features, op6_toxicity, op9_token_files, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard_join, op3_decontaminate, op4_virtual_slots, op5_audio_features, op6_toxicity, op7_personal_data, op8_edited_token_counts, op9_token_files, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
