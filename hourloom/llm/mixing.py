@@ -116,6 +116,12 @@ def thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "base", "cut", with_group.alias("with_cut"))
 
 
+def _times(h: Column, cuts: DataFrame) -> Column:
+    """How often a row of hash h is taken, given its source's thresholds."""
+    once_more = (h < cuts["cut"]) | ((h == cuts["cut"]) & cuts["with_cut"])
+    return cuts["base"] + F.coalesce(once_more, F.lit(False)).cast("long")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """doc_id, source, size, source_size, target and times: how often the mix takes the row, 0, 1 or 2 for most = 2.
 
@@ -124,9 +130,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     (or of one group of repeated rows).
     """
     rows = sized(docs)
-    cuts = thresholds(rows, targets(rows, weights, share, most)).withColumnRenamed("source", "of")
-    once_more = (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & F.col("with_cut"))
-    times = F.col("base") + F.coalesce(once_more, F.lit(False)).cast("long")
-    return rows.join(cuts, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "source", "size", "source_size", "target", times.alias("times"), "h"
+    cuts = thresholds(rows, targets(rows, weights, share, most))
+    return rows.join(cuts, _same(rows, cuts)).select(
+        "doc_id", rows["source"], "size", "source_size", "target", _times(rows["h"], cuts).alias("times")
     )
+
+
+def take(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The mix itself: docs' rows with all their columns, each as often as the mix takes it. The texts aren't shuffled."""
+    rows = sized(docs)
+    cuts = thresholds(rows, targets(rows, weights, share, most))
+    h = F.shiftrightunsigned(F.xxhash64(docs["doc_id"], docs["text"]), 64 - HASH_BITS)
+    copies = F.explode(F.array_repeat(F.lit(0), _times(h, cuts).cast("int")))
+    return docs.join(cuts, _same(docs, cuts)).select(*[docs[c] for c in docs.columns], copies.alias("__copy")).drop("__copy")

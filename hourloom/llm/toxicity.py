@@ -182,3 +182,16 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     cols = [F.col(f"rest.{c}").alias(c) for c in names]
     cols.insert(at, F.col("text"))
     return out.select(*cols, "score")
+
+
+def keep_clean(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
+    """docs less the rows that score `reject` or more; all columns pass through as they are."""
+    store.small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model.margins())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(t) < reject for t in store.texts(batch)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
