@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourloom.plans import scalars
+from hourloom.plans import records, scalars
 from hourloom.plans.views import with_views
 
-PLANS = (scalars,)
+PLANS = (scalars, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
