@@ -13,9 +13,9 @@ In large bands a set with f full segments that may differ from its partners in d
 signatures with each, so its f - d - 1 most frequent signatures can be left out: by the order of frequency, the rarest
 common signature is among the others on both sides.
 
-Signatures are dealt by hash. In each group of rows with one signature, all are compared to the smallest id first; groups that
-then still join different components go on with their other members, so a group of n copies costs n comparisons. Pairs
-are verified on the words themselves, the smaller id's text meeting its partners in chunks.
+Signatures are dealt by hash. In each group of rows with one signature, all are compared to the smallest id first, so a group of n
+copies costs n comparisons; where a group then still joins different components, the few that stand apart are compared to
+the members of the others. All comparisons are on the words themselves; a text that meets many does so in chunks.
 
 Rows with a null or blank text have an empty set and no links. Equal doc_ids are one document: their links are pooled.
 Rows with a null doc_id have no identity: no links, null component. Tables may be empty; other columns are ignored.
@@ -43,6 +43,8 @@ LOOSE_UPTO = 131
 BAND_RATIO = 1.3
 #: Partners of one text that are verified together.
 CHUNK = 256
+#: Shingles of a component's members in a chunk, and members from which a component is met by signatures.
+CHUNK_SHINGLES, LARGE = 100_000, 20_000
 #: Bits of the filter that keeps texts that no pair needs out of the shuffle: 16 MB at most.
 FILTER_BITS = 1 << 27
 #: Words that a worker remembers the hash of.
@@ -277,6 +279,52 @@ def _sizes_fit(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def cross_links(docs: DataFrame, open_: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components among open_(sig, id, n, comp), groups that join several components.
+
+    In each group, members outside of its largest component are candidates for the group's other components. A candidate
+    meets a component once, however many signatures they share: the component's members stand in chunks of bounded size,
+    and candidates stream past each chunk. Components too large for that are met by shared signatures instead.
+    """
+    per = open_.groupBy("sig", "comp").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
+    largest = per.groupBy(F.col("sig").alias("s")).agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("largest"))
+    odd = open_.join(largest, open_["sig"] == largest["s"]).where(F.col("comp") != F.col("largest")).select("sig", F.col("id").alias("r"), F.col("n").alias("rn"), F.col("comp").alias("rc"))
+    fits = (100 * F.col("most") >= percent * F.col("rn")) & (100 * F.col("rn") >= percent * F.col("least"))
+    meets = store.materialise(odd.join(per, "sig").where((F.col("comp") != F.col("rc")) & fits).select("r", "rn", "comp").distinct(), "meets")
+    members = open_.select("id", "n", "comp").distinct()
+    sizes = members.groupBy("comp").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("chunks"))
+    small = meets.join(sizes.where(F.col("members") <= LARGE), "comp")
+    stand = members.join(sizes, "comp").join(meets.select("comp").distinct(), "comp", "left_semi").where(F.col("members") <= LARGE)
+    stand = stand.select("comp", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), F.lit(0).alias("role"), "id")
+    pass_by = small.select("comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), F.lit(1).alias("role"), F.col("r").alias("id"))
+    rows = store.materialise(stand.union(pass_by), "blocks")
+    need = rows.select("id").distinct()
+    texts = store.materialise(needed_texts(docs, need), "need-texts")
+    dealt = rows.join(texts, rows["id"] == texts["doc_id"]).select("comp", "chunk", "role", "id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            found = []
+            for comp, chunk, role, id_, text in zip(*(batch.column(k).to_pylist() for k in range(4)), store.text_bytes(batch), strict=True):
+                if key != (comp, chunk):
+                    key, held = (comp, chunk), []
+                s = shingle_set(split_words(text or b""), n)
+                if role == 0:
+                    held.append((id_, s))
+                else:
+                    found += [{"a": h, "b": id_} for h, own in held if links(own, s, percent)]
+            yield pa.RecordBatch.from_pylist(found, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    near = dealt.repartition(store.shuffle_width(docs.sparkSession), "comp", "chunk").sortWithinPartitions("comp", "chunk", "role").mapInArrow(run, "a long, b long").distinct()
+    big = meets.join(sizes.where(F.col("members") > LARGE), "comp").select("r", "rn", "comp")
+    if big.isEmpty():
+        return near
+    a = open_.select("sig", F.col("id").alias("r")).join(big, "r")
+    far = a.join(open_.select("sig", "comp", F.col("id").alias("b"), F.col("n").alias("bn")), ["sig", "comp"]).where(_sizes_fit("rn", "bn", percent))
+    return near.union(verify(docs, store.materialise(far.select(F.col("r").alias("a"), "b").distinct(), "pairs"), n, percent))
+
+
 def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: documents link when the Jaccard similarity of their word n-gram sets
     is at least percent / 100; component_id is the smallest doc_id reachable by links."""
@@ -307,26 +355,9 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     ends = labels.withColumnRenamed("id", "node")
     named = signed.join(ends, signed["id"] == ends["node"], "left").select("sig", "id", "n", F.coalesce("comp", "id").alias("comp"))
     open_ = named.withColumn("low", F.min("comp").over(by)).withColumn("high", F.max("comp").over(by)).where(F.col("low") < F.col("high"))
-    open_ = store.materialise(open_.select("sig", "id", "n", "comp", F.row_number().over(by.orderBy("id")).alias("nth")), "open-groups")
-    nth = 1
-    while True:
-        nth += 1
-        groups = open_.where(F.col("nth") >= nth).groupBy("sig", "comp").agg(F.count("*").alias("c")).groupBy("sig").agg(((F.pow(F.sum("c"), 2) - F.sum(F.pow("c", 2))) / 2).alias("left"))
-        left, rows_left = groups.agg(F.sum("left"), F.count("*")).first()
-        if not left:
-            break
-        all_at_once = left <= 200_000 + 2 * rows_left
-        a = open_.where(F.col("nth") >= nth if all_at_once else F.col("nth") == nth).select("sig", F.col("id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-        b = open_.where(F.col("nth") > nth).select("sig", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
-        more = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _sizes_fit("an", "bn", percent))
-        found = store.materialise(verify(docs, store.materialise(more.select("a", "b").distinct(), "pairs"), n, percent), "links")
-        if not found.isEmpty():
-            edges = store.materialise(edges.union(found), "links")
-            labels = components(edges, labels)
-            ends = labels.withColumnRenamed("id", "node")
-            open_ = store.materialise(open_.drop("comp").join(ends, open_["id"] == ends["node"], "left").select("sig", "id", "n", "nth", F.coalesce("comp", "id").alias("comp")), "open-groups")
-        if all_at_once:
-            break
+    open_ = store.materialise(open_.select("sig", "id", "n", "comp"), "open-groups")
+    more = cross_links(docs, open_, n, percent)
+    labels = components(store.materialise(edges.union(more), "links"), labels)
     ends = labels.withColumnRenamed("id", "node")
     out = info.join(ends, (info["doc_id"] == ends["node"]) & (info["n_shingles"] > 0), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
