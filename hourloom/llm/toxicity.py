@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,15 +25,16 @@ from pyspark.sql import types as T
 from hourloom.llm import store
 
 #: Most labelled rows that a fit uses (a hash sample of them if there are more) and the bytes of text it takes of them at most.
-FIT_ROWS, FIT_BYTES = 10_000, 40 << 20
-BUCKETS, DIM, RATE = 1 << 19, 8, 0.5
+FIT_ROWS, FIT_BYTES = 8_000, 28 << 20
+BUCKET_BITS = 19
+BUCKETS, DIM, RATE = 1 << BUCKET_BITS, 8, 0.5
 #: A mean of vectors is scaled by this, so that a few words among hundreds move it.
 SCALE = 64.0
 #: Texts of the fit that must hold a subword before its vector moves.
 LEAST_TEXTS = 5
 #: Steps of a fit and bounds of its passes over the rows.
-STEPS, MIN_EPOCHS, MAX_EPOCHS = 36_000, 3, 40
-SHORTEST, LONGEST = 3, 5
+STEPS, MIN_EPOCHS, MAX_EPOCHS = 32_000, 3, 40
+SHORTEST, LONGEST, LONGEST_WORD = 3, 5, 64
 #: Score from which a text is rejected.
 REJECT = 0.7
 #: Words whose score a worker remembers.
@@ -47,15 +47,36 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of a word's subwords: the marked word, then its inner grams; grams of a very long word are those of its ends."""
-    if len(word) > 64:
-        word = word[:32] + word[-32:]
-    marked = f"<{word}>"
-    out = [zlib.crc32(marked.encode()) % BUCKETS]
+_rng = np.random.default_rng(20)
+_PLACES = _rng.integers(1, 1 << 62, LONGEST_WORD + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
+    h = (h + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, index of its word) of every subword of non-empty words: each marked word, and its inner grams.
+
+    All words are hashed at once. Of a very long word the two ends are taken.
+    """
+    marked = [f"<{w}>" if len(w) <= LONGEST_WORD else f"<{w[: LONGEST_WORD // 2]}{w[-LONGEST_WORD // 2 :]}>" for w in words]
+    if not marked:
+        return np.empty(0, np.int32), np.empty(0, np.int64)
+    c = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    owner = np.repeat(np.arange(len(marked)), sizes)
+    place = np.arange(len(c)) - starts[owner]
+    buckets, owners = [_bucket(np.add.reduceat(c * _PLACES[place], starts), 0)], [np.arange(len(marked))]
     for n in range(SHORTEST, LONGEST + 1):
-        out += [zlib.crc32(marked[k : k + n].encode(), n) % BUCKETS for k in range(len(marked) - n + 1)]
-    return out
+        if len(c) >= n:
+            inside = owner[: len(c) - n + 1] == owner[n - 1 :]
+            h = sum(c[k : len(c) - n + 1 + k] * _PLACES[k] for k in range(n))
+            buckets.append(_bucket(h[inside], n))
+            owners.append(owner[: len(c) - n + 1][inside])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 @dataclass
@@ -71,21 +92,27 @@ class Model:
 
 class Scorer:
     def __init__(self, margins: np.ndarray, base: float):
-        self.margins, self.base, self.known = margins.tolist(), base, {}
-
-    def score(self, text: str | None) -> float:
-        known, total, n = self.known, 0.0, 0
-        for w in words_of(text):
-            got = known.get(w)
-            if got is None:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                at = subwords(w)
-                got = known[w] = (sum(map(self.margins.__getitem__, at)), len(at))
-            total += got[0]
-            n += got[1]
-        z = self.base + (total / n if n else 0.0)
-        return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z))))
+        self.margins, self.base = margins, base
+        self.known: dict[str, complex] = {}  # a word's margin and number of subwords, added up as one number
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = [w for w in set(words) if w not in self.known]
+        buckets, owner = subwords(new)
+        both = np.bincount(owner, self.margins[buckets], len(new)) + 1j * np.bincount(owner, minlength=len(new))
+        self.known.update(zip(new, both.tolist(), strict=True))
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        out = []
+        for k in range(0, len(texts), 256):
+            rows = [words_of(t) for t in texts[k : k + 256]]
+            self.learn([w for r in rows for w in r])
+            for r in rows:
+                total = sum(map(self.known.__getitem__, r), 0j)
+                z = self.base + (total.real / total.imag if r else 0.0)
+                out.append(1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z)))))
+        return out
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
@@ -97,22 +124,16 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         model.vectors[:] = 0
         model.bias[1] = 60.0 if share else -60.0
         return model
-    memo: dict[str, list[int]] = {}  # bounded: texts hold ever more different words
     bags = []
     seen_in = np.zeros(BUCKETS, np.int32)
     for t in texts:
-        at: list[int] = []
-        for w in words_of(t):
-            if w not in memo:
-                if len(memo) > 100_000:
-                    memo.clear()
-                memo[w] = subwords(w)
-            at += memo[w]
-        buckets, counts = np.unique(np.array(at, np.int32), return_counts=True)
-        bags.append((buckets, (counts * (SCALE / max(1, len(at)))).astype(np.float32)))
+        buckets, counts = np.unique(subwords(words_of(t))[0], return_counts=True)
+        bags.append((buckets, (counts * (SCALE / max(1, counts.sum()))).astype(np.float32)))
         seen_in[buckets] += 1
     least = min(LEAST_TEXTS, 1 + len(bags) // 200)
-    bags = [(b[keep], part[keep]) for b, part in bags for keep in [seen_in[b] >= least]]
+    for k, (buckets, part) in enumerate(bags):
+        keep = seen_in[buckets] >= least
+        bags[k] = (buckets[keep], part[keep])
     y = np.array(labels)
     heavy = np.float32(min(4.0, ((1 - share) / share) ** 0.5))
     epochs = max(MIN_EPOCHS, min(MAX_EPOCHS, STEPS // len(bags)))
@@ -174,7 +195,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for batch in batches:
-            out = pa.array([scorer.score(t) for t in store.texts(batch)], pa.float64())
+            out = pa.array(scorer.scores(store.texts(batch)), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "score"])
 
     out = rows.mapInArrow(run, schema)
@@ -192,6 +213,6 @@ def keep_clean(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for batch in batches:
-            yield batch.filter(pa.array([scorer.score(t) < reject for t in store.texts(batch)], pa.bool_()))
+            yield batch.filter(pa.array([p < reject for p in scorer.scores(store.texts(batch))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
