@@ -1,6 +1,6 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is its own hash bucket and those of its character 3- to 6-grams, with word ends marked, so an unseen misspelling
+A word is its own hash bucket and those of its character 4- and 5-grams, with word ends marked, so an unseen misspelling
 shares most of its vectors with the words it was made from. A text is the average of all its subwords' vectors; two
 weights rows and a softmax score it. Vectors and weights learn together by stochastic gradient steps on labelled rows.
 
@@ -25,16 +25,16 @@ from pyspark.sql import types as T
 from hourloom.llm import store
 
 #: Most labelled rows that a fit uses (a hash sample of them if there are more) and the bytes of text it takes of them at most.
-FIT_ROWS, FIT_BYTES = 8_000, 28 << 20
+FIT_ROWS, FIT_BYTES = 11_000, 38 << 20
 BUCKET_BITS = 19
-BUCKETS, DIM, RATE = 1 << BUCKET_BITS, 8, 0.5
+BUCKETS, DIM, RATE = 1 << BUCKET_BITS, 8, 1.5
 #: A mean of vectors is scaled by this, so that a few words among hundreds move it.
 SCALE = 64.0
 #: Texts of the fit that must hold a subword before its vector moves.
 LEAST_TEXTS = 5
 #: Steps of a fit and bounds of its passes over the rows.
-STEPS, MIN_EPOCHS, MAX_EPOCHS = 32_000, 3, 40
-SHORTEST, LONGEST, LONGEST_WORD = 3, 5, 64
+STEPS, MIN_EPOCHS, MAX_EPOCHS = 44_000, 3, 40
+SHORTEST, LONGEST, LONGEST_WORD = 4, 5, 64
 #: Score from which a text is rejected.
 REJECT = 0.7
 #: Words whose score a worker remembers.
@@ -128,7 +128,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     seen_in = np.zeros(BUCKETS, np.int32)
     for t in texts:
         buckets, counts = np.unique(subwords(words_of(t))[0], return_counts=True)
-        bags.append((buckets, (counts * (SCALE / max(1, counts.sum()))).astype(np.float32)))
+        bags.append((buckets, (counts * (SCALE / max(1, counts.sum()))).astype(np.float16)))
         seen_in[buckets] += 1
     least = min(LEAST_TEXTS, 1 + len(bags) // 200)
     for k, (buckets, part) in enumerate(bags):
@@ -140,7 +140,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     for epoch in range(epochs):
         rate = np.float32(RATE * (1 - epoch / epochs))
         for i in rng.permutation(len(bags)):
-            buckets, part = bags[i]
+            buckets, part = bags[i][0], bags[i][1].astype(np.float32)
             own = model.vectors[buckets]
             h = part @ own
             z = model.weights @ h + model.bias
