@@ -45,14 +45,14 @@ def parse_clock(c: Column) -> Column:
     return F.when(ok, hour * 3600 + minute * 60 + second)
 
 
-def lunch_minutes(lunch_out: Column, lunch_in: Column) -> Column:
-    a, b = parse_clock(lunch_out), parse_clock(lunch_in)
-    return F.coalesce(F.greatest(F.lit(0.0), F.floor(b / 60) - F.floor(a / 60).cast("double")), F.lit(0.0))
+def lunch_minutes(out_s: Column, in_s: Column) -> Column:
+    """Whole minutes between two clock times in seconds of the day; 0 where one is missing or they are reversed."""
+    return F.coalesce(F.greatest(F.lit(0.0), (F.floor(in_s / 60) - F.floor(out_s / 60)).cast("double")), F.lit(0.0))
 
 
-def hours_in_out(time_in: Column, time_out: Column, lunch: Column) -> Column:
-    """Hours between two clock times less lunch minutes; an end that isn't later moves on by 12 hours, once or twice."""
-    a, b = parse_clock(time_in) / 3600, parse_clock(time_out) / 3600
+def hours_between(in_s: Column, out_s: Column, lunch: Column) -> Column:
+    """Hours between two clock times in seconds less lunch minutes; an end that isn't later moves on by 12 hours, once or twice."""
+    a, b = in_s / 3600, out_s / 3600
     end = F.when(b > a, b).when(b + 12 > a, b + 12).otherwise(b + 24)
     worked = end - a - F.greatest(F.coalesce(lunch, F.lit(0.0)), F.lit(0.0)) / 60
     return F.when((a == 0) & (b == 0), F.lit(0.0)).when((worked >= 0) & (worked <= 24), F.round(worked, 2))

@@ -44,8 +44,8 @@ ORACLE["parse_clock"] = f"SELECT seq, in_s, out_s FROM ({SQL_CLOCK})"
 
 
 def in_out_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = hours.hours_in_out(F.col("time_in"), F.col("time_out"), F.col("lunch_minutes"))
-    return view(spark, sf_dir, "v_clock").select("seq", "emp", got.alias("hours"))
+    rows = view(spark, sf_dir, "v_clock").select("seq", "emp", "lunch_minutes", hours.parse_clock(F.col("time_in")).alias("in_s"), hours.parse_clock(F.col("time_out")).alias("out_s"))
+    return rows.select("seq", "emp", hours.hours_between(F.col("in_s"), F.col("out_s"), F.col("lunch_minutes")).alias("hours"))
 
 
 ORACLE["in_out_hours"] = f"""SELECT seq, emp, CASE WHEN a = 0 AND b = 0 THEN 0.0 WHEN w BETWEEN 0 AND 24 THEN round(w, 2) END AS hours
