@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,19 +37,33 @@ def full_year(year: Column, base: Column) -> Column:
     return F.when(year >= 100, year).otherwise(F.array_min(F.array(*near))["y"])
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use refers to it: keeps nested rules from growing exponentially."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """The three groups of a pattern as texts g1, g2, g3."""
+    return F.struct(*[F.regexp_extract(text, pattern, k).alias(f"g{k}") for k in (1, 2, 3)])
+
+
 def parse_date(c: Column, order: Column, base_year: Column) -> Column:
     """ISO, textual and numeric dates; order is DMY or MDY; null when nothing fits."""
-    text = F.regexp_replace(c, r"^\s+|\s+$", "")
-    part = lambda pattern, k: F.regexp_extract(text, pattern, k)
-    num = lambda pattern, k: part(pattern, k).try_cast("int")
-    iso = date_of(num(ISO, 1), num(ISO, 2), num(ISO, 3))
-    by_day = date_of(full_year(num(DAY_FIRST, 3), base_year), month_of_name(part(DAY_FIRST, 2)), num(DAY_FIRST, 1))
-    by_month = date_of(full_year(num(MONTH_FIRST, 3), base_year), month_of_name(part(MONTH_FIRST, 1)), num(MONTH_FIRST, 2))
-    a, b, y = num(NUMERIC, 1), num(NUMERIC, 2), num(NUMERIC, 3)
-    year = full_year(y, base_year)
-    day, month = F.when(order == "DMY", a).otherwise(b), F.when(order == "DMY", b).otherwise(a)
-    numeric = F.when(a > 31, date_of(a, b, y)).otherwise(F.coalesce(date_of(year, month, day), date_of(year, day, month)))
-    return F.when(text.rlike(ISO), iso).otherwise(F.coalesce(F.when(text.rlike(DAY_FIRST), by_day), F.when(text.rlike(MONTH_FIRST), by_month), F.when(text.rlike(NUMERIC), numeric)))
+    num = lambda x: x.try_cast("int")
+
+    def numeric(p: Column) -> Column:
+        a, b = num(p["g1"]), num(p["g2"])
+        other = bound(full_year(num(p["g3"]), base_year), lambda y: F.coalesce(F.when(order == "DMY", date_of(y, b, a)).otherwise(date_of(y, a, b)), date_of(y, a, b), date_of(y, b, a)))
+        return F.when(a > 31, date_of(a, b, num(p["g3"]))).otherwise(other)
+
+    def read(text: Column) -> Column:
+        iso = bound(_parts(text, ISO), lambda p: date_of(num(p["g1"]), num(p["g2"]), num(p["g3"])))
+        by_day = bound(_parts(text, DAY_FIRST), lambda p: date_of(full_year(num(p["g3"]), base_year), month_of_name(p["g2"]), num(p["g1"])))
+        by_month = bound(_parts(text, MONTH_FIRST), lambda p: date_of(full_year(num(p["g3"]), base_year), month_of_name(p["g1"]), num(p["g2"])))
+        rest = F.coalesce(F.when(text.rlike(DAY_FIRST), by_day), F.when(text.rlike(MONTH_FIRST), by_month), F.when(text.rlike(NUMERIC), bound(_parts(text, NUMERIC), numeric)))
+        return F.when(text.rlike(ISO), iso).otherwise(rest)
+
+    return bound(F.regexp_replace(c, r"^\s+|\s+$", ""), read)
 
 
 def rescue_epoch(d: Column, period: Column) -> Column:
