@@ -14,8 +14,7 @@ signatures with each, so its f - d - 1 most frequent signatures can be left out:
 common signature is among the others on both sides.
 
 Signatures are dealt by hash. In each group of rows with one signature, all are compared to the smallest id first, so a group of n
-copies costs n comparisons; where a group then still joins different components, the few that stand apart are compared to
-the members of the others. All comparisons are on the words themselves; a text that meets many does so in chunks.
+copies costs n comparisons; where groups then still join different components, their members are compared block by block. All comparisons are on the words themselves; a text that meets many does so in chunks.
 
 Rows with a null or blank text have an empty set and no links. Equal doc_ids are one document: their links are pooled.
 Rows with a null doc_id have no identity: no links, null component. Tables may be empty; other columns are ignored.
@@ -43,8 +42,8 @@ LOOSE_UPTO = 131
 BAND_RATIO = 1.3
 #: Partners of one text that are verified together.
 CHUNK = 256
-#: Shingles of a component's members in a chunk, and members from which a component is met by signatures.
-CHUNK_SHINGLES, LARGE = 100_000, 20_000
+#: Shingles and sets that stand in a chunk of a block, about, and bits of a set's mask.
+CHUNK_SHINGLES, CHUNK_SETS, MASK_BITS = 100_000, 2_000, 4096
 #: Bits of the filter that keeps texts that no pair needs out of the shuffle: 16 MB at most.
 FILTER_BITS = 1 << 27
 #: Words that a worker remembers the hash of.
@@ -275,54 +274,50 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
     return rows.repartition(store.shuffle_width(docs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(run, "a long, b long").distinct()
 
 
-def _sizes_fit(a: str, b: str, percent: int):
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def mask(s: set[bytes]) -> int:
+    """A bit set of hashed shingles: two masks differ in no more bits than the sets differ in shingles."""
+    bits = bytearray(MASK_BITS // 8)
+    for x in s:
+        h = xxhash.xxh3_64_intdigest(x) % MASK_BITS
+        bits[h >> 3] |= 1 << (h & 7)
+    return int.from_bytes(bits, "little")
 
 
 def cross_links(docs: DataFrame, open_: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between different components among open_(sig, id, n, comp), groups that join several components.
 
-    In each group, members outside of its largest component are candidates for the group's other components. A candidate
-    meets a component once, however many signatures they share: the component's members stand in chunks of bounded size,
-    and candidates stream past each chunk. Components too large for that are met by shared signatures instead.
+    Groups with one smallest id form a block, so two sets that share a signature meet in a block however many they share.
+    A block stands in chunks of bounded size; its other members stream past each later chunk. Members of one component
+    aren't compared, nor are sets whose masks differ in too many bits.
     """
-    per = open_.groupBy("sig", "comp").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
-    largest = per.groupBy(F.col("sig").alias("s")).agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("largest"))
-    odd = open_.join(largest, open_["sig"] == largest["s"]).where(F.col("comp") != F.col("largest")).select("sig", F.col("id").alias("r"), F.col("n").alias("rn"), F.col("comp").alias("rc"))
-    fits = (100 * F.col("most") >= percent * F.col("rn")) & (100 * F.col("rn") >= percent * F.col("least"))
-    meets = store.materialise(odd.join(per, "sig").where((F.col("comp") != F.col("rc")) & fits).select("r", "rn", "comp").distinct(), "meets")
-    members = open_.select("id", "n", "comp").distinct()
-    sizes = members.groupBy("comp").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("chunks"))
-    small = meets.join(sizes.where(F.col("members") <= LARGE), "comp")
-    stand = members.join(sizes, "comp").join(meets.select("comp").distinct(), "comp", "left_semi").where(F.col("members") <= LARGE)
-    stand = stand.select("comp", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), F.lit(0).alias("role"), "id")
-    pass_by = small.select("comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), F.lit(1).alias("role"), F.col("r").alias("id"))
-    rows = store.materialise(stand.union(pass_by), "blocks")
-    need = rows.select("id").distinct()
-    texts = store.materialise(needed_texts(docs, need), "need-texts")
-    dealt = rows.join(texts, rows["id"] == texts["doc_id"]).select("comp", "chunk", "role", "id", "text")
+    hub = F.min("id").over(W.partitionBy("sig"))
+    members = open_.select(hub.alias("hub"), "id", "n", "comp").distinct()
+    sizes = members.groupBy("hub").agg(F.greatest(F.ceil(F.sum("n") / CHUNK_SHINGLES), F.ceil(F.count("*") / CHUNK_SETS)).alias("chunks"))
+    members = store.materialise(members.join(sizes, "hub").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))), "blocks")
+    stand = members.select("hub", "chunk", F.lit(0).alias("role"), "id", "comp")
+    passing = members.where(F.col("chunk") + 1 < F.col("chunks"))
+    passing = passing.select("hub", F.explode(F.sequence(F.col("chunk") + 1, F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), "id", "comp")
+    texts = store.materialise(needed_texts(docs, members.select("id").distinct()), "need-texts")
+    rows = stand.union(passing)
+    dealt = rows.join(texts, rows["id"] == texts["doc_id"]).select("hub", "chunk", "role", "id", "comp", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
             found = []
-            for comp, chunk, role, id_, text in zip(*(batch.column(k).to_pylist() for k in range(4)), store.text_bytes(batch), strict=True):
-                if key != (comp, chunk):
-                    key, held = (comp, chunk), []
+            for hub, chunk, role, id_, comp, text in zip(*(batch.column(k).to_pylist() for k in range(5)), store.text_bytes(batch), strict=True):
+                if key != (hub, chunk):
+                    key, held = (hub, chunk), []
                 s = shingle_set(split_words(text or b""), n)
+                m, size = mask(s), len(s)
+                for other, other_comp, other_size, other_mask, own in held:
+                    if comp != other_comp and (m ^ other_mask).bit_count() * (100 + percent) <= (size + other_size) * (100 - percent) and links(own, s, percent):
+                        found.append({"a": other, "b": id_})
                 if role == 0:
-                    held.append((id_, s))
-                else:
-                    found += [{"a": h, "b": id_} for h, own in held if links(own, s, percent)]
+                    held.append((id_, comp, size, m, s))
             yield pa.RecordBatch.from_pylist(found, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    near = dealt.repartition(store.shuffle_width(docs.sparkSession), "comp", "chunk").sortWithinPartitions("comp", "chunk", "role").mapInArrow(run, "a long, b long").distinct()
-    big = meets.join(sizes.where(F.col("members") > LARGE), "comp").select("r", "rn", "comp")
-    if big.isEmpty():
-        return near
-    a = open_.select("sig", F.col("id").alias("r")).join(big, "r")
-    far = a.join(open_.select("sig", "comp", F.col("id").alias("b"), F.col("n").alias("bn")), ["sig", "comp"]).where(_sizes_fit("rn", "bn", percent))
-    return near.union(verify(docs, store.materialise(far.select(F.col("r").alias("a"), "b").distinct(), "pairs"), n, percent))
+    return dealt.repartition(store.shuffle_width(docs.sparkSession), "hub", "chunk").sortWithinPartitions("hub", "chunk", "role").mapInArrow(run, "a long, b long").distinct()
 
 
 def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
