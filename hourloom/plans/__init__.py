@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourloom.plans import documents, records, scalars
+from hourloom.plans import documents, records, review, scalars
 from hourloom.plans.views import with_views
 
-PLANS = (scalars, records, documents)
+PLANS = (scalars, records, documents, review)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
