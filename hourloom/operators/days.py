@@ -128,7 +128,8 @@ def day_issues(entries: DataFrame, days: DataFrame, calendar: DataFrame, most: f
     return reduce(DataFrame.unionByName, parts)
 
 
-SEVERITY_RANK = F.expr("CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END")
+def severity_rank() -> Column:
+    return F.expr("CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END")
 
 
 def drop_settled(issues: DataFrame, days: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def _issues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 
 def issue_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _issues(spark, sf_dir)[0].orderBy(days.SEVERITY_RANK, "date", "emp")
+    return _issues(spark, sf_dir)[0].orderBy(days.severity_rank(), "date", "emp")
 
 
 SQL_ISSUES = f"""SELECT emp, CAST(date_trunc('month', date) AS DATE) AS period, scope, date, code, severity, message FROM (
