@@ -44,6 +44,9 @@ BAND_RATIO = 1.3
 CHUNK = 256
 #: Shingles and sets that stand in a chunk of a block, about, and bits of a set's mask.
 CHUNK_SHINGLES, CHUNK_SETS, MASK_BITS = 100_000, 2_000, 4096
+#: Standard deviations of the number of full segments that bands allow for: a set lacks units about never, at any size of the
+#: input, and a repeated pass stays the exception.
+SLACK = 8.0
 #: Bits of the filter that keeps texts that no pair needs out of the shuffle: 16 MB at most.
 FILTER_BITS = 1 << 27
 #: Words that a worker remembers the hash of.
@@ -325,7 +328,7 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     is at least percent / 100; component_id is the smallest doc_id reachable by links."""
     spark = docs.sparkSession
     store.small_batches(spark)
-    slack = 5.0
+    slack = SLACK
     by = W.partitionBy("sig")
     while True:
         rows = signature_rows(docs, n, percent, slack)
