@@ -12,6 +12,7 @@ be empty; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 import zlib
@@ -32,7 +33,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-CUE = re.compile(r"[0-9@]|[\[(]at[\])]|\bat\b[^\n]{1,40}?\bdot\b", re.IGNORECASE)
+CUE = re.compile(r"[0-9]+|@|[\[(]at[\])]|\bat\b[^\n]{1,40}?\bdot\b", re.IGNORECASE)
 
 #: Longest entity in tokens, most entities in a stretch, reach of a stretch around its cue, longest stretch in tokens.
 LONGEST, MOST, REACH, STRETCH = 16, 6, 24, 96
@@ -273,16 +274,22 @@ def train(examples: int = 500, epochs: int = 4, seed: int = 11) -> Field:
 
 def stretches(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
     """Pieces around cues, cut at base spans."""
-    barriers = [(a, b) for _, a, b in base]
+    starts: list[int] = []
+    stops: list[int] = []
+    for _, a, b in base:  # by start; overlapping spans become one
+        if stops and a <= stops[-1]:
+            stops[-1] = max(stops[-1], b)
+        else:
+            starts.append(a)
+            stops.append(b)
     start = stop = -1
     for m in CUE.finditer(text):
-        if any(a <= m.start() < b for a, b in barriers):
+        k = bisect.bisect_right(starts, m.start())
+        if k and m.start() < stops[k - 1]:
             continue
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        for x, y in barriers:
-            a = y if a < y <= m.start() else a
-            b = x if m.end() <= x < b else b
-        while a > 0 and text[a - 1].isalnum() and text[a].isalnum() and not any(y == a for _, y in barriers):
+        a = max(0, m.start() - REACH, stops[k - 1] if k else 0)
+        b = min(len(text), m.end() + REACH, starts[k] if k < len(starts) else len(text))
+        while 0 < a < m.start() and text[a - 1].isalnum() and text[a].isalnum() and not (k and a == stops[k - 1]):
             a += 1
         if a <= stop:
             stop = max(stop, b)
