@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import struct
 
 #: Chunks that a worker remembers in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: A byte-level pre-token that holds other than white space can have a blank only as its first character, so a text may
 #: be cut before a blank that follows such a character, and its ids are those of the parts in order.
 CUT = re.compile(r"(?<=\S)(?= )")
@@ -48,12 +49,10 @@ class ChunkEncoder:
                     young[c] = old[c]
                 else:
                     new.append(c)
-        import numpy as np
-
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                young[c] = np.array(e.ids, "<u4").tobytes()
+                young[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def encode(self, text: str) -> bytes:
         chunks = self.chunks(text)
