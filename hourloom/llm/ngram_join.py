@@ -289,11 +289,12 @@ def mask(s: set[bytes]) -> int:
 def cross_links(docs: DataFrame, open_: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between different components among open_(sig, id, n, comp), groups that join several components.
 
-    Groups with one smallest id form a block, so two sets that share a signature meet in a block however many they share.
+    Groups with one smallest component form a block, so two sets that share a signature meet in a block however many they
+    share.
     A block stands in chunks of bounded size; its other members stream past each later chunk. Members of one component
     aren't compared, nor are sets whose masks differ in too many bits.
     """
-    hub = F.min("id").over(W.partitionBy("sig"))
+    hub = F.min("comp").over(W.partitionBy("sig"))
     members = open_.select(hub.alias("hub"), "id", "n", "comp").distinct()
     sizes = members.groupBy("hub").agg(F.greatest(F.ceil(F.sum("n") / CHUNK_SHINGLES), F.ceil(F.count("*") / CHUNK_SETS)).alias("chunks"))
     members = store.materialise(members.join(sizes, "hub").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))), "blocks")
