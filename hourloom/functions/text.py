@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hourloom.functions.dates import FULL_MONTHS, MONTHS
 
-#: Company words that lead file names, words that are no names, markers of timesheets.
-COMPANIES = ("ajace", "hcpss", "hexaware", "innososft", "innosoft", "npo", "hex")
+#: Words that are no names, and markers of timesheets.
 NO_NAMES = (*MONTHS, "sept", *FULL_MONTHS, "timesheet", "time sheet", "timesheets", "monthly timesheet", "monthly", "time", "sheet", "ts", "month", "approved", "signed", "final", "copy")
 LEADS = ("time sheet ", "timesheet ", "timesheets ", "ts ")
 MONTH_WORD = r"\b(" + "|".join((*MONTHS, "sept", *FULL_MONTHS)) + r")\b"
@@ -50,11 +51,11 @@ def client_from_path(path: Column) -> Column:
     return F.when(path.contains("/"), clean(F.array_join(words, " ")))
 
 
-def name_hint(stem: Column) -> Column:
-    """A person's name from a file's stem: leading company and timesheet words go, the rest ends at the first marker, date,
+def name_hint(stem: Column, companies: Sequence[str] = ()) -> Column:
+    """A person's name from a file's stem: leading words of companies (lower case) and timesheets go, the rest ends at the first marker, date,
     long number, month or year; the stem itself where only a general word is left."""
     spaced = F.replace(stem, F.lit("_"), F.lit(" "))
-    lead = "|".join(x.strip() + " " for x in (*LEADS, *COMPANIES))
+    lead = "|".join(x.strip() + " " for x in (*LEADS, *companies))
     s = F.regexp_replace(spaced, rf"(?i)^(?:[ \-·,]*(?:{lead}))+", "")
     # Text before the first marker; one at the very start doesn't count.
     s = F.regexp_replace(s, r"(?is)^(.+?)(?: ts(?: |-|.*)|-ts.*|timesheet.*|time sheet.*).*$", "$1")
@@ -63,4 +64,4 @@ def name_hint(stem: Column) -> Column:
     s = F.regexp_replace(s, rf"(?is){MONTH_WORD}.*$", "")
     s = F.regexp_replace(F.regexp_replace(s, r"\b20[0-9]{2}\b", ""), EDGES, "")
     whole = F.regexp_replace(spaced, EDGES, "")
-    return F.when((s == "") | F.lower(s).isin(*NO_NAMES, *COMPANIES), F.when(whole != "", whole).otherwise(stem)).otherwise(s)
+    return F.when((s == "") | F.lower(s).isin(*NO_NAMES, *companies), F.when(whole != "", whole).otherwise(stem)).otherwise(s)

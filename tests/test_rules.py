@@ -144,6 +144,7 @@ def test_names_paths_and_kinds(spark):
     assert one(spark, "x.csv", text.client_from_path) is None
     assert one(spark, "Richard TS-April 2026", text.name_hint) == "Richard"
     assert one(spark, "Company_May_timesheet_2026", text.name_hint) == "Company"
+    assert one(spark, "Acme_Time Sheet_Jo_Ann May-2026", lambda c: text.name_hint(c, ("acme",))) == "Jo Ann"
     assert one(spark, "May_timesheet_2026", text.name_hint) == "May timesheet 2026"
     assert one(spark, "a/~$b.xlsx", files.is_document) is False and one(spark, "a/b.xlsx", files.is_document) is True
     assert one(spark, "P. Example", lambda c: days.ident_key(c, F.lit(None).cast("string"))) == "nm:p example"
