@@ -53,7 +53,7 @@ FILTER_BITS = 1 << 27
 WORDS_KEPT = 1_000_000
 
 #: Kinds of rows: below INFO a signature, by the number of its band.
-INFO, COPY, LACKING = 100, 101, 102
+INFO, COPY, LACKING, DIGEST = 100, 101, 102, 103
 
 
 def split_words(text: bytes) -> list[bytes]:
@@ -187,7 +187,7 @@ ROWS = "sig long, id long, kind byte, val long"
 
 def signature_rows(docs: DataFrame, n: int, percent: int, slack: float) -> DataFrame:
     """Rows (sig, id, kind, val): signatures with the set's size; the size of each row's set; copies within a partition;
-    and a mark for each set that lacks units."""
+    the text's digest, in two halves; and a mark for each set that lacks units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, hashes, seen = Signer(percent, slack), WordHashes(), {}
@@ -211,6 +211,8 @@ def signature_rows(docs: DataFrame, n: int, percent: int, slack: float) -> DataF
                     size = len(s)
                     seen[digest] = (doc_id, size)
                     if size:
+                        halves = np.array([int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")], np.uint64).view(np.int64)
+                        put(halves[:1], doc_id, DIGEST, halves[1])
                         for band, sig, shared in signer.sign(s):
                             put(sig.view(np.int64), doc_id, band, size * PACK + max(1, shared))
                             if shared < 1:
@@ -334,16 +336,22 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     while True:
         rows = signature_rows(docs, n, percent, slack)
         rows = rows.withColumn("hub", F.min("id").over(by)).withColumn("top", F.max("id").over(by)).withColumn("df", F.count("*").over(by))
-        kept = store.materialise(rows.where((F.col("kind") >= INFO) | (F.col("hub") < F.col("top"))).drop("hub", "top"), "shared-signatures")
+        kept = store.materialise(rows.where(F.col("kind").isin(INFO, COPY, LACKING) | (F.col("hub") < F.col("top"))).drop("hub", "top"), "shared-signatures")
         if kept.where(F.col("kind") == LACKING).isEmpty():
             break
         slack *= 2
     info = kept.where(F.col("kind") == INFO).select(F.col("id").alias("doc_id"), F.col("val").alias("n_shingles"))
     edges = kept.where(F.col("kind") == COPY).select(F.col("val").alias("a"), F.col("id").alias("b"))
+    # Texts of one 128-bit digest are copies: the smallest id stands for the others.
+    first_of = F.min("id").over(W.partitionBy("sig", "val"))
+    copies = kept.where(F.col("kind") == DIGEST).select("id", first_of.alias("first")).where(F.col("id") > F.col("first"))
+    copies = store.materialise(copies, "copies")
+    edges = edges.union(copies.select(F.col("first").alias("a"), F.col("id").alias("b")))
     # The least shared number holds for one set; ids with several rows keep all their signatures.
     again = info.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows")).where("rows > 1").select("id", F.lit(True).alias("again"))
     mine = W.partitionBy("id", "kind")
-    some = kept.where(F.col("kind") < INFO).withColumn("rank", F.row_number().over(mine.orderBy("df", "sig"))).withColumn("all", F.count("*").over(mine))
+    gone = copies.select("id").join(again, "id", "left_anti").distinct()
+    some = kept.where(F.col("kind") < INFO).join(gone, "id", "left_anti").withColumn("rank", F.row_number().over(mine.orderBy("df", "sig"))).withColumn("all", F.count("*").over(mine))
     some = some.join(again, "id", "left").where(F.col("again").isNotNull() | (F.col("rank") <= F.col("all") - F.col("val") % PACK + 1))
     some = some.select("sig", "id", F.floor(F.col("val") / PACK).alias("n"), F.min("id").over(by).alias("hub"), F.max("id").over(by).alias("top"))
     signed = store.materialise(some.where(F.col("hub") < F.col("top")).drop("top"), "signatures")
