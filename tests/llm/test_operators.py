@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -354,6 +355,24 @@ def test_secrets(spark, docs, none):
     assert secrets.find(docs).count() == len(rows()) and secrets.find(none).count() == 0
 
 
+def test_secrets_of_every_length(spark):
+    r = random.Random(8)
+    key = lambda n, a: "".join(r.choice(a) for _ in range(n))
+    upper, b62 = string.ascii_uppercase, string.ascii_letters + string.digits
+    prose = "the garden was quiet while several children walked along a narrow river and watched grey herons looking for small fish under bridges".split()
+    texts = [" ".join(r.choice(prose) for _ in range(30)) for _ in range(200)]
+    texts += ["".join(r.choice(prose) for _ in range(12)) for _ in range(20)] + ["-".join([*(r.choice(prose) for _ in range(5)), str(r.randint(1, 99))]) for _ in range(20)]
+    keys = [(n, b62) for n in (22, 30, 40, 60, 90) for _ in range(10)] + [(n, form) for n, form in ((90, upper), (60, string.ascii_letters), (90, string.ascii_letters)) for _ in range(10)]
+    first = len(texts)
+    texts += [f"{r.choice(prose)} {key(n, form)} {r.choice(prose)}" for n, form in keys]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    added = {x.doc_id for x in secrets.find(table).collect() if x.added}
+    for kind in set(keys):
+        own = [first + k for k, x in enumerate(keys) if x == kind]
+        assert len(added & set(own)) >= 8, (kind, len(added & set(own)))
+    assert len(added - set(range(first, len(texts)))) <= 4
+
+
 def test_battery_tells_random_from_patterned():
     r = random.Random(2)
     fine = [secrets.battery("".join(r.choice("0123456789abcdef") for _ in range(64)))[1] for _ in range(100)]
