@@ -2,8 +2,9 @@
 
 The base patterns find e-mail addresses, IP addresses, card numbers and phone numbers; their spans always stay. Between
 them, stretches of text around digits, at-signs and spelt-out separators are segmented by the field: features look at a
-whole candidate span (digits, groups, separators, checks, neighbours), and a dynamic programme over at most a bounded number of
-entities of bounded length picks boundaries and types together. The field learns by maximum likelihood on segmented
+whole candidate span (digits, groups, separators, checks, neighbours), and a dynamic programme over entities of bounded length
+picks boundaries and types together. A stretch reaches as far from its cues as an entity can, and is decoded whole, however
+many entities it has. The field learns by maximum likelihood on segmented
 stretches generated from a seed, with numpy.
 
 Null and empty texts have no spans; whole texts are scanned, whatever their length. Repeated rows repeat their spans; tables may
@@ -16,8 +17,9 @@ import bisect
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,15 @@ from hourloom.llm import store
 #: would end where the run's own match ends, so starts are looked for at the run's first digit.
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DIGITS = frozenset("0123456789")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-CUE = re.compile(r"[0-9]+|@|[\[(]at[\])]|\bat\b[^\n]{1,40}?\bdot\b", re.IGNORECASE)
+CUE = re.compile(r"[0-9]+|@|[\[(]at[\])]|\bat\b", re.IGNORECASE)
 
-#: Longest entity in tokens, most entities in a stretch, reach of a stretch around its cue, longest stretch in tokens.
-LONGEST, MOST, REACH, STRETCH = 16, 6, 24, 96
+#: Longest entity in tokens, tokens of context before one, tokens whose candidates are scored at a time.
+LONGEST, CONTEXT, BLOCK = 24, 3, 96
 FEATURES = 1 << 12
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s|.", re.DOTALL)
 
@@ -68,7 +71,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
-    if not re.search(r"[0-9]{2}|[0-9][.\x20(-][0-9]", text):
+    if not re.search(r"[0-9]{2}|[0-9][.\x20-][0-9]|\+[0-9]", text):
         return out
     out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
@@ -129,17 +132,20 @@ def token_feature(token: str) -> int:
 
 @dataclass
 class Lattice:
-    """Candidate spans of a stretch: (start, end) in tokens and their features; and each token's own as outside."""
+    """Candidate spans of a stretch that start in a block of it: (start, end) in tokens and their features; and each token's
+    own as outside."""
 
-    ends: list[list[tuple[int, int]]]  # by end: (start, row of features)
+    ends: list[list[tuple[int, int]]]  # by end, less the block's first token: (start, row of features)
     features: np.ndarray
     outside: np.ndarray
 
 
-def lattice(tokens: list[Token]) -> Lattice:
-    ends: list[list[tuple[int, int]]] = [[] for _ in range(len(tokens) + 1)]
+def lattice(tokens: list[Token], first: int = 0, stop: int | None = None) -> Lattice:
+    stop = len(tokens) if stop is None else stop
+    ends: list[list[tuple[int, int]]] = [[] for _ in range(min(len(tokens), stop + LONGEST) - first + 1)]
     rows = []
-    for i, (t, _, _) in enumerate(tokens):
+    for i in range(first, stop):
+        t = tokens[i][0]
         if not (t[0].isalnum() or t in "+(") or (i and t[0].isalnum() and tokens[i - 1][0][0].isalnum()):
             continue
         seen = False
@@ -150,9 +156,9 @@ def lattice(tokens: list[Token]) -> Lattice:
                 break
             cut = j < len(tokens) and last[0].isalnum() and tokens[j][0][0].isalnum()
             if seen and last[0].isalnum() and not cut and j - i > 1 - last[0].isdigit():
-                ends[j].append((i, len(rows)))
+                ends[j - first].append((i, len(rows)))
                 rows.append(span_features(tokens, i, j))
-    return Lattice(ends, np.array(rows, np.int64).reshape(len(rows), len(rows[0]) if rows else 0), np.array([token_feature(t) for t, _, _ in tokens], np.int64))
+    return Lattice(ends, np.array(rows, np.int64).reshape(len(rows), len(rows[0]) if rows else 0), np.array([token_feature(t) for t, _, _ in tokens[first:stop]], np.int64))
 
 
 class Field:
@@ -166,29 +172,31 @@ class Field:
         return inside, self.w[-1][x.outside]
 
     def best(self, x: Lattice) -> list[tuple[int, int, int]]:
-        """(start, end, type) of the best segmentation with at most MOST entities."""
-        inside, outside = self.scores(x)
-        n = len(outside)
-        best = np.full((n + 1, MOST + 1), -np.inf)
-        back: dict[tuple[int, int], tuple[int, int]] = {}
-        best[0, 0] = 0
-        top = inside.max(1) if len(inside) else inside[:, :0]
-        for j in range(1, n + 1):
-            best[j] = best[j - 1] + outside[j - 1]
-            for i, row in x.ends[j]:
-                got = best[i, :-1] + top[row]
-                for k in np.flatnonzero(got > best[j, 1:]):
-                    best[j, k + 1] = got[k]
-                    back[j, int(k) + 1] = (i, row)
-        # Where the value at j comes from outside, it equals that of j - 1 plus the token's.
-        out, j, k = [], n, int(best[n].argmax())
+        """(start, end, type) of the best segmentation of a stretch of one block."""
+        return self.decode(len(x.outside), [x])
+
+    def decode(self, n: int, blocks: Iterable[Lattice]) -> list[tuple[int, int, int]]:
+        """(start, end, type) of the best segmentation of n tokens; blocks come in order, so that only one is held."""
+        best, back = [-np.inf] * (n + 1), [(0, -1)] * (n + 1)
+        best[0], first = 0.0, 0
+        for x in blocks:
+            inside, outside = self.scores(x)
+            top, kinds = (inside.max(1).tolist(), inside.argmax(1).tolist()) if len(inside) else ([], [])
+            for k, own in enumerate(x.ends[1:], 1):
+                j = first + k
+                # Spans of earlier blocks that end here are in best[j] already; beyond the block only spans go on.
+                if k <= len(outside) and (got := best[j - 1] + outside[k - 1]) >= best[j]:
+                    best[j], back[j] = got, (j - 1, -1)
+                for i, row in own:
+                    if (got := best[i] + top[row]) > best[j]:
+                        best[j], back[j] = got, (i, kinds[row])
+            first += len(outside)
+        out, j = [], n
         while j > 0:
-            if best[j, k] == best[j - 1, k] + outside[j - 1]:
-                j -= 1
-            else:
-                i, row = back[j, k]
-                out.append((i, j, int(inside[row].argmax())))
-                j, k = i, k - 1
+            i, kind = back[j]
+            if kind >= 0:
+                out.append((i, j, kind))
+            j = i
         return out[::-1]
 
     def learn(self, x: Lattice, gold: list[tuple[int, int, int]], rate: float, pull: float) -> None:
@@ -224,28 +232,32 @@ class Field:
         self.w += rate * (grad - pull * self.w)
 
 
-def example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
-    """A stretch of text and its entities in characters: forms that the patterns miss, and look-alikes that are none."""
-    word = lambda: "".join(rng.choice("aeinorstlmdu") for _ in range(rng.randint(2, 9)))
+def word_of(rng: random.Random) -> str:
+    return "".join(rng.choice("aeinorstlmdu") for _ in range(rng.randint(2, 9)))
+
+
+def entity(rng: random.Random, kind: int) -> str:
+    """A form of a type that the patterns miss; a look-alike that is none for -1."""
+    word = lambda: word_of(rng)
     num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    parts: list[tuple[str, int]] = [(" ".join(word() for _ in range(rng.randint(1, 4))) + " ", -1)]
-    for _ in range(rng.randint(0, 2)):
-        kind = rng.choice([0, 1, 2, 3, -1, -1])
-        if kind == 0:
-            at, dot = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("@", "."), (" @ ", ".")])
-            got = f"{word()}{rng.choice(['', '.' + word(), num(2)])}{at}{word()}{dot}{rng.choice(['com', 'org', 'net'])}"
-        elif kind == 1:
-            got = rng.choice([".", " . "]).join(str(rng.randint(0, 255)) for _ in range(4))
-        elif kind == 2:
-            body = "4" + num(14)
-            body += next(c for c in "0123456789" if luhn(body + c))
-            got = rng.choice(["", ".", "/", "_", "  "]).join(body[k : k + 4] for k in range(0, 16, 4))
-        elif kind == 3:
-            a, b, c = rng.choice("23456789") + num(2), num(3), num(4)
-            got = rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"001 {a} {b} {c}", f"+1/{a}/{b}/{c}"])
-        else:
-            got = rng.choice([num(rng.randint(1, 9)), f"{rng.randint(1, 12)}/{rng.randint(1, 28)}/20{num(2)}", f"version {num(1)}.{num(1)}", f"20{num(2)}-{num(2)}-{num(2)}", num(3) + word() + num(4), "$" + num(3) + "." + num(2), num(16), f"{num(2)}:{num(2)}:{num(2)}", f"CC-BY {num(1)}.0", f"{word()} at {word()}", f"{num(1)}.{num(2)}.{num(1)}"])
-        parts += [(got, kind), (" " + " ".join(word() for _ in range(rng.randint(1, 4))) + " ", -1)]
+    if kind == 0:
+        at, dot = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("@", "."), (" @ ", ".")])
+        got = f"{word()}{rng.choice(['', '.' + word(), num(2)])}{at}{word()}{dot}{rng.choice(['com', 'org', 'net'])}"
+    elif kind == 1:
+        got = rng.choice([".", " . "]).join(str(rng.randint(0, 255)) for _ in range(4))
+    elif kind == 2:
+        body = "4" + num(14)
+        body += next(c for c in "0123456789" if luhn(body + c))
+        got = rng.choice(["", ".", "/", "_", "  "]).join(body[k : k + 4] for k in range(0, 16, 4))
+    elif kind == 3:
+        a, b, c = rng.choice("23456789") + num(2), num(3), num(4)
+        got = rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"001 {a} {b} {c}", f"+1/{a}/{b}/{c}"])
+    else:
+        got = rng.choice([num(rng.randint(1, 9)), f"{rng.randint(1, 12)}/{rng.randint(1, 28)}/20{num(2)}", f"version {num(1)}.{num(1)}", f"20{num(2)}-{num(2)}-{num(2)}", num(3) + word() + num(4), "$" + num(3) + "." + num(2), num(16), f"{num(2)}:{num(2)}:{num(2)}", f"CC-BY {num(1)}.0", f"{word()} at {word()}", f"{num(1)}.{num(2)}.{num(1)}"])
+    return got
+
+
+def joined(parts: list[tuple[str, int]]) -> tuple[str, list[tuple[int, int, int]]]:
     text, gold = "", []
     for got, kind in parts:
         if kind >= 0:
@@ -254,10 +266,37 @@ def example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     return text, gold
 
 
-def train(examples: int = 500, epochs: int = 4, seed: int = 11) -> Field:
+def example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """A stretch of text and its entities in characters: forms that the patterns miss, and look-alikes that are none."""
+    word = lambda: word_of(rng)
+    parts: list[tuple[str, int]] = [(" ".join(word() for _ in range(rng.randint(1, 4))) + " ", -1)]
+    for _ in range(rng.randint(0, 2)):
+        kind = rng.choice([0, 1, 2, 3, -1, -1])
+        got = entity(rng, kind)
+        parts += [(got, kind), (" " + " ".join(word() for _ in range(rng.randint(1, 4))) + " ", -1)]
+    return joined(parts)
+
+
+def long_mail(rng: random.Random) -> str:
+    """A spelt-out address with parts of several words."""
+    at, dot = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot ")])
+    local, domain = (rng.choice(".-_").join(word_of(rng) for _ in range(rng.randint(1, n))) for n in (4, 3))
+    return f"{local}{at}{domain}{dot}{rng.choice(['com', 'org', 'net'])}"
+
+
+def listing(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """A list of entities of one type; addresses may be long."""
+    kind, comma = rng.choice([0, 1, 2, 3, 3]), rng.choice([", ", ", ", ",", "; ", " | ", " and "])
+    parts: list[tuple[str, int]] = [(word_of(rng) + " ", -1)]
+    for k in range(rng.randint(1, 4)):
+        parts += [(comma if k else "", -1), (long_mail(rng) if not kind and rng.random() < 0.7 else entity(rng, kind), kind)]
+    return joined([*parts, (" " + word_of(rng), -1)])
+
+
+def train(examples: int = 500, epochs: int = 4, seed: int = 11, lists: int = 200) -> Field:
     rng, field = random.Random(seed), Field()
     data = []
-    for text, gold in (example(rng) for _ in range(examples)):
+    for text, gold in (example(rng) if k < examples else listing(rng) for k in range(examples + lists)):
         tokens = tokens_of(text, 0, len(text))
         x = lattice(tokens)
         starts, stops = {a: k for k, (_, a, _) in enumerate(tokens)}, {b: k + 1 for k, (_, _, b) in enumerate(tokens)}
@@ -272,6 +311,53 @@ def train(examples: int = 500, epochs: int = 4, seed: int = 11) -> Field:
     return field
 
 
+def cues(text: str) -> Iterator[tuple[int, int]]:
+    """Places of digits and at-signs, also spelt-out ones; a bare "at" needs a "dot" where the same entity could have it."""
+    for m in CUE.finditer(text):
+        if m[0].lower() != "at":
+            yield m.span()
+            continue
+        for t in islice(TOKEN.finditer(text, m.end()), LONGEST):
+            if t[0] == "\n":
+                break
+            if t[0].lower() == "dot":
+                yield m.start(), t.end()
+                break
+
+
+def inside_word(text: str, k: int) -> bool:
+    return 0 < k < len(text) and text[k - 1].isalnum() and text[k].isalnum()
+
+
+def reach_back(text: str, at: int, least: int) -> int:
+    """Start of the longest entity that may hold what begins at a place, and its context; not before least."""
+    count = 0
+    while at > least and (count < LONGEST + CONTEXT or inside_word(text, at)):
+        at -= 1
+        if text[at] == "\n":
+            break
+        if text[at].isalpha():
+            while at > least and text[at - 1].isalpha():
+                at -= 1
+        elif text[at] in DIGITS:
+            while at > least and text[at - 1] in DIGITS:
+                at -= 1
+        count += 1
+    return at
+
+
+def reach_on(text: str, at: int, most: int, reached: int) -> int:
+    """End of the longest entity that may hold what ends at a place, and the token after it; not beyond most. Words are
+    followed only beyond what an earlier cue has reached."""
+    for count, m in enumerate(TOKEN.finditer(text, at, most)):
+        if count > LONGEST and (at < reached or not inside_word(text, at)):
+            break
+        at = m.end()
+        if m[0] == "\n":
+            break
+    return at
+
+
 def stretches(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
     """Pieces around cues, cut at base spans."""
     starts: list[int] = []
@@ -283,14 +369,14 @@ def stretches(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int
             starts.append(a)
             stops.append(b)
     start = stop = -1
-    for m in CUE.finditer(text):
-        k = bisect.bisect_right(starts, m.start())
-        if k and m.start() < stops[k - 1]:
+    for begin, end in cues(text):
+        k = bisect.bisect_right(starts, begin)
+        if k and begin < stops[k - 1]:
             continue
-        a = max(0, m.start() - REACH, stops[k - 1] if k else 0)
-        b = min(len(text), m.end() + REACH, starts[k] if k < len(starts) else len(text))
-        while 0 < a < m.start() and text[a - 1].isalnum() and text[a].isalnum() and not (k and a == stops[k - 1]):
-            a += 1
+        least = stops[k - 1] if k else 0
+        a = reach_back(text, begin, max(least, min(stop, begin)))
+        most = starts[k] if k < len(starts) else len(text)
+        b = reach_on(text, min(end, most), most, stop)
         if a <= stop:
             stop = max(stop, b)
         else:
@@ -311,11 +397,8 @@ class Finder:
         out = []
         for a, b in stretches(text, base):
             tokens = tokens_of(text, a, b)
-            for k in range(0, len(tokens), STRETCH):
-                part = tokens[k : k + STRETCH]
-                x = lattice(part)
-                if len(x.features):
-                    out += [(KINDS[kind], part[i][1], part[j - 1][2]) for i, j, kind in self.field.best(x)]
+            blocks = (lattice(tokens, k, min(len(tokens), k + BLOCK)) for k in range(0, len(tokens), BLOCK))
+            out += [(KINDS[kind], tokens[i][1], tokens[j - 1][2]) for i, j, kind in self.field.decode(len(tokens), blocks)]
         return out
 
 

@@ -283,6 +283,23 @@ def test_personal_data(spark, docs, none):
     assert personal_data.find(docs, field).count() == len(rows()) and personal_data.find(none, field).count() == 0
 
 
+def test_personal_data_in_long_lists_and_far_from_cues():
+    field = personal_data.train()
+    finder = personal_data.Finder(field)
+    phones = [f"{200 + k}-555-{3296 + k}" for k in range(300)]
+    text = "call " + ", ".join(phones) + " now"
+    spans = finder.added(text, personal_data.base_spans(text))
+    assert sum(text[a:b] in phones for _, a, b in spans) >= 0.95 * len(phones)
+    tokens = personal_data.tokens_of(text, 0, len(text))
+    assert [(tokens[i][1], tokens[j - 1][2]) for i, j, _ in field.best(personal_data.lattice(tokens))] == [(a, b) for _, a, b in spans]
+    for mail in ("jo [at] international-business-unit [dot] com", "maria.magdalena.hohenzollern.stauffenberg [at] mail [dot] com"):
+        assert list(personal_data.stretches(mail, [])) == [(0, len(mail))]
+        text = f"write to {mail} please"
+        assert [text[a:b] for _, a, b in finder.added(text, [])] == [mail]
+    for phone in ("+1)2)3)4)5)6)7)8)9)0", "+1  2  3  4  5  6  7  8  9  0"):
+        assert personal_data.base_spans(phone) == brute_pii(phone) == [("phone", 0, len(phone))]
+
+
 def test_edited_counts(spark, docs, none):
     enc, r = encoder(default_file()), random.Random(6)
     full = lambda t: len(enc.tokenizer.encode(t, add_special_tokens=False).ids)
