@@ -13,6 +13,8 @@ EXTENSIONS = {
 SKIPPED = ("desktop.ini", ".ds_store", "thumbs.db")
 #: Characters a page from which text is native, and the least share of readable characters.
 PAGE_CHARS, READABLE = 80, 0.6
+#: What stands between the pages of a joined file.
+MARKER = r"-{3,}\s*page\s+[0-9]+[^\n]*-{3,}"
 
 
 def is_document(path: Column) -> Column:
@@ -52,15 +54,28 @@ def needs_vision(pages: DataFrame, least: int = 60) -> DataFrame:
     return pages.where((F.length(trimmed(F.coalesce("text", F.lit("")))) < least) & (F.col("images") > 0)).select("file", "page")
 
 
+def marked(page: Column, text: Column) -> Column:
+    """A page's text under its marker."""
+    return F.concat(F.lit("--- page "), page.cast("string"), F.lit(" ---\n"), text)
+
+
 def join_pages(pages: DataFrame) -> DataFrame:
-    """file, text: a file's pages in order, each under its marker."""
-    body = F.concat(F.lit("--- page "), F.col("page").cast("string"), F.lit(" ---\n"), F.col("text"))
+    """file, text: a file's pages in order, each under its marker. One value holds a whole file: for files of bounded size."""
+    body = marked(F.col("page"), F.col("text"))
     return pages.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", body.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
 
 
 def split_pages(docs: DataFrame, least: int = 40) -> DataFrame:
     """file, nth, text: the chunks between page markers that have more than `least` characters."""
-    parts = docs.select("file", F.posexplode(F.split("text", r"-{3,}\s*page\s+[0-9]+[^\n]*-{3,}")).alias("nth", "text"))
+    parts = docs.select("file", F.posexplode(F.split("text", MARKER)).alias("nth", "text"))
+    return parts.withColumn("text", trimmed(F.col("text"))).where(F.length("text") > least)
+
+
+def split_marked(pages: DataFrame, least: int = 40) -> DataFrame:
+    """file, page, nth, text: the chunks that split_pages gives of the joined file, page by page. As each page begins with a
+    marker, no chunk spans two pages, so a file of any size is never put together."""
+    own = pages.select("file", "page", marked(F.col("page"), F.col("text")).alias("text"))
+    parts = own.select("file", "page", F.posexplode(F.split("text", MARKER)).alias("nth", "text"))
     return parts.withColumn("text", trimmed(F.col("text"))).where(F.length("text") > least)
 
 

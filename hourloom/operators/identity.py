@@ -5,7 +5,9 @@ days: ident, file_seq, d, total (one row a day of a result).
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,28 +28,41 @@ def conflict_pairs(days: DataFrame) -> DataFrame:
     return a.join(b, ["ident", "d"]).where("a < b").groupBy("ident", "a", "b").agg(differ.alias("dates")).where(F.col("dates") >= LEAST_DATES)
 
 
-def split_group(days: pd.DataFrame) -> pd.DataFrame:
-    """First fit in file order: a result joins the first cluster whose merged days (the first value counts) it doesn't contradict."""
+def first_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First fit of rows sorted by ident, file_seq and d: a result joins the first cluster whose merged days (the first value
+    counts) it doesn't contradict. Held are one result's days and the clusters' merged days, not the rows of an ident."""
+    key, ident, mine = None, None, {}
     clusters: list[dict] = []
-    out = []
-    for file_seq, own in days.sort_values(["file_seq", "d"]).groupby("file_seq", sort=True):
-        mine = dict(zip(own["d"], own["total"], strict=True))
-        for k, seen in enumerate(clusters):
-            if sum(abs(seen[d] - t) > SLACK for d, t in mine.items() if d in seen) < LEAST_DATES:
-                break
-        else:
-            k = len(clusters)
+
+    def fit() -> int:
+        k = next((k for k, seen in enumerate(clusters) if sum(abs(seen[d] - t) > SLACK for d, t in mine.items() if d in seen) < LEAST_DATES), len(clusters))
+        if k == len(clusters):
             clusters.append({})
         clusters[k] = mine | clusters[k]
-        out.append((days["ident"].iloc[0], file_seq, k))
-    return pd.DataFrame(out, columns=["ident", "file_seq", "cluster"])
+        return k
+
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((), (), ()))], ["ident", "file_seq", "cluster"])
+    for batch in batches:
+        out = []
+        for own_ident, file_seq, d, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (own_ident, file_seq) != key:
+                if key is not None:
+                    out.append((*key, fit()))
+                if own_ident != ident:
+                    ident = own_ident
+                    clusters.clear()
+                key, mine = (own_ident, file_seq), {}
+            mine[d] = total
+        yield table(out)
+    if key is not None:
+        yield table([(*key, fit())])
 
 
 def split_conflicting(days: DataFrame) -> DataFrame:
     """ident, file_seq, cluster. The split depends on order, but only for idents with two or more dates on which totals
-    differ: all others are one cluster without Python. A group there is one person's files, so it is small."""
+    differ: all others are one cluster without Python. There, an ident's files stream in order through one task."""
     spread = days.groupBy("ident", "d").agg((F.max("total") - F.min("total")).alias("s")).groupBy("ident").agg(F.count_if(F.col("s") > SLACK).alias("dates"))
     rows = days.join(spread, "ident")
     safe = rows.where(F.col("dates") < LEAST_DATES).select("ident", "file_seq").distinct().withColumn("cluster", F.lit(0).cast("long"))
-    hard = rows.where(F.col("dates") >= LEAST_DATES).select("ident", "file_seq", "d", "total")
-    return safe.unionByName(hard.groupBy("ident").applyInPandas(split_group, "ident long, file_seq long, cluster long"))
+    hard = rows.where(F.col("dates") >= LEAST_DATES).select(F.col("ident").cast("long"), F.col("file_seq").cast("long"), "d", "total")
+    return safe.unionByName(hard.repartition("ident").sortWithinPartitions("ident", "file_seq", "d").mapInArrow(first_fit, "ident long, file_seq long, cluster long"))

@@ -124,9 +124,9 @@ ORACLE["html_to_text"] = r"""SELECT page_id, trim(regexp_replace(replace(replace
 
 
 def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents put together as pages of a file and split again."""
+    """Documents as marked pages of a file, split again."""
     pages = table(spark, sf_dir, "documents").selectExpr("source AS file", "doc_id AS page", "text")
-    return files.split_pages(files.join_pages(pages)).groupBy("file").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars"))
+    return files.split_marked(pages).groupBy("file").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars"))
 
 
 ORACLE["page_split"] = "SELECT source AS file, count(*) AS pages, CAST(sum(length(trim(text, ' \n\t\r'))) AS BIGINT) AS chars FROM documents WHERE length(trim(text, ' \n\t\r')) > 40 GROUP BY source"

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from hourloom import plans
 from hourloom.functions import dates, hours, text
 from hourloom.operators import calendar, days, files, grids, identity, lines, ocr, weekly
 
@@ -155,3 +156,20 @@ def test_box_rows(spark):
     rows = [(1, 1, 5.0, 10.0, 10.0, "a", 0.9), (1, 2, 1.0, 12.0, 10.0, "b", 0.7), (1, 3, 1.0, 30.0, 10.0, "c", 0.5)]
     got = ocr.box_rows(spark.createDataFrame(rows, "file long, seq long, x double, y double, h double, text string, score double"))
     assert {(r.row_no, r.text, r.confidence) for r in got.collect()} == {(0, "b  a", 80.0), (1, "c", 50.0)}
+
+
+def test_pages_are_split_without_joining_a_file(spark):
+    long = "word " * 20
+    rows = [("f", 1, long), ("f", 2, "short"), ("f", 3, f"{long}\n--- page 9 ---\n{long}x"), ("f", 4, None), ("f", 5, long + "\n---"), ("f", 6, "page 7 --- " + long), ("g", 1, "")]
+    pages = spark.createDataFrame(rows, "file string, page long, text string")
+    got = files.split_marked(pages)
+    assert sorted((r.file, r.text) for r in got.collect()) == sorted((r.file, r.text) for r in files.split_pages(files.join_pages(pages)).collect())
+    plan = plans.queries()["page_split"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_conflicting_files_stream(spark):
+    table = spark.createDataFrame([(i, f, D(2024, 1, d), float((f % 3) * 4)) for i in (1, 2, 3) for f in range(60) for d in (1, 2, 3)], "ident long, file_seq long, d date, total double")
+    got = identity.split_conflicting(table)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == {(i, f, f % 3) for i in (1, 2, 3) for f in range(60)}
