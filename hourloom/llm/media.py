@@ -196,9 +196,9 @@ def digests(media: DataFrame, settings: Settings) -> DataFrame:
                     mels.update(np.rint(mel * 16).astype("<i2").tobytes())
                     frames += n
                 segments += state.close()
-                named = ",".join(f"{a}-{b}" for a, b in segments[:8])
+                named = ",".join(f"{a}-{b}" for a, b in segments)
                 covered = sum(b - a for a, b in segments)
-                feature = f"frames={frames};segments={len(segments)};covered={covered};first={named};mel={mels.hexdigest()[:32]}"
+                feature = f"frames={frames};segments={len(segments)};covered={covered};at={named};mel={mels.hexdigest()[:32]}"
                 rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(wav), hashlib.sha256(wav).hexdigest(), feature))
             kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

@@ -226,6 +226,15 @@ def test_audio_steps(spark):
     assert all(len(r.mel) == s.span * s.mels for r in table) and table[0].span_end_s == table[1].span_start_s
 
 
+def test_audio_features_list_every_segment(spark):
+    text = "".join(("a" * 4000 + "".join(chr(33 + (k * 7919 + j * j) % 90) for j in range(4000))) for k in range(40))
+    feature = media.features(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().feature
+    named = dict(x.split("=") for x in feature.split(";"))
+    segments = [tuple(map(int, x.split("-"))) for x in named["at"].split(",")]
+    assert len(segments) == int(named["segments"]) > 8
+    assert sum(b - a for a, b in segments) == int(named["covered"])
+
+
 def test_toxicity(spark, docs, none):
     bad = ["moron", "scumbag", "loserish"]
     train = [(k, words(80, 1000 + k) + (" " + " ".join([bad[k % 3]] * 3) if k % 4 == 0 else "")) for k in range(600)]
