@@ -6,22 +6,28 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch that goes to Python: bounds what a worker holds of long documents.
-BATCH_ROWS = "1000"
+#: Rows and bytes in an Arrow batch that goes to Python: bounds what a worker holds of long documents.
+BATCH_ROWS, BATCH_BYTES = "1000", str(16 << 20)
+#: Tables that the scratch scopes now open have written, innermost last.
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (single-machine tests) a local folder is made and set.
+    Only where the session names none and all runs in one process (tests) a local folder is made and set; on a cluster that is an
+    error, as executors would write where nobody reads.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="hourloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,13 +41,38 @@ def new_path(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df once and read it back: cuts the lineage at a place that survives lost executors."""
     path = new_path(df.sparkSession, label)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised inside are deleted at the end, but for those that keep() makes."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            fs, root = filesystem(path)
+            if fs.get_file_info(root).type != pafs.FileType.NotFound:
+                fs.delete_dir(root)
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """Materialise a result of the innermost scratch scope in the scope around it."""
+    own = _scopes.pop()
+    try:
+        return materialise(df, label)
+    finally:
+        _scopes.append(own)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that a worker's memory doesn't follow the documents' lengths."""
+    """Keep Arrow batches small, so that a worker's memory doesn't follow the documents' lengths; the session keeps this setting."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shuffle_width(spark: SparkSession) -> int:
