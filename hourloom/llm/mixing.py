@@ -4,7 +4,7 @@ Each row has a 60-bit hash of doc_id and text. Per source, sizes are summed by h
 sum crosses the source's budget is split again, and only its rows are read for that, until one hash is left. Rows below
 the threshold are taken once more than the others.
 
-A null text has size 0. Rows with a null source form a source of their own, the last. Rows that share a hash (repeated rows)
+A null text has size 0; rows of size 0 are taken as often as their hash says, at most the whole passes and one. Rows with a null source form a source of their own, the last. Rows that share a hash (repeated rows)
 are taken or left together. An empty table gives an empty result; other columns are ignored.
 """
 
@@ -113,13 +113,14 @@ def thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
             inside.join(open_, F.col("source").eqNullSafe(F.col("s")) & (bucket == F.col("b")), "left_semi"), "mix-bucket"
         )
     with_group = F.col("acc") + F.col("group") - F.col("budget") < F.col("budget") - F.col("acc")
-    return state.select("source", "source_size", "target", "base", "cut", with_group.alias("with_cut"))
+    return state.select("source", "source_size", "target", "base", "cut", with_group.alias("with_cut"), (F.col("budget") > 0).alias("partial"))
 
 
 def _times(h: Column, cuts: DataFrame) -> Column:
     """How often a row of hash h is taken, given its source's thresholds."""
     once_more = (h < cuts["cut"]) | ((h == cuts["cut"]) & cuts["with_cut"])
-    return cuts["base"] + F.coalesce(once_more, F.lit(False)).cast("long")
+    # A source whose whole passes meet its target takes nothing more, not even documents of size 0.
+    return cuts["base"] + (F.coalesce(once_more, F.lit(False)) & cuts["partial"]).cast("long")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
