@@ -1,6 +1,6 @@
 """Benchmark decontamination by a positional inverted index of the training documents.
 
-The index is partitioned by document: a row holds a block of documents and, per term, the ascending positions of the term
+The index has every word of the documents, so one serves any benchmark. It is partitioned by document: a row holds a block of documents and, per term, the ascending positions of the term
 in the block. It is written once. A search sends the benchmark's windows to every block, takes the positions of a window's
 rarest term (by its frequency in the whole corpus) as candidate places, and intersects them with the offset-adjusted
 positions of the window's other terms, the next rarest first. What is left are exact phrases; with a slop, positions may
@@ -44,15 +44,9 @@ def term_of(word: bytes) -> int:
 
 
 class Terms(dict):
-    """Word -> term, 0 for a word that no item has. Without a vocabulary every word has its term."""
-
-    def __init__(self, vocabulary: dict[bytes, int] | None):
-        super().__init__(vocabulary or {})
-        self.every = vocabulary is None
+    """Word -> term; forgets all when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if not self.every:
-            return 0
         if len(self) > 1_000_000:
             self.clear()
         self[word] = t = term_of(word)
@@ -67,10 +61,9 @@ def digest(text: bytes | None) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int] | None = None) -> DataFrame:
-    """The stored index of docs, over the words of vocabulary (all words if None)."""
+def build_index(docs: DataFrame) -> DataFrame:
+    """The stored index of docs, over all their words: any benchmark can be searched in it."""
     store.small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def block(name: str, ids: list, digests: list, sizes: list, parts: list) -> pa.RecordBatch:
         # A gap of one position after each document keeps windows inside documents.
@@ -87,7 +80,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int] | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        terms, part, nth = Terms(shared.value), TaskContext.get().partitionId(), 0
+        terms, part, nth = Terms(), TaskContext.get().partitionId(), 0
         ids, digests, sizes, parts, words = [], [], [], [], 0
         gap = np.zeros(1, np.int64)
         for batch in batches:
@@ -119,17 +112,18 @@ def windows_of(items: list[tuple], length: int) -> dict[tuple[int, ...], set[str
 
 @dataclass
 class Plan:
-    """Windows with their offsets in the order in which a search looks at them: the rarest term first."""
+    """Windows with their offsets in the order in which a search looks at them: the rarest term first. terms: all of theirs, sorted."""
 
     windows: list[tuple[int, ...]]
     items: list[list[str]]
     orders: list[list[int]]
     by_anchor: dict[int, list[int]]
+    terms: np.ndarray
 
 
 def plan_search(windows: dict[tuple[int, ...], set[str]], frequency: dict[int, int]) -> Plan:
     """Windows with a term that the corpus lacks occur nowhere and are left out."""
-    plan = Plan([], [], [], {})
+    plan = Plan([], [], [], {}, np.empty(0, np.int64))
     for terms, items in windows.items():
         if all(frequency.get(t) for t in terms):
             order = sorted(range(len(terms)), key=lambda k: (frequency[terms[k]], k))
@@ -137,6 +131,7 @@ def plan_search(windows: dict[tuple[int, ...], set[str]], frequency: dict[int, i
             plan.windows.append(terms)
             plan.items.append(sorted(items))
             plan.orders.append(order)
+    plan.terms = np.array(sorted({t for w in plan.windows for t in w}), np.int64)
     return plan
 
 
@@ -146,10 +141,11 @@ def near(sorted_at: np.ndarray, wanted: np.ndarray, slop: int) -> np.ndarray:
     return (k < len(sorted_at)) & (sorted_at[np.minimum(k, len(sorted_at) - 1)] <= wanted + slop)
 
 
-def search_block(plan: Plan, terms: list[int], counts: list[int], positions: np.ndarray, slop: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(window, exact starts, proximity starts) for each window that matches."""
-    cuts = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
-    lists = {t: positions[cuts[k] : cuts[k + 1]] for k, t in enumerate(terms)}
+def search_block(plan: Plan, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, slop: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(window, exact starts, proximity starts) for each window that matches; terms of a block are sorted."""
+    cuts = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+    _, at, _ = np.intersect1d(terms, plan.terms, assume_unique=True, return_indices=True)
+    lists = {int(terms[k]): positions[cuts[k] : cuts[k + 1]].astype(np.int64) for k in at.tolist()}
     for anchor in plan.by_anchor.keys() & lists.keys():
         for w in plan.by_anchor[anchor]:
             own, order = plan.windows[w], plan.orders[w]
@@ -178,30 +174,33 @@ def search(index: DataFrame, plan: Plan, slop: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                starts, positions = np.frombuffer(row["starts"], "<i4").astype(np.int64), np.frombuffer(row["positions"], "<i4").astype(np.int64)
-                hits: dict[int, list[tuple[int, int]]] = {}
-                items: dict[int, set[str]] = {}
-                close: dict[int, set[str]] = {}
-                for w, exact, loose in search_block(plan, row["terms"], row["counts"], positions, slop):
-                    length = len(plan.windows[w])
-                    for at, d in zip(exact.tolist(), (np.searchsorted(starts, exact, "right") - 1).tolist(), strict=True):
-                        hits.setdefault(d, []).append((at - int(starts[d]), at - int(starts[d]) + length))
-                        items.setdefault(d, set()).update(plan.items[w])
-                    for d in set((np.searchsorted(starts, np.maximum(loose, 0), "right") - 1).tolist()):
-                        close.setdefault(d, set()).update(plan.items[w])
-                n = len(row["doc_ids"])
-                sizes = np.diff(starts) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["block"]] * n), pa.array(range(n), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["digests"], pa.int64()), pa.array(sizes),
-                        pa.array([merge_ranges(hits.get(d, [])) for d in range(n)], pa.list_(pa.int32())),
-                        pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())),
-                        pa.array([sorted(close.get(d, ())) for d in range(n)], pa.list_(pa.string())),
-                    ],
-                    ["block", "nth", "doc_id", "digest", "n_words", "ranges", "items", "near_items"],
-                )
+        # A block at a time; batches are bounded by their bytes, and lists are read in place.
+        for row in (batch.slice(k, 1) for batch in batches for k in range(batch.num_rows)):
+            own = {name: row.column(k)[0] for k, name in enumerate(row.schema.names)}
+            starts, positions = np.frombuffer(own["starts"].as_buffer(), "<i4").astype(np.int64), np.frombuffer(own["positions"].as_buffer(), "<i4")
+            terms, counts = own["terms"].values.to_numpy(), own["counts"].values.to_numpy()
+            block, doc_ids, digests = own["block"].as_py(), own["doc_ids"].values, own["digests"].values
+            hits: dict[int, list[tuple[int, int]]] = {}
+            items: dict[int, set[str]] = {}
+            close: dict[int, set[str]] = {}
+            for w, exact, loose in search_block(plan, terms, counts, positions, slop):
+                length = len(plan.windows[w])
+                for at, d in zip(exact.tolist(), (np.searchsorted(starts, exact, "right") - 1).tolist(), strict=True):
+                    hits.setdefault(d, []).append((at - int(starts[d]), at - int(starts[d]) + length))
+                    items.setdefault(d, set()).update(plan.items[w])
+                for d in set((np.searchsorted(starts, np.maximum(loose, 0), "right") - 1).tolist()):
+                    close.setdefault(d, set()).update(plan.items[w])
+            n = len(doc_ids)
+            sizes = np.diff(starts) - 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([block] * n), pa.array(range(n), pa.int32()), doc_ids, digests, pa.array(sizes),
+                    pa.array([merge_ranges(hits.get(d, [])) for d in range(n)], pa.list_(pa.int32())),
+                    pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())),
+                    pa.array([sorted(close.get(d, ())) for d in range(n)], pa.list_(pa.string())),
+                ],
+                ["block", "nth", "doc_id", "digest", "n_words", "ranges", "items", "near_items"],
+            )
 
     return index.mapInArrow(run, FOUND)
 
@@ -218,28 +217,31 @@ def merge_ranges(ranges: list[tuple[int, int]]) -> list[int]:
 
 
 def benchmark_blocks(benchmark: DataFrame, blocks: int) -> Iterator[list[tuple]]:
-    """The items in blocks of about SEARCH_BYTES, each small enough for the driver and a broadcast by that count."""
+    """The items' texts in blocks of about SEARCH_BYTES, each small enough for the driver and a broadcast by that count; texts of
+    one item may be in several."""
     for k in range(blocks):
-        yield [(r.item_id, r.text) for r in benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select("item_id", "text").collect()]
+        yield [(r.item_id, r.text) for r in benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").collect()]
+
+
+def frequencies(index: DataFrame, terms: set[int]) -> dict[int, int]:
+    """How often each of the terms stands in the whole corpus; other terms leave before anything is shuffled."""
+    wanted = index.sparkSession.createDataFrame([(t,) for t in terms], "wanted long")
+    each = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.counts").alias("n"))
+    sums = each.join(F.broadcast(wanted), F.col("term") == F.col("wanted"), "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    return {r.term: r.n for r in sums.collect()}
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, length: int = 13, slop: int = 0) -> DataFrame:
-    """doc_id, digest (xxhash64 of the text), n_words, ranges, items, near_items for each row of docs."""
-    spark = docs.sparkSession
+def matches(docs: DataFrame, benchmark: DataFrame, length: int = 13, slop: int = 0, index: DataFrame | None = None) -> DataFrame:
+    """doc_id, digest (xxhash64 of the text), n_words, ranges, items, near_items for each row of docs. index: of docs, if there is one."""
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    one = total < SEARCH_BYTES
-    index, found = None, None
-    for items in benchmark_blocks(benchmark, total // SEARCH_BYTES + 1):
+    blocks = total // SEARCH_BYTES + 1
+    index = build_index(docs) if index is None else index
+    found = None
+    for items in benchmark_blocks(benchmark, blocks):
         windows = windows_of(items, length)
-        if index is None:
-            vocabulary = {w: term_of(w) for _, t in items for w in split_words((t or "").encode())} if one else None
-            index = build_index(docs, vocabulary)
-            sums = store.materialise(index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.counts").alias("n")), "term-counts")
-        wanted = spark.createDataFrame([(t,) for t in {t for w in windows for t in w}], "term long")
-        frequency = {r.term: r.n for r in sums.join(wanted, "term").collect()}
-        part = search(index, plan_search(windows, frequency), slop)
+        part = search(index, plan_search(windows, frequencies(index, {t for w in windows for t in w})), slop)
         found = part if found is None else found.unionByName(part)
-    if not one:
+    if blocks > 1:
         found = found.groupBy("block", "nth", "doc_id", "digest", "n_words").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near_items"))).alias("near_items"))
         found = found.mapInArrow(_merge_blocks, FOUND.replace("block string, nth int, ", ""))
     return found.select("doc_id", "digest", "n_words", "ranges", "items", "near_items")
@@ -264,6 +266,7 @@ def judge(found: DataFrame, one_in: int = 20) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, length: int = 13, one_in: int = 20) -> DataFrame:
     """docs less the contaminated rows, found again by doc_id and the text's digest."""
-    bad = judge(matches(docs, benchmark, length), one_in).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("digest").alias("bad_digest")).distinct()
-    bad = store.materialise(bad, "contaminated")
+    with store.scratch(docs.sparkSession):
+        bad = judge(matches(docs, benchmark, length), one_in).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("digest").alias("bad_digest")).distinct()
+        bad = store.keep(bad, "contaminated")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_digest"]), "left_anti").select(docs.columns)
