@@ -34,11 +34,11 @@ SCALE = 64.0
 LEAST_TEXTS = 5
 #: Steps of a fit and bounds of its passes over the rows.
 STEPS, MIN_EPOCHS, MAX_EPOCHS = 44_000, 3, 40
-SHORTEST, LONGEST, LONGEST_WORD = 4, 5, 64
+SHORTEST, LONGEST = 4, 5
 #: Score from which a text is rejected.
 REJECT = 0.7
-#: Words whose score a worker remembers.
-REMEMBERED = 600_000
+#: Words whose score a worker remembers, and their characters.
+REMEMBERED, REMEMBERED_CHARS = 600_000, 16 << 20
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -48,7 +48,8 @@ def words_of(text: str | None) -> list[str]:
 
 
 _rng = np.random.default_rng(20)
-_PLACES = _rng.integers(1, 1 << 62, LONGEST_WORD + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Odd multipliers of characters by their place; beyond so many places they begin again.
+_PLACES = _rng.integers(1, 1 << 62, 66, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
@@ -59,9 +60,9 @@ def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, index of its word) of every subword of non-empty words: each marked word, and its inner grams.
 
-    All words are hashed at once. Of a very long word the two ends are taken.
+    All words are hashed at once, each as a whole, however long it is.
     """
-    marked = [f"<{w}>" if len(w) <= LONGEST_WORD else f"<{w[: LONGEST_WORD // 2]}{w[-LONGEST_WORD // 2 :]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     if not marked:
         return np.empty(0, np.int32), np.empty(0, np.int64)
     c = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -69,7 +70,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     owner = np.repeat(np.arange(len(marked)), sizes)
     place = np.arange(len(c)) - starts[owner]
-    buckets, owners = [_bucket(np.add.reduceat(c * _PLACES[place], starts), 0)], [np.arange(len(marked))]
+    buckets, owners = [_bucket(np.add.reduceat(c * _PLACES[place % len(_PLACES)], starts), 0)], [np.arange(len(marked))]
     for n in range(SHORTEST, LONGEST + 1):
         if len(c) >= n:
             inside = owner[: len(c) - n + 1] == owner[n - 1 :]
@@ -94,11 +95,14 @@ class Scorer:
     def __init__(self, margins: np.ndarray, base: float):
         self.margins, self.base = margins, base
         self.known: dict[str, complex] = {}  # a word's margin and number of subwords, added up as one number
+        self.chars = 0
 
     def learn(self, words: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.known.clear()
+            self.chars = 0
         new = [w for w in set(words) if w not in self.known]
+        self.chars += sum(map(len, new))
         buckets, owner = subwords(new)
         both = np.bincount(owner, self.margins[buckets], len(new)) + 1j * np.bincount(owner, minlength=len(new))
         self.known.update(zip(new, both.tolist(), strict=True))
@@ -116,7 +120,10 @@ class Scorer:
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
-    """Joint training: each step moves the vectors of one text's subwords and the softmax rows by one gradient."""
+    """Joint training: each step moves the vectors of one text's subwords and the softmax rows by one gradient.
+
+    Sums run row by row and not through a linear-algebra library, whose order of adding differs between machines.
+    """
     rng = np.random.default_rng(seed)
     model = Model(rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32) / SCALE, rng.uniform(-1, 1, (2, DIM)).astype(np.float32), np.zeros(2, np.float32))
     share = sum(labels) / len(labels) if labels else 0.0
@@ -142,19 +149,19 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         for i in rng.permutation(len(bags)):
             buckets, part = bags[i][0], bags[i][1].astype(np.float32)
             own = model.vectors[buckets]
-            h = part @ own
-            z = model.weights @ h + model.bias
-            p = np.exp(z - z.max())
-            g = p / p.sum()
+            h = (part[:, None] * own).sum(0)
+            z = (model.weights * h).sum(1) + model.bias
+            toxic = 1 / (1 + math.exp(max(-60.0, min(60.0, float(z[0] - z[1])))))
+            g = np.array([1 - toxic, toxic], np.float32)
             g[y[i]] -= 1
             if abs(g[0]) < 0.01:
                 continue
             if y[i]:
                 g *= heavy
             # A text of few words has large parts: its step is kept to the length that a usual text has.
-            size = float(part @ part)
-            back = (rate / max(1.0, size / 8)) * (g @ model.weights)
-            model.weights -= (rate / max(1.0, float(h @ h))) * np.outer(g, h)
+            size = float((part * part).sum())
+            back = (rate / max(1.0, size / 8)) * (g[:, None] * model.weights).sum(0)
+            model.weights -= (rate / max(1.0, float((h * h).sum()))) * np.outer(g, h)
             model.vectors[buckets] = own - np.outer(part, back)
             model.bias -= rate * g * np.float32(0.1)
     return model
