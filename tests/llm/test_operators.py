@@ -68,6 +68,16 @@ def test_mix_comes_near_targets(spark, docs, none):
     assert mixing.take(docs).count() == sum(r.times for r in got) and mixing.take(docs).columns == docs.columns
 
 
+def test_mix_of_a_full_source_takes_nothing_thrice(spark):
+    rows = [(k, words(3, k) if k % 3 else "", "a") for k in range(90)] + [(1000 + k, words(60, k), "b") for k in range(90)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(table, weights=(5, 1)).collect()
+    assert any(r.source == "a" and r.target == 2 * r.source_size for r in got)
+    assert all(0 <= r.times <= 2 for r in got)
+    taken = mixing.take(table, weights=(5, 1)).groupBy("doc_id").count()
+    assert taken.agg(F.max("count")).first()[0] == 2
+
+
 def brute_components(table, n, percent):
     sets = {}
     for d, t, *_ in table:
@@ -255,6 +265,14 @@ def test_toxicity(spark, docs, none):
     assert toxicity.scores(docs.drop("score"), toxicity.fit_on(none, labels)).agg(F.max("score")).first()[0] < 0.01
 
 
+def test_toxicity_sees_the_middle_of_long_words():
+    a, b = "x" * 50 + "moron" + "y" * 50, "x" * 50 + "niece" + "y" * 50
+    one, other = (set(toxicity.subwords([w])[0].tolist()) for w in (a, b))
+    assert one != other and one & set(toxicity.subwords(["moron"])[0].tolist())
+    scorer = toxicity.Scorer(np.arange(toxicity.BUCKETS) % 7 - 3.0, 0.0)
+    assert scorer.scores([a]) != scorer.scores([b])
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
