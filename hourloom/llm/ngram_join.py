@@ -54,8 +54,8 @@ CHUNK_BYTES = 4 << 20
 #: Standard deviations of the number of full segments that bands allow for: a set lacks units about never, at any size of the
 #: input, and a repeated pass stays the exception.
 SLACK = 8.0
-#: Bits of the filter that keeps texts that no pair needs out of the shuffle: 16 MB at most.
-FILTER_BITS = 1 << 27
+#: Bits of the filter that keeps texts that no pair needs out of the shuffle: 4 MB at most.
+FILTER_BITS = 1 << 25
 #: Words that a worker remembers the hash of, and texts that it remembers the digest of.
 WORDS_KEPT, TEXTS_KEPT = 1_000_000, 1_000_000
 

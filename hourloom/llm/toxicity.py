@@ -119,8 +119,41 @@ class Scorer:
         return out
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
-    """Joint training: each step moves the vectors of one text's subwords and the softmax rows by one gradient.
+class Bags:
+    """Each text's distinct subwords that `least` texts or more have, and their parts in the text, in flat arrays. Texts are given up
+    as they are read, and arrays grow in pieces, so that little is held twice."""
+
+    def __init__(self, texts: list[str | None], least: int, piece: int = 500):
+        seen = np.zeros(BUCKETS, np.int32)
+        pieces = []
+        for first in range(0, len(texts), piece):
+            own = []
+            for k in range(first, min(len(texts), first + piece)):
+                buckets, counts = np.unique(subwords(words_of(texts[k]))[0], return_counts=True)
+                texts[k] = None
+                seen[buckets] += 1
+                own.append((buckets, (counts * (SCALE / max(1, counts.sum()))).astype(np.float16)))
+            pieces.append((np.concatenate([b for b, _ in own]), np.concatenate([p for _, p in own]), [len(b) for b, _ in own]))
+        sizes = []
+        for k, (buckets, parts, own) in enumerate(pieces):
+            which = seen[buckets] >= least
+            before = np.concatenate(([0], np.cumsum(which, dtype=np.int32)))
+            sizes.append(np.diff(before[np.concatenate(([0], np.cumsum(own)))]))
+            pieces[k] = (buckets[which], parts[which], own)
+        self.cuts = np.concatenate(([0], np.cumsum(np.concatenate(sizes), dtype=np.int64)))
+        self.buckets = np.concatenate([b for b, _, _ in pieces])
+        self.parts = np.concatenate([p for _, p, _ in pieces])
+
+    def __len__(self) -> int:
+        return len(self.cuts) - 1
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.cuts[k], self.cuts[k + 1])
+        return self.buckets[at], self.parts[at].astype(np.float32)
+
+
+def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
+    """Joint training: each step moves the vectors of one text's subwords and the softmax rows by one gradient. texts is emptied.
 
     Sums run row by row and not through a linear-algebra library, whose order of adding differs between machines.
     """
@@ -131,23 +164,14 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         model.vectors[:] = 0
         model.bias[1] = 60.0 if share else -60.0
         return model
-    bags = []
-    seen_in = np.zeros(BUCKETS, np.int32)
-    for t in texts:
-        buckets, counts = np.unique(subwords(words_of(t))[0], return_counts=True)
-        bags.append((buckets, (counts * (SCALE / max(1, counts.sum()))).astype(np.float16)))
-        seen_in[buckets] += 1
-    least = min(LEAST_TEXTS, 1 + len(bags) // 200)
-    for k, (buckets, part) in enumerate(bags):
-        keep = seen_in[buckets] >= least
-        bags[k] = (buckets[keep], part[keep])
+    bags = Bags(texts, min(LEAST_TEXTS, 1 + len(texts) // 200))
     y = np.array(labels)
     heavy = np.float32(min(4.0, ((1 - share) / share) ** 0.5))
     epochs = max(MIN_EPOCHS, min(MAX_EPOCHS, STEPS // len(bags)))
     for epoch in range(epochs):
         rate = np.float32(RATE * (1 - epoch / epochs))
         for i in rng.permutation(len(bags)):
-            buckets, part = bags[i][0], bags[i][1].astype(np.float32)
+            buckets, part = bags[i]
             own = model.vectors[buckets]
             h = (part[:, None] * own).sum(0)
             z = (model.weights * h).sum(1) + model.bias
@@ -187,8 +211,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_bytes:
     place = F.pmod(F.xxhash64("label_id"), F.lit(1 << 30))
     own = store.materialise(own.where(place < int(keep * (1 << 30))), "fit-labels")
     found = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("label_id")).orderBy("doc_id", "toxic").select("text", "toxic")
-    got = found.collect()
-    return fit([r.text or "" for r in got], [r.toxic for r in got])
+    got = found.toArrow()
+    texts, toxic = got.column("text").to_pylist(), got.column("toxic").to_pylist()
+    del got
+    return fit(texts, toxic)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
