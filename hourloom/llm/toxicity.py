@@ -125,7 +125,7 @@ class Bags:
 
     def __init__(self, texts: list[str | None], least: int, piece: int = 500):
         seen = np.zeros(BUCKETS, np.int32)
-        pieces = []
+        self.n, self.piece, self.pieces = len(texts), piece, []
         for first in range(0, len(texts), piece):
             own = []
             for k in range(first, min(len(texts), first + piece)):
@@ -133,23 +133,20 @@ class Bags:
                 texts[k] = None
                 seen[buckets] += 1
                 own.append((buckets, (counts * (SCALE / max(1, counts.sum()))).astype(np.float16)))
-            pieces.append((np.concatenate([b for b, _ in own]), np.concatenate([p for _, p in own]), [len(b) for b, _ in own]))
-        sizes = []
-        for k, (buckets, parts, own) in enumerate(pieces):
+            cuts = np.concatenate(([0], np.cumsum([len(b) for b, _ in own])))
+            self.pieces.append((np.concatenate([b for b, _ in own]), np.concatenate([p for _, p in own]), cuts))
+        for k, (buckets, parts, cuts) in enumerate(self.pieces):
             which = seen[buckets] >= least
-            before = np.concatenate(([0], np.cumsum(which, dtype=np.int32)))
-            sizes.append(np.diff(before[np.concatenate(([0], np.cumsum(own)))]))
-            pieces[k] = (buckets[which], parts[which], own)
-        self.cuts = np.concatenate(([0], np.cumsum(np.concatenate(sizes), dtype=np.int64)))
-        self.buckets = np.concatenate([b for b, _, _ in pieces])
-        self.parts = np.concatenate([p for _, p, _ in pieces])
+            before = np.concatenate(([0], np.cumsum(which)))
+            self.pieces[k] = (buckets[which], parts[which], before[cuts])
 
     def __len__(self) -> int:
-        return len(self.cuts) - 1
+        return self.n
 
     def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        at = slice(self.cuts[k], self.cuts[k + 1])
-        return self.buckets[at], self.parts[at].astype(np.float32)
+        buckets, parts, cuts = self.pieces[k // self.piece]
+        at = slice(cuts[k % self.piece], cuts[k % self.piece + 1])
+        return buckets[at], parts[at].astype(np.float32)
 
 
 def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
