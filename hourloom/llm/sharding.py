@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from hourloom.llm.store import materialise
+from hourloom.llm.store import materialise, new_path
 
 #: Virtual slots; fixed for the life of a data set, so the slot table never grows with the data.
 SLOTS = 4096
@@ -52,16 +52,27 @@ def first_map(sums: list[tuple[int, int, int]], shards: int) -> SlotMap:
 
 
 def edit_map(old: SlotMap, shards: int) -> SlotMap:
-    """The next version for more shards: slots move only from overfull shards to new ones; all others stay."""
+    """The next version for a number of shards; slots move only where they must or where that evens out bytes.
+
+    More shards: slots move from overfull shards to new ones only. Fewer: the slots of shards that go are dealt to the lightest of
+    the others, all else stays. As many: slots move from overfull shards to the lightest.
+    """
     had = max((s for s, _, _ in old.values()), default=-1) + 1
     share = sum(b for _, b, _ in old.values()) / shards
-    loads = [0] * max(shards, had)
+    loads = [0] * shards
     for shard, b, _ in old.values():
-        loads[shard] += b
-    out = dict(old)
-    for vslot, (shard, b, n) in sorted(old.items(), key=lambda x: (-x[1][1], x[0])):
-        to = min(range(had, shards), key=lambda s: loads[s], default=shard)
-        if to != shard and loads[shard] > share and loads[to] + b <= share + b / 2:
+        if shard < shards:
+            loads[shard] += b
+    out, heaviest_first = dict(old), sorted(old.items(), key=lambda x: (-x[1][1], x[0]))
+    for vslot, (shard, b, n) in heaviest_first:
+        if shard >= shards:
+            to = min(range(shards), key=lambda s: loads[s])
+            loads[to] += b
+            out[vslot] = (to, b, n)
+    targets = range(had, shards) if had < shards else range(shards)
+    for vslot, (shard, b, n) in heaviest_first:
+        to = min(targets, key=lambda s: loads[s])
+        if had <= shards and to != shard and loads[shard] > share and loads[to] + b <= share + b / 2:
             loads[shard] -= b
             loads[to] += b
             out[vslot] = (to, b, n)
@@ -101,7 +112,23 @@ def place(rows: DataFrame, table: DataFrame) -> DataFrame:
     )
 
 
-def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> DataFrame:
-    """All rows of docs on shards of near equal bytes, by a fresh map of version 1."""
+def stored_version(spark: SparkSession, slot_map: SlotMap, version: int, path: str) -> SlotMap:
+    """Store a version of the map and read it back; what is read is what places rows."""
+    save_map(map_table(spark, slot_map, version), path)
+    return load_map(spark, path, version)[1] if slot_map else {}
+
+
+def shard(docs: DataFrame, shards: int = 16, grown: int | None = None, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """All rows of docs on shards of near equal bytes, by version 1 of a map stored at path (a fresh folder if None).
+
+    With grown, the map is then edited to so many shards as version 2, and next_shard is the row's shard by that.
+    """
+    spark = docs.sparkSession
+    path = path or new_path(spark, "slot-maps")
     rows = slotted(docs, slots)
-    return place(rows, map_table(docs.sparkSession, first_map(slot_sums(rows), shards), 1))
+    first = stored_version(spark, first_map(slot_sums(rows), shards), 1, path)
+    placed = place(rows, map_table(spark, first, 1))
+    if grown is None:
+        return placed
+    after = map_table(spark, stored_version(spark, edit_map(first, grown), 2, path), 2)
+    return placed.join(F.broadcast(after.select("vslot", F.col("shard").alias("next_shard"))), "vslot")
