@@ -1,7 +1,9 @@
 """Audio features of media columns: polyphase resampling, overlapped log-mel filterbanks, hysteresis energy segments.
 
 A media value is kept as a WAV file of unsigned 8-bit mono samples in a binary column. Features are fixed-shape Arrow tensors
-(frames x mel bands), one for each time span of a fixed number of frames, the last padded with the floor value.
+(frames x mel bands, 16-bit floats), one for each time span of a fixed number of frames, the last padded with the floor value. They
+are stored in Arrow files in the shared folder, with the span's times and the segments that end in it; features are read from
+these files.
 
 A null or empty input becomes one unit of silence bytes (64 zeros). Files of any length are worked on span by span, so memory
 doesn't follow their length. Equal samples give equal features: each span is computed by itself, in a fixed order. Repeated
@@ -44,8 +46,8 @@ def wav_samples(wav: bytes) -> tuple[int, bytes]:
 @dataclass(frozen=True)
 class Settings:
     rate: int = 16_000  # of the stored samples
-    up: int = 1  # resampling by up / down
-    down: int = 2
+    up: int = 2  # resampling by up / down
+    down: int = 3
     taps: int = 16  # filter taps for each phase
     frame: int = 256
     hop: int = 128
@@ -97,8 +99,8 @@ def resample(x: np.ndarray, s: Settings, lead: np.ndarray) -> np.ndarray:
     return out
 
 
-def spans(samples: bytes, s: Settings) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first frame, frames, span x mels log-mel tensor, log energies) of each span of frames, in order."""
+def spans(samples: bytes, s: Settings) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """(first frame, frames, span x mels log-mel tensor, log energies, whether it is the last) of each span of frames, in order."""
     per = s.hop * s.span * s.down // s.up  # inputs that a span of frames starts on
     extra = (s.frame - s.hop) * s.down // s.up  # and those that its last frame reaches beyond
     frames_all = max(1, -(-max(1, len(samples) * s.up // s.down - (s.frame - s.hop)) // s.hop))
@@ -117,7 +119,7 @@ def spans(samples: bytes, s: Settings) -> Iterator[tuple[int, int, np.ndarray, n
         power = np.abs(np.fft.rfft(view * s.window, axis=1)) ** 2
         out = np.full((s.span, s.mels), s.floor)
         out[:n] = np.maximum(s.floor, np.log(power @ s.bank + 1e-10))
-        yield first, n, out, np.log((view**2).mean(1) + 1e-10)
+        yield first, n, out, np.log((view**2).mean(1) + 1e-10), first + s.span >= frames_all
 
 
 class Hysteresis:
@@ -158,58 +160,132 @@ def encode(docs: DataFrame, settings: Settings) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def tensors(media: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, span_start_s, span_end_s, frames, mel: one row a span; mel is a fixed-shape tensor, row after row.
+PIECE = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
+#: Of a stored file, in the row of its first span.
+MEDIA = pa.struct([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
+#: Spans written at a time.
+SPANS = 256
+MANIFEST = "path string, clips long, spans long"
 
-    In the Arrow batches that Python makes, mel is pyarrow's fixed-shape tensor type; Spark keeps its storage.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = settings
-        hop_s = s.hop * s.down / s.up / s.rate
-        for batch in batches:
-            for doc_id, wav in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for first, n, mel, _ in spans(wav_samples(wav)[1], s):
-                    tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(mel[None].astype(np.float32))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc_id], pa.int64()), pa.array([first * hop_s]), pa.array([(first + n) * hop_s]), pa.array([n], pa.int32()), tensor.storage.cast(pa.list_(pa.float32()))],
-                        ["doc_id", "span_start_s", "span_end_s", "frames", "mel"],
-                    )
+def tensor_schema(s: Settings) -> pa.Schema:
+    """clip: number of a media value in its file; mel: a tensor of fixed shape; segments: those that end in the span, in frames."""
+    mel = pa.fixed_shape_tensor(pa.float16(), [s.span, s.mels])
+    return pa.schema([("clip", pa.int64()), ("doc_id", pa.int64()), ("media", MEDIA), ("span_start_s", pa.float64()), ("span_end_s", pa.float64()), ("frames", pa.int32()), ("segments", pa.list_(PIECE)), ("mel", mel)])
+
+
+def media_facts(n_bytes: int, wav: bytes) -> tuple[bytes, dict]:
+    """The samples that a stored file holds, and what is said of it."""
+    _, payload = wav_samples(wav)
+    return payload, {
+        "n_bytes": n_bytes, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-UNIT:]),
+        "media_bytes": len(wav), "media_sha256": hashlib.sha256(wav).hexdigest(),
+    }
+
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, span_start_s double, span_end_s double, frames int, mel array<float>")
+def write_tensors(media: DataFrame, settings: Settings, path: str) -> DataFrame:
+    """Features of media(doc_id, n_bytes, media) as Arrow files under path; the manifest of files.
 
+    A task writes one file, span by span, so neither a long media value nor a task's output is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def digests(media: DataFrame, settings: Settings) -> DataFrame:
-    """What the stored files hold and what features they have, one row a file.
+        s, schema, clips, written = settings, tensor_schema(settings), 0, 0
+        hop_s = s.hop * s.down / s.up / s.rate
+        rows: list[tuple] = []
+        mels: list[np.ndarray] = []
+
+        def flush(writer) -> None:
+            nonlocal written
+            mel = pa.FixedShapeTensorArray.from_numpy_ndarray(np.stack(mels))
+            cols = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=False)]
+            writer.write_batch(pa.RecordBatch.from_arrays([*cols, mel], schema=schema))
+            written += len(rows)
+            rows.clear()
+            mels.clear()
+
+        with store.new_file(path, f"tensors-{TaskContext.get().partitionId():06d}") as (uri, out), pa.ipc.new_file(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            for batch in batches:
+                for doc_id, n_bytes, wav in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    payload, facts = media_facts(n_bytes, wav)
+                    state, total = Hysteresis(s), 0
+                    for first, n, mel, energies, last in spans(payload, s):
+                        ended = [*state.feed(energies), *(state.close() if last else ())]
+                        rows.append((clips, doc_id, None if first else facts, first * hop_s, (first + n) * hop_s, n, [{"start": a, "stop": b} for a, b in ended]))
+                        mels.append(mel.astype(np.float16))
+                        total += n
+                        if len(rows) == SPANS:
+                            flush(writer)
+                    clips += 1
+            if rows:
+                flush(writer)
+        yield pa.RecordBatch.from_pylist([{"path": uri, "clips": clips, "spans": written}] if clips else [], pa.schema([("path", pa.string()), ("clips", pa.int64()), ("spans", pa.int64())]))
+
+    return store.materialise(media.select("doc_id", "n_bytes", "media").mapInArrow(run, MANIFEST), "tensor-manifest")
+
+
+def read_tensors(path: str) -> Iterator[pa.RecordBatch]:
+    """The batches of a tensor file, one at a time."""
+    fs, own = store.filesystem(path)
+    with fs.open_input_file(own) as file:
+        reader = pa.ipc.open_file(file)
+        for k in range(reader.num_record_batches):
+            yield reader.get_batch(k)
+
+
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def read_features(manifest: DataFrame) -> DataFrame:
+    """What the tensor files say of each media value, one row each.
 
     feature: frames, segments as start-end frames, and a hash of the tensors at 1/16 of a natural logarithm.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        names = ["doc_id", *[f.name for f in MEDIA], "feature"]
+        kinds = [pa.int64(), *[f.type for f in MEDIA], pa.string()]
+
+        def table() -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            got = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+            rows.clear()
+            return got
+
+        def done(state: list) -> None:
+            doc_id, facts, frames, segments, mels = state
+            named, covered = ",".join(f"{a}-{b}" for a, b in segments), sum(b - a for a, b in segments)
+            rows.append((doc_id, *facts.values(), f"frames={frames};segments={len(segments)};covered={covered};at={named};mel={mels.hexdigest()[:32]}"))
+
         for batch in batches:
-            rows = []
-            for doc_id, n_bytes, wav in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, payload = wav_samples(wav)
-                segments, mels, frames, state = [], hashlib.sha256(), 0, Hysteresis(settings)
-                for _, n, mel, energies in spans(payload, settings):
-                    segments += state.feed(energies)
-                    mels.update(np.rint(mel * 16).astype("<i2").tobytes())
-                    frames += n
-                segments += state.close()
-                named = ",".join(f"{a}-{b}" for a, b in segments)
-                covered = sum(b - a for a, b in segments)
-                feature = f"frames={frames};segments={len(segments)};covered={covered};at={named};mel={mels.hexdigest()[:32]}"
-                rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(wav), hashlib.sha256(wav).hexdigest(), feature))
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
-
-
-def features(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Store docs' texts as media, read the media back, and give their digests and features."""
+            for path in batch.column(0).to_pylist():
+                clip, state = -1, []
+                for part in read_tensors(path):
+                    own = {name: part.column(k) for k, name in enumerate(part.schema.names)}
+                    mel = np.rint(own["mel"].to_numpy_ndarray().astype(np.float32) * 16).astype("<i2")
+                    for k, (at, doc_id, facts, n, ended) in enumerate(zip(*(own[c].to_pylist() for c in ("clip", "doc_id", "media", "frames", "segments")), strict=True)):
+                        if at != clip:
+                            if clip >= 0:
+                                done(state)
+                            clip, state = at, [doc_id, facts, 0, [], hashlib.sha256()]
+                        state[2] += n
+                        state[3] += [(x["start"], x["stop"]) for x in ended]
+                        state[4].update(mel[k].tobytes())
+                    if len(rows) >= 1000:
+                        yield table()
+                if clip >= 0:
+                    done(state)
+        yield table()
+
+    # A file is one task's work, as its writing was.
+    return manifest.select("path").repartition(store.shuffle_width(manifest.sparkSession)).mapInArrow(run, DIGESTS)
+
+
+def features(docs: DataFrame, settings: Settings | None = None, path: str | None = None) -> DataFrame:
+    """Store docs' texts as media, read the media back, store their features as tensors (under path), and give what these hold."""
     s = settings or Settings()
-    return digests(store.materialise(encode(docs, s), "media"), s)
+    media = store.materialise(encode(docs, s), "media")
+    return read_features(write_tensors(media, s, path or store.new_path(docs.sparkSession, "tensors")))

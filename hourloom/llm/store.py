@@ -97,6 +97,16 @@ def put_file(uri: str, name: str, chunks: Iterator[bytes]) -> str:
     return f"{uri}/{full.rsplit('/', 1)[1]}"
 
 
+@contextmanager
+def new_file(uri: str, name: str) -> Iterator[tuple[str, pa.NativeFile]]:
+    """(uri, stream) of a file of its own name for this attempt, for writers that need a stream."""
+    fs, root = filesystem(uri)
+    fs.create_dir(root, recursive=True)
+    own = f"{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+    with fs.open_output_stream(f"{root}/{own}") as out:
+        yield f"{uri}/{own}", out
+
+
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
