@@ -29,9 +29,9 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_table(spark, sf_dir, "documents"), 16).select(
+    return sharding.shard(_table(spark, sf_dir, "documents"), 16, grown=17).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
-        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot",
+        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", "next_shard",
     )
 
 
@@ -59,7 +59,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = store.materialise(token_counts.build_trees(_table(spark, sf_dir, "documents")), "token-trees")
-    edited = token_counts.apply_edits(trees, token_counts.redaction_edits(F.col("text")))
+    edited = token_counts.apply_edits(trees, token_counts.redaction_edits(F.array_join("pieces", "")))
     return edited.select("doc_id", "tokens_before", "tokens_after", "leaves", "leaves_encoded")
 
 

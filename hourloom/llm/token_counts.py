@@ -1,8 +1,10 @@
 """Edit-aware token counts: a segment tree of pre-token counts for each document.
 
-A text is cut into chunks at places that no pre-token crosses; a run of chunks is a leaf. The tree's root is the document's
-token count, its inner nodes sum their subtrees. An edit re-encodes the leaves it touches, and neighbours as long as a
-leaf's border is no longer such a place; then only the sums above the changed leaves are redone.
+A text is cut into chunks at places that no pre-token crosses; a run of chunks is a leaf, kept as its piece of the text. The tree's
+root is the document's token count, its inner nodes sum their subtrees' characters and tokens. An edit finds its leaves from the
+root, re-encodes the leaves it touches, and neighbours as long as a leaf's border is no longer such a place; then only the sums above
+the changed leaves are redone. Leaves that have grown are split and emptied ones leave, so a later edit stays small; the tree's shape
+is redone then, without encoding anything again.
 
 A null text counts as empty: 0 tokens. Edits are in code points of the text as it is when they apply, one after the other;
 what lies beyond the text's end is cut off, so every edit has a result. Rows are edited one by one, repeated rows too;
@@ -12,7 +14,6 @@ tables may be empty; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,103 +23,137 @@ from pyspark.sql import functions as F
 from hourloom.llm import store
 from hourloom.llm.tokenize import ChunkEncoder, default_file, encoder
 
-#: Chunks in a leaf.
+#: Chunks in a leaf; a leaf of more than twice as many is split.
 LEAF = 32
 
 
-@dataclass
 class Tree:
-    """starts: code point at which each leaf starts, then the text's length. sums: node k has children 2k and 2k + 1; the
-    leaves are the upper half."""
-
-    starts: np.ndarray
-    sums: np.ndarray
+    """pieces: the text by leaf. sums[k] are the characters and tokens below node k, whose children are 2k and 2k + 1; the leaves
+    are the upper half."""
+
+    def __init__(self, pieces: list[str], counts: list[int]):
+        self.pieces, self.counts = pieces or [""], counts or [0]
+        self.shape()
+
+    def shape(self) -> None:
+        """Redo all sums from the leaves."""
+        self.half = half = 1 << (len(self.pieces) - 1).bit_length()
+        level = np.zeros((half, 2), np.int64)
+        level[: len(self.pieces), 0] = np.fromiter(map(len, self.pieces), np.int64, len(self.pieces))
+        level[: len(self.pieces), 1] = self.counts
+        levels = [level]
+        while len(level) > 1:
+            level = level[::2] + level[1::2]
+            levels.append(level)
+        self.sums = np.concatenate([np.zeros((1, 2), np.int64), *levels[::-1]])
 
     @property
     def total(self) -> int:
-        return int(self.sums[1])
-
-    def set(self, leaf: int, count: int) -> int:
-        """Set a leaf and redo the sums above it; the number of sums redone."""
-        at, done = len(self.sums) // 2 + leaf, 0
-        self.sums[at] = count
-        while at > 1:
-            at //= 2
-            self.sums[at] = self.sums[2 * at] + self.sums[2 * at + 1]
-            done += 1
-        return done
+        return int(self.sums[1, 1])
+
+    @property
+    def chars(self) -> int:
+        return int(self.sums[1, 0])
+
+    @property
+    def text(self) -> str:
+        return "".join(self.pieces)
+
+    def find(self, at: int) -> tuple[int, int]:
+        """(leaf, place in it) of a code point, the last leaf's end for the text's end; from the root down."""
+        k, last = 1, len(self.pieces) - 1
+        while k < self.half:
+            left = int(self.sums[2 * k, 0])
+            k, at = (2 * k, at) if at < left else (2 * k + 1, at - left)
+        leaf = k - self.half
+        return (leaf, at) if leaf <= last else (last, len(self.pieces[last]))
+
+    def set(self, leaf: int, piece: str, count: int) -> None:
+        """Change a leaf and the sums above it."""
+        k = self.half + leaf
+        step = np.array((len(piece), count), np.int64) - self.sums[k]
+        self.pieces[leaf], self.counts[leaf] = piece, count
+        while k:
+            self.sums[k] += step
+            k //= 2
 
     def before(self, leaf: int) -> int:
         """Tokens in the leaves before one, by the subtrees to its left."""
-        at, out = len(self.sums) // 2 + leaf, 0
-        while at > 1:
-            if at % 2:
-                out += int(self.sums[at - 1])
-            at //= 2
+        k, out = self.half + leaf, 0
+        while k > 1:
+            if k % 2:
+                out += int(self.sums[k - 1, 1])
+            k //= 2
         return out
 
 
-def count(chunks: list[str], enc: ChunkEncoder) -> int:
-    return len(enc.encode("".join(chunks))) // 4
+def leaves_of(text: str, enc: ChunkEncoder, leaf: int) -> tuple[list[str], list[int]]:
+    """Pieces of `leaf` chunks and their token counts."""
+    chunks = enc.chunks(text) if text else []
+    sizes = enc.counts(chunks)
+    cut = range(0, len(chunks), leaf)
+    return ["".join(chunks[k : k + leaf]) for k in cut], [sum(sizes[k : k + leaf]) for k in cut]
 
 
 def build(text: str, enc: ChunkEncoder, leaf: int = LEAF) -> Tree:
-    chunks = enc.chunks(text) if text else []
-    leaves = [chunks[k : k + leaf] for k in range(0, len(chunks), leaf)] or [[]]
-    half = 1 << (len(leaves) - 1).bit_length()
-    sums = np.zeros(2 * half, np.int64)
-    sums[half : half + len(leaves)] = [count(x, enc) for x in leaves]
-    for k in range(half - 1, 0, -1):
-        sums[k] = sums[2 * k] + sums[2 * k + 1]
-    return Tree(np.concatenate(([0], np.cumsum([sum(map(len, x)) for x in leaves]))), sums)
-
-
-def edit(text: str, tree: Tree, at: int, delete: int, insert: str, enc: ChunkEncoder) -> tuple[str, int]:
-    """The edited text, with the tree brought up to date in place, and the number of leaves re-encoded."""
-    at = max(0, min(at, len(text)))
-    end = max(at, min(at + delete, len(text)))
-    s, last = tree.starts, len(tree.starts) - 2
-    first = max(0, int(np.searchsorted(s[:-1], at, "right")) - 1)
-    stop = min(last, max(first, int(np.searchsorted(s[:-1], end, "right")) - 1))
-    # An insertion at a leaf's start may join the leaf before.
-    if first > 0 and at == s[first]:
-        first -= 1
+    return Tree(*leaves_of(text, enc, leaf))
+
+
+def joint(left: str, right: str) -> bool:
+    """Whether a leaf may end between two texts."""
+    return right.startswith(" ") and bool(left) and not left[-1].isspace()
+
+
+def edit(tree: Tree, at: int, delete: int, insert: str, enc: ChunkEncoder, leaf: int = LEAF) -> int:
+    """Edit the tree's text in place; the number of leaves re-encoded."""
+    at = max(0, min(at, tree.chars))
+    end = max(at, min(at + delete, tree.chars))
+    (first, a), (stop, b) = tree.find(at), tree.find(end)
+    if a == 0 and first > 0:  # what is put at a leaf's start may join the leaf before
+        first, a = first - 1, len(tree.pieces[first - 1])
+    pieces = tree.pieces
+    new = pieces[first][:a] + insert + pieces[stop][b:]
     while True:
-        left, right = int(s[first]), int(s[stop + 1])
-        new = text[left:at] + insert + text[end:right]
-        if first > 0 and not (new.startswith(" ") and not text[left - 1].isspace()):
+        if first > 0 and not joint(pieces[first - 1], new):
             first -= 1
-        elif stop < last and not (new and not new[-1].isspace() and text[right : right + 1] in (" ", "")):
+            new = pieces[first] + new
+        elif stop < len(pieces) - 1 and not joint(new, pieces[stop + 1]):
             stop += 1
+            new += pieces[stop]
         else:
             break
     chunks = enc.chunks(new) if new else []
-    slots = stop - first + 1
-    cut = [len(chunks) * k // slots for k in range(slots + 1)]
-    where = left
-    for k in range(slots):
-        own = chunks[cut[k] : cut[k + 1]]
-        tree.set(first + k, count(own, enc) if own else 0)
-        s[first + k] = where
-        where += sum(map(len, own))
-    s[stop + 1 :] += len(insert) - (end - at)
-    return text[:at] + insert + text[end:], slots
-
-
-TREES = "doc_id long, text string, starts array<int>, sums array<int>"
+    old = stop - first + 1
+    if old == 1 and 0 < len(chunks) <= 2 * leaf:
+        tree.set(first, new, sum(enc.counts(chunks)))
+        return 1
+    own, counts = leaves_of(new, enc, leaf)
+    if len(own) == old:
+        for k in range(old):
+            tree.set(first + k, own[k], counts[k])
+    else:
+        pieces[first : stop + 1], tree.counts[first : stop + 1] = own, counts
+        if not pieces:
+            pieces.append("")
+            tree.counts.append(0)
+        tree.shape()
+    return max(old, len(own))
+
+
+TREES = "doc_id long, pieces array<string>, counts array<int>"
 
 
 def build_trees(docs: DataFrame, tokenizer: str | None = None, leaf: int = LEAF) -> DataFrame:
-    """doc_id, text, starts, sums: the stored state that edits start from."""
+    """doc_id, pieces, counts: the stored state that edits start from; the sums follow from it without encoding."""
     store.small_batches(docs.sparkSession)
     file = tokenizer or default_file()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(file)
         for batch in batches:
-            trees = [build(t or "", enc, leaf) for t in store.texts(batch)]
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.starts for t in trees], ints), pa.array([t.sums for t in trees], ints)], ["doc_id", "text", "starts", "sums"])
+            trees = [leaves_of(t or "", enc, leaf) for t in store.texts(batch)]
+            cols = [batch.column(0), pa.array([p for p, _ in trees], pa.list_(pa.string())), pa.array([c for _, c in trees], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "pieces", "counts"])
 
     return docs.select("doc_id", "text").mapInArrow(run, TREES)
 
@@ -126,29 +161,27 @@ def build_trees(docs: DataFrame, tokenizer: str | None = None, leaf: int = LEAF)
 EDITED = f"{TREES}, tokens_before long, tokens_after long, leaves long, leaves_encoded long"
 
 
-def apply_edits(trees: DataFrame, edits: Column, tokenizer: str | None = None) -> DataFrame:
-    """Trees after edits (array of structs at, delete, insert), with the counts before and after and the work done."""
+def apply_edits(trees: DataFrame, edits: Column, tokenizer: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """Trees after edits (array of structs at, delete, insert), with the counts before and after and the work done. edits may refer to
+    the tree's pieces."""
     store.small_batches(trees.sparkSession)
     file = tokenizer or default_file()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(file)
         for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            for doc_id, text, starts, sums, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tree, now = Tree(np.array(starts, np.int64), np.array(sums, np.int64)), text or ""
+            cols: list[list] = [[] for _ in range(7)]
+            for doc_id, pieces, counts, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tree = Tree(pieces, counts)
                 before, work = tree.total, 0
                 for e in own or []:
-                    now, n = edit(now, tree, e["at"] or 0, e["delete"] or 0, e["insert"] or "", enc)
-                    work += n
-                for c, v in zip(cols, (doc_id, now, tree.starts, tree.sums, before, tree.total, len(tree.starts) - 1, work), strict=True):
+                    work += edit(tree, e["at"] or 0, e["delete"] or 0, e["insert"] or "", enc, leaf)
+                for c, v in zip(cols, (doc_id, tree.pieces, tree.counts, before, tree.total, len(tree.pieces), work), strict=True):
                     c.append(v)
-            ints = pa.list_(pa.int32())
-            kinds = [pa.int64(), pa.string(), ints, ints, *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "text", "starts", "sums", "tokens_before", "tokens_after", "leaves", "leaves_encoded"])
+            kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "pieces", "counts", "tokens_before", "tokens_after", "leaves", "leaves_encoded"])
 
-    rows = trees.select("doc_id", "text", "starts", "sums", edits.alias("edits"))
-    return rows.mapInArrow(run, EDITED)
+    return trees.select("doc_id", "pieces", "counts", edits.alias("edits")).mapInArrow(run, EDITED)
 
 
 def redaction_edits(text: Column) -> Column:

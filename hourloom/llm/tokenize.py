@@ -54,6 +54,14 @@ class ChunkEncoder:
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 young[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
+    def counts(self, chunks: list[str]) -> list[int]:
+        """Ids in each chunk."""
+        try:
+            return [len(x) // 4 for x in map(self.young.__getitem__, chunks)]
+        except KeyError:
+            self.learn(chunks)
+            return [len(x) // 4 for x in map(self.young.__getitem__, chunks)]
+
     def encode(self, text: str) -> bytes:
         chunks = self.chunks(text)
         get = self.young.__getitem__
