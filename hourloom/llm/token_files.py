@@ -115,6 +115,7 @@ class Reader:
         self.frame_ids = np.concatenate(([0], np.cumsum(np.frombuffer(index, "<u4", frames, 16 + frames), dtype=np.int64)))
         table = np.frombuffer(index, "<i8", 3 * docs, 16 + 5 * frames).reshape(-1, 3)
         self.doc_ids = [None if null else int(d) for d, null in table[:, :2].tolist()]
+        self.nulls, self.sorted_ids = int(table[:, 1].sum()), table[:, 0]  # null ids stand first
         self.n_tokens = table[:, 2]
         self.doc_starts = np.concatenate(([0], np.cumsum(self.n_tokens)))
         self.cached: tuple[int, bytes] = (-1, b"")
@@ -129,6 +130,11 @@ class Reader:
             self.cached = (k, raw if self.wide[k] else np.frombuffer(raw, "<u2").astype("<u4").tobytes())
         return self.cached[1]
 
+    def find(self, doc_id: int) -> int | None:
+        """Place of the first document of an id, by bisection."""
+        k = self.nulls + int(np.searchsorted(self.sorted_ids[self.nulls :], doc_id))
+        return k if k < len(self.sorted_ids) and self.sorted_ids[k] == doc_id else None
+
     def doc(self, k: int) -> Iterator[bytes]:
         """The ids of the k-th document, by frame."""
         at, end = int(self.doc_starts[k]), int(self.doc_starts[k + 1])
@@ -143,8 +149,9 @@ class Reader:
 
 
 MANIFEST = T.StructType(
-    [T.StructField("part", T.IntegerType()), T.StructField("roll", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType())]
-)
+    [T.StructField("part", T.IntegerType()), T.StructField("roll", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()),
+     T.StructField("first_id", T.LongType()), T.StructField("last_id", T.LongType())]
+)
 
 
 def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, file_ids: int = FILE_IDS) -> DataFrame:
@@ -162,7 +169,10 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
         def done() -> pa.RecordBatch:
             n, total = len(out.docs), out.total
             uri = store.put_file(path, f"part-{part:06d}-{roll:04d}", out.close())
-            return pa.RecordBatch.from_pylist([{"part": part, "roll": roll, "path": uri, "n_docs": n, "n_tokens": total}], pa.schema([("part", pa.int32()), ("roll", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            named = [d for d, null, _ in out.docs if not null]
+            row = {"part": part, "roll": roll, "path": uri, "n_docs": n, "n_tokens": total, "first_id": min(named, default=None), "last_id": max(named, default=None)}
+            kinds = [("part", pa.int32()), ("roll", pa.int32()), ("path", pa.string()), *[(c, pa.int64()) for c in ("n_docs", "n_tokens", "first_id", "last_id")]]
+            return pa.RecordBatch.from_pylist([row], pa.schema(kinds))
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), store.texts(batch), strict=True):
@@ -210,10 +220,15 @@ def read_digests(manifest: DataFrame) -> DataFrame:
     return files.repartition(store.shuffle_width(manifest.sparkSession)).mapInArrow(read, DIGESTS)
 
 
-def tokens_of(paths: list[str], doc_id: int) -> np.ndarray | None:
-    """One document's ids (end id included), decompressing only its frames."""
-    for path in paths:
-        reader = Reader(path)
-        if doc_id in reader.doc_ids:
-            return np.frombuffer(b"".join(reader.doc(reader.doc_ids.index(doc_id))), "<u4")
+def tokens_of(manifest: DataFrame, doc_id: int) -> np.ndarray | None:
+    """One document's ids (end id included): the manifest says which files may hold it, and only its frames are decompressed. Of
+    rows that share a doc_id the first is read."""
+    for r in manifest.where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).orderBy("part", "roll").select("path").collect():
+        reader = Reader(r.path)
+        try:
+            k = reader.find(doc_id)
+            if k is not None:
+                return np.frombuffer(b"".join(reader.doc(k)), "<u4")
+        finally:
+            reader.close()
     return None
