@@ -197,7 +197,18 @@ def test_shards(spark, docs, none, tmp_path):
     for version, m in ((1, first), (2, grown)):
         sharding.save_map(sharding.map_table(spark, m, version), path)
     assert sharding.load_map(spark, path) == (2, grown) and sharding.load_map(spark, path, 1) == (1, first)
-    assert sharding.shard(none, 4).count() == 0
+    fewer = sharding.edit_map(first, 12)
+    assert all(fewer[v][0] == first[v][0] if first[v][0] < 12 else fewer[v][0] < 12 for v in first)
+    left = [sum(b for s, b, _ in fewer.values() if s == k) for k in range(12)]
+    assert max(left) < 1.05 * sum(left) / 12
+    tilted = {v: (0 if s < 8 else s, b, n) for v, (s, b, n) in first.items()}
+    evened = [sum(b for s, b, _ in sharding.edit_map(tilted, 16).values() if s == k) for k in range(16)]
+    assert max(evened) < 1.05 * sum(evened) / 16
+    path = str(tmp_path / "stored")
+    placed = sharding.shard(docs, 4, grown=5, path=path).collect()
+    kept = {v: {r.vslot: r.shard for r in spark.read.parquet(path).where(F.col("version") == v).collect()} for v in (1, 2)}
+    assert all(kept[1][r.vslot] == r.shard and kept[2][r.vslot] == r.next_shard and r.next_shard in (r.shard, 4) for r in placed)
+    assert sharding.shard(none, 4).count() == 0 and sharding.shard(none, 4, grown=5).count() == 0
 
 
 def test_media_round_trip(docs, none):
@@ -225,15 +236,45 @@ def test_audio_steps(spark):
     tone = (np.sin(2 * np.pi * 1000 * t) * 100 * ((t > 0.5) & (t < 1.2)) + 128).astype(np.uint8).tobytes()
     s = media.Settings(high=3.0, low=1.0)
     state, segments, peak = media.Hysteresis(s), [], []
-    for _, n, mel, energies in media.spans(tone, s):
+    for _, n, mel, energies, _ in media.spans(tone, s):
         segments += state.feed(energies)
         peak.append(mel[:n])
     segments += state.close()
-    hop = s.hop * 2 / rate
+    hop = s.hop * s.down / s.up / rate
     assert segments and abs(segments[0][0] * hop - 0.5) < 0.05
-    assert (s.bank @ np.eye(s.mels)).shape == (129, 24) and np.concatenate(peak)[60].argmax() == s.bank[32].argmax()
-    table = media.tensors(media.encode(spark.createDataFrame([(1, "ab" * 9000)], "doc_id long, text string"), s), s).collect()
-    assert all(len(r.mel) == s.span * s.mels for r in table) and table[0].span_end_s == table[1].span_start_s
+    at = round(1000 / (rate * s.up / s.down / s.frame))
+    assert (s.bank @ np.eye(s.mels)).shape == (129, 24) and np.concatenate(peak)[60].argmax() == s.bank[at].argmax()
+
+
+def brute_mel(payload, s):
+    """Frames of a payload's log-mel energies: resampled as a whole, each frame by a plain Fourier sum."""
+    x = np.concatenate((np.zeros(s.taps - 1), np.frombuffer(payload, np.uint8) / 128.0 - 1))
+    y = [float(x[k * s.down // s.up : k * s.down // s.up + s.taps] @ s.phases[k * s.down % s.up]) for k in range(-(-len(payload) * s.up // s.down))]
+    frames = max(1, -(-max(1, len(payload) * s.up // s.down - (s.frame - s.hop)) // s.hop))
+    y = np.array(y + [0.0] * (s.frame + s.hop * frames))
+    waves = np.exp(-2j * np.pi * np.outer(np.arange(s.frame), np.arange(s.frame // 2 + 1)) / s.frame)
+    return np.array([np.maximum(s.floor, np.log(np.abs((y[k * s.hop : k * s.hop + s.frame] * s.window) @ waves) ** 2 @ s.bank + 1e-10)) for k in range(frames)])
+
+
+def test_stored_tensors(spark, tmp_path):
+    s = media.Settings()
+    texts = ["ab" * 9000, "", None, "".join(chr(33 + (k * k) % 90) for k in range(20_000)), "ab" * 9000]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    manifest = media.write_tensors(store.materialise(media.encode(table, s), "media"), s, str(tmp_path / "t"))
+    found = {}
+    for r in manifest.collect():
+        for batch in media.read_tensors(r.path):
+            assert batch.schema.field("mel").type.shape == [s.span, s.mels]
+            mel = batch.column(7).to_numpy_ndarray()
+            for k, row in enumerate(batch.drop_columns(["mel"]).to_pylist()):
+                found.setdefault(row["doc_id"], []).append((row["span_start_s"], row["span_end_s"], mel[k][: row["frames"]]))
+    assert sorted(found) == [0, 1, 2, 3, 4]
+    for d, t in enumerate(texts):
+        raw = (t or "").encode()
+        want = brute_mel(raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0"), s)
+        parts = sorted(found[d], key=lambda x: x[0])
+        assert np.allclose(np.concatenate([m for _, _, m in parts]), want, atol=0.01)
+        assert parts[0][0] == 0 and all(abs(a[1] - b[0]) < 1e-9 for a, b in zip(parts, parts[1:], strict=False))
 
 
 def test_audio_features_list_every_segment(spark):
@@ -331,16 +372,25 @@ def test_edited_counts(spark, docs, none):
     enc, r = encoder(default_file()), random.Random(6)
     full = lambda t: len(enc.tokenizer.encode(t, add_special_tokens=False).ids)
     for k in range(150):
-        t = words(200, k)[: r.randint(0, 900)] if k % 2 else "".join(r.choice("ab1'  \n\té.!") for _ in range(r.randint(0, 200)))
-        tree = token_counts.build(t, enc, r.choice([1, 2, 5, 32]))
+        t, leaf = words(200, k)[: r.randint(0, 900)] if k % 2 else "".join(r.choice("ab1'  \n\té.!") for _ in range(r.randint(0, 200))), r.choice([1, 2, 5, 32])
+        tree = token_counts.build(t, enc, leaf)
         assert tree.total == full(t)
         for _ in range(4):
-            t, _ = token_counts.edit(t, tree, r.randint(-2, len(t) + 3), r.choice([0, 1, 3, 40]), "".join(r.choice("ab1'  \n\té.!") for _ in range(r.randint(0, 8))), enc)
-            assert tree.total == full(t) and tree.starts[-1] == len(t) and tree.before(0) == 0
-    got = token_counts.apply_edits(store.materialise(token_counts.build_trees(docs), "trees"), token_counts.redaction_edits(F.col("text"))).collect()
+            at, delete, insert = r.randint(-2, len(t) + 3), r.choice([0, 1, 3, 40]), "".join(r.choice("ab1'  \n\té.!") for _ in range(r.randint(0, 8)))
+            token_counts.edit(tree, at, delete, insert, enc, leaf)
+            start = max(0, min(at, len(t)))
+            t = t[:start] + insert + t[start + delete :]
+            assert tree.text == t and tree.total == full(t) and tree.chars == len(t) and tree.before(0) == 0
+            assert tree.before(len(tree.pieces) - 1) + tree.counts[-1] == tree.total
+    tree = token_counts.build("", enc)
+    token_counts.edit(tree, 0, 0, words(5000, 3), enc)
+    assert len(tree.pieces) > 100 and token_counts.edit(tree, 9000, 3, "q", enc) <= 2
+    token_counts.edit(tree, 0, tree.chars, "", enc)
+    assert tree.total == 0 and len(tree.pieces) == 1
+    got = token_counts.apply_edits(store.materialise(token_counts.build_trees(docs), "trees"), token_counts.redaction_edits(F.array_join("pieces", ""))).collect()
     assert len(got) == len(rows())
     for x in got:
-        assert x.tokens_after == full(x.text)
+        assert x.tokens_after == full("".join(x.pieces))
     long = max(got, key=lambda x: x.leaves)
     assert long.leaves_encoded < 10 < long.leaves
     assert token_counts.build_trees(none).count() == 0
@@ -361,7 +411,8 @@ def test_token_files(spark, docs, none):
         at += r.n_tokens
     paths = [m.path for m in manifest.collect()]
     assert len(paths) > 3
-    ids = token_files.tokens_of(paths, 9)
+    assert token_files.tokens_of(manifest, 10**9) is None
+    ids = token_files.tokens_of(manifest, 9)
     assert ids.tolist() == [*tok.encode(words(30_000, 2), add_special_tokens=False).ids, 2]
     assert token_files.read_digests(token_files.write_files(none, store.new_path(spark, "t"))).count() == 0
 
