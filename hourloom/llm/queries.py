@@ -75,6 +75,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[span_text.count_of("base", k) for k in secrets.KINDS],
         F.sha2(span_text.line(F.col("base"), secrets.KINDS), 256).alias("base_sha256"),
         span_text.line(every, [*secrets.KINDS, secrets.ADDED]).alias("spans"),
+        F.size("tested").cast("long").alias("n_tested"), F.size(F.filter("tested", lambda r: r["random"])).cast("long").alias("n_random"),
+        F.array_join(F.transform("tested", lambda r: F.format_string("%d:%d:%s:%.4f:%.4f:%.4f:%s", *[r[c] for c in ("start", "stop", "encoding", "p_chi", "p_runs", "p_serial")], r["random"].cast("string"))), ",").alias("tests"),
     )
 
 
