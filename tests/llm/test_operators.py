@@ -445,6 +445,9 @@ def test_secrets(spark, docs, none):
                 if {"assign": lambda m: len(m[2]) >= 12, "access": lambda m: len(m[0]) >= 18, "hex": lambda m: len(m[0]) >= 16}[kind](m):
                     want.append((kind, *m.span()))
         assert [tuple(s) for s in got[k].base] == sorted(want, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+    values = {k: [t[x.start : x.stop] for x in got[k].tested if x.base] for k, t in enumerate(texts) if t}
+    assert values[4] == [texts[4]] and not values[0] and values[2] == [texts[2]] and got[4].tested[0].encoding == "hex"
+    assert all((x.p_chi, x.p_runs, x.p_serial) == tuple(secrets.battery((texts[k] or "")[x.start : x.stop])[1]) for k in got for x in got[k].tested)
     added = {k for k in got if got[k].added}
     assert len(added & set(range(209, 249))) >= 30 and not added & set(range(9, 209)) and not added & set(range(249, 254))
     assert secrets.find(docs).count() == len(rows()) and secrets.find(none).count() == 0
