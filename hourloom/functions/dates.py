@@ -4,31 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Month names by their first letters.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 FULL_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
-NUMERIC = r"([0-9]{1,4})[/\-.]([0-9]{1,2})[/\-.]([0-9]{1,4})"
+#: The forms of dates that are read. Digits are ASCII ones, so that all engines agree.
+NUMERIC = r"\b([0-9]{1,4})[/\-.]([0-9]{1,2})[/\-.]([0-9]{1,4})\b"
 ISO = r"^([0-9]{4})[/\-.]([0-9]{1,2})[/\-.]([0-9]{1,2})"
 DAY_FIRST = r"([0-9]{1,2})[ \-/]([A-Za-z]{3,9})[ \-/,]+([0-9]{2,4})"
 MONTH_FIRST = r"([A-Za-z]{3,9})[ \-/.]+([0-9]{1,2})[ ,]+([0-9]{2,4})"
 
 
 def month_of_name(c: Column) -> Column:
-    """1 to 12 for a full month name, its first three letters, or sept."""
-    low = F.lower(c)
-    named = F.when(low == "sept", F.lit(9))
+    """1 to 12 for a full month name or its first three letters."""
+    low, named = F.lower(c), F.when(F.lit(False), F.lit(0))
     for k, (short, full) in enumerate(zip(MONTHS, FULL_MONTHS, strict=True), 1):
         named = named.when(low.isin(short, full), F.lit(k))
     return named
 
 
 def date_of(year: Column, month: Column, day: Column) -> Column:
-    """The date, or null where there is none."""
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
+    """The date, or null where there is none; checked by arithmetic, as failing casts are slow."""
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    last = F.when(month.isin(4, 6, 9, 11), F.lit(30)).when(month != 2, F.lit(31)).when(leap, F.lit(29)).otherwise(F.lit(28))
+    return F.when(year.between(1, 9999) & month.between(1, 12) & day.between(1, last), F.make_date(year, month, day))
 
 
 def full_year(year: Column, base: Column) -> Column:
@@ -42,28 +44,41 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _parts(text: Column, pattern: str) -> Column:
-    """The three groups of a pattern as texts g1, g2, g3."""
-    return F.struct(*[F.regexp_extract(text, pattern, k).alias(f"g{k}") for k in (1, 2, 3)])
+def once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """rows with more columns, each computed once a row: filters on them stay above instead of computing them again below."""
+    return rows.select("*", F.inline(F.array(F.struct(*columns))))
+
+
+def _parts(text: Column, pattern: str, between: str) -> Column:
+    """What a pattern matches, cut at its separators; out of range where it doesn't match."""
+    return F.split(F.regexp_extract(text, pattern, 0), between)
 
 
 def parse_date(c: Column, order: Column, base_year: Column) -> Column:
-    """ISO, textual and numeric dates; order is DMY or MDY; null when nothing fits."""
-    num = lambda x: x.try_cast("int")
+    """ISO, textual and numeric dates; order is DMY or MDY; null when nothing fits.
+
+    The forms give candidates (year, month, day) in the order in which they are tried; the first that is a date counts.
+    """
+    num = lambda p, k: F.get(p, F.lit(k)).try_cast("int")
+    of = lambda y, m, d: F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+    near = lambda p, k: full_year(num(p, k), base_year)
 
     def numeric(p: Column) -> Column:
-        a, b = num(p["g1"]), num(p["g2"])
-        other = bound(full_year(num(p["g3"]), base_year), lambda y: F.coalesce(F.when(order == "DMY", date_of(y, b, a)).otherwise(date_of(y, a, b)), date_of(y, a, b), date_of(y, b, a)))
-        return F.when(a > 31, date_of(a, b, num(p["g3"]))).otherwise(other)
-
-    def read(text: Column) -> Column:
-        iso = bound(_parts(text, ISO), lambda p: date_of(num(p["g1"]), num(p["g2"]), num(p["g3"])))
-        by_day = bound(_parts(text, DAY_FIRST), lambda p: date_of(full_year(num(p["g3"]), base_year), month_of_name(p["g2"]), num(p["g1"])))
-        by_month = bound(_parts(text, MONTH_FIRST), lambda p: date_of(full_year(num(p["g3"]), base_year), month_of_name(p["g1"]), num(p["g2"])))
-        rest = F.coalesce(F.when(text.rlike(DAY_FIRST), by_day), F.when(text.rlike(MONTH_FIRST), by_month), F.when(text.rlike(NUMERIC), bound(_parts(text, NUMERIC), numeric)))
-        return F.when(text.rlike(ISO), iso).otherwise(rest)
-
-    return bound(F.regexp_replace(c, r"^\s+|\s+$", ""), read)
+        def with_year(y: Column) -> Column:
+            day_first, month_first = of(y, num(p, 1), num(p, 0)), of(y, num(p, 0), num(p, 1))
+            return F.array(F.when(order == "DMY", day_first).otherwise(month_first), month_first, day_first)
+
+        return F.when(num(p, 0) > 31, F.array(of(num(p, 0), num(p, 1), num(p, 2)))).otherwise(bound(near(p, 2), with_year))
+
+    def candidates(text: Column) -> Column:
+        by_day = bound(_parts(text, DAY_FIRST, r"[ \-/,]+"), lambda p: of(near(p, 2), month_of_name(F.get(p, F.lit(1))), num(p, 0)))
+        by_month = bound(_parts(text, MONTH_FIRST, r"[ \-/.,]+"), lambda p: of(near(p, 2), month_of_name(F.get(p, F.lit(0))), num(p, 1)))
+        iso = bound(_parts(text, ISO, r"[/\-.]"), lambda p: F.array(of(num(p, 0), num(p, 1), num(p, 2))))
+        digits = bound(_parts(text, NUMERIC, r"[/\-.]"), numeric)
+        return F.when(text.rlike(ISO), iso).when(text.rlike("[A-Za-z]{3}"), F.concat(F.array(by_day, by_month), digits)).otherwise(digits)
+
+    found = bound(F.regexp_replace(c, r"^\s+|\s+$", ""), candidates)
+    return F.get(F.filter(F.transform(found, lambda x: date_of(x["y"], x["m"], x["d"])), lambda d: d.isNotNull()), F.lit(0))
 
 
 def rescue_epoch(d: Column, period: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hourloom.functions.dates import bound
+
 #: Cells that mean "no value", and unit words in the order in which they go.
 BLANKS = ("", "-", "--", "n/a", "na", "off", "none")
 UNITS = ("hrs", "hours", "hour", "h")
@@ -24,25 +26,38 @@ def plain_number(c: Column) -> Column:
 
 def parse_hours(c: Column) -> Column:
     """8, '8:30', '8 00', '7,5', '$8', '8 hrs' as hours; null when there is no non-negative quantity."""
-    s = strip(F.lower(c.cast("string")))
-    t = s
-    for unit in UNITS:
-        t = F.replace(t, F.lit(unit), F.lit(""))
-    t = strip(F.replace(strip(t), F.lit("$"), F.lit("")))
-    pattern = r"^([0-9]{1,3})[:\s]([0-9]{2})$"
-    whole, minutes = (F.regexp_extract(t, pattern, k).try_cast("int") for k in (1, 2))
-    value = F.when(t.rlike(pattern) & (minutes < 60), whole + minutes / 60).otherwise(plain_number(F.replace(t, F.lit(","), F.lit("."))))
-    return F.when(~s.isin(*BLANKS) & (value >= 0), value)
+
+    def without_units(s: Column) -> Column:
+        for unit in UNITS:
+            s = F.replace(s, F.lit(unit), F.lit(""))
+        return strip(F.replace(strip(s), F.lit("$"), F.lit("")))
+
+    def value(t: Column) -> Column:
+        parts = F.split(t, r"[:\s]")
+        whole, minutes = (F.get(parts, F.lit(k)).try_cast("int") for k in (0, 1))
+        timed = t.rlike(r"^[0-9]{1,3}[:\s][0-9]{2}$") & (minutes < 60)
+        return F.when(timed, whole + minutes / 60).otherwise(plain_number(F.replace(t, F.lit(","), F.lit("."))))
+
+    def read(s: Column) -> Column:
+        # Most cells are plain digits, and these need no further look.
+        got = F.when(s.rlike(r"^[0-9]+$"), s.try_cast("double")).otherwise(bound(without_units(s), value))
+        return F.when(~s.isin(*BLANKS) & (got >= 0), got)
+
+    return bound(strip(F.lower(c.cast("string"))), read)
 
 
 def parse_clock(c: Column) -> Column:
     """Seconds of the day of a clock time, with or without am and pm."""
-    hour, minute = (F.regexp_extract(c, CLOCK, k).try_cast("int") for k in (1, 2))
-    second = F.coalesce(F.regexp_extract(c, CLOCK, 3).try_cast("int"), F.lit(0))
-    half = F.lower(F.replace(F.regexp_extract(c, CLOCK, 4), F.lit("."), F.lit("")))
-    hour = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), F.lit(0)).otherwise(hour)
-    ok = c.rlike(CLOCK) & (hour <= 23) & (minute <= 59) & (second <= 59)
-    return F.when(ok, hour * 3600 + minute * 60 + second)
+
+    def read(text: Column) -> Column:
+        hour, minute = (F.regexp_extract(text, CLOCK, k).try_cast("int") for k in (1, 2))
+        second = F.coalesce(F.regexp_extract(text, CLOCK, 3).try_cast("int"), F.lit(0))
+        half = F.lower(F.replace(F.regexp_extract(text, CLOCK, 4), F.lit("."), F.lit("")))
+        hour = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), F.lit(0)).otherwise(hour)
+        ok = text.rlike(CLOCK) & (hour <= 23) & (minute <= 59) & (second <= 59)
+        return F.when(ok, hour * 3600 + minute * 60 + second)
+
+    return bound(c, read)
 
 
 def lunch_minutes(out_s: Column, in_s: Column) -> Column:

@@ -34,9 +34,9 @@ def read_contract(answers: DataFrame) -> DataFrame:
 def contract_entries(answers: DataFrame, order: Column, base_year: Column) -> DataFrame:
     """file, employee_name, d, regular, overtime, total: one row an entry with a date."""
     rows = read_contract(answers).select("file", clean(F.col("answer.employee_name")).alias("employee_name"), F.inline("answer.entries"))
-    parsed = rows.select("file", "employee_name", dates.parse_date(F.col("date"), order, base_year).alias("d"), *[hours.number_or_hours(F.col(f"{c}_hours")).alias(c) for c in ("regular", "overtime", "total")])
+    parsed = dates.once(rows, dates.parse_date(F.col("date"), order, base_year).alias("d")).where("d is not null").select("file", "employee_name", "d", *[hours.number_or_hours(F.col(f"{c}_hours")).alias(c) for c in ("regular", "overtime", "total")])
     r, o, t = hours.split_hours(F.col("total"), F.col("regular"), F.col("overtime"))
-    return parsed.where("d is not null").select("file", "employee_name", "d", r.alias("regular"), o.alias("overtime"), t.alias("total"))
+    return parsed.select("file", "employee_name", "d", r.alias("regular"), o.alias("overtime"), t.alias("total"))
 
 
 def contract_weeks(answers: DataFrame, order: Column, base_year: Column) -> DataFrame:

@@ -54,70 +54,108 @@ def _role_numbers(cell: Column) -> Column:
 
 
 def assign_roles(cells: DataFrame) -> DataFrame:
-    """table_id, row_id, role, col: what each row would be as a header.
+    """table_id, row_id, role, col: what each row would be as a header."""
+    return header_candidates(cells).select("table_id", "row_id", F.inline("roles")).select("table_id", "row_id", "role", "col")
+
+
+def header_candidates(cells: DataFrame) -> DataFrame:
+    """table_id, row_id, roles (array of role, col) of the rows that fit any role. One shuffle brings a row's cells together.
 
     Roles choose in order of priority, each the first fitting column that is free: a fold over the row's columns.
     """
     cell = F.lower(F.trim(F.coalesce("value", F.lit(""))))
-    fits = cells.select("table_id", "row_id", "col", F.explode(_role_numbers(cell)).alias("role"))
-    options = fits.groupBy("table_id", "row_id", "role").agg(F.array_sort(F.collect_list("col")).alias("cols"))
-    rows = options.groupBy("table_id", "row_id").agg(F.array_sort(F.collect_list(F.struct("role", "cols"))).alias("options"))
+    fits = dates.once(cells.select("table_id", "row_id", "col", "value"), dates.bound(cell, _role_numbers).alias("fits")).where(F.size("fits") > 0)
+    rows = fits.groupBy("table_id", "row_id").agg(F.array_sort(F.collect_list(F.struct("col", "fits"))).alias("cells"))
 
-    def choose(state: Column, option: Column) -> Column:
-        free = F.filter(option["cols"], lambda c: ~F.exists(state, lambda s: s["col"] == c))
-        return F.when(F.size(free) > 0, F.array_append(state, F.struct(option["role"].alias("role"), F.element_at(free, 1).alias("col")))).otherwise(state)
+    def choose(state: Column, role: Column) -> Column:
+        free = F.filter("cells", lambda c: F.array_contains(c["fits"], role) & ~F.exists(state, lambda s: s["col"] == c["col"]))
+        return F.when(F.size(free) > 0, F.array_append(state, F.struct(role.alias("role"), F.element_at(free, 1)["col"].alias("col")))).otherwise(state)
 
     empty = F.expr("cast(array() as array<struct<role:int,col:int>>)")
-    taken = F.aggregate("options", empty, choose)
+    taken = F.aggregate(F.sequence(F.lit(0), F.lit(len(ROLE_PRIORITY) - 1)), empty, choose)
     names = F.array(*[F.lit(r) for r in ROLE_PRIORITY])
-    return rows.select("table_id", "row_id", F.inline(taken)).select("table_id", "row_id", F.element_at(names, F.col("role") + 1).alias("role"), "col")
+    return rows.select("table_id", "row_id", F.transform(taken, lambda t: F.struct(F.element_at(names, t["role"] + 1).alias("role"), t["col"].alias("col"))).alias("roles"))
 
 
-def header_rows(cells: DataFrame) -> DataFrame:
-    """table_id, header_row, score: of the first rows the one with most roles, dates and week bounds counting more; earliest on ties."""
+def _headers(cells: DataFrame) -> DataFrame:
+    """table_id, header_row, score, roles: of the first rows the one with most roles, dates and week bounds counting more; earliest
+    on ties. Rows beyond the first are dropped before the shuffle."""
     nth = F.dense_rank().over(W.partitionBy("table_id").orderBy("row_id"))
-    # Rows are numbered on distinct keys, so a long table costs one small row a row.
-    first = cells.select("table_id", "row_id").distinct().withColumn("nth", nth).where(F.col("nth") <= HEADER_ROWS)
-    roles = assign_roles(cells.join(first, ["table_id", "row_id"], "left_semi"))
-    has = lambda *names: F.max(F.col("role").isin(*names).cast("int"))
-    scores = roles.groupBy("table_id", "row_id").agg((F.count("*") + 2 * has("date") + 2 * has("week_start", "week_end")).alias("score"))
-    best = scores.groupBy("table_id").agg(F.min_by(F.struct("row_id", "score"), F.struct(-F.col("score"), F.col("row_id"))).alias("best"))
-    return best.select("table_id", F.col("best.row_id").alias("header_row"), F.col("best.score").alias("score"))
+    first = cells.select("table_id", "row_id", "col", "value", nth.alias("nth")).where(F.col("nth") <= HEADER_ROWS)
+    has = lambda *names: F.exists("roles", lambda r: r["role"].isin(*names)).cast("int")
+    score = (F.size("roles") + 2 * has("date") + 2 * has("week_start", "week_end")).cast("long")
+    scored = header_candidates(first).withColumn("score", score)
+    best = scored.groupBy("table_id").agg(F.min_by(F.struct("row_id", "score", "roles"), F.struct(-F.col("score"), F.col("row_id"))).alias("best"))
+    return best.select("table_id", F.col("best.row_id").alias("header_row"), F.col("best.score").alias("score"), F.col("best.roles").alias("roles"))
+
+
+def header_rows(cells: DataFrame) -> DataFrame:
+    """table_id, header_row, score of each table in which some row fits a role."""
+    return _headers(cells).drop("roles")
 
 
 def role_columns(cells: DataFrame, headers: DataFrame | None = None) -> DataFrame:
-    """table_id, row_id and a text column for each role, of the rows below each table's header (found if not given)."""
-    headers = header_rows(cells) if headers is None else headers
-    at = headers.select("table_id", F.col("header_row").alias("row_id"))
-    roles = assign_roles(cells.join(at, ["table_id", "row_id"], "left_semi")).select("table_id", "role", "col")
-    rows = cells.join(headers.select("table_id", "header_row"), "table_id").where("row_id > header_row").join(roles, ["table_id", "col"], "left")
+    """table_id, row_id and a text column for each role, of the rows below each table's header (found if not given); row_text, the
+    row's lower-cased text, and row_cells, its values in order of columns.
+
+    Cells are read twice: for the headers, one small row a table, and for the rows below these.
+    """
+    if headers is None:
+        found = _headers(cells).select("table_id", "header_row", "roles")
+    else:
+        at = headers.select("table_id", F.col("header_row").alias("row_id"))
+        found = header_candidates(cells.join(at, ["table_id", "row_id"], "left_semi")).withColumnRenamed("row_id", "header_row")
+    rows = cells.join(found, "table_id").where("row_id > header_row")
+    role = F.element_at(F.filter("roles", lambda r: r["col"] == F.col("col")), 1)["role"]
+    rows = rows.select("table_id", "row_id", "col", "value", F.when(F.exists("roles", lambda r: r["col"] == F.col("col")), role).alias("role"))
+    listed = F.array_sort(F.collect_list(F.struct("col", "value")))
     return rows.groupBy("table_id", "row_id").agg(
         *[F.max(F.when(F.col("role") == r, F.col("value"))).alias(r) for r in ROLE_PRIORITY],
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", F.lower(F.trim("value")).alias("v")))), lambda x: x["v"]), " ").alias("row_text"),
+        F.array_join(F.transform(listed, lambda x: F.lower(F.trim(x["value"]))), " ").alias("row_text"),
+        F.transform(listed, lambda x: x["value"]).alias("row_cells"),
     )
 
 
-def daily_grid(rows: DataFrame, order: Column, base_year: Column, most: float = 16.0) -> DataFrame:
+def daily_grid(rows: DataFrame, order: Column, base_year: Column, most: float = 16.0, period: Column | None = None) -> DataFrame:
     """Entries of role_columns() rows that have a date: table_id, row_id, d, regular, overtime, total, project, note, issue.
 
     Generic hours are the total only without regular and total; then in and out times count. Rows blank in all hour columns
-    are no entries; unreadable ones are entries with an issue.
+    are no entries; unreadable ones are entries with an issue. With a period (the month's first day) dates of a spreadsheet's empty
+    epoch move into its month, entries of other months go, and a column `recovered` marks moved dates.
     """
-    # Texts are parsed once, in a projection of their own; what follows works on numbers.
+    # Texts are parsed once; what follows works on numbers.
     hour_cols = ("regular", "overtime", "total", "hours", "in", "out")
+    rows = dates.once(rows, dates.parse_date(F.col("date"), order, base_year).alias("read")).where("read is not null")
+    moved = F.lit(None).cast("date") if period is None else dates.rescue_epoch(F.col("read"), period)
+    rows = rows.withColumns({"d": F.coalesce(moved, "read"), "recovered": moved.isNotNull()})
+    if period is not None:
+        rows = rows.where(F.trunc("d", "MM") == period)
     clocks = [hours.parse_clock(F.col(c)).alias(f"{c}_s") for c in ("in", "out", "lunch_out", "lunch_in")]
-    parsed = rows.select("table_id", "row_id", "project", "note", *hour_cols, dates.parse_date(F.col("date"), order, base_year).alias("d"), *[hours.parse_hours(F.col(c)).alias(f"{c}_h") for c in hour_cols[:4]], *clocks)
-    parsed = parsed.where("d is not null")
+    rows = dates.once(rows.select("table_id", "row_id", "d", "recovered", "project", "note", *ROLE_CELLS), *[hours.parse_hours(F.col(c)).alias(f"{c}_h") for c in hour_cols[:4]], *clocks)
     clock = hours.hours_between(F.col("in_s"), F.col("out_s"), hours.lunch_minutes(F.col("lunch_out_s"), F.col("lunch_in_s")))
     bare = F.col("regular_h").isNull() & F.col("total_h").isNull()
-    rows = parsed.withColumn("t0", F.when(bare, F.coalesce("hours_h", clock)).otherwise(F.col("total_h")))
+    rows = rows.withColumn("t0", F.when(bare, F.coalesce("hours_h", clock)).otherwise(F.col("total_h")))
     r, o, t = hours.split_hours(F.col("t0"), F.col("regular_h"), F.col("overtime_h"))
     present = reduce(lambda a, b: a | b, [F.coalesce(F.trim(c), F.lit("")) != "" for c in hour_cols])
     clean = lambda c: F.nullif(F.trim(c), F.lit(""))
-    got = rows.select("table_id", "row_id", "d", r.alias("r"), o.alias("o"), t.alias("t"), clean("project").alias("project"), clean("note").alias("note"), present.alias("present"))
+    got = rows.select("table_id", "row_id", "d", "recovered", r.alias("r"), o.alias("o"), t.alias("t"), clean("project").alias("project"), clean("note").alias("note"), present.alias("present"))
     has = F.col("r").isNotNull() | F.col("o").isNotNull() | F.col("t").isNotNull()
     issue = F.when(~has, F.lit("UNCLEAR")).when(F.col("t") > most, F.lit("OUT_OF_RANGE"))
-    return got.where(has | F.col("present")).select("table_id", "row_id", "d", F.col("r").alias("regular"), F.col("o").alias("overtime"), F.col("t").alias("total"), "project", "note", issue.alias("issue"))
+    extra = [] if period is None else ["recovered"]
+    return got.where(has | F.col("present")).select("table_id", "row_id", "d", F.col("r").alias("regular"), F.col("o").alias("overtime"), F.col("t").alias("total"), "project", "note", issue.alias("issue"), *extra)
+
+
+#: Columns that a day's hours are read from.
+ROLE_CELLS = ("regular", "overtime", "total", "hours", "in", "out", "lunch_out", "lunch_in")
+
+
+def stated_totals(rows: DataFrame, order: Column, base_year: Column, *bounds: str) -> DataFrame:
+    """table_id, stated_total: of rows without a date in the columns `bounds` that speak of a month's total the last one's first
+    positive number."""
+    texts = rows.where(F.col("row_text").contains("month") & F.col("row_text").contains("total"))
+    undated = reduce(lambda a, b: a & b, [dates.parse_date(F.col(c), order, base_year).isNull() for c in bounds])
+    got = texts.where(undated).select("table_id", "row_id", F.get(F.filter(F.transform("row_cells", hours.parse_hours), lambda h: h > 0), F.lit(0)).alias("h"))
+    return got.where("h is not null").groupBy("table_id").agg(F.max_by("h", "row_id").alias("stated_total"))
 
 
 def weekly_totals(rows: DataFrame, order: Column, base_year: Column) -> DataFrame:
@@ -126,14 +164,21 @@ def weekly_totals(rows: DataFrame, order: Column, base_year: Column) -> DataFram
     A missing bound is the other plus or minus six days; regular falls back to generic hours; rows without hours go.
     """
     start, end = (dates.parse_date(F.col(c), order, base_year) for c in ("week_start", "week_end"))
+    rows = dates.once(rows.select("table_id", "row_id", "week_start", "week_end", "regular", "overtime", "total", "hours"), start.alias("s"), end.alias("e")).where("s is not null or e is not null")
     reg = F.coalesce(hours.parse_hours(F.col("regular")), hours.parse_hours(F.col("hours")))
-    rows = rows.select("table_id", "row_id", start.alias("s"), end.alias("e"), reg.alias("r0"), hours.parse_hours(F.col("overtime")).alias("o0"), hours.parse_hours(F.col("total")).alias("t0"))
-    rows = rows.where("(s is not null or e is not null) and (r0 is not null or o0 is not null or t0 is not null)")
+    rows = dates.once(rows.select("table_id", "row_id", "s", "e", "regular", "overtime", "total", "hours"), reg.alias("r0"), hours.parse_hours(F.col("overtime")).alias("o0"), hours.parse_hours(F.col("total")).alias("t0"))
+    rows = rows.where("r0 is not null or o0 is not null or t0 is not null")
     r, o, t = hours.split_hours(F.col("t0"), F.col("r0"), F.col("o0"))
     bounds = [F.coalesce("s", F.date_sub("e", 6)).alias("week_start"), F.coalesce("e", F.date_add("s", 6)).alias("week_end")]
     return rows.select("table_id", "row_id", *bounds, r.alias("regular"), o.alias("overtime"), t.alias("total"))
 
 
+def period_anchor(text: Column, order: Column, base_year: Column) -> Column:
+    """The first date of a range such as "03/29/2026 to 04/04/2026" in a text."""
+    day = r"[0-9]{1,4}[/\-.][0-9]{1,2}[/\-.][0-9]{1,4}"
+    return dates.parse_date(F.regexp_extract(text, rf"({day}).{{0,6}}(?:to|-|–|—).{{0,6}}{day}", 1), order, base_year)
+
+
 def weekday_matrix(cells: DataFrame, anchors: DataFrame) -> DataFrame:
     """table_id, d, total: columns named like weekdays, in their order, are the days from anchors(table_id, anchor, header_row) on.
 
@@ -143,10 +188,11 @@ def weekday_matrix(cells: DataFrame, anchors: DataFrame) -> DataFrame:
     is_day = name.isin(*DAY_NAMES) | ((F.length(name) <= 4) & F.substring(name, 1, 3).isin(*[d[:3] for d in DAY_NAMES]))
     heads = cells.join(anchors, "table_id").where((F.col("row_id") == F.col("header_row")) & is_day)
     by = W.partitionBy("table_id")
-    heads = heads.select("table_id", "col", "anchor", F.row_number().over(by.orderBy("col")).alias("k"), F.count("*").over(by).alias("n")).where("n >= 5")
-    rows = cells.join(anchors.select("table_id", "header_row"), "table_id").where("row_id > header_row").join(heads, ["table_id", "col"])
-    h = rows.select("table_id", F.expr("date_add(anchor, k - 1)").alias("d"), hours.parse_hours(F.col("value")).alias("h")).where("h > 0")
-    return h.groupBy("table_id", "d").agg(F.round(F.sum("h"), 2).alias("total"))
+    heads = heads.select("table_id", "col", "anchor", "header_row", F.row_number().over(by.orderBy("col")).alias("k"), F.count("*").over(by).alias("n")).where("n >= 5 and anchor is not null")
+    rows = cells.join(heads, ["table_id", "col"]).where("row_id > header_row")
+    day = F.expr("date_add(anchor, k - 1)")
+    read = dates.once(rows.select("table_id", day.alias("d"), "value"), hours.parse_hours(F.col("value")).alias("h")).where("h > 0")
+    return read.groupBy("table_id", "d").agg(F.round(F.sum("h"), 2).alias("total"))
 
 
 def best_strategy(results: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window as W
 
 from hourloom.functions import dates, hours
 
-#: A date in a line: ISO, numeric, or with a month's name.
+#: A date in a line (ISO, numeric, or with a month's name), labelled hours, a decimal, a number with a pay code. Digits
+#: are ASCII ones, so that all engines agree.
 DATE = (
     r"\b[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\b|\b[0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2,4}\b"
     r"|\b[0-9]{1,2}[ \-/][A-Za-z]{3,9}[ \-/,]+[0-9]{2,4}\b|\b[A-Za-z]{3,9}[ \-/.]+[0-9]{1,2},?\s+[0-9]{2,4}\b"
@@ -19,11 +20,12 @@ PAY_CODE = r"(?i)(?<![:0-9.])([0-9]{1,2})\s+(?:regular|over\s*time|overtime|o\.?
 
 
 def date_orders(lines: DataFrame, period: Column) -> DataFrame:
-    """file, date_order of lines(file, text): by parts above 12, else by hits on the period's month, ties MDY."""
+    """file, date_order of lines(file, text): by parts above 12, else by which order puts more dates into the period's month of any
+    year; ties MDY."""
     tokens = lines.select("file", F.explode(dates.date_tokens(F.col("text"))).alias("t"))
-    a, b, c = (F.regexp_extract("t", dates.NUMERIC, k).cast("int") for k in (1, 2, 3))
-    parts = tokens.select("file", a.alias("a"), b.alias("b"), dates.full_year(c, F.year(period)).alias("y")).where("a <= 31")
-    of_month = lambda part: F.count_if((F.col(part) == F.month(period)) & (F.col("y") == F.year(period)))
+    a, b = (F.regexp_extract("t", dates.NUMERIC, k).cast("int") for k in (1, 2))
+    parts = tokens.select("file", a.alias("a"), b.alias("b")).where("a <= 31")
+    of_month = lambda part: F.count_if(F.col(part) == F.month(period))
     votes = parts.groupBy("file").agg(
         F.count_if(F.col("a") > 12).alias("a12"), F.count_if(F.col("b") > 12).alias("b12"), of_month("b").alias("dmy"), of_month("a").alias("mdy")
     )
@@ -45,12 +47,12 @@ def labelled_hours(lines: DataFrame, orders: DataFrame, base_year: Column, most:
     labelled = F.when(F.col("line").rlike(LABEL), F.regexp_extract("line", LABEL, 1).try_cast("double"))
     rows = lines.withColumn("label", F.first(labelled, ignorenulls=True).over(near)).join(orders, "file")
     found = F.regexp_extract_all("line", F.lit(DATE), F.lit(0))
-    rows = rows.withColumn("found", found).where((F.size("found") == 1) & ~F.lower("line").contains("period"))
-    rows = rows.withColumn("date", dates.parse_date(F.col("found")[0], F.col("date_order"), base_year)).where("date is not null")
+    rows = dates.once(rows, found.alias("found")).where((F.size("found") == 1) & ~F.lower("line").contains("period"))
+    rows = dates.once(rows, dates.parse_date(F.col("found")[0], F.col("date_order"), base_year).alias("date")).where("date is not null")
     after = F.expr("substring(line, instr(line, found[0]) + length(found[0]))")
     same = F.coalesce(F.when(after.rlike(VALUE), F.regexp_extract(after, VALUE, 1).try_cast("double")), F.when(after.rlike(PAY_CODE), F.regexp_extract(after, PAY_CODE, 1).try_cast("double")))
     ok = lambda c: F.when(c.between(0, most), c)
-    rows = rows.withColumn("value", F.coalesce(ok(same), ok(F.col("label")))).where("value is not null")
+    rows = dates.once(rows, F.coalesce(ok(same), ok(F.col("label"))).alias("value")).where("value is not null")
     days = rows.groupBy("file", "date").agg(F.array_sort(F.collect_set(F.round("value", 2))).alias("seen"))
     r, o, t = hours.split_hours(F.when(F.size("seen") == 1, F.col("seen")[0]), F.lit(None).cast("double"), F.lit(None).cast("double"))
     return days.select("file", "date", r.alias("regular"), o.alias("overtime"), t.alias("total"), F.size("seen").alias("distinct_values"), (F.size("seen") > 1).alias("unclear"))

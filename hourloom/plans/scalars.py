@@ -106,8 +106,8 @@ def date_order_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["date_order_vote"] = r"""SELECT file, CASE WHEN a12 > 0 AND b12 = 0 THEN 'DMY' WHEN b12 > 0 AND a12 = 0 THEN 'MDY' WHEN dmy > mdy THEN 'DMY' ELSE 'MDY' END AS date_order
-FROM (SELECT file, count(*) FILTER (a > 12 AND a <= 31) AS a12, count(*) FILTER (b > 12 AND a <= 31) AS b12, count(*) FILTER (b = 1 AND c = 1998 AND a <= 31) AS dmy,
-  count(*) FILTER (a = 1 AND c = 1998) AS mdy
+FROM (SELECT file, count(*) FILTER (a > 12 AND a <= 31) AS a12, count(*) FILTER (b > 12 AND a <= 31) AS b12, count(*) FILTER (b = 1 AND a <= 31) AS dmy,
+  count(*) FILTER (a = 1) AS mdy
   FROM (SELECT file, CAST(split_part(tok, '/', 1) AS INT) AS a, CAST(split_part(tok, '/', 2) AS INT) AS b, CAST(split_part(tok, '/', 3) AS INT) AS c
         FROM (SELECT file, regexp_extract(line, '[0-9]+/[0-9]+/[0-9]+') AS tok FROM v_lines)) GROUP BY file)"""
 
