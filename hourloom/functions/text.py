@@ -65,3 +65,20 @@ def name_hint(stem: Column, companies: Sequence[str] = ()) -> Column:
     s = F.regexp_replace(F.regexp_replace(s, r"\b20[0-9]{2}\b", ""), EDGES, "")
     whole = F.regexp_replace(spaced, EDGES, "")
     return F.when((s == "") | F.lower(s).isin(*NO_NAMES, *companies), F.when(whole != "", whole).otherwise(stem)).otherwise(s)
+
+
+def distinguishing_words(stem: Column, companies: Sequence[str] = ()) -> Column:
+    """The last three words of a file's stem that can be parts of a name: no dates, long numbers, timesheet words, months, companies
+    (lower case), words in capitals or of one or two letters."""
+    s = F.regexp_replace(stem, r"[_\-]+", " ")
+    s = F.regexp_replace(s, r"\b20[0-9]{2}\b|[0-9]{1,2}[/.][0-9]{1,2}(?:[/.][0-9]{2,4})?|[0-9]{5,}", " ")
+    s = F.regexp_replace(s, rf"(?i)\b(timesheets?|time\s*sheet|ts|april|bi\s*monthly|{'|'.join(MONTHS)})\b", " ")
+    fine = lambda w: (F.length(w) > 2) & ~(w.rlike("[A-Z]") & (F.upper(w) == w)) & ~F.lower(w).isin(*NO_NAMES, *companies)
+    words = F.filter(F.split(F.trim(s), r"\s+"), fine)
+    return F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3))
+
+
+def canonical(value: Column) -> Column:
+    """A typed time of a spreadsheet cell as text: the date alone at midnight, else the ISO form."""
+    midnight = F.date_format(value, "HH:mm:ss") == "00:00:00"
+    return F.when(midnight, F.date_format(value, "yyyy-MM-dd")).otherwise(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"))

@@ -14,7 +14,7 @@ CONTRACT = (
     "entries array<struct<date:string,regular_hours:string,overtime_hours:string,total_hours:string,project:string>>, "
     "weekly_totals array<struct<week_start:string,week_end:string,regular_hours:string,overtime_hours:string,total_hours:string>>"
 )
-DEFAULT_CONFIDENCE, WEAK = 0.65, 0.6
+DEFAULT_CONFIDENCE, WEAK, EMPTY = 0.65, 0.6, 0.3
 
 
 def json_part(text: Column) -> Column:
@@ -88,3 +88,32 @@ def covers_month(worked: Column, pages: Column) -> Column:
     """Worked days reach 0.6 of what so many pages should hold."""
     expected = F.when(pages == 1, F.greatest(F.least(5 * pages, F.lit(22)), F.lit(8))).otherwise(F.least(5 * pages, F.lit(22)))
     return worked >= 0.6 * expected
+
+
+def contract_results(answers: DataFrame) -> DataFrame:
+    """file, employee_name, client, confidence, needs_llm of each answer: an unreadable confidence is the default, an answer without
+    entries and weeks is at most weakly trusted and asks for another read."""
+    size = lambda c: F.greatest(F.coalesce(F.size(f"answer.{c}"), F.lit(0)), F.lit(0))
+    empty = size("entries") + size("weekly_totals") == 0
+    stated = F.coalesce(F.col("answer.confidence").try_cast("double"), F.lit(DEFAULT_CONFIDENCE))
+    return read_contract(answers).select("file", clean(F.col("answer.employee_name")).alias("employee_name"), clean(F.col("answer.client")).alias("client"), F.when(empty, F.least(stated, F.lit(EMPTY))).otherwise(stated).alias("confidence"), empty.alias("needs_llm"))
+
+
+def in_month(entries: DataFrame, period: Column) -> DataFrame:
+    """Entries of one month."""
+    return entries.where(F.trunc("d", "MM") == period)
+
+
+def larger_read(reads: DataFrame) -> DataFrame:
+    """Per file of reads(file, seq, worked, hours, pages): the first read where it covers its pages, else the one with more hours (the
+    earlier among equals)."""
+    first = F.min_by(F.struct("seq", "worked", "hours", "pages"), "seq")
+    most = F.max_by(F.struct("seq", "worked", "hours", "pages"), F.struct("hours", -F.col("seq")))
+    got = reads.groupBy("file").agg(first.alias("a"), most.alias("b"))
+    keep = covers_month(F.col("a.worked"), F.col("a.pages"))
+    return got.select("file", F.when(keep, F.col("a.seq")).otherwise(F.col("b.seq")).alias("seq"), F.when(keep, F.col("a.hours")).otherwise(F.col("b.hours")).alias("hours"), keep.alias("covers"))
+
+
+def grounding(text: Column, confidence: Column, least: float = 55.0) -> Column:
+    """Text of an OCR read that may ground a model's answer; null where the read is too weak."""
+    return F.when(confidence >= least, text)

@@ -139,6 +139,11 @@ def drop_settled(issues: DataFrame, days: DataFrame) -> DataFrame:
     return issues.where(~unreadable).unionByName(issues.where(unreadable).join(settled, ["emp", "date"], "left_anti").select(issues.columns))
 
 
+def by_name(people: DataFrame, name: str = "employee_name") -> DataFrame:
+    """People by name without regard to case; those without a name count as "Unknown"."""
+    return people.orderBy(F.lower(F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit("Unknown"))), name)
+
+
 def day_status(days: DataFrame, calendar: DataFrame, issues: DataFrame) -> DataFrame:
     """Flags of every calendar day of active months: weekend, holiday, missing, overtime, flagged (an issue above info)."""
     bad = issues.where(F.col("severity") != "info").select("emp", F.col("date").alias("d")).distinct().withColumn("bad", F.lit(True))

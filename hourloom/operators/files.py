@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: Extensions of each kind, and names that are no documents.
 EXTENSIONS = {
@@ -92,3 +93,20 @@ def referenced(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         out = out.union(t.select("file"))
     return out.where("file is not null").distinct()
+
+
+def arrival(files: DataFrame, buckets: int = 64) -> DataFrame:
+    """files with file_seq, their place in the order of paths, which breaks all ties later on.
+
+    Paths are dealt to ordered ranges; a range's place follows from the sizes of those before it, so no task sees all paths.
+    """
+    ranged = files.repartitionByRange(buckets, "path").withColumn("range", F.spark_partition_id())
+    by = W.partitionBy("range").orderBy("path")
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("range", "before")
+    return ranged.withColumn("nth", F.row_number().over(by)).join(before, "range").select(*files.columns, (F.col("before") + F.col("nth") - 1).alias("file_seq"))
+
+
+def with_attachments(documents: DataFrame, attachments: DataFrame) -> DataFrame:
+    """documents(file, kind, text) and what was extracted from their attachments(file, parent, kind, text), under the mail's file."""
+    return documents.select("file", "kind", "text").unionByName(attachments.select(F.col("parent").alias("file"), "kind", "text"))

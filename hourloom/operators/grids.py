@@ -237,3 +237,10 @@ def sheet_rows(cells: DataFrame, rows: int = 400, cols: int = 64) -> DataFrame:
     lists = kept.groupBy("table_id", "row_id").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("m"), F.max("col").alias("last"))
     line = F.array_join(F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(""))), " | ")
     return lists.select("table_id", "row_id", line.alias("line"))
+
+
+def clean_tables(cells: DataFrame, least_rows: int = 2) -> DataFrame:
+    """Cells of page and document tables: texts trimmed, tables of fewer rows dropped, and `is_header` on each table's first row."""
+    sizes = cells.groupBy("table_id").agg(F.count_distinct("row_id").alias("rows"), F.min("row_id").alias("header_row")).where(F.col("rows") >= least_rows)
+    rows = cells.join(sizes.select("table_id", "header_row"), "table_id")
+    return rows.select("table_id", "row_id", "col", F.trim("value").alias("value"), (F.col("row_id") == F.col("header_row")).alias("is_header"))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def word_lines(words: DataFrame, *keys: str) -> DataFrame:
-    """Words of each line from left to right, with the mean confidence; blank words and those of confidence below 0 go."""
+def word_lines(words: DataFrame, *keys: str, tie: str = "text") -> DataFrame:
+    """Words of each line from left to right, by the column `tie` among equals, with the mean confidence; blank words and those of
+    confidence below 0 go."""
     kept = words.where((F.trim("text") != "") & (F.col("conf") >= 0))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left_px", "l_suppkey", "text"))), lambda x: x["text"]), " ")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left_px", F.col(tie).alias("tie"), "text"))), lambda x: x["text"]), " ")
     return kept.groupBy(*keys).agg(text.alias("text"), F.round(F.coalesce(F.avg("conf"), F.lit(0.0)), 1).alias("confidence"))
 
 

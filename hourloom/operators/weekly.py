@@ -46,6 +46,28 @@ def rollup(weeks: DataFrame, daily: DataFrame) -> DataFrame:
     return both
 
 
+def dedupe_split(weekly: DataFrame) -> DataFrame:
+    """dedupe() of weeks that also have regular and overtime, which the kept row brings along."""
+    first = F.min_by(F.struct("total", "regular", "overtime", "seq"), F.struct(-F.coalesce("total", F.lit(0.0)), F.col("seq")))
+    rows = weekly.groupBy("emp", "week_start", "week_end").agg(first.alias("best"), F.count("*").alias("n"), F.count_distinct(F.round("total", 2)).alias("distinct_totals"))
+    code = F.when((F.col("n") > 1) & (F.col("distinct_totals") > 1), F.lit("CONFLICT")).when(F.col("n") > 1, F.lit("DUPLICATE"))
+    return rows.select("emp", "week_start", "week_end", "best.*", "n", code.alias("code"))
+
+
+def rollup_split(weeks: DataFrame, daily: DataFrame) -> DataFrame:
+    """emp, period, regular, overtime, total, days_worked: rollup() with its parts. weeks: of dedupe_split; daily: emp, d, regular,
+    overtime, total. A week's total that isn't split counts as regular."""
+    parts = weeks.select("emp", "week_start", "week_end", F.coalesce("regular", "total").alias("regular"), "overtime")
+    per = coverage(weeks.select("emp", "week_start", "week_end", "total", "seq"), daily).groupBy("emp", "week_start", "week_end", F.trunc("d", "MM").alias("period")).agg(F.first("total").alias("t"), (F.count("*") / F.first("span")).alias("share"))
+    per = per.join(parts, ["emp", "week_start", "week_end"])
+    part = lambda c: F.coalesce(F.sum(F.col(c) * F.col("share")), F.lit(0.0)).alias(c)
+    by_week = per.withColumn("total", F.col("t")).groupBy("emp", "period").agg(part("regular"), part("overtime"), part("total"), F.coalesce(F.sum(F.bround(F.col("t") * F.col("share") / 8)), F.lit(0)).cast("long").alias("days_worked"))
+    plain = lambda c: F.coalesce(F.sum(c), F.lit(0.0)).alias(c)
+    by_day = daily.groupBy("emp", F.trunc("d", "MM").alias("period")).agg(plain("regular"), plain("overtime"), plain("total"), F.count_if(F.col("total") > 0).alias("days_worked"))
+    two = lambda c: F.round(F.sum(c), 2).alias(c)
+    return by_week.unionByName(by_day).groupBy("emp", "period").agg(two("regular"), two("overtime"), two("total"), F.sum("days_worked").alias("days_worked"))
+
+
 def stated_mismatch(months: DataFrame, stated: DataFrame, slack: float = MONTH_SLACK) -> DataFrame:
     """emp, period, total, stated: months whose stated total is off by more than slack."""
     return months.join(stated, ["emp", "period"]).where(F.abs(F.col("stated") - F.col("total")) > slack).select("emp", "period", "total", "stated")

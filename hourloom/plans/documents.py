@@ -224,7 +224,7 @@ ORACLE["file_reconcile"] = "SELECT CASE WHEN p_size % 6 = 5 THEN 'rejected' ELSE
 
 
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.word_lines(view(spark, sf_dir, "v_words"), "file", "line")
+    return ocr.word_lines(view(spark, sf_dir, "v_words"), "file", "line", tie="l_suppkey")
 
 
 ORACLE["ocr_lines"] = """SELECT file, line, string_agg(text, ' ' ORDER BY left_px, l_suppkey) AS text, round(avg(conf), 1) AS confidence FROM v_words WHERE conf >= 0 GROUP BY file, line"""

@@ -84,6 +84,34 @@ FROM orders""",
     "v_profiles": """SELECT c_custkey AS user_id, c_name AS full_name, n_name AS client,
        CASE WHEN c_custkey % 50 = 0 THEN 'admin' ELSE 'employee' END AS role
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
+    "v_files": """SELECT c_custkey AS file_seq, concat('f', CAST(c_custkey AS STRING)) AS file, concat('Person ', CAST(c_custkey % 39 AS STRING)) AS name_hint,
+       c_mktsegment AS client_hint, c_custkey % 8 AS layout
+FROM customer""",
+    "v_layout_rows": """SELECT o_custkey AS table_id, concat('f', CAST(o_custkey AS STRING)) AS file, o_orderkey AS row_id, o_custkey % 8 AS layout,
+       CAST(o_orderdate AS DATE) AS d, o_orderkey % 9 AS h, o_orderkey % 50 AS w,
+       CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING)
+            ELSE concat(CAST(month(o_orderdate) AS STRING), '/', CAST(day(o_orderdate) AS STRING), '/', CAST(year(o_orderdate) AS STRING)) END AS written
+FROM orders""",
+    "v_layout_cells": """SELECT file, table_id, row_id, 0 AS col, written AS value FROM v_layout_rows WHERE layout IN (0, 1, 4, 5)
+UNION ALL
+SELECT file, table_id, row_id, 1, CASE WHEN row_id % 4 = 0 THEN 'off' WHEN row_id % 7 = 0 THEN concat(CAST(h AS STRING), ' hrs') ELSE CAST(h AS STRING) END FROM v_layout_rows WHERE layout IN (0, 4)
+UNION ALL
+SELECT file, table_id, row_id, 2, CASE WHEN row_id % 3 = 0 THEN '1:30' ELSE ' ' END FROM v_layout_rows WHERE layout IN (0, 4) AND row_id % 5 > 0
+UNION ALL
+SELECT file, table_id, row_id, 1, CAST(w AS STRING) FROM v_layout_rows WHERE layout IN (1, 5)
+UNION ALL
+SELECT file, table_id, row_id, 0, '' FROM v_layout_rows WHERE layout = 3
+UNION ALL
+SELECT file, table_id, row_id, 1, CAST(w AS STRING) FROM v_layout_rows WHERE layout = 3
+UNION ALL
+SELECT file, file_seq, -1, 0, CASE layout WHEN 0 THEN 'Date' WHEN 4 THEN ' Work DATE ' WHEN 1 THEN 'Week Ending' WHEN 5 THEN 'Timesheet End' WHEN 3 THEN 'Period' ELSE 'x' END FROM v_files WHERE layout NOT IN (2, 6)
+UNION ALL
+SELECT file, file_seq, -1, 1, CASE layout WHEN 0 THEN 'Regular Hours' WHEN 4 THEN 'Reg.' WHEN 7 THEN 'y' ELSE 'Total Hours' END FROM v_files WHERE layout NOT IN (2, 6)
+UNION ALL
+SELECT file, file_seq, -1, 2, CASE layout WHEN 0 THEN 'OT' ELSE 'Overtime' END FROM v_files WHERE layout IN (0, 4)
+UNION ALL
+SELECT file, file_seq, -2, 0, 'Weekly report of hours worked' FROM v_files WHERE layout IN (0, 4)""",
+    "v_layout_lines": """SELECT file, row_id AS line_no, concat(written, '  ', CAST(h AS STRING), '.50') AS line FROM v_layout_rows WHERE layout IN (2, 6)""",
     "v_paths": """SELECT p_partkey AS file_seq,
        concat(replace(p_brand, '#', ' '), ' TS April -2026/', replace(p_name, ' ', '_'), '_timesheet_04-01-2026.',
               CASE p_size % 6 WHEN 0 THEN 'xlsx' WHEN 1 THEN 'csv' WHEN 2 THEN 'pdf' WHEN 3 THEN 'docx'
@@ -96,19 +124,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def expanded(names: list[str]) -> list[str]:
+    """Views in an order in which each stands behind those that it reads."""
+    out: list[str] = []
+    for name in names:
+        for v in [*expanded([v for v in VIEWS if v != name and re.search(rf"\b{v}\b", VIEWS[name])]), name]:
+            if v not in out:
+                out.append(v)
+    return out
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain table over the driver's tables of sf_dir."""
-    sql = VIEWS[name]
-    for t in TABLES:
-        if re.search(rf"\b{t}\b", sql):
-            table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(sql)
+    for own in expanded([name]):
+        sql = VIEWS[own]
+        for t in TABLES:
+            if re.search(rf"\b{t}\b", sql):
+                table(spark, sf_dir, t).createOrReplaceTempView(t)
+        got = spark.sql(sql)
+        if own != name:
+            got.createOrReplaceTempView(own)
+    return got
 
 
 def with_views(sql: str) -> str:
     """SQL whose domain tables are defined in front of it."""
-    used = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
-    heads = [f"{v} AS ({VIEWS[v]})" for v in used]
+    heads = [f"{v} AS ({VIEWS[v]})" for v in expanded([v for v in VIEWS if re.search(rf"\b{v}\b", sql)])]
     body = sql.strip()
     if not heads:
         return body
