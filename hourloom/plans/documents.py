@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from hourloom.functions import text
 from hourloom.operators import files, grids, lines, ocr
@@ -109,10 +110,13 @@ WHERE (month = 1 OR year = 1997) AND floor(total) > 0 GROUP BY user_id"""
 
 
 def sheet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.sheet_rows(_cells(spark, sf_dir).where("row_id >= 0").withColumn("row_id", F.col("row_id") % 400), 400, 3).groupBy("table_id").agg(F.count("*").alias("n_lines"))
+    """The lines of each customer's sheet within the sheet limits, its rows numbered from the top."""
+    nth = F.dense_rank().over(W.partitionBy("table_id").orderBy("row_id")) - 1
+    return grids.sheet_rows(_cells(spark, sf_dir).withColumn("row_id", nth))
 
 
-ORACLE["sheet_lines"] = "SELECT o_custkey AS table_id, count(DISTINCT o_orderkey % 400) AS n_lines FROM orders GROUP BY o_custkey"
+ORACLE["sheet_lines"] = """SELECT table_id, CAST(k - 1 AS INT) AS row_id, string_agg(coalesce(value, ''), ' | ' ORDER BY col) AS line FROM (
+SELECT *, dense_rank() OVER (PARTITION BY table_id ORDER BY row_id) AS k FROM v_cells) WHERE k <= 400 GROUP BY table_id, k"""
 
 
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,8 +168,6 @@ def table_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grids_digest(cells: DataFrame, rows: int) -> DataFrame:
-    from pyspark.sql.window import Window as W
-
     by = W.partitionBy("table_id").orderBy("row_id")
     first = cells.select("table_id", "row_id").distinct().withColumn("k", F.row_number().over(by)).where(F.col("k") <= rows)
     own = cells.join(first, ["table_id", "row_id"]).groupBy("table_id", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", F.coalesce("value", F.lit("")).alias("v")))), lambda x: x["v"]), " | ").alias("line"))
@@ -187,14 +189,15 @@ ELSE CASE p_partkey % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'unknown' ELSE 'unknown' E
 
 
 def pdf_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "documents").selectExpr("concat(lang, doc_id % 200) AS file", "doc_id AS page", "CASE WHEN doc_id % 3 = 0 THEN substring(text, 1, 60) ELSE substring(text, 1, 100) END AS text")
+    """Documents as pages of files; every third file's vowels are unreadable."""
+    pages = table(spark, sf_dir, "documents").selectExpr("concat(lang, floor(doc_id / 5)) AS file", "doc_id AS page", "CASE WHEN floor(doc_id / 5) % 3 = 0 THEN translate(text, 'aeioustnr', '§¤¬¦¶§¤¬¦') ELSE text END AS text")
     return files.pdf_kind(pages)
 
 
 ORACLE["pdf_profile"] = r"""SELECT file, pages, chars, CASE WHEN chars > 0 AND printable / chars < 0.6 THEN 'pdf_scanned' WHEN chars >= 80 * pages THEN 'pdf_native' ELSE 'pdf_scanned' END AS kind
-FROM (SELECT concat(lang, CAST(doc_id % 200 AS STRING)) AS file, count(*) AS pages, CAST(sum(length(trim(t, E' \n\t\r'))) AS BIGINT) AS chars,
+FROM (SELECT concat(lang, CAST(CAST(floor(doc_id / 5) AS BIGINT) AS STRING)) AS file, count(*) AS pages, CAST(sum(length(trim(t, E' \n\t\r'))) AS BIGINT) AS chars,
   CAST(sum(length(regexp_replace(t, '[^\p{L}\p{N}\s.,:/\-$%()]', '', 'g'))) AS DOUBLE) AS printable
-  FROM (SELECT lang, doc_id, CASE WHEN doc_id % 3 = 0 THEN substring(text, 1, 60) ELSE substring(text, 1, 100) END AS t FROM documents) GROUP BY 1)"""
+  FROM (SELECT lang, doc_id, CASE WHEN CAST(floor(doc_id / 5) AS BIGINT) % 3 = 0 THEN translate(text, 'aeioustnr', '§¤¬¦¶§¤¬¦') ELSE text END AS t FROM documents) GROUP BY 1)"""
 
 
 def client_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:

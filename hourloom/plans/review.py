@@ -21,7 +21,10 @@ ORACLE: dict[str, str] = {}
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that driver and executors share; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or f"file://{tempfile.mkdtemp()}"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -136,10 +139,10 @@ ORACLE["latest_file"] = f"SELECT u.id, u.user_id, u.year, u.month, l.id AS file_
 
 
 def admin_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.with_profiles(view(spark, sf_dir, "v_uploads"), view(spark, sf_dir, "v_profiles").where("user_id % 10 > 0")).select("id", "user_id", "full_name", "client", "total", "created_at").orderBy(F.desc("created_at"))
+    return review.with_profiles(view(spark, sf_dir, "v_uploads"), view(spark, sf_dir, "v_profiles")).select("id", "user_id", "full_name", "client", "total", "created_at").orderBy(F.desc("created_at"))
 
 
-ORACLE["admin_submissions"] = """SELECT u.id, u.user_id, coalesce(p.full_name, 'Unknown') AS full_name, coalesce(p.client, '—') AS client, u.total, u.created_at FROM v_uploads u LEFT JOIN (SELECT * FROM v_profiles WHERE user_id % 10 > 0) p ON u.user_id = p.user_id"""
+ORACLE["admin_submissions"] = """SELECT u.id, u.user_id, coalesce(p.full_name, 'Unknown') AS full_name, coalesce(p.client, '—') AS client, u.total, u.created_at FROM v_uploads u LEFT JOIN v_profiles p ON u.user_id = p.user_id"""
 
 
 def visible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

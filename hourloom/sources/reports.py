@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from hourloom.operators.files import is_document
 
@@ -23,17 +24,40 @@ def write_report(report: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").json(path)
 
 
+def latest_report(spark: SparkSession, path: str) -> DataFrame:
+    """The newest month of a stored report; other months' files aren't read."""
+    stored = spark.read.json(path)
+    newest = stored.agg(F.max(F.struct("year", "month")).alias("m")).first()["m"]
+    return stored.where((F.col("year") == newest["year"]) & (F.col("month") == newest["month"])) if newest else stored
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """path, length, content of all documents below a folder, hidden and system files left out."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(is_document(F.col("path")))
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """file, row_id, col, value of delimited files: all cells as text, nothing taken for null; the header is row 0."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\R")).alias("row_id", "line"))
-    cell = rf'(?:^|{separator})(?:"((?:[^"]|"")*)"|([^{separator}"]*))'
-    plain = F.transform(F.regexp_extract_all("line", F.lit(cell), F.lit(0)), lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, rf"^{separator}", ""), r'^"|"$', ""), '""', '"'))
-    return lines.where("line <> ''").select("file", "row_id", F.posexplode(plain).alias("col", "value"))
+#: Columns of a delimited file that are read.
+COLUMNS = 64
+
+
+def read_delimited(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """file, row_id, col, value of delimited files: all cells as text, nothing taken for null; the header is row 0.
+
+    By default .tsv files are cut at tabs and .csv files at commas. Quoted cells may hold separators, quotes and line breaks, so a file
+    is read by one task; empty cells, like those that ragged rows lack, are missing rows.
+    """
+    names = [f"c{k}" for k in range(COLUMNS)]
+
+    def read(sep: str, pattern: str) -> DataFrame:
+        options = {"header": "false", "sep": sep, "multiLine": "true", "quote": '"', "escape": '"', "nullValue": "\u0001", "emptyValue": "", "pathGlobFilter": pattern, "mode": "PERMISSIVE"}
+        rows = spark.read.options(**options).schema(", ".join(f"{c} string" for c in names)).csv(path)
+        numbered = rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.array(*names).alias("cells"))
+        return numbered.select("file", "at", F.posexplode("cells").alias("col", "value")).where("value is not null")
+
+    cells = read(separator, "*") if separator else read("\t", "*.tsv").unionByName(read(",", "*.csv"))
+    # Rows of a file stand in one partition, so their ids grow with their place.
+    nth = F.dense_rank().over(W.partitionBy("file").orderBy("at")) - 1
+    return cells.select("file", nth.cast("long").alias("row_id"), "col", "value")
 
 
 MAIL = "file string, part int, ctype string, filename string, disposition string, content string, subject string, sender string"

@@ -7,26 +7,50 @@ from pyspark.sql import functions as F
 
 from hourloom.operators.review import upsert
 
+#: A month's rows lie together, so a batch rewrites only the months that it touches.
+PARTS = ["year", "month"]
+
 
 def run_upserts(stream: DataFrame, target_path: str, checkpoint: str, keys: list[str], version: list[str]) -> int:
-    """Merge everything that the stream has into versions of a table under target_path; the number of batches.
+    """Merge everything that the stream has into a table by year and month under target_path; the number of batches.
 
-    A batch writes a new version of the table from the last one and its rows, named by the batch, so a batch that is
-    replayed after a failure writes the same version again. The stream itself keeps no state.
+    A batch writes new files of the months it touches, named by the batch, from their last ones and its rows; other months stay as they
+    are. A batch that is replayed after a failure reads what stood before it and so writes the same files again. The stream itself
+    keeps no state.
     """
     done = []
 
     def merge(batch: DataFrame, number: int) -> None:
-        out = f"{target_path}/version={number}"
-        new = batch if number == 0 else upsert(batch.sparkSession.read.parquet(f"{target_path}/version={number - 1}"), batch, keys, version)
-        (upsert(new.limit(0), new, keys, version) if number == 0 else new).write.mode("overwrite").parquet(out)
+        spark = batch.sparkSession
+        old = newest(spark, target_path, number)
+        if old is None:
+            new = upsert(batch.limit(0), batch, keys, version)
+        else:
+            touched = batch.select(*PARTS).distinct()
+            new = upsert(old.join(F.broadcast(touched), PARTS, "left_semi").select(batch.columns), batch, keys, version)
+        new.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *PARTS).parquet(target_path)
         done.append(number)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return max(done, default=-1) + 1
 
 
+def newest(spark: SparkSession, target_path: str, before: int | None = None) -> DataFrame | None:
+    """Each month's rows by its last batch, of those below `before`; None where nothing is stored. Which files count follows from the
+    folders' names, without reading rows."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(target_path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    stored = spark.read.parquet(target_path)
+    if before is not None:
+        stored = stored.where(F.col("batch") < before)
+    last = stored.groupBy(*PARTS).agg(F.max("batch").alias("batch"))
+    return stored.join(last, [*PARTS, "batch"], "left_semi").drop("batch")
+
+
 def read_latest(spark: SparkSession, target_path: str) -> DataFrame:
-    """The newest version of the table."""
-    versions = spark.read.parquet(target_path)
-    return versions.where(F.col("version") == versions.agg(F.max("version")).first()[0]).drop("version")
+    """The table as it is now."""
+    got = newest(spark, target_path)
+    if got is None:
+        raise ValueError(f"{target_path}: nothing stored")
+    return got

@@ -173,3 +173,50 @@ def test_conflicting_files_stream(spark):
     got = identity.split_conflicting(table)
     assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in got.collect()} == {(i, f, f % 3) for i in (1, 2, 3) for f in range(60)}
+
+
+def test_dates_stand_between_word_boundaries(spark):
+    tokens = lambda t: one(spark, t, dates.date_tokens)
+    assert tokens("12345/4/2026 x1/2/2026 4/5/2026y") == [] and tokens("on 4/5/2026, 1.2.26") == ["4/5/2026", "1.2.26"]
+    read = lambda t: one(spark, t, lambda c: dates.parse_date(c, F.lit("MDY"), F.lit(2026)))
+    assert read("12345/4/2026") is None and read("version 1.2.3.4.5x") == D(2003, 1, 2) and read("13/04/2026") == D(2026, 4, 13)
+    assert read("31-Feb-26") is None and read("Sept 5, 2026") is None and read("2026-02-30") is None and read("29.2.2024") == D(2024, 2, 29)
+
+
+def test_order_votes_count_months_of_any_year(spark):
+    lines_ = spark.createDataFrame([("a", "1/4/2019"), ("a", "2/4/2020"), ("b", "4/1/2019"), ("c", "5/6/2020")], "file string, text string")
+    got = {r.file: r.date_order for r in lines.date_orders(lines_, F.lit("2026-04-01").cast("date")).collect()}
+    assert got == {"a": "DMY", "b": "MDY", "c": "MDY"}
+
+
+def test_delimited_files(spark, tmp_path):
+    from hourloom.sources import reports
+
+    (tmp_path / "a.csv").write_text('Date,"Hours, total",Note\n1/2/2026,8,"two\nlines ""q"""\n1/3/2026,,NULL\n')
+    (tmp_path / "b.tsv").write_text("x\ty,z\n")
+    got = {(r.file[-5:], r.row_id, r.col): r.value for r in reports.read_delimited(spark, str(tmp_path)).collect()}
+    assert got[("a.csv", 0, 1)] == "Hours, total" and got[("a.csv", 1, 2)] == 'two\nlines "q"' and got[("a.csv", 2, 2)] == "NULL" and ("a.csv", 2, 1) not in got
+    assert got[("b.tsv", 0, 1)] == "y,z" and not any(f == "b.tsv" and c > 1 for f, _, c in got)
+
+
+def test_upload_batches_rewrite_their_months_only(spark, tmp_path):
+    from hourloom.streaming import uploads
+
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = "user_id long, year int, month int, id long, status string"
+    add = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+    add([(1, 2026, 1, 1, "a"), (2, 2026, 2, 2, "b")])
+    run = lambda: uploads.run_upserts(spark.readStream.schema(schema).parquet(source), target, state, ["user_id", "year", "month"], ["id"])
+    run()
+    add([(1, 2026, 1, 9, "c"), (3, 2026, 1, 4, "d")])
+    run()
+    got = {(r.user_id, r.year, r.month): r.status for r in uploads.read_latest(spark, target).collect()}
+    assert got == {(1, 2026, 1): "c", (2, 2026, 2): "b", (3, 2026, 1): "d"}
+    assert sorted({(r.batch, r.month) for r in spark.read.parquet(target).select("batch", "month").collect()}) == [(0, 1), (0, 2), (1, 1)]
+
+
+def test_grids_read_cells_twice_at_most(spark, tmp_path):
+    spark.createDataFrame([(1, 0, 0, "Date"), (1, 0, 1, "Hours"), (1, 1, 0, "1/2/2026"), (1, 1, 1, "8")], "table_id long, row_id long, col int, value string").write.parquet(str(tmp_path / "c"))
+    got = grids.daily_grid(grids.role_columns(spark.read.parquet(str(tmp_path / "c"))), F.lit("MDY"), F.lit(2026))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 2 and len(plan) < 60_000 and got.first().total == 8.0
