@@ -2,6 +2,11 @@
 
 Each stage reads the Parquet files that the one before wrote. All but the last return the columns of documents; the mix returns a
 row as often as it takes it, so a doc_id may then repeat.
+
+Null and blank texts aren't toxic, have no near copies and no benchmark words, so the first three stages keep them; the mix takes them as
+rows of size 0, and each is written as its end id. Rows without a doc_id stay rows of their own; of rows that share a doc_id the near-copy
+stage keeps one. Null sources are a source. Columns besides doc_id, text and source pass through, whatever their names. Empty tables give
+empty results; without labels nothing is rejected, without a benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
