@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import decontaminate, media, mixing, ngram_join, personal_data, secrets, sharding, span_text, store, token_counts, token_files, toxicity
+from hourloom.llm import decontaminate, link_counts, media, mixing, ngram_join, personal_data, secrets, sharding, span_text, store, token_counts, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +20,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
+    return link_counts.join_with_counts(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

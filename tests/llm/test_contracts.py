@@ -11,7 +11,7 @@ import pytest
 
 from hourloom.llm import queries, secrets
 from hourloom.llm.tokenize import default_file, encoder
-from test_operators import SECRETS, brute_components, brute_pii, words
+from test_operators import SECRETS, brute_components, brute_links, brute_pii, words
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -69,11 +69,11 @@ def test_op1(got):
 
 def test_op2(got):
     rows, found = corpus(), got("op2_ngram_jaccard_join")
-    want = brute_components(rows, 4, 85)
+    want, n_links = brute_components(rows, 4, 85), brute_links(rows, 4, 85)
     for d, t, *_ in rows:
         w = BLANK.findall((t or "").lower())
         n = len({tuple(w[k : k + 4]) for k in range(len(w) - 3)}) if len(w) > 3 else bool(w)
-        assert (found[d].n_shingles, found[d].component_id) == (n, want[d])
+        assert (found[d].n_shingles, found[d].component_id, found[d].n_links) == (n, want[d], n_links[d])
 
 
 def test_op3(got):

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hourloom.llm import decontaminate, media, mixing, ngram_join, personal_data, secrets, sharding, store, token_counts, token_files, toxicity
+from hourloom.llm import decontaminate, link_counts, media, mixing, ngram_join, personal_data, secrets, sharding, store, token_counts, token_files, toxicity
 from hourloom.llm.tokenize import default_file, encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, hub string, comp string, chunk string, score string, rest string, bad_id string, of string, base string, h string"
@@ -110,6 +110,26 @@ def test_ngram_components(docs, none, n, percent):
     assert ngram_join.join_components(none, n, percent).count() == 0
 
 
+def brute_links(table, n, percent):
+    """By doc_id, how many other rows the texts of its rows link with."""
+    known = [(d, ngram_join.shingle_set(ngram_join.split_words((t or "").encode()), n)) for d, t, *_ in table if d is not None]
+    out = dict.fromkeys((d for d, _ in known), 0)
+    for k, (d, x) in enumerate(known):
+        out[d] += sum(ngram_join.links(x, y, percent) for m, (_, y) in enumerate(known) if m != k)
+    return out
+
+
+@pytest.mark.parametrize(("n", "percent", "least"), [(4, 85, 1 << 20), (2, 60, 1 << 10)])
+def test_link_counts(docs, none, monkeypatch, n, percent, least):
+    monkeypatch.setattr(link_counts, "LEAST_CHUNK", least)
+    want = brute_links(rows(), n, percent)
+    got = link_counts.join_with_counts(docs, n, percent).collect()
+    assert len(got) == len(rows()) and max(want.values()) > 20
+    assert all(r.n_links == want.get(r.doc_id, 0) for r in got)
+    assert {(r.doc_id, r.component_id) for r in got} == {(r.doc_id, r.component_id) for r in ngram_join.join_components(docs, n, percent).collect()}
+    assert link_counts.join_with_counts(none, n, percent).count() == 0
+
+
 def test_lacking_units_show():
     """Without spare segments a large set's empty ones leave it short of units; with the usual slack it has them."""
     band = next(b for b in ngram_join.bands(85, 8.0) if b.high > 8000)
