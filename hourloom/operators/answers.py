@@ -69,9 +69,10 @@ def result_measures(entries: DataFrame, key: str) -> DataFrame:
     return entries.groupBy(key).agg(F.count("*").alias("entries"), F.count_if(F.col("total") > 0).alias("worked"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("hours"))
 
 
-def worklist(measures: DataFrame) -> DataFrame:
-    """Results (with confidence and needs_llm) that another read is wanted for, and whether that is a second opinion."""
-    weak = F.col("needs_llm") | (F.col("confidence") < WEAK)
+def worklist(measures: DataFrame, always: bool = False) -> DataFrame:
+    """Results (with confidence and needs_llm) that another read is wanted for, and whether that is a second opinion; always: the policy
+    that reads everything again."""
+    weak = F.lit(True) if always else F.col("needs_llm") | (F.col("confidence") < WEAK)
     odd = (F.col("worked") > 23) | (F.col("hours") > 240) | ((F.col("entries") > 0) & (F.col("hours") < 40))
     plausible = (F.col("worked") > 0) & (F.col("worked") <= 24) & (F.col("hours") <= 300)
     return measures.where(weak | odd).withColumn("escalate", weak).withColumn("second_opinion", odd).withColumn("plausible", plausible)
@@ -99,11 +100,6 @@ def contract_results(answers: DataFrame) -> DataFrame:
     return read_contract(answers).select("file", clean(F.col("answer.employee_name")).alias("employee_name"), clean(F.col("answer.client")).alias("client"), F.when(empty, F.least(stated, F.lit(EMPTY))).otherwise(stated).alias("confidence"), empty.alias("needs_llm"))
 
 
-def in_month(entries: DataFrame, period: Column) -> DataFrame:
-    """Entries of one month."""
-    return entries.where(F.trunc("d", "MM") == period)
-
-
 def larger_read(reads: DataFrame) -> DataFrame:
     """Per file of reads(file, seq, worked, hours, pages): the first read where it covers its pages, else the one with more hours (the
     earlier among equals)."""
@@ -117,3 +113,31 @@ def larger_read(reads: DataFrame) -> DataFrame:
 def grounding(text: Column, confidence: Column, least: float = 55.0) -> Column:
     """Text of an OCR read that may ground a model's answer; null where the read is too weak."""
     return F.when(confidence >= least, text)
+
+
+def accepted_pages(reads: DataFrame) -> DataFrame:
+    """One attempt a page of reads(file, page, attempt, ok, found, worked, hours): the first that read anything, else the last that gave
+    an answer at all; pages without an answer go. found: entries and weeks, or 1 for a stated total."""
+    read = F.min_by(F.struct("attempt", "found", "worked", "hours"), F.when(F.col("ok") & (F.col("found") > 0), F.col("attempt")))
+    last = F.max_by(F.struct("attempt", "found", "worked", "hours"), F.when(F.col("ok"), F.col("attempt")))
+    got = reads.groupBy("file", "page").agg(F.coalesce(read, last).alias("r"), F.max("attempt").alias("attempts"))
+    return got.where("r is not null").select("file", "page", "r.*", "attempts")
+
+
+def chained_reads(reads: DataFrame, stronger: DataFrame, pages: DataFrame) -> DataFrame:
+    """What a file's pages give in the end, of reads and stronger (both as accepted_pages takes them) and pages(file, pages).
+
+    In order: pages accept attempts; a file whose worked days don't cover its pages takes the stronger model's pages if these hold
+    more hours; and what is then read stays only if it is plausible, else the first read stays. step: first, coverage, or implausible.
+    """
+    sums = lambda rows: rows.groupBy("file").agg(F.count("*").alias("read"), F.sum("worked").alias("worked"), F.round(F.sum("hours"), 2).alias("hours"))
+    a, b = sums(accepted_pages(reads)), sums(accepted_pages(stronger))
+    both = pages.join(a, "file", "left").join(b.select("file", *[F.col(c).alias(f"{c}_2") for c in ("read", "worked", "hours")]), "file", "left")
+    nought = lambda c: F.coalesce(c, F.lit(0))
+    short = ~covers_month(nought("worked"), F.col("pages"))
+    more = short & (nought("hours_2") > nought("hours"))
+    fine = (nought("worked_2") > 0) & (nought("worked_2") <= 24) & (nought("hours_2") <= 300)
+    step = F.when(more & fine, F.lit("coverage")).when(more, F.lit("implausible")).otherwise(F.lit("first"))
+    rows = both.withColumn("step", step)
+    pick = lambda c: nought(F.when(F.col("step") == "coverage", F.col(f"{c}_2")).otherwise(F.col(c))).alias(c)
+    return rows.select("file", "step", pick("read"), pick("worked"), pick("hours"))

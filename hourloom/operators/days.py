@@ -41,23 +41,24 @@ def has_hours() -> Column:
 def resolve_days(entries: DataFrame, *carried: str) -> DataFrame:
     """One row per emp and d: the readable entry of the most trusted extractor, the first to arrive among equals.
 
-    Adds n (readable entries), distinct_totals and sources (seq and extractor, by arrival). One shuffle on (emp, d), after
-    partial aggregation.
+    Adds n (readable entries), distinct_totals and sources (seq, extractor and, where entries have it, source, by arrival). One shuffle on
+    (emp, d), after partial aggregation.
     """
+    named = ["seq", "extractor", *(["source"] if "source" in entries.columns else [])]
     best = F.min_by(F.struct("seq", "extractor", "regular", "overtime", "total", *carried), F.struct(-F.col("trust"), F.col("seq")))
     days = entries.where(has_hours()).groupBy("emp", "d").agg(
         best.alias("best"), F.count("*").alias("n"), F.count_distinct(F.round("total", 2)).alias("distinct_totals"),
-        F.array_sort(F.collect_list(F.struct("seq", "extractor"))).alias("sources"),
+        F.array_sort(F.collect_list(F.struct(*named))).alias("sources"),
     )
     return days.select("emp", "d", "best.*", "n", "distinct_totals", "sources")
 
 
-def duplicates(days: DataFrame) -> DataFrame:
+def duplicates(days: DataFrame, *carried: str) -> DataFrame:
     """Days with several readable entries: CONFLICT (error) if their totals differ, else DUPLICATE (info)."""
     conflict = F.col("distinct_totals") > 1
     return days.where("n > 1").select(
         "emp", "d", F.when(conflict, F.lit("CONFLICT")).otherwise(F.lit("DUPLICATE")).alias("code"),
-        F.when(conflict, F.lit("error")).otherwise(F.lit("info")).alias("severity"),
+        F.when(conflict, F.lit("error")).otherwise(F.lit("info")).alias("severity"), *carried,
     )
 
 
@@ -101,29 +102,74 @@ def ordered_distinct(rows: DataFrame, key: str, value: str, seq: str) -> DataFra
     return firsts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", value))), lambda x: x[value]).alias("items"))
 
 
+def source(file: Column, extractor: Column, sheet: Column | None = None, page: Column | None = None, row: Column | None = None, cell: Column | None = None, region: Column | None = None) -> Column:
+    """Where a value was read: a struct of file, sheet, page, row, cell, region, extractor; what isn't known is null."""
+    known = {"sheet": (sheet, "string"), "page": (page, "int"), "row": (row, "long"), "cell": (cell, "string"), "region": (region, "string")}
+    rest = [(F.lit(None) if c is None else c).cast(kind).alias(name) for name, (c, kind) in known.items()]
+    return F.struct(file.cast("string").alias("file"), *rest, extractor.cast("string").alias("extractor"))
+
+
+SOURCES = "array<struct<file:string,sheet:string,page:int,row:bigint,cell:string,region:string,extractor:string>>"
+
+
+def source_label(at: Column) -> Column:
+    """file, sheet, page, cell or else row, and region, as far as they are known."""
+    place = F.coalesce(at["cell"], F.concat(F.lit("row"), at["row"].cast("string")))
+    return F.concat_ws(" · ", at["file"], F.concat(F.lit("sheet="), at["sheet"]), F.concat(F.lit("p"), at["page"].cast("string")), place, F.concat(F.lit("@"), at["region"]))
+
+
+def labels(sources: Column) -> Column:
+    """The labels of an issue's sources in one text."""
+    return F.array_join(F.transform(sources, source_label), "; ")
+
+
+def files_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, sources: the files that rows' sources name, once each; summed up by file before the lists are made."""
+    none = lambda kind: F.lit(None).cast(kind)
+    names = rows.where("source.file is not null").select(*keys, F.col("source.file").alias("file")).distinct()
+    own = F.struct(F.col("file"), none("string").alias("sheet"), none("int").alias("page"), none("long").alias("row"), none("string").alias("cell"), none("string").alias("region"), none("string").alias("extractor"))
+    return names.groupBy(*keys).agg(F.array_sort(F.collect_list(own)).alias("sources"))
+
+
 def issue(rows: DataFrame, scope: str, code: str | Column, severity: str | Column, message: Column, day: str | None = "d") -> DataFrame:
+    """Rows of the issue table: emp, period, scope, date, code, severity, message, and sources if the rows have them."""
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
     period = F.trunc(day, "MM") if day else F.col("period")
     date = F.col(day) if day else F.lit(None).cast("date")
-    return rows.select("emp", period.alias("period"), F.lit(scope).alias("scope"), date.alias("date"), lit(code).alias("code"), lit(severity).alias("severity"), message.alias("message"))
+    sources = F.coalesce(F.col("sources"), F.array().cast(SOURCES)) if "sources" in rows.columns else F.array().cast(SOURCES)
+    return rows.select(
+        "emp", period.alias("period"), F.lit(scope).alias("scope"), date.alias("date"), lit(code).alias("code"), lit(severity).alias("severity"), message.alias("message"), sources.alias("sources"),
+    )
 
 
-def day_issues(entries: DataFrame, days: DataFrame, calendar: DataFrame, most: float = MOST) -> DataFrame:
+def day_issues(entries: DataFrame, days: DataFrame, calendar: DataFrame, most: float = MOST, weekly: DataFrame | None = None) -> DataFrame:
     """The issue table of days: each rule is a filter, all are one union.
 
-    Over-limit totals show twice, for the entry and for the day it won; negative values and r + o against t by day.
+    Over-limit totals show twice, for the entry and for the day it won; negative values and r + o against t by day. Where entries have a
+    column source, each issue names its sources: the entry's, the day's, and for a missing day the files of its month. weekly: intervals
+    whose days aren't missing.
     """
+    known = "source" in entries.columns
+    if known:
+        entries = entries.withColumn("sources", F.array("source"))
+        days = days.withColumn("sources", F.transform("sources", lambda s: s["source"]))
+    else:
+        days = days.drop("sources")
     over = F.concat(F.col("total").cast("string"), F.lit("h exceeds the day's bound"))
     off = days.join(calendar.select(F.col("date").alias("d"), "is_weekend", "is_holiday"), "d").where((F.col("is_weekend") | F.col("is_holiday")) & (F.col("total") > 0))
-    negative = days.select("emp", "d", F.inline(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("value")) for c in ("regular", "overtime", "total")]))).where("value < 0")
+    values = F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("value")) for c in ("regular", "overtime", "total")])
+    negative = days.select("emp", "d", *(["sources"] if known else []), F.inline(values)).where("value < 0")
+    missing = missing_days(days, calendar, weekly)
+    if known:
+        missing = missing.join(files_of(entries.withColumn("period", F.trunc("d", "MM")), "emp", "period"), ["emp", "period"], "left")
     parts = [
         issue(entries.where(F.col("total") > most), "entry", "OUT_OF_RANGE", "warning", over),
         issue(days.where(F.col("total") > most), "day", "OUT_OF_RANGE", "warning", over),
         issue(off, "day", "OUT_OF_RANGE", "info", F.when(F.col("is_holiday"), F.lit("hours on a holiday")).otherwise(F.lit("hours on a weekend"))),
-        issue(duplicates(days), "day", F.col("code"), F.col("severity"), F.lit("several sources")),
+        issue(duplicates(days, *(["sources"] if known else [])), "day", F.col("code"), F.col("severity"), F.lit("several sources")),
         issue(days.where(F.abs(F.col("regular") + F.col("overtime") - F.col("total")) > DAY_SLACK), "day", "TOTAL_MISMATCH", "warning", F.lit("regular and overtime are not the total")),
         issue(negative, "day", "INVALID", "error", F.concat(F.lit("negative "), F.col("label"))),
-        issue(missing_days(days, calendar), "day", "MISSING", "info", F.lit("no data for a working day")),
+        issue(missing, "day", "MISSING", "info", F.lit("no data for a working day")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -160,8 +206,3 @@ def report_stats(months: DataFrame, days: DataFrame, issues: DataFrame) -> DataF
     a = months.agg(F.count_distinct("emp").alias("employees"), F.count("*").alias("employee_months"), F.round(F.sum("total"), 2).alias("total_hours"), F.sum("days_worked").alias("worked_days"))
     b = issues.agg(F.count("*").alias("issues"), F.count_distinct(F.when(F.col("severity") == "error", F.col("emp"))).alias("employees_with_errors"))
     return a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").drop("k")
-
-
-def source_label(file: Column, sheet: Column, page: Column, row: Column) -> Column:
-    """file, sheet, page and row, as far as they are known."""
-    return F.concat_ws(" · ", file, F.concat(F.lit("sheet="), sheet), F.concat(F.lit("p"), page.cast("string")), F.concat(F.lit("row"), row.cast("string")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from hourloom.functions import dates
+
 #: Extensions of each kind, and names that are no documents.
 EXTENSIONS = {
     "excel": ("xlsx", "xlsm", "xls"), "csv": ("csv", "tsv"), "pdf": ("pdf",), "docx": ("docx",), "email": ("eml",),
@@ -80,6 +82,20 @@ def split_marked(pages: DataFrame, least: int = 40) -> DataFrame:
     return parts.withColumn("text", trimmed(F.col("text"))).where(F.length("text") > least)
 
 
+def reject_reason(files: DataFrame) -> Column:
+    """Why a file of files(text, tables, images, invoice, notes) goes no further, or null: nothing to extract (the notes say why, if they
+    say anything), or an invoice."""
+    nothing = (F.coalesce(F.col("text"), F.lit("")) == "") & (F.coalesce("tables", F.lit(0)) == 0) & (F.coalesce("images", F.lit(0)) == 0)
+    said = F.coalesce(F.nullif(F.array_join("notes", "; "), F.lit("")), F.lit("nothing extractable"))
+    return F.when(nothing, said).when(F.coalesce("invoice", F.lit(False)), F.lit("an invoice or bill, not a timesheet"))
+
+
+def sort_out(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files that go on, rejects with their reason): each file is in one of the two."""
+    judged = dates.once(files, reject_reason(files).alias("reason"))
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
+
+
 def reconcile(seen: DataFrame, processed: DataFrame, rejected: DataFrame) -> DataFrame:
     """path, status: processed, rejected, or lost when a file seen is in neither."""
     done = processed.select("path").distinct().withColumn("status", F.lit("processed"))
@@ -105,8 +121,3 @@ def arrival(files: DataFrame, buckets: int = 64) -> DataFrame:
     sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("range", "before")
     return ranged.withColumn("nth", F.row_number().over(by)).join(before, "range").select(*files.columns, (F.col("before") + F.col("nth") - 1).alias("file_seq"))
-
-
-def with_attachments(documents: DataFrame, attachments: DataFrame) -> DataFrame:
-    """documents(file, kind, text) and what was extracted from their attachments(file, parent, kind, text), under the mail's file."""
-    return documents.select("file", "kind", "text").unionByName(attachments.select(F.col("parent").alias("file"), "kind", "text"))

@@ -1,11 +1,13 @@
 """Records from ragged grids: column roles by header keywords, then one rule set for each layout.
 
 cells: table_id, row_id, col, value (text); ragged rows are missing cells. All tables are worked on in one job; a row is the
-unit of work, a table's header is one small row joined to it.
+unit of work, a table's header is one small row joined to it. Where cells serve several rules, grid_rows() brings them together by row
+once; all functions here take cells or such rows.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -47,28 +49,44 @@ def keyword_match(cell: Column, word: str) -> Column:
     return cell.contains(word)
 
 
+#: What any role's words begin to look like: few cells of data have that.
+ANY_KEYWORD = "|".join(sorted({re.escape(w) for words in ROLE_KEYWORDS.values() for w in words}))
+
+
 def _role_numbers(cell: Column) -> Column:
     """Numbers of the roles, by priority, that a header cell's text fits."""
     fits = [F.when(reduce(lambda a, b: a | b, [keyword_match(cell, w) for w in ROLE_KEYWORDS[r]]), F.lit(k)) for k, r in enumerate(ROLE_PRIORITY)]
     return F.array_compact(F.array(*fits))
 
 
+def grid_rows(cells: DataFrame) -> DataFrame:
+    """table_id, row_id, cells (array of col, value in order of columns) and the columns that cells has beside; one shuffle."""
+    if "cells" in cells.columns:
+        return cells
+    beside = [c for c in cells.columns if c not in ("table_id", "row_id", "col", "value")]
+    return cells.groupBy("table_id", "row_id", *beside).agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("cells"))
+
+
+def _plain(value: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(value, F.lit(""))))
+
+
 def assign_roles(cells: DataFrame) -> DataFrame:
     """table_id, row_id, role, col: what each row would be as a header."""
     return header_candidates(cells).select("table_id", "row_id", F.inline("roles")).select("table_id", "row_id", "role", "col")
 
 
 def header_candidates(cells: DataFrame) -> DataFrame:
-    """table_id, row_id, roles (array of role, col) of the rows that fit any role. One shuffle brings a row's cells together.
+    """table_id, row_id, roles (array of role, col) of the rows that fit any role.
 
     Roles choose in order of priority, each the first fitting column that is free: a fold over the row's columns.
     """
-    cell = F.lower(F.trim(F.coalesce("value", F.lit(""))))
-    fits = dates.once(cells.select("table_id", "row_id", "col", "value"), dates.bound(cell, _role_numbers).alias("fits")).where(F.size("fits") > 0)
-    rows = fits.groupBy("table_id", "row_id").agg(F.array_sort(F.collect_list(F.struct("col", "fits"))).alias("cells"))
+    likely = F.filter("cells", lambda c: F.lower(c["value"]).rlike(ANY_KEYWORD))
+    fits = F.transform(likely, lambda c: F.struct(c["col"].alias("col"), dates.bound(_plain(c["value"]), _role_numbers).alias("fits")))
+    rows = dates.once(grid_rows(cells).select("table_id", "row_id", "cells"), F.filter(fits, lambda c: F.size(c["fits"]) > 0).alias("fitting")).where(F.size("fitting") > 0)
 
     def choose(state: Column, role: Column) -> Column:
-        free = F.filter("cells", lambda c: F.array_contains(c["fits"], role) & ~F.exists(state, lambda s: s["col"] == c["col"]))
+        free = F.filter("fitting", lambda c: F.array_contains(c["fits"], role) & ~F.exists(state, lambda s: s["col"] == c["col"]))
         return F.when(F.size(free) > 0, F.array_append(state, F.struct(role.alias("role"), F.element_at(free, 1)["col"].alias("col")))).otherwise(state)
 
     empty = F.expr("cast(array() as array<struct<role:int,col:int>>)")
@@ -80,8 +98,8 @@ def header_candidates(cells: DataFrame) -> DataFrame:
 def _headers(cells: DataFrame) -> DataFrame:
     """table_id, header_row, score, roles: of the first rows the one with most roles, dates and week bounds counting more; earliest
     on ties. Rows beyond the first are dropped before the shuffle."""
-    nth = F.dense_rank().over(W.partitionBy("table_id").orderBy("row_id"))
-    first = cells.select("table_id", "row_id", "col", "value", nth.alias("nth")).where(F.col("nth") <= HEADER_ROWS)
+    nth = F.row_number().over(W.partitionBy("table_id").orderBy("row_id"))
+    first = grid_rows(cells).select("table_id", "row_id", "cells", nth.alias("nth")).where(F.col("nth") <= HEADER_ROWS)
     has = lambda *names: F.exists("roles", lambda r: r["role"].isin(*names)).cast("int")
     score = (F.size("roles") + 2 * has("date") + 2 * has("week_start", "week_end")).cast("long")
     scored = header_candidates(first).withColumn("score", score)
@@ -96,24 +114,25 @@ def header_rows(cells: DataFrame) -> DataFrame:
 
 def role_columns(cells: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """table_id, row_id and a text column for each role, of the rows below each table's header (found if not given); row_text, the
-    row's lower-cased text, and row_cells, its values in order of columns.
+    row's lower-cased text, row_cells, its values in order of columns, and the columns that cells has beside.
 
-    Cells are read twice: for the headers, one small row a table, and for the rows below these.
+    Rows are read twice: for the headers, one small row a table, and for the rows below these.
     """
+    rows = grid_rows(cells)
+    beside = [c for c in rows.columns if c not in ("table_id", "row_id", "cells")]
     if headers is None:
-        found = _headers(cells).select("table_id", "header_row", "roles")
+        found = _headers(rows).select("table_id", "header_row", "roles")
     else:
         at = headers.select("table_id", F.col("header_row").alias("row_id"))
-        found = header_candidates(cells.join(at, ["table_id", "row_id"], "left_semi")).withColumnRenamed("row_id", "header_row")
-    rows = cells.join(found, "table_id").where("row_id > header_row")
-    role = F.element_at(F.filter("roles", lambda r: r["col"] == F.col("col")), 1)["role"]
-    rows = rows.select("table_id", "row_id", "col", "value", F.when(F.exists("roles", lambda r: r["col"] == F.col("col")), role).alias("role"))
-    listed = F.array_sort(F.collect_list(F.struct("col", "value")))
-    return rows.groupBy("table_id", "row_id").agg(
-        *[F.max(F.when(F.col("role") == r, F.col("value"))).alias(r) for r in ROLE_PRIORITY],
-        F.array_join(F.transform(listed, lambda x: F.lower(F.trim(x["value"]))), " ").alias("row_text"),
-        F.transform(listed, lambda x: x["value"]).alias("row_cells"),
-    )
+        found = header_candidates(rows.join(at, ["table_id", "row_id"], "left_semi")).withColumnRenamed("row_id", "header_row")
+    below = rows.join(found, "table_id").where("row_id > header_row")
+    at = lambda col: F.get(F.filter("cells", lambda c: c["col"] == col), F.lit(0))["value"]
+    of_role = F.map_from_entries(F.transform("roles", lambda r: F.struct(r["role"], at(r["col"]))))
+    below = dates.once(below, of_role.alias("by_role"))
+    return below.select(
+        "table_id", "row_id", *beside, *[F.try_element_at("by_role", F.lit(r)).alias(r) for r in ROLE_PRIORITY],
+        F.array_join(F.transform("cells", lambda x: F.lower(F.trim(x["value"]))), " ").alias("row_text"), F.transform("cells", lambda x: x["value"]).alias("row_cells"),
+    )
 
 
 def daily_grid(rows: DataFrame, order: Column, base_year: Column, most: float = 16.0, period: Column | None = None) -> DataFrame:
@@ -125,13 +144,16 @@ def daily_grid(rows: DataFrame, order: Column, base_year: Column, most: float =
     """
     # Texts are parsed once; what follows works on numbers.
     hour_cols = ("regular", "overtime", "total", "hours", "in", "out")
-    rows = dates.once(rows, dates.parse_date(F.col("date"), order, base_year).alias("read")).where("read is not null")
+    rows = dates.once(rows.where(F.col("date").isNotNull()), dates.parse_date(F.col("date"), order, base_year).alias("read")).where("read is not null")
     moved = F.lit(None).cast("date") if period is None else dates.rescue_epoch(F.col("read"), period)
     rows = rows.withColumns({"d": F.coalesce(moved, "read"), "recovered": moved.isNotNull()})
     if period is not None:
         rows = rows.where(F.trunc("d", "MM") == period)
-    clocks = [hours.parse_clock(F.col(c)).alias(f"{c}_s") for c in ("in", "out", "lunch_out", "lunch_in")]
-    rows = dates.once(rows.select("table_id", "row_id", "d", "recovered", "project", "note", *ROLE_CELLS), *[hours.parse_hours(F.col(c)).alias(f"{c}_h") for c in hour_cols[:4]], *clocks)
+    # One rule over an array of columns is built and planned once.
+    clocks = ("in", "out", "lunch_out", "lunch_in")
+    own = rows.select("table_id", "row_id", "d", "recovered", "project", "note", *ROLE_CELLS)
+    own = dates.once(own, F.transform(F.array(*hour_cols[:4]), hours.parse_hours).alias("hs"), F.transform(F.array(*clocks), hours.parse_clock).alias("cs"))
+    rows = own.select("*", *[F.col("hs")[k].alias(f"{c}_h") for k, c in enumerate(hour_cols[:4])], *[F.col("cs")[k].alias(f"{c}_s") for k, c in enumerate(clocks)])
     clock = hours.hours_between(F.col("in_s"), F.col("out_s"), hours.lunch_minutes(F.col("lunch_out_s"), F.col("lunch_in_s")))
     bare = F.col("regular_h").isNull() & F.col("total_h").isNull()
     rows = rows.withColumn("t0", F.when(bare, F.coalesce("hours_h", clock)).otherwise(F.col("total_h")))
@@ -153,7 +175,7 @@ def stated_totals(rows: DataFrame, order: Column, base_year: Column, *bounds: st
     """table_id, stated_total: of rows without a date in the columns `bounds` that speak of a month's total the last one's first
     positive number."""
     texts = rows.where(F.col("row_text").contains("month") & F.col("row_text").contains("total"))
-    undated = reduce(lambda a, b: a & b, [dates.parse_date(F.col(c), order, base_year).isNull() for c in bounds])
+    undated = F.forall(F.array(*bounds), lambda c: dates.parse_date(c, order, base_year).isNull())
     got = texts.where(undated).select("table_id", "row_id", F.get(F.filter(F.transform("row_cells", hours.parse_hours), lambda h: h > 0), F.lit(0)).alias("h"))
     return got.where("h is not null").groupBy("table_id").agg(F.max_by("h", "row_id").alias("stated_total"))
 
@@ -163,10 +185,13 @@ def weekly_totals(rows: DataFrame, order: Column, base_year: Column) -> DataFram
 
     A missing bound is the other plus or minus six days; regular falls back to generic hours; rows without hours go.
     """
-    start, end = (dates.parse_date(F.col(c), order, base_year) for c in ("week_start", "week_end"))
-    rows = dates.once(rows.select("table_id", "row_id", "week_start", "week_end", "regular", "overtime", "total", "hours"), start.alias("s"), end.alias("e")).where("s is not null or e is not null")
-    reg = F.coalesce(hours.parse_hours(F.col("regular")), hours.parse_hours(F.col("hours")))
-    rows = dates.once(rows.select("table_id", "row_id", "s", "e", "regular", "overtime", "total", "hours"), reg.alias("r0"), hours.parse_hours(F.col("overtime")).alias("o0"), hours.parse_hours(F.col("total")).alias("t0"))
+    own = rows.select("table_id", "row_id", "week_start", "week_end", "regular", "overtime", "total", "hours", order.alias("order_"), base_year.alias("year_"))
+    bounds = F.transform(F.array("week_start", "week_end"), lambda c: dates.parse_date(c, F.col("order_"), F.col("year_")))
+    rows = dates.once(own.where("week_start is not null or week_end is not null"), bounds.alias("bounds"))
+    rows = rows.select("*", F.col("bounds")[0].alias("s"), F.col("bounds")[1].alias("e")).where("s is not null or e is not null")
+    read = F.transform(F.array("regular", "hours", "overtime", "total"), hours.parse_hours).alias("hs")
+    rows = dates.once(rows.select("table_id", "row_id", "s", "e", "regular", "overtime", "total", "hours"), read)
+    rows = rows.select("*", F.coalesce(F.col("hs")[0], F.col("hs")[1]).alias("r0"), F.col("hs")[2].alias("o0"), F.col("hs")[3].alias("t0"))
     rows = rows.where("r0 is not null or o0 is not null or t0 is not null")
     r, o, t = hours.split_hours(F.col("t0"), F.col("r0"), F.col("o0"))
     bounds = [F.coalesce("s", F.date_sub("e", 6)).alias("week_start"), F.coalesce("e", F.date_add("s", 6)).alias("week_end")]
@@ -179,19 +204,47 @@ def period_anchor(text: Column, order: Column, base_year: Column) -> Column:
     return dates.parse_date(F.regexp_extract(text, rf"({day}).{{0,6}}(?:to|-|–|—).{{0,6}}{day}", 1), order, base_year)
 
 
+def text_anchors(lines: DataFrame, order: Column, base_year: Column) -> DataFrame:
+    """file, anchor: the first date of the first range of dates in a file's lines(file, line_no, line); null if that is no date."""
+    day = r"[0-9]{1,4}[/\-.][0-9]{1,2}[/\-.][0-9]{1,4}"
+    ranged = lines.where(F.col("line").rlike(rf"{day}.{{0,6}}(?:to|-|–|—).{{0,6}}{day}"))
+    beside = [c for c in lines.columns if c not in ("file", "line_no", "line")]
+    first = ranged.groupBy("file").agg(*[F.min_by(c, "line_no").alias(c) for c in ("line", *beside)])
+    return first.select("file", period_anchor(F.col("line"), order, base_year).alias("anchor"))
+
+
+def weekday_heads(cells: DataFrame) -> DataFrame:
+    """table_id, header_row, day_cols: tables whose first row names at least five weekdays, and the columns that do, in order."""
+    named = F.transform(F.filter("cells", lambda c: dates.bound(_plain(c["value"]), _is_weekday)), lambda c: c["col"])
+    first = grid_rows(cells).groupBy("table_id").agg(F.min_by(F.struct("row_id", "cells"), "row_id").alias("first")).select("table_id", "first.*")
+    return first.select("table_id", F.col("row_id").alias("header_row"), named.alias("day_cols")).where(F.size("day_cols") >= LEAST_WEEKDAYS)
+
+
+#: Columns named like weekdays that make a matrix.
+LEAST_WEEKDAYS = 5
+
+
+def _is_weekday(name: Column) -> Column:
+    return name.isin(*DAY_NAMES) | ((F.length(name) <= 4) & F.substring(name, 1, 3).isin(*[d[:3] for d in DAY_NAMES]))
+
+
 def weekday_matrix(cells: DataFrame, anchors: DataFrame) -> DataFrame:
     """table_id, d, total: columns named like weekdays, in their order, are the days from anchors(table_id, anchor, header_row) on.
 
     At least five such columns are needed. Hours of all rows below the header add up by day.
     """
-    name = F.lower(F.trim("value"))
-    is_day = name.isin(*DAY_NAMES) | ((F.length(name) <= 4) & F.substring(name, 1, 3).isin(*[d[:3] for d in DAY_NAMES]))
-    heads = cells.join(anchors, "table_id").where((F.col("row_id") == F.col("header_row")) & is_day)
-    by = W.partitionBy("table_id")
-    heads = heads.select("table_id", "col", "anchor", "header_row", F.row_number().over(by.orderBy("col")).alias("k"), F.count("*").over(by).alias("n")).where("n >= 5 and anchor is not null")
-    rows = cells.join(heads, ["table_id", "col"]).where("row_id > header_row")
-    day = F.expr("date_add(anchor, k - 1)")
-    read = dates.once(rows.select("table_id", day.alias("d"), "value"), hours.parse_hours(F.col("value")).alias("h")).where("h > 0")
+    rows = grid_rows(cells).select("table_id", "row_id", "cells")
+    at = anchors.where("anchor is not null").select("table_id", "anchor", "header_row")
+    named = F.transform(F.filter("cells", lambda c: dates.bound(_plain(c["value"]), _is_weekday)), lambda c: c["col"])
+    heads = rows.join(at, "table_id").where("row_id = header_row").select("table_id", "anchor", "header_row", named.alias("day_cols")).where(F.size("day_cols") >= LEAST_WEEKDAYS)
+    return matrix_days(rows, heads)
+
+
+def matrix_days(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """table_id, d, total of the rows below heads(table_id, anchor, header_row, day_cols)."""
+    below = rows.join(heads, "table_id").where("row_id > header_row").select("table_id", "anchor", "day_cols", F.explode("cells").alias("c"))
+    placed = below.select("table_id", "anchor", F.array_position("day_cols", F.col("c.col")).cast("int").alias("k"), F.col("c.value").alias("value")).where("k > 0")
+    read = dates.once(placed.select("table_id", F.expr("date_add(anchor, k - 1)").alias("d"), "value"), hours.parse_hours(F.col("value")).alias("h")).where("h > 0")
     return read.groupBy("table_id", "d").agg(F.round(F.sum("h"), 2).alias("total"))
 
 
@@ -213,22 +266,23 @@ def merge_results(results: DataFrame) -> DataFrame:
 
 
 def summary_totals(cells: DataFrame, period: Column) -> DataFrame:
-    """table_id, stated_total: the first positive value below a total column's header, if a period column fits the month.
+    """table_id, stated_total: the first positive value below a total column's header, if a period column fits the month, which may be
+    a column beside the cells.
 
     Of several header candidates the first counts; of several total or period columns in one, the last.
     """
-    v = F.lower(F.trim(F.coalesce("value", F.lit(""))))
-    is_total = v.isin("total", "total hours", "total hrs", "totalhours") | (v.contains("total") & (v.contains("hour") | v.contains("hrs")))
-    is_period = v.isin("period", "month", "month/year", "duration")
-    heads = cells.groupBy("table_id", F.col("row_id").alias("head")).agg(F.max(F.when(is_total, F.col("col"))).alias("tc"), F.max(F.when(is_period, F.col("col"))).alias("pc")).where("tc is not null")
-    rows = cells.join(heads, "table_id").where("row_id > head and (col = tc or col = pc)").groupBy("table_id", "head", "row_id", "tc", "pc").agg(
-        F.max(F.when(F.col("col") == F.col("tc"), F.col("value"))).alias("t"), F.max(F.when(F.col("col") == F.col("pc"), v)).alias("p")
-    )
-    month = F.lower(F.date_format(period, "MMMM"))
-    named = [month, F.substring(month, 1, 3), F.concat(F.month(period).cast("string"), F.lit("/")), F.concat(F.lit("-"), F.month(period).cast("string"), F.lit("-")), F.year(period).cast("string")]
+    rows = grid_rows(cells)
+    is_total = lambda v: v.isin("total", "total hours", "total hrs", "totalhours") | (v.contains("total") & (v.contains("hour") | v.contains("hrs")))
+    is_period = lambda v: v.isin("period", "month", "month/year", "duration")
+    last = lambda fits: F.array_max(F.transform(F.filter("cells", lambda c: fits(_plain(c["value"]))), lambda c: c["col"]))
+    heads = dates.once(rows.select("table_id", F.col("row_id").alias("head"), "cells"), last(is_total).alias("tc"), last(is_period).alias("pc")).where("tc is not null").drop("cells")
+    of = lambda col: F.get(F.filter("cells", lambda c: c["col"] == F.col(col)), F.lit(0))["value"]
+    below = rows.withColumn("period_", period).join(heads, "table_id").where("row_id > head").select("table_id", "head", "row_id", "period_", of("tc").alias("t"), F.lower(F.trim(of("pc"))).alias("p"))
+    month, own = F.lower(F.date_format("period_", "MMMM")), F.col("period_")
+    named = [month, F.substring(month, 1, 3), F.concat(F.month(own).cast("string"), F.lit("/")), F.concat(F.lit("-"), F.month(own).cast("string"), F.lit("-")), F.year(own).cast("string")]
     fits = F.col("p").isNull() | (F.col("p") == "") | reduce(lambda a, b: a | b, [F.col("p").contains(x) for x in named])
-    rows = rows.withColumn("h", hours.parse_hours(F.col("t"))).where((F.col("h") > 0) & fits)
-    return rows.groupBy("table_id").agg(F.min_by("h", F.struct("head", "row_id")).alias("stated_total"))
+    read = dates.once(below.where(fits), hours.parse_hours(F.col("t")).alias("h")).where(F.col("h") > 0)
+    return read.groupBy("table_id").agg(F.min_by("h", F.struct("head", "row_id")).alias("stated_total"))
 
 
 def sheet_rows(cells: DataFrame, rows: int = 400, cols: int = 64) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourloom.sources.staged import staged
+
 #: Dates on which totals must differ, and by how much, for two results to conflict.
 LEAST_DATES, SLACK = 2, 0.5
 
@@ -29,9 +31,9 @@ def conflict_pairs(days: DataFrame) -> DataFrame:
 
 
 def first_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First fit of rows sorted by ident, file_seq and d: a result joins the first cluster whose merged days (the first value
-    counts) it doesn't contradict. Held are one result's days and the clusters' merged days, not the rows of an ident."""
-    key, ident, mine = None, None, {}
+    """First fit of rows sorted by ident, part, file_seq and d: a result joins the first cluster of its part whose merged days (the first
+    value counts) it doesn't contradict. Held are one result's days and the clusters' merged days, not the rows of a part."""
+    key, mine = None, {}
     clusters: list[dict] = []
 
     def fit() -> int:
@@ -41,28 +43,57 @@ def first_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clusters[k] = mine | clusters[k]
         return k
 
-    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((), (), ()))], ["ident", "file_seq", "cluster"])
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c) for c in (zip(*rows, strict=True))], ["ident", "file_seq", "cluster"])
     for batch in batches:
         out = []
-        for own_ident, file_seq, d, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (own_ident, file_seq) != key:
+        for ident, part, file_seq, d, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (ident, part, file_seq) != key:
                 if key is not None:
-                    out.append((*key, fit()))
-                if own_ident != ident:
-                    ident = own_ident
-                    clusters.clear()
-                key, mine = (own_ident, file_seq), {}
+                    out.append((key[0], key[2], fit()))
+                    if key[:2] != (ident, part):
+                        clusters.clear()
+                key, mine = (ident, part, file_seq), {}
             mine[d] = total
-        yield table(out)
+        if out:
+            yield table(out)
     if key is not None:
-        yield table([(*key, fit())])
+        yield table([(key[0], key[2], fit())])
+
+
+def parts_of(days: DataFrame) -> DataFrame:
+    """ident, file_seq, part of results that are tied by dates with unequal totals: part is the smallest file_seq reachable.
+
+    On a date with several totals each result is tied to one with another total, so all of that date are one part: a star around the
+    date's first result says as much as all pairs. Labels go along the ties and then to their label's label, until none changes;
+    each round is a staged table.
+    """
+    by_date = days.groupBy("ident", "d").agg(F.min("file_seq").alias("first"), F.min("total").alias("low"), F.max("total").alias("high")).where("low <> high")
+    star = days.join(by_date.select("ident", "d", "first"), ["ident", "d"]).select("ident", F.col("file_seq").alias("a"), F.col("first").alias("b")).distinct()
+    ties = staged(star.unionByName(star.select("ident", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ties")
+    now = staged(ties.groupBy("ident", F.col("a").alias("file_seq")).agg(F.min("b").alias("part")).withColumn("part", F.least("part", "file_seq")), "parts")
+    while True:
+        near = ties.join(now.select("ident", F.col("file_seq").alias("a"), "part"), ["ident", "a"]).groupBy("ident", F.col("b").alias("file_seq")).agg(F.min("part").alias("near"))
+        heard = now.join(near, ["ident", "file_seq"]).select("ident", "file_seq", F.col("part").alias("old"), F.least("part", "near").alias("part"))
+        heads = heard.select("ident", F.col("file_seq").alias("part"), F.col("part").alias("further"))
+        new = staged(heard.join(heads, ["ident", "part"]).select("ident", "file_seq", "old", F.least("part", "further").alias("part")), "parts")
+        if new.where("part < old").isEmpty():
+            return new.drop("old")
+        now = new.drop("old")
 
 
 def split_conflicting(days: DataFrame) -> DataFrame:
-    """ident, file_seq, cluster. The split depends on order, but only for idents with two or more dates on which totals
-    differ: all others are one cluster without Python. There, an ident's files stream in order through one task."""
+    """ident, file_seq, cluster: an ident's results in order, each in the first cluster that it doesn't contradict.
+
+    Only dates with unequal totals can tell results apart, so an ident falls into parts that share no such date, and first fit within
+    each gives every result the number that first fit over the whole ident gives it: other parts' days are equal to its own or absent.
+    Results that contradict nobody on two dates are cluster 0 without Python; a part's results stream in order through one task.
+    """
     spread = days.groupBy("ident", "d").agg((F.max("total") - F.min("total")).alias("s")).groupBy("ident").agg(F.count_if(F.col("s") > SLACK).alias("dates"))
-    rows = days.join(spread, "ident")
-    safe = rows.where(F.col("dates") < LEAST_DATES).select("ident", "file_seq").distinct().withColumn("cluster", F.lit(0).cast("long"))
-    hard = rows.where(F.col("dates") >= LEAST_DATES).select(F.col("ident").cast("long"), F.col("file_seq").cast("long"), "d", "total")
-    return safe.unionByName(hard.repartition("ident").sortWithinPartitions("ident", "file_seq", "d").mapInArrow(first_fit, "ident long, file_seq long, cluster long"))
+    days = staged(days.select("ident", "file_seq", "d", "total"), "result-days")
+    hard = days.join(spread.where(F.col("dates") >= LEAST_DATES).select("ident"), "ident", "left_semi")
+    parts = parts_of(hard)
+    rows = hard.join(parts, ["ident", "file_seq"]).select("ident", "part", "file_seq", "d", "total")
+    kinds = dict(days.dtypes)
+    fitted = rows.repartition("ident", "part").sortWithinPartitions("ident", "part", "file_seq", "d").mapInArrow(first_fit, f"ident {kinds['ident']}, file_seq {kinds['file_seq']}, cluster long")
+    alone = days.select("ident", "file_seq").distinct().join(parts, ["ident", "file_seq"], "left_anti")
+    return fitted.unionByName(alone.withColumn("cluster", F.lit(0).cast("long")))

@@ -20,23 +20,18 @@ PAY_CODE = r"(?i)(?<![:0-9.])([0-9]{1,2})\s+(?:regular|over\s*time|overtime|o\.?
 
 
 def date_orders(lines: DataFrame, period: Column) -> DataFrame:
-    """file, date_order of lines(file, text): by parts above 12, else by which order puts more dates into the period's month of any
+    """file, date_order of lines(file, text), period being a month or a column of months: by parts above 12, else by which order puts more dates into the period's month of any
     year; ties MDY."""
-    tokens = lines.select("file", F.explode(dates.date_tokens(F.col("text"))).alias("t"))
+    tokens = lines.select("file", F.month(period).alias("own"), F.explode(dates.date_tokens(F.col("text"))).alias("t"))
     a, b = (F.regexp_extract("t", dates.NUMERIC, k).cast("int") for k in (1, 2))
-    parts = tokens.select("file", a.alias("a"), b.alias("b")).where("a <= 31")
-    of_month = lambda part: F.count_if(F.col(part) == F.month(period))
+    parts = tokens.select("file", "own", a.alias("a"), b.alias("b")).where("a <= 31")
+    of_month = lambda part: F.count_if(F.col(part) == F.col("own"))
     votes = parts.groupBy("file").agg(
         F.count_if(F.col("a") > 12).alias("a12"), F.count_if(F.col("b") > 12).alias("b12"), of_month("b").alias("dmy"), of_month("a").alias("mdy")
     )
     return votes.select("file", F.expr("CASE WHEN a12 > 0 AND b12 = 0 THEN 'DMY' WHEN b12 > 0 AND a12 = 0 THEN 'MDY' WHEN dmy > mdy THEN 'DMY' ELSE 'MDY' END").alias("date_order"))
 
 
-def text_lines(docs: DataFrame) -> DataFrame:
-    """file, line_no, line of docs(file, text)."""
-    return docs.select("file", F.posexplode(F.split("text", r"\R")).alias("line_no", "line"))
-
-
 def labelled_hours(lines: DataFrame, orders: DataFrame, base_year: Column, most: float = 16.0) -> DataFrame:
     """file, date, regular, overtime, total, distinct_values, unclear of lines(file, line_no, line) that state hours for a day.
 

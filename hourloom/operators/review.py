@@ -32,6 +32,15 @@ def visible(rows: DataFrame, profiles: DataFrame) -> DataFrame:
     return own.groupBy("viewer").agg(F.count("*").alias("rows"), F.sum("total").alias("total")).unionByName(admins.join(totals, "k").select("viewer", "rows", "total"))
 
 
+def rows_visible_to(rows: DataFrame, profiles: DataFrame, viewers: list[int]) -> DataFrame:
+    """viewer, and the rows that each of a few viewers may see: an admin all, an employee their own, one without a profile none."""
+    who = profiles.where(F.col("user_id").isin(viewers)).select(F.col("user_id").alias("viewer"), "role")
+    own = rows.join(who.where("role <> 'admin'").select("viewer"), F.col("user_id") == F.col("viewer"))
+    tag = F.explode(F.array(*[F.lit(v).cast("long") for v in viewers]))
+    every = rows.withColumn("viewer", tag).join(who.where("role = 'admin'").select("viewer"), "viewer", "left_semi")
+    return own.unionByName(every)
+
+
 def review_calendar(calendar: DataFrame, days: DataFrame) -> DataFrame:
     """A month grid with its users' days: totals fall back to regular and overtime; filled and worked_on_holiday flags."""
     users = days.select("user_id", F.trunc("d", "MM").alias("period")).distinct()
@@ -85,9 +94,33 @@ def submission_check(sums: DataFrame, slack: float = 0.5) -> DataFrame:
     return out.withColumn("ok", F.col("errors") == "")
 
 
-def prefilled(sums: DataFrame) -> DataFrame:
-    """Answers read off the calendar: stated hours and whether weekends were worked."""
-    return sums.select("user_id", "period", F.col("regular").alias("stated_regular"), F.col("overtime").alias("stated_overtime"), F.when(F.col("weekend") > 0, F.lit("yes")).otherwise(F.lit("no")).alias("weekends"))
+def holiday_answers(calendar: DataFrame, answers: DataFrame) -> DataFrame:
+    """user_id, period, d, severity, message: each answer of answers(user_id, period, worked: map of date to boolean) against the day of a
+    review calendar: worked by the answer without hours, or hours that no answer marks."""
+    said = answers.select("user_id", F.explode("worked").alias("d", "said"))
+    days = calendar.where("is_holiday").select("user_id", "period", "d", F.coalesce("total", F.lit(0.0)).alias("total"))
+    rows = days.join(said, ["user_id", "d"], "left").withColumn("said", F.coalesce("said", F.lit(False)))
+    wrong = F.when(F.col("said") & (F.col("total") == 0), F.struct(F.lit("error").alias("severity"), F.lit("holiday marked as worked but no hours").alias("message")))
+    wrong = wrong.when(~F.col("said") & (F.col("total") > 0), F.struct(F.lit("warning").alias("severity"), F.lit("holiday hours not marked").alias("message")))
+    return rows.select("user_id", "period", "d", wrong.alias("w")).where("w is not null").select("user_id", "period", "d", "w.*")
+
+
+def findings(checked: DataFrame, holidays: DataFrame) -> DataFrame:
+    """All findings on submissions as rows: submission_check()'s messages, one each, and holiday_answers()'."""
+    tell = lambda severity: F.transform(F.filter(F.split(f"{severity}s", "; "), lambda m: m != ""), lambda m: F.struct(F.lit(severity).alias("severity"), m.alias("message")))
+    each = [tell(severity) for severity in ("error", "warning", "info")]
+    rows = checked.select("user_id", "period", F.lit(None).cast("date").alias("d"), F.inline(F.concat(*each)))
+    return rows.unionByName(holidays)
+
+
+def prefilled(sums: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Answers read off the calendar: stated hours, whether weekends were worked, and which holidays."""
+    worked = F.map_from_entries(F.array_sort(F.collect_list(F.struct("d", (F.coalesce("total", F.lit(0.0)) > 0).alias("v")))))
+    holidays = calendar.where("is_holiday").groupBy("user_id", "period").agg(worked.alias("holidays_worked"))
+    weekends = F.when(F.col("weekend") > 0, F.lit("yes")).otherwise(F.lit("no"))
+    rows = sums.join(holidays, ["user_id", "period"], "left")
+    none = F.map_from_arrays(F.array().cast("array<date>"), F.array().cast("array<boolean>"))
+    return rows.select("user_id", "period", F.col("regular").alias("stated_regular"), F.col("overtime").alias("stated_overtime"), weekends.alias("weekends"), F.coalesce("holidays_worked", none).alias("holidays_worked"))
 
 
 def first_of(*columns: Column) -> Column:

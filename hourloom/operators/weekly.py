@@ -47,11 +47,13 @@ def rollup(weeks: DataFrame, daily: DataFrame) -> DataFrame:
 
 
 def dedupe_split(weekly: DataFrame) -> DataFrame:
-    """dedupe() of weeks that also have regular and overtime, which the kept row brings along."""
+    """dedupe() of weeks that also have regular and overtime, which the kept row brings along; with the sources of all its rows where weeks
+    have a column source."""
     first = F.min_by(F.struct("total", "regular", "overtime", "seq"), F.struct(-F.coalesce("total", F.lit(0.0)), F.col("seq")))
-    rows = weekly.groupBy("emp", "week_start", "week_end").agg(first.alias("best"), F.count("*").alias("n"), F.count_distinct(F.round("total", 2)).alias("distinct_totals"))
+    sources = [F.transform(F.array_sort(F.collect_list(F.struct("seq", "source"))), lambda x: x["source"]).alias("sources")] if "source" in weekly.columns else []
+    rows = weekly.groupBy("emp", "week_start", "week_end").agg(first.alias("best"), F.count("*").alias("n"), F.count_distinct(F.round("total", 2)).alias("distinct_totals"), *sources)
     code = F.when((F.col("n") > 1) & (F.col("distinct_totals") > 1), F.lit("CONFLICT")).when(F.col("n") > 1, F.lit("DUPLICATE"))
-    return rows.select("emp", "week_start", "week_end", "best.*", "n", code.alias("code"))
+    return rows.select("emp", "week_start", "week_end", "best.*", "n", code.alias("code"), *(["sources"] if sources else []))
 
 
 def rollup_split(weeks: DataFrame, daily: DataFrame) -> DataFrame:
@@ -69,11 +71,19 @@ def rollup_split(weeks: DataFrame, daily: DataFrame) -> DataFrame:
 
 
 def stated_mismatch(months: DataFrame, stated: DataFrame, slack: float = MONTH_SLACK) -> DataFrame:
-    """emp, period, total, stated: months whose stated total is off by more than slack."""
-    return months.join(stated, ["emp", "period"]).where(F.abs(F.col("stated") - F.col("total")) > slack).select("emp", "period", "total", "stated")
+    """emp, period, total, stated, and what else stated brings: months whose stated total is off by more than slack."""
+    rest = [c for c in stated.columns if c not in ("emp", "period", "stated")]
+    return months.select("emp", "period", "total").join(stated, ["emp", "period"]).where(F.abs(F.col("stated") - F.col("total")) > slack).select("emp", "period", "total", "stated", *rest)
 
 
 def stated_only(months_with_data: DataFrame, stated: DataFrame) -> DataFrame:
     """Months known by a stated total alone: it becomes regular and total, with days at eight hours, half to even."""
+    rest = [c for c in stated.columns if c not in ("emp", "period", "stated")]
     alone = stated.join(months_with_data.select("emp", "period"), ["emp", "period"], "left_anti")
-    return alone.select("emp", "period", F.col("stated").alias("regular"), F.col("stated").alias("total"), F.bround(F.col("stated") / 8).cast("long").alias("days_worked"))
+    return alone.select("emp", "period", F.round("stated", 2).alias("regular"), F.round("stated", 2).alias("total"), F.bround(F.col("stated") / 8).cast("long").alias("days_worked"), *rest)
+
+
+def with_stated(months: DataFrame, stated: DataFrame) -> DataFrame:
+    """months (emp, period, regular, overtime, total, days_worked) and, below them, those that only stated(emp, period, stated) knows."""
+    alone = stated_only(months, stated.select("emp", "period", "stated"))
+    return months.unionByName(alone.select("emp", "period", "regular", F.lit(0.0).alias("overtime"), "total", "days_worked"))

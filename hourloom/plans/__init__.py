@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourloom.plans import consolidated, documents, records, review, scalars
+from hourloom.plans import consolidated, documents, intake, records, review, scalars
 from hourloom.plans.views import with_views
 
-PLANS = (scalars, records, documents, review, consolidated)
+PLANS = (scalars, records, documents, review, consolidated, intake)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,24 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.functions import text
-from hourloom.operators import answers, consolidate, days, files, grids, lines, submissions, weekly
+from hourloom.operators import answers, consolidate, days, files, grids, submissions, weekly
 from hourloom.plans import records
 from hourloom.plans.views import table, view
 
 ORACLE: dict[str, str] = {}
-BASE = 2000
-#: The month of the summary sheets, which name no period.
-MONTH = "1997-01-01"
 
 
 def _found(spark: SparkSession, sf_dir: str) -> consolidate.Found:
-    own = view(spark, sf_dir, "v_files").select("file")
-    cells, said = view(spark, sf_dir, "v_layout_cells"), view(spark, sf_dir, "v_layout_lines")
-    orders = said.select("file").distinct().withColumn("date_order", F.lit("MDY"))
-    labelled = lines.labelled_hours(said, orders, F.lit(BASE))
-    summaries = grids.summary_totals(cells.select("table_id", "row_id", "col", "value"), F.lit(MONTH).cast("date"))
-    anchors = cells.select("table_id").distinct().select("table_id", F.lit(None).cast("date").alias("anchor"), F.lit(-1).cast("long").alias("header_row"))
-    return consolidate.cascade(own, cells, anchors, labelled, summaries, F.lit("MDY"), F.lit(BASE))
+    own = view(spark, sf_dir, "v_files").select("file", "period")
+    return consolidate.cascade(own, view(spark, sf_dir, "v_layout_cells"), view(spark, sf_dir, "v_layout_lines"))
 
 
 def _named(spark: SparkSession, sf_dir: str, found: consolidate.Found) -> DataFrame:
@@ -35,38 +27,76 @@ def file_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir).results
 
 
-SQL_GRID_ENTRIES = """SELECT file, file_seq, row_id, d, CASE WHEN r IS NOT NULL THEN r END AS regular, CASE WHEN o IS NOT NULL THEN o WHEN r IS NOT NULL THEN 0.0 END AS overtime, r + coalesce(o, 0) AS total
-FROM (SELECT file, table_id AS file_seq, row_id, d, CASE WHEN row_id % 4 = 0 THEN NULL ELSE CAST(h AS DOUBLE) END AS r, CASE WHEN row_id % 3 = 0 AND row_id % 5 > 0 THEN 1.5 END AS o FROM v_layout_rows WHERE layout IN (0, 4))"""
-SQL_TEXT_ENTRIES = """SELECT file, table_id AS file_seq, d, CASE WHEN count(DISTINCT h) = 1 THEN max(h) + 0.5 END AS total FROM v_layout_rows WHERE layout IN (2, 6) GROUP BY file, table_id, d"""
-SQL_SUMMARY = "SELECT file, arg_min(CAST(w AS DOUBLE), row_id) AS stated FROM v_layout_rows WHERE layout = 3 AND w > 0 GROUP BY file"
-SQL_RESULTS = f"""SELECT f.file, f.file_seq, CASE WHEN g.n > 0 THEN 'daily_grid' WHEN w.n > 0 THEN 'weekly_totals' WHEN t.n > 0 THEN 'text_hours_labeled' WHEN s.stated IS NOT NULL THEN 'summary_total' ELSE 'deterministic_insufficient' END AS method,
-coalesce(g.n, w.n, t.n, 0) AS found, CASE WHEN g.n > 0 THEN g.c WHEN w.n > 0 THEN 0.7 WHEN t.n > 0 THEN t.c WHEN s.stated IS NOT NULL THEN 0.6 ELSE 0.1 END AS confidence, s.stated AS stated_total,
-coalesce(g.n, w.n, t.n) IS NULL AND s.stated IS NULL AS needs_llm FROM v_files f
-LEFT JOIN (SELECT file, count(*) AS n, round(count(coalesce(regular, overtime)) / count(*), 2) AS c FROM ({SQL_GRID_ENTRIES}) GROUP BY file) g ON f.file = g.file
-LEFT JOIN (SELECT file, count(*) AS n FROM v_layout_rows WHERE layout IN (1, 5) GROUP BY file) w ON f.file = w.file
-LEFT JOIN (SELECT file, count(*) AS n, CASE WHEN bool_or(total IS NULL) THEN 0.45 ELSE 0.72 END AS c FROM ({SQL_TEXT_ENTRIES}) GROUP BY file) t ON f.file = t.file LEFT JOIN ({SQL_SUMMARY}) s ON f.file = s.file"""
-ORACLE["file_results"] = f"SELECT file, method, found, CAST(confidence AS DOUBLE) AS confidence, stated_total, needs_llm FROM ({SQL_RESULTS})"
+#: What each strategy reads of the layouts. tok: the parts of dates; orders: day or month first, by file; dated: rows with the date read.
+SQL_FOUND = """tok AS (
+  SELECT *, CASE WHEN contains(written, '/') THEN CAST(split_part(written, '/', 1) AS INT) END AS a, CASE WHEN contains(written, '/') THEN CAST(split_part(written, '/', 2) AS INT) END AS b
+  FROM v_layout_rows WHERE layout NOT IN (3, 7)),
+votes AS (
+  SELECT t.file, count(*) FILTER (a > 12) AS a12, count(*) FILTER (b > 12) AS b12, count(*) FILTER (b = month(period)) AS dmy, count(*) FILTER (a = month(period)) AS mdy
+  FROM tok t JOIN v_files f ON f.file = t.file GROUP BY t.file),
+date_orders AS (SELECT file, CASE WHEN a12 > 0 AND b12 = 0 THEN 'DMY' WHEN b12 > 0 AND a12 = 0 THEN 'MDY' WHEN dmy > mdy THEN 'DMY' ELSE 'MDY' END AS o FROM votes),
+dated AS (
+  SELECT t.* EXCLUDE (d), CASE WHEN a IS NULL THEN d WHEN a > 12 OR (o = 'DMY' AND b <= 12) THEN make_date(year(d), b, a) ELSE make_date(year(d), a, b) END AS d
+  FROM tok t JOIN date_orders o ON o.file = t.file),
+grid AS (
+  SELECT file, table_id, row_id, d, r AS regular, CASE WHEN o IS NOT NULL THEN o WHEN r IS NOT NULL THEN 0.0 END AS overtime, r + coalesce(o, 0) AS total FROM (
+    SELECT *, CASE WHEN row_id % 4 > 0 THEN CAST(h AS DOUBLE) END AS r, CASE WHEN row_id % 3 = 0 AND row_id % 5 > 0 THEN 1.5 END AS o FROM dated WHERE layout IN (0, 4))),
+said AS (SELECT file, table_id, d, CASE WHEN count(DISTINCT h) = 1 THEN max(h) + 0.5 END AS total FROM dated WHERE layout IN (2, 6) GROUP BY file, table_id, d),
+matrix AS (
+  SELECT r.file, table_id, CAST(anchor + CAST(row_id % 7 AS INT) AS DATE) AS d, round(sum(CAST(h AS DOUBLE)), 2) AS total
+  FROM v_layout_rows r JOIN v_files f ON f.file = r.file WHERE r.layout = 7 AND anchor IS NOT NULL AND h > 0 GROUP BY 1, 2, 3),
+week_rows AS (SELECT file, table_id, row_id, CAST(d - 6 AS DATE) AS week_start, d AS week_end, CAST(w AS DOUBLE) AS total FROM dated WHERE layout IN (1, 5)),
+covers AS (
+  SELECT r.file, arg_min(CAST(w AS DOUBLE), row_id) AS stated FROM v_layout_rows r WHERE r.layout = 3 AND w > 0 AND row_id % 3 < 2 GROUP BY r.file),
+results AS (
+  SELECT f.file, f.file_seq, f.period, lower(f.name_hint) AS who, f.name_hint, f.client_hint,
+    CASE WHEN g.n > 0 THEN 'daily_grid' WHEN w.n > 0 THEN 'weekly_totals' WHEN m.n > 0 THEN 'weekday_matrix' WHEN t.n > 0 THEN 'text_hours_labeled'
+      WHEN c.stated IS NOT NULL THEN 'summary_total' ELSE 'deterministic_insufficient' END AS method,
+    coalesce(g.n, w.n, m.n, t.n, 0) AS found, CASE WHEN g.n > 0 THEN g.c WHEN w.n > 0 THEN 0.7 WHEN m.n > 0 THEN 0.6 WHEN t.n > 0 THEN t.c WHEN c.stated IS NOT NULL THEN 0.6 ELSE 0.1 END AS confidence,
+    CASE WHEN g.n > 0 AND f.layout = 0 AND f.file_seq % 3 = 0 THEN 160 ELSE c.stated END AS stated_total,
+    CASE WHEN t.n > 0 THEN t.c < 0.5 ELSE coalesce(g.n, w.n, m.n) IS NULL AND c.stated IS NULL END AS needs_llm
+  FROM v_files f
+  LEFT JOIN (SELECT file, count(*) AS n, round(count(coalesce(regular, overtime)) / count(*), 2) AS c FROM grid GROUP BY file) g ON f.file = g.file
+  LEFT JOIN (SELECT file, count(*) AS n FROM week_rows GROUP BY file) w ON f.file = w.file
+  LEFT JOIN (SELECT file, count(*) AS n FROM matrix GROUP BY file) m ON f.file = m.file
+  LEFT JOIN (SELECT file, count(*) AS n, CASE WHEN bool_or(total IS NULL) THEN 0.45 ELSE 0.72 END AS c FROM said GROUP BY file) t ON f.file = t.file
+  LEFT JOIN covers c ON f.file = c.file)"""
+ORACLE["file_results"] = f"WITH {SQL_FOUND} SELECT file, period, method, found, CAST(confidence AS DOUBLE) AS confidence, CAST(stated_total AS DOUBLE) AS stated_total, needs_llm FROM results"
 
 
 def consolidated_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From cells and lines to each person's months: every calendar day once, by trust, then by weekly totals."""
+    """From cells and lines to each person's months: every calendar day once, by trust, then by weekly totals; months known by a stated
+    total alone have that."""
     found = _found(spark, sf_dir)
     return consolidate.records(found, _named(spark, sf_dir, found))
 
 
-SQL_IDENT = "concat('nm:person ', CAST(file_seq % 39 AS VARCHAR))"
-SQL_PERSON_DAYS = f"""SELECT ident, d, regular, overtime, total FROM (SELECT *, row_number() OVER (PARTITION BY ident, d ORDER BY trust DESC, file_seq, t, row_id) AS k FROM (
-SELECT {SQL_IDENT} AS ident, d, regular, overtime, total, 3.0 AS trust, file_seq, file_seq AS t, row_id FROM ({SQL_GRID_ENTRIES}) WHERE coalesce(regular, overtime) IS NOT NULL
-UNION ALL SELECT {SQL_IDENT}, d, total, 0.0, total, 1.5, file_seq, -1, -1 FROM ({SQL_TEXT_ENTRIES}) WHERE total IS NOT NULL)) WHERE k = 1"""
-SQL_PERSON_WEEKS = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ident, week_start ORDER BY total DESC, file_seq, row_id) AS k FROM (
-SELECT concat('nm:person ', CAST(table_id % 39 AS VARCHAR)) AS ident, CAST(d - 6 AS DATE) AS week_start, d AS week_end, CAST(w AS DOUBLE) AS total, table_id AS file_seq, row_id FROM v_layout_rows WHERE layout IN (1, 5))) WHERE k = 1"""
-SQL_PERSON_OWNED = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ident, d ORDER BY week_start, file_seq, row_id) AS j FROM (
-SELECT ident, week_start, total, file_seq, row_id, CAST(unnest(generate_series(week_start, week_end, INTERVAL 1 DAY)) AS DATE) AS d FROM ({SQL_PERSON_WEEKS})) w
-WHERE NOT EXISTS (SELECT 1 FROM ({SQL_PERSON_DAYS}) p WHERE p.ident = w.ident AND p.d = w.d)) WHERE j = 1"""
-ORACLE["consolidated_months"] = f"""SELECT ident, period, round(sum(r), 2) AS regular, round(sum(o), 2) AS overtime, round(sum(t), 2) AS total, CAST(sum(n) AS BIGINT) AS days_worked FROM (
-SELECT ident, CAST(date_trunc('month', d) AS DATE) AS period, coalesce(regular, 0) AS r, coalesce(overtime, 0) AS o, coalesce(total, 0) AS t, CASE WHEN total > 0 THEN 1 ELSE 0 END AS n FROM ({SQL_PERSON_DAYS})
-UNION ALL SELECT ident, period, part, 0, part, round_even(part / 8, 0) FROM (SELECT ident, CAST(date_trunc('month', d) AS DATE) AS period, any_value(total) * (count(*) / 7) AS part FROM ({SQL_PERSON_OWNED}) GROUP BY ident, week_start, 2))
-GROUP BY ident, period"""
+#: People's entries, days, weeks, months with data, and stated totals by the rule: the first that a month's files state.
+SQL_PEOPLE = f"""{SQL_FOUND},
+entries AS (
+  SELECT concat('nm:', r.who) AS ident, e.*, file_seq, r.file AS f FROM results r JOIN (
+    SELECT file, d, regular, overtime, total, 3.0 AS trust, table_id AS t, row_id AS r, 1 AS kind, concat(file, ' · sheet=', table_id, ' · row', row_id) AS label FROM grid
+    UNION ALL SELECT file, d, total, CASE WHEN total IS NOT NULL THEN 0.0 END, total, 1.5, -1, -1, 2, file FROM said
+    UNION ALL SELECT file, d, NULL, NULL, total, 2.0, table_id, -1, 3, concat(file, ' · sheet=', table_id) FROM matrix) e ON e.file = r.file),
+readable AS (SELECT * FROM entries WHERE coalesce(regular, overtime, total) IS NOT NULL),
+days AS (
+  SELECT *, count(*) OVER (PARTITION BY ident, d) AS n FROM readable QUALIFY row_number() OVER (PARTITION BY ident, d ORDER BY trust DESC, file_seq, t, r) = 1),
+weeks AS (
+  SELECT concat('nm:', r.who) AS ident, file_seq, w.*, count(*) OVER same AS n FROM week_rows w JOIN results r ON r.file = w.file WINDOW same AS (PARTITION BY r.who, week_start)
+  QUALIFY row_number() OVER (PARTITION BY r.who, week_start ORDER BY total DESC, file_seq, row_id) = 1),
+owned AS (
+  SELECT * FROM (SELECT ident, week_start, total, file_seq, row_id, CAST(unnest(generate_series(week_start, week_end, INTERVAL 1 DAY)) AS DATE) AS d FROM weeks) w
+  WHERE NOT EXISTS (SELECT 1 FROM days p WHERE p.ident = w.ident AND p.d = w.d) QUALIFY row_number() OVER (PARTITION BY ident, d ORDER BY week_start, file_seq, row_id) = 1),
+with_data AS (
+  SELECT ident, period, round(sum(r), 2) AS regular, round(sum(o), 2) AS overtime, round(sum(t), 2) AS total, CAST(sum(n) AS BIGINT) AS days_worked FROM (
+    SELECT ident, CAST(date_trunc('month', d) AS DATE) AS period, coalesce(regular, 0) AS r, coalesce(overtime, 0) AS o, coalesce(total, 0) AS t, CASE WHEN total > 0 THEN 1 ELSE 0 END AS n FROM days
+    UNION ALL SELECT ident, period, part, 0, part, round_even(part / 8, 0) FROM (
+      SELECT ident, CAST(date_trunc('month', d) AS DATE) AS period, any_value(total) * (count(*) / 7) AS part FROM owned GROUP BY ident, week_start, 2)) GROUP BY ident, period),
+stated AS (
+  SELECT concat('nm:', who) AS ident, period, arg_min(stated_total, file_seq) AS stated, arg_min(file, file_seq) AS file FROM results WHERE stated_total IS NOT NULL GROUP BY 1, 2),
+stated_alone AS (SELECT * FROM stated s WHERE NOT EXISTS (SELECT 1 FROM with_data w WHERE w.ident = s.ident AND w.period = s.period))"""
+ORACLE["consolidated_months"] = f"""WITH {SQL_PEOPLE} SELECT * FROM with_data
+UNION ALL SELECT ident, period, round(stated, 2), 0, round(stated, 2), CAST(round_even(stated / 8, 0) AS BIGINT) FROM stated_alone"""
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,11 +106,54 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.by_name(got.select("ident", "employee_name", "stated_total", "needs_llm", joined("clients"), joined("files"), joined("methods")))
 
 
-ORACLE["people"] = f"""SELECT ident, name AS employee_name, arg_min(stated_total, file_seq) FILTER (stated_total IS NOT NULL) AS stated_total, bool_or(needs_llm) AS needs_llm,
-(SELECT string_agg(c, ',' ORDER BY s) FROM (SELECT c_mktsegment AS c, min(c_custkey) AS s FROM customer WHERE concat('nm:person ', CAST(c_custkey % 39 AS VARCHAR)) = ident GROUP BY 1)) AS clients,
-string_agg(file, ',' ORDER BY file_seq) AS files,
-(SELECT string_agg(m, ',' ORDER BY s) FROM (SELECT method AS m, min(file_seq) AS s FROM ({SQL_RESULTS}) q WHERE {SQL_IDENT.replace("file_seq", "q.file_seq")} = ident GROUP BY 1)) AS methods
-FROM (SELECT *, {SQL_IDENT} AS ident, concat('Person ', CAST(file_seq % 39 AS VARCHAR)) AS name FROM ({SQL_RESULTS})) GROUP BY ident, name"""
+ORACLE["people"] = f"""WITH {SQL_FOUND}, clients AS (SELECT who, client_hint AS c, min(file_seq) AS s FROM results GROUP BY 1, 2), methods AS (SELECT who, method AS m, min(file_seq) AS s FROM results GROUP BY 1, 2)
+SELECT concat('nm:', r.who) AS ident, any_value(name_hint) AS employee_name, CAST(arg_min(stated_total, file_seq) FILTER (stated_total IS NOT NULL) AS DOUBLE) AS stated_total, bool_or(needs_llm) AS needs_llm,
+(SELECT string_agg(c, ',' ORDER BY s) FROM clients k WHERE k.who = r.who) AS clients, string_agg(file, ',' ORDER BY file_seq) AS files,
+(SELECT string_agg(m, ',' ORDER BY s) FROM methods k WHERE k.who = r.who) AS methods FROM results r GROUP BY r.who"""
+
+
+def consolidated_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding about entries, days, weeks and months of the cascade's records, each with its sources."""
+    found = _found(spark, sf_dir)
+    got = consolidate.person_records(found, _named(spark, sf_dir, found))
+    issues = consolidate.all_issues(got, records._calendar(spark, got.days))
+    return issues.withColumn("sources", days.labels(F.col("sources"))).withColumnRenamed("emp", "ident")
+
+
+ORACLE["consolidated_issues"] = f"""WITH {SQL_PEOPLE}, holidays AS ({records.HOLIDAYS.replace("v_entries", "days")}),
+cal AS (
+  SELECT period, date, isodow(date) >= 6 AS is_weekend, date IN (SELECT date FROM holidays) AS is_holiday FROM (
+    SELECT period, CAST(unnest(generate_series(period, last_day(period), INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DISTINCT CAST(date_trunc('month', d) AS DATE) AS period FROM days))),
+day_sources AS (SELECT ident, d, count(DISTINCT round(total, 2)) AS dt, string_agg(label, '; ' ORDER BY file_seq, t, r) AS sources FROM readable GROUP BY ident, d),
+files_by_month AS (
+  SELECT ident, period, string_agg(f, '; ' ORDER BY f) AS sources FROM (SELECT DISTINCT ident, CAST(date_trunc('month', d) AS DATE) AS period, f FROM entries) GROUP BY 1, 2),
+active AS (SELECT a.ident, c.* FROM (SELECT DISTINCT ident, CAST(date_trunc('month', d) AS DATE) AS period FROM days) a JOIN cal c ON c.period = a.period),
+week_all AS (
+  SELECT concat('nm:', r.who) AS ident, file_seq, w.*, CAST(table_id AS VARCHAR) AS sheet, concat(w.file, ' · sheet=', table_id, ' · row', row_id) AS label FROM week_rows w JOIN results r ON r.file = w.file),
+week_codes AS (
+  SELECT ident, week_start, count(*) AS n, count(DISTINCT round(total, 2)) AS dt, string_agg(label, '; ' ORDER BY file_seq, row_id) AS sources FROM week_all GROUP BY ident, week_start),
+reads AS (SELECT concat('nm:', who) AS ident, period, bool_or(needs_llm) AS needs, string_agg(file, '; ' ORDER BY file) AS sources FROM results GROUP BY 1, 2)
+SELECT ident, period, scope, date, code, severity, message, coalesce(sources, '') AS sources FROM (
+SELECT ident, CAST(date_trunc('month', d) AS DATE) AS period, 'entry' AS scope, d AS date, 'UNCLEAR' AS code, 'warning' AS severity,
+  CASE kind WHEN 1 THEN 'date present but hours unreadable' ELSE 'several labelled hours for the day' END AS message, label AS sources
+  FROM entries e WHERE coalesce(regular, overtime, total) IS NULL AND (kind = 2 OR NOT EXISTS (SELECT 1 FROM days x WHERE x.ident = e.ident AND x.d = e.d))
+UNION ALL SELECT ident, CAST(date_trunc('month', d) AS DATE), 'entry', d, 'OUT_OF_RANGE', 'warning', concat(CAST(total AS VARCHAR), 'h exceeds the day''s bound'), label FROM entries WHERE total > 16
+UNION ALL SELECT ident, CAST(date_trunc('month', d) AS DATE), 'day', d, 'OUT_OF_RANGE', 'warning', concat(CAST(total AS VARCHAR), 'h exceeds the day''s bound'), sources
+  FROM days JOIN day_sources USING (ident, d) WHERE total > 16
+UNION ALL SELECT x.ident, c.period, 'day', x.d, 'OUT_OF_RANGE', 'info', CASE WHEN is_holiday THEN 'hours on a holiday' ELSE 'hours on a weekend' END, sources
+  FROM days x JOIN day_sources s ON s.ident = x.ident AND s.d = x.d JOIN cal c ON c.date = x.d WHERE (is_weekend OR is_holiday) AND total > 0
+UNION ALL SELECT x.ident, CAST(date_trunc('month', x.d) AS DATE), 'day', x.d, CASE WHEN dt > 1 THEN 'CONFLICT' ELSE 'DUPLICATE' END, CASE WHEN dt > 1 THEN 'error' ELSE 'info' END, 'several sources', sources
+  FROM days x JOIN day_sources s ON s.ident = x.ident AND s.d = x.d WHERE n > 1
+UNION ALL SELECT a.ident, a.period, 'day', a.date, 'MISSING', 'info', 'no data for a working day', sources FROM active a LEFT JOIN files_by_month m ON m.ident = a.ident AND m.period = a.period
+  WHERE NOT is_weekend AND NOT is_holiday AND NOT EXISTS (SELECT 1 FROM days x WHERE x.ident = a.ident AND x.d = a.date)
+  AND NOT EXISTS (SELECT 1 FROM week_all w WHERE w.ident = a.ident AND a.date BETWEEN w.week_start AND w.week_end)
+UNION ALL SELECT ident, CAST(date_trunc('month', week_start) AS DATE), 'week', NULL, CASE WHEN dt > 1 THEN 'CONFLICT' ELSE 'DUPLICATE' END, CASE WHEN dt > 1 THEN 'error' ELSE 'info' END,
+  concat(CASE WHEN dt > 1 THEN 'conflicting' ELSE 'repeated' END, ' totals of the week from ', CAST(week_start AS VARCHAR)), sources FROM week_codes WHERE n > 1
+UNION ALL SELECT ident, period, 'month', NULL, 'WEEK_ONLY', 'info', concat(CAST(count(DISTINCT week_start) AS VARCHAR), ' weekly totals, shared out to the month'), string_agg(label, '; ' ORDER BY file, sheet, row_id) FROM (
+  SELECT *, CAST(unnest(list_distinct([date_trunc('month', week_start), date_trunc('month', week_end)])) AS DATE) AS period FROM week_all) GROUP BY ident, period
+UNION ALL SELECT ident, period, 'month', NULL, 'WEEK_ONLY', 'info', 'only a stated month total', file FROM stated_alone
+UNION ALL SELECT s.ident, s.period, 'month', NULL, 'TOTAL_MISMATCH', 'warning', 'the stated month total is off', file FROM stated s JOIN with_data w ON w.ident = s.ident AND w.period = s.period WHERE abs(stated - total) > 0.5
+UNION ALL SELECT ident, period, 'month', NULL, 'NEEDS_LLM', 'warning', 'a source needs another read', sources FROM reads WHERE needs)"""
 
 
 def _split_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,32 +178,45 @@ UNION ALL SELECT emp, CAST(date_trunc('month', d) AS DATE), least(total, 8), gre
 
 
 def _read_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results of each person's months, as the events tell: how they were read and whether that was enough."""
-    return view(spark, sf_dir, "v_entries").select("emp", F.trunc("d", "MM").alias("period"), F.when(F.col("extractor") == "error", F.lit("llm_vision")).otherwise(F.lit("csv")).alias("method"), (F.col("total") > 22).alias("needs_llm"))
+    """Results of each person's months, as the events tell: how they were read and whether that was enough. Reads of signups say nothing."""
+    rows = view(spark, sf_dir, "v_entries")
+    method = F.when(F.col("extractor") == "error", F.lit("llm_vision")).otherwise(F.lit("csv"))
+    at = days.source(F.concat(F.lit("f"), (F.col("seq") % 5).cast("string")), method)
+    late = F.add_months("d", F.when(F.col("extractor") == "error", F.lit(1)).otherwise(F.lit(0)))
+    return rows.select("emp", F.trunc(late, "MM").alias("period"), method.alias("method"), (F.col("total") > 22).alias("needs_llm"), at.alias("source"))
 
 
 def month_issue_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The findings about weeks and months: weekly conflicts, shared-out weeks, stated totals, weak reads, split names."""
-    weeks = records._weeks(spark, sf_dir).select("emp", "week_start", "week_end", "total", "seq")
+    """The findings about weeks and months: weekly conflicts, shared-out weeks, stated totals, weak reads, split names; with sources."""
+    weeks = _split_weeks(spark, sf_dir).withColumn("source", days.source(F.concat(F.lit("w"), F.col("seq").cast("string")), F.lit("weekly_totals")))
     months = records.employee_month_daily(spark, sf_dir)
-    stated = view(spark, sf_dir, "v_uploads").groupBy(F.col("user_id").alias("emp"), F.make_date("year", "month", F.lit(1)).alias("period")).agg(F.max("total").alias("stated"))
-    clusters = view(spark, sf_dir, "v_entries").select("emp", F.trunc("d", "MM").alias("period"), (F.col("seq") % 50 == 0).cast("long").alias("cluster")).distinct()
-    return consolidate.month_issues(weekly.dedupe(weeks), months, stated, _read_by(spark, sf_dir), clusters)
-
-
-SQL_STATED = "SELECT user_id AS emp, make_date(year, month, 1) AS period, max(total) AS stated FROM v_uploads GROUP BY 1, 2"
-SQL_READS = "SELECT emp, CAST(date_trunc('month', d) AS DATE) AS period, bool_or(extractor = 'error') AS by_model, bool_or(total > 22) AS needs FROM v_entries GROUP BY 1, 2"
-ORACLE["month_issue_list"] = f"""SELECT emp, period, scope, CAST(NULL AS DATE) AS date, code, severity, message FROM (
+    file = F.concat(F.lit("u"), F.min_by("id", F.struct(-F.col("total"), F.col("id"))).cast("string"))
+    stated = view(spark, sf_dir, "v_uploads").groupBy(F.col("user_id").alias("emp"), F.make_date("year", "month", F.lit(1)).alias("period")).agg(F.max("total").alias("stated"), F.array(days.source(file, F.lit("form"))).alias("sources"))
+    clusters = view(spark, sf_dir, "v_entries").select("emp", F.trunc("d", "MM").alias("period"), (F.col("seq") % 50 == 0).cast("long").alias("cluster"), days.source(F.concat(F.lit("f"), (F.col("seq") % 5).cast("string")), F.lit("x")).alias("source"))
+    found = consolidate.month_issues(weekly.dedupe_split(weeks), months, stated, _read_by(spark, sf_dir), clusters)
+    return found.withColumn("sources", days.labels(F.col("sources")))
+
+
+SQL_STATED = "SELECT user_id AS emp, make_date(year, month, 1) AS period, max(total) AS stated, concat('u', arg_min(id, struct_pack(a := -total, b := id))) AS sources FROM v_uploads GROUP BY 1, 2"
+SQL_READS = """SELECT emp, period, bool_or(by_model) AS by_model, bool_or(needs) AS needs, string_agg(DISTINCT f, '; ' ORDER BY f) AS sources FROM (
+  SELECT emp, CAST(date_trunc('month', CASE WHEN extractor = 'error' THEN d + INTERVAL 1 MONTH ELSE d END) AS DATE) AS period, extractor = 'error' AS by_model, total > 22 AS needs, concat('f', seq % 5) AS f FROM v_entries) GROUP BY 1, 2"""
+ORACLE["month_issue_list"] = f"""WITH weeks AS ({records.SQL_WEEKS}), months AS ({records.SQL_MONTHS}), stated AS ({SQL_STATED}), reads AS ({SQL_READS}),
+every_week AS (SELECT *, l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS seq FROM v_weekly),
+week_sources AS (SELECT emp, week_start, week_end, string_agg(concat('w', seq), '; ' ORDER BY seq) AS sources FROM every_week GROUP BY ALL),
+known AS (SELECT emp, period, total, days_worked FROM months UNION ALL SELECT emp, period, stated, CAST(round_even(stated / 8, 0) AS BIGINT) FROM stated s WHERE NOT EXISTS (SELECT 1 FROM months m WHERE m.emp = s.emp AND m.period = s.period)),
+parted AS (SELECT emp, CAST(date_trunc('month', d) AS DATE) AS period, seq % 50 = 0 AS c, concat('f', seq % 5) AS f FROM v_entries)
+SELECT emp, period, scope, CAST(NULL AS DATE) AS date, code, severity, message, coalesce(sources, '') AS sources FROM (
 SELECT emp, CAST(date_trunc('month', week_start) AS DATE) AS period, 'week' AS scope, code, CASE code WHEN 'CONFLICT' THEN 'error' ELSE 'info' END AS severity,
-  concat(CASE code WHEN 'CONFLICT' THEN 'conflicting' ELSE 'repeated' END, ' totals of the week from ', CAST(week_start AS VARCHAR)) AS message FROM ({records.SQL_WEEKS}) WHERE code IS NOT NULL
-UNION ALL SELECT emp, period, 'month', 'WEEK_ONLY', 'info', concat(CAST(count(*) AS VARCHAR), ' weekly totals, shared out to the month') FROM (
-  SELECT DISTINCT emp, week_start, week_end, CAST(date_trunc('month', unnest([week_start, week_end])) AS DATE) AS period FROM ({records.SQL_WEEKS})) GROUP BY emp, period
-UNION ALL SELECT emp, period, 'month', 'WEEK_ONLY', 'info', 'only a stated month total' FROM ({SQL_STATED}) s WHERE NOT EXISTS (SELECT 1 FROM ({records.SQL_MONTHS}) m WHERE m.emp = s.emp AND m.period = s.period)
-UNION ALL SELECT s.emp, s.period, 'month', 'TOTAL_MISMATCH', 'warning', 'the stated month total is off' FROM ({SQL_STATED}) s JOIN ({records.SQL_MONTHS}) m ON m.emp = s.emp AND m.period = s.period WHERE abs(stated - total) > 0.5
-UNION ALL SELECT r.emp, r.period, 'month', 'NEEDS_LLM', 'warning', 'few hours read by a model or from an image' FROM ({SQL_READS}) r JOIN ({records.SQL_MONTHS}) m ON m.emp = r.emp AND m.period = r.period WHERE by_model AND total < 80 AND days_worked < 10
-UNION ALL SELECT emp, period, 'month', 'NEEDS_LLM', 'warning', 'a source needs another read' FROM ({SQL_READS}) WHERE needs
-UNION ALL SELECT emp, period, 'month', 'CONFLICT', 'warning', 'several people share a name' FROM (SELECT DISTINCT emp, period, c FROM (SELECT *, count(DISTINCT c) OVER (PARTITION BY emp, period) AS n
-  FROM (SELECT emp, CAST(date_trunc('month', d) AS DATE) AS period, seq % 50 = 0 AS c FROM v_entries)) WHERE n > 1))"""
+  concat(CASE code WHEN 'CONFLICT' THEN 'conflicting' ELSE 'repeated' END, ' totals of the week from ', CAST(week_start AS VARCHAR)) AS message, sources FROM weeks JOIN week_sources USING (emp, week_start, week_end) WHERE code IS NOT NULL
+UNION ALL SELECT emp, period, 'month', 'WEEK_ONLY', 'info', concat(CAST(count(DISTINCT week_start) AS VARCHAR), ' weekly totals, shared out to the month'), string_agg(concat('w', seq), '; ' ORDER BY concat('w', seq)) FROM (
+  SELECT emp, week_start, seq, CAST(unnest(list_distinct([date_trunc('month', week_start), date_trunc('month', week_end)])) AS DATE) AS period FROM every_week) GROUP BY emp, period
+UNION ALL SELECT emp, period, 'month', 'WEEK_ONLY', 'info', 'only a stated month total', sources FROM stated s WHERE NOT EXISTS (SELECT 1 FROM months m WHERE m.emp = s.emp AND m.period = s.period)
+UNION ALL SELECT s.emp, s.period, 'month', 'TOTAL_MISMATCH', 'warning', 'the stated month total is off', sources FROM stated s JOIN months m ON m.emp = s.emp AND m.period = s.period WHERE abs(stated - total) > 0.5
+UNION ALL SELECT r.emp, r.period, 'month', 'NEEDS_LLM', 'warning', 'few hours read by a model or from an image', sources FROM reads r LEFT JOIN known m ON m.emp = r.emp AND m.period = r.period
+  WHERE by_model AND coalesce(total, 0) < 80 AND coalesce(days_worked, 0) < 10
+UNION ALL SELECT emp, period, 'month', 'NEEDS_LLM', 'warning', 'a source needs another read', sources FROM reads WHERE needs
+UNION ALL SELECT emp, period, 'month', 'CONFLICT', 'warning', 'several people share a name', string_agg(DISTINCT f, '; ' ORDER BY f) FROM parted
+  WHERE (emp, period) IN (SELECT (emp, period) FROM parted GROUP BY emp, period HAVING count(DISTINCT c) > 1) GROUP BY emp, period, c)"""
 
 
 def uncovered_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,7 +364,7 @@ LEFT JOIN (SELECT table_id, count(*) AS entries, count(*) FILTER (row_id % 3 = 0
 QUERIES = {
     f.__name__: f
     for f in (
-        file_results, consolidated_months, people, rollup_split, month_issue_list, uncovered_days, split_names, submission_state, baseline_sync, file_register,
+        file_results, consolidated_months, consolidated_issues, people, rollup_split, month_issue_list, uncovered_days, split_names, submission_state, baseline_sync, file_register,
         canonical_cells, clean_tables, answer_results, larger_reads, trust_weights, ident_keys, recovered_dates,
     )
 }

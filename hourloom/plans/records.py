@@ -14,16 +14,22 @@ HOLIDAYS = SQL_HOLIDAYS.replace("SELECT DISTINCT year AS y FROM v_uploads", "SEL
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """v_entries with hours above eight as overtime, and a client that some entries lack."""
+    """v_entries with hours above eight as overtime, a client that some entries lack, and where each was read."""
+    seq, sheet = F.col("seq"), F.when(F.col("seq") % 3 == 0, F.lit("S1"))
+    at = days.source(F.concat(F.lit("f"), (seq % 5).cast("string")), F.col("extractor"), sheet=sheet, page=F.when(seq % 3 == 1, seq % 4), row=seq, cell=F.when(seq % 7 == 0, F.lit("B2")), region=F.when(seq % 11 == 0, F.lit("top")))
     return view(spark, sf_dir, "v_entries").select(
         "*", F.least("total", F.lit(8.0)).alias("regular"), F.greatest(F.col("total") - 8, F.lit(0.0)).alias("overtime"),
-        F.when(F.col("extractor") != "error", F.col("extractor")).alias("client"), F.when(F.col("emp") % 4 > 0, F.concat(F.lit("p"), F.col("emp") % 3)).alias("project"),
+        F.when(F.col("extractor") != "error", F.col("extractor")).alias("client"), F.when(F.col("emp") % 4 > 0, F.concat(F.lit("p"), F.col("emp") % 3)).alias("project"), at.alias("source"),
     )
 
 
 SQL_DAYS = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY emp, d ORDER BY trust DESC, seq) AS k, count(*) OVER (PARTITION BY emp, d) AS n,
     least(total, 8.0) AS regular, greatest(total - 8, 0.0) AS overtime, CASE WHEN extractor <> 'error' THEN extractor END AS client,
     CASE WHEN emp % 4 > 0 THEN concat('p', emp % 3) END AS project FROM v_entries) WHERE k = 1"""
+#: The label of an entry's source, and of all of a day's.
+SQL_LABEL = """concat('f', seq % 5, CASE WHEN seq % 3 = 0 THEN ' · sheet=S1' ELSE '' END, CASE WHEN seq % 3 = 1 THEN concat(' · p', seq % 4) ELSE '' END,
+  CASE WHEN seq % 7 = 0 THEN ' · B2' ELSE concat(' · row', seq) END, CASE WHEN seq % 11 = 0 THEN ' · @top' ELSE '' END)"""
+SQL_DAY_SOURCES = f"SELECT emp, d, string_agg({SQL_LABEL}, '; ' ORDER BY seq) AS sources FROM v_entries GROUP BY emp, d"
 SQL_DISTINCT = "SELECT emp, d, count(DISTINCT round(total, 2)) AS distinct_totals, count(*) AS n FROM v_entries GROUP BY emp, d"
 
 
@@ -101,17 +107,19 @@ def _issues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 
 def issue_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _issues(spark, sf_dir)[0].orderBy(days.severity_rank(), "date", "emp")
-
-
-SQL_ISSUES = f"""SELECT emp, CAST(date_trunc('month', date) AS DATE) AS period, scope, date, code, severity, message FROM (
-SELECT emp, d AS date, 'entry' AS scope, 'OUT_OF_RANGE' AS code, 'warning' AS severity, concat(CAST(total AS STRING), 'h exceeds the day''s bound') AS message FROM v_entries WHERE total > 16
-UNION ALL SELECT emp, d, 'day', 'OUT_OF_RANGE', 'warning', concat(CAST(total AS STRING), 'h exceeds the day''s bound') FROM ({SQL_DAYS}) WHERE total > 16
-UNION ALL SELECT a.emp, a.d, 'day', 'OUT_OF_RANGE', 'info', CASE WHEN c.is_holiday THEN 'hours on a holiday' ELSE 'hours on a weekend' END
-  FROM ({SQL_DAYS}) a JOIN ({SQL_CALENDAR}) c ON a.d = c.date WHERE (c.is_weekend OR c.is_holiday) AND a.total > 0
-UNION ALL SELECT emp, d, 'day', code, severity, 'several sources' FROM ({SQL_CONFLICTS})
-UNION ALL SELECT emp, d, 'day', 'TOTAL_MISMATCH', 'warning', 'regular and overtime are not the total' FROM ({SQL_DAYS}) WHERE abs(regular + overtime - total) > 0.05
-UNION ALL SELECT emp, d, 'day', 'MISSING', 'info', 'no data for a working day' FROM ({SQL_MISSING}))"""
+    found = _issues(spark, sf_dir)[0]
+    return found.withColumn("sources", days.labels(F.col("sources"))).orderBy(days.severity_rank(), "date", "emp")
+
+
+SQL_ISSUES = f"""SELECT emp, CAST(date_trunc('month', date) AS DATE) AS period, scope, date, code, severity, message, sources FROM (
+SELECT emp, d AS date, 'entry' AS scope, 'OUT_OF_RANGE' AS code, 'warning' AS severity, concat(CAST(total AS STRING), 'h exceeds the day''s bound') AS message, {SQL_LABEL} AS sources FROM v_entries WHERE total > 16
+UNION ALL SELECT emp, d, 'day', 'OUT_OF_RANGE', 'warning', concat(CAST(total AS STRING), 'h exceeds the day''s bound'), sources FROM ({SQL_DAYS}) JOIN ({SQL_DAY_SOURCES}) USING (emp, d) WHERE total > 16
+UNION ALL SELECT a.emp, a.d, 'day', 'OUT_OF_RANGE', 'info', CASE WHEN c.is_holiday THEN 'hours on a holiday' ELSE 'hours on a weekend' END, sources
+  FROM ({SQL_DAYS}) a JOIN ({SQL_DAY_SOURCES}) s ON s.emp = a.emp AND s.d = a.d JOIN ({SQL_CALENDAR}) c ON a.d = c.date WHERE (c.is_weekend OR c.is_holiday) AND a.total > 0
+UNION ALL SELECT emp, d, 'day', code, severity, 'several sources', sources FROM ({SQL_CONFLICTS}) JOIN ({SQL_DAY_SOURCES}) USING (emp, d)
+UNION ALL SELECT emp, d, 'day', 'TOTAL_MISMATCH', 'warning', 'regular and overtime are not the total', sources FROM ({SQL_DAYS}) JOIN ({SQL_DAY_SOURCES}) USING (emp, d) WHERE abs(regular + overtime - total) > 0.05
+UNION ALL SELECT emp, d, 'day', 'MISSING', 'info', 'no data for a working day', sources FROM ({SQL_MISSING}) JOIN (
+  SELECT emp, CAST(date_trunc('month', d) AS DATE) AS period, string_agg(DISTINCT concat('f', seq % 5), '; ' ORDER BY concat('f', seq % 5)) AS sources FROM v_entries GROUP BY 1, 2) USING (emp, period))"""
 ORACLE["issue_list"] = SQL_ISSUES
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,20 +11,12 @@ from hourloom.plans.records import SQL_DAYS, entries
 from hourloom.plans.scalars import SQL_HOLIDAYS
 from hourloom.plans.views import table, view
 from hourloom.sources import reports
+from hourloom.sources.staged import shared_path
 from hourloom.streaming import uploads
 
 ORACLE: dict[str, str] = {}
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = root or f"file://{tempfile.mkdtemp()}"
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = answers.read_contract(view(spark, sf_dir, "v_answers"))
     return rows.select("file", F.col("answer.employee_name").alias("employee_name"), F.size("answer.entries").alias("entries"))
@@ -100,9 +89,24 @@ FROM ({SQL_MAPS}) a JOIN ({SQL_MAPS}) b ON a.ident = b.ident AND a.d = b.d AND a
 
 
 def split_conflicting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First fit of each name's results, told apart by days that contradict."""
     return identity.split_conflicting(identity.day_maps(view(spark, sf_dir, "v_results")))
 
 
+#: One step a result: its cluster is the first that differs on fewer than two dates, whose days it joins.
+ORACLE["split_conflicting"] = f"""WITH RECURSIVE maps AS (
+  SELECT ident, file_seq, map(list(d ORDER BY d), list(total ORDER BY d)) AS mine, row_number() OVER (PARTITION BY ident ORDER BY file_seq) AS k FROM ({SQL_MAPS}) WHERE total IS NOT NULL GROUP BY ident, file_seq),
+fit AS (
+  SELECT ident, file_seq, k, CAST(0 AS BIGINT) AS cluster, [mine] AS clusters FROM maps WHERE k = 1
+  UNION ALL SELECT ident, file_seq, k, cluster, CASE WHEN cluster = len(clusters) THEN list_append(clusters, mine)
+      ELSE list_concat(list_concat(clusters[1 : cluster], [map_concat(mine, clusters[cluster + 1])]), clusters[cluster + 2 : len(clusters)]) END
+  FROM (
+    SELECT m.ident, m.file_seq, m.k, m.mine, f.clusters, coalesce(list_filter(range(len(f.clusters)), lambda i:
+      len(list_filter(map_keys(m.mine), lambda x: abs(f.clusters[i + 1][x] - m.mine[x]) > 0.5)) < 2)[1], len(f.clusters)) AS cluster
+    FROM fit f JOIN maps m ON m.ident = f.ident AND m.k = f.k + 1))
+SELECT ident, file_seq, cluster FROM fit"""
+
+
 KEYS, VERSION = ["user_id", "year", "month"], ["created_at", "id"]
 
 

@@ -84,12 +84,15 @@ FROM orders""",
     "v_profiles": """SELECT c_custkey AS user_id, c_name AS full_name, n_name AS client,
        CASE WHEN c_custkey % 50 = 0 THEN 'admin' ELSE 'employee' END AS role
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
-    "v_files": """SELECT c_custkey AS file_seq, concat('f', CAST(c_custkey AS STRING)) AS file, concat('Person ', CAST(c_custkey % 39 AS STRING)) AS name_hint,
-       c_mktsegment AS client_hint, c_custkey % 8 AS layout
+    "v_files": """SELECT c_custkey AS file_seq, concat('f', CAST(c_custkey AS STRING)) AS file, c_mktsegment AS client_hint, c_custkey % 8 AS layout,
+       CASE WHEN c_custkey % 40 = 35 THEN concat('Solo ', CAST(c_custkey AS STRING)) ELSE concat('Person ', CAST(c_custkey % 39 AS STRING)) END AS name_hint,
+       make_date(CAST(1996 + c_custkey % 2 AS INT), CAST(c_custkey % 12 + 1 AS INT), 1) AS period,
+       CASE WHEN c_custkey % 8 = 7 AND c_custkey % 16 <> 15 THEN CAST(DATE '1997-03-17' + 7 * CAST(c_custkey % 2 AS INT) AS DATE) END AS anchor
 FROM customer""",
     "v_layout_rows": """SELECT o_custkey AS table_id, concat('f', CAST(o_custkey AS STRING)) AS file, o_orderkey AS row_id, o_custkey % 8 AS layout,
        CAST(o_orderdate AS DATE) AS d, o_orderkey % 9 AS h, o_orderkey % 50 AS w,
        CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING)
+            WHEN o_custkey % 5 = 0 THEN concat(CAST(day(o_orderdate) AS STRING), '/', CAST(month(o_orderdate) AS STRING), '/', CAST(year(o_orderdate) AS STRING))
             ELSE concat(CAST(month(o_orderdate) AS STRING), '/', CAST(day(o_orderdate) AS STRING), '/', CAST(year(o_orderdate) AS STRING)) END AS written
 FROM orders""",
     "v_layout_cells": """SELECT file, table_id, row_id, 0 AS col, written AS value FROM v_layout_rows WHERE layout IN (0, 1, 4, 5)
@@ -100,18 +103,34 @@ SELECT file, table_id, row_id, 2, CASE WHEN row_id % 3 = 0 THEN '1:30' ELSE ' '
 UNION ALL
 SELECT file, table_id, row_id, 1, CAST(w AS STRING) FROM v_layout_rows WHERE layout IN (1, 5)
 UNION ALL
-SELECT file, table_id, row_id, 0, '' FROM v_layout_rows WHERE layout = 3
+SELECT r.file, table_id, row_id, 0, CASE row_id % 3 WHEN 0 THEN '' WHEN 1 THEN concat(CAST(month(period) AS STRING), '/', CAST(year(period) AS STRING))
+       ELSE concat('FY ', CAST(year(period) - 1 AS STRING)) END FROM v_layout_rows r JOIN v_files f ON f.file = r.file WHERE r.layout = 3
 UNION ALL
 SELECT file, table_id, row_id, 1, CAST(w AS STRING) FROM v_layout_rows WHERE layout = 3
 UNION ALL
-SELECT file, file_seq, -1, 0, CASE layout WHEN 0 THEN 'Date' WHEN 4 THEN ' Work DATE ' WHEN 1 THEN 'Week Ending' WHEN 5 THEN 'Timesheet End' WHEN 3 THEN 'Period' ELSE 'x' END FROM v_files WHERE layout NOT IN (2, 6)
+SELECT file, table_id, row_id, 0, concat('job ', CAST(w AS STRING)) FROM v_layout_rows WHERE layout = 7
 UNION ALL
-SELECT file, file_seq, -1, 1, CASE layout WHEN 0 THEN 'Regular Hours' WHEN 4 THEN 'Reg.' WHEN 7 THEN 'y' ELSE 'Total Hours' END FROM v_files WHERE layout NOT IN (2, 6)
+SELECT file, table_id, row_id, CAST(1 + row_id % 7 AS INT), CAST(h AS STRING) FROM v_layout_rows WHERE layout = 7
 UNION ALL
-SELECT file, file_seq, -1, 2, CASE layout WHEN 0 THEN 'OT' ELSE 'Overtime' END FROM v_files WHERE layout IN (0, 4)
+SELECT file, file_seq, -1, 0, CASE layout WHEN 0 THEN 'Date' WHEN 4 THEN ' Work DATE ' WHEN 1 THEN 'Week Ending' WHEN 5 THEN 'Timesheet End' WHEN 3 THEN 'Period' ELSE 'Project' END
+FROM v_files WHERE layout NOT IN (2, 6)
 UNION ALL
-SELECT file, file_seq, -2, 0, 'Weekly report of hours worked' FROM v_files WHERE layout IN (0, 4)""",
-    "v_layout_lines": """SELECT file, row_id AS line_no, concat(written, '  ', CAST(h AS STRING), '.50') AS line FROM v_layout_rows WHERE layout IN (2, 6)""",
+SELECT file, file_seq, -1, 1, CASE layout WHEN 0 THEN 'Regular Hours' WHEN 4 THEN 'Reg.' WHEN 7 THEN 'Mon' ELSE 'Total Hours' END FROM v_files WHERE layout NOT IN (2, 6)
+UNION ALL
+SELECT file, file_seq, -1, 2, CASE layout WHEN 0 THEN 'OT' WHEN 7 THEN 'Tuesday' ELSE 'Overtime' END FROM v_files WHERE layout IN (0, 4, 7)
+UNION ALL
+SELECT file, file_seq, -1, k, name FROM v_files, (VALUES (3, 'Wed'), (4, ' THU'), (5, 'Fri.'), (6, 'saturday'), (7, 'Sun')) AS named(k, name) WHERE layout = 7
+UNION ALL
+SELECT file, file_seq, -2, 0, 'Weekly report of hours worked' FROM v_files WHERE layout IN (0, 4)
+UNION ALL
+SELECT file, file_seq, 1099511627776, k, said FROM v_files, (VALUES (0, 'Month total'), (1, '160')) AS stated(k, said) WHERE layout = 0 AND file_seq % 3 = 0""",
+    "v_layout_lines": """SELECT file, row_id AS line_no, concat(written, '  ', CAST(h AS STRING), '.50') AS line FROM v_layout_rows WHERE layout IN (2, 6)
+UNION ALL
+SELECT file, 2, concat('Hours from ', CAST(anchor AS STRING), ' to ', CAST(CAST(anchor + 6 AS DATE) AS STRING)) FROM v_files WHERE anchor IS NOT NULL AND file_seq % 32 < 16
+UNION ALL
+SELECT file, 1, concat('For ', CAST(month(anchor) AS STRING), '/', CAST(day(anchor) AS STRING), '/1997 - 3/30/1997') FROM v_files WHERE anchor IS NOT NULL AND file_seq % 32 >= 16
+UNION ALL
+SELECT file, 9, '1/2/1998 to 1/8/1998 is the next range' FROM v_files WHERE anchor IS NOT NULL""",
     "v_paths": """SELECT p_partkey AS file_seq,
        concat(replace(p_brand, '#', ' '), ' TS April -2026/', replace(p_name, ' ', '_'), '_timesheet_04-01-2026.',
               CASE p_size % 6 WHEN 0 THEN 'xlsx' WHEN 1 THEN 'csv' WHEN 2 THEN 'pdf' WHEN 3 THEN 'docx'
@@ -153,4 +172,7 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not heads:
         return body
-    return "WITH " + ",\n".join(heads) + (",\n" + body[4:].lstrip() if body.upper().startswith("WITH") else "\n" + body)
+    for start in ("WITH RECURSIVE", "WITH"):
+        if body.upper().startswith(start):
+            return f"{start} " + ",\n".join(heads) + ",\n" + body[len(start) :].lstrip()
+    return "WITH " + ",\n".join(heads) + "\n" + body

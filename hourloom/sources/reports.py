@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from hourloom.operators.files import is_document
+from hourloom.sources.delimited import text_cells
 
 
 def nested_report(months: DataFrame, days: DataFrame) -> DataFrame:
@@ -36,35 +37,24 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(is_document(F.col("path")))
 
 
-#: Columns of a delimited file that are read.
-COLUMNS = 64
+MAIL = "file string, part string, ctype string, filename string, disposition string, content string, subject string, sender string, sent string"
+#: Attachments that are read as tables, and their separators.
+TABLES = {"csv": ",", "tsv": "\t"}
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """file, row_id, col, value of delimited files: all cells as text, nothing taken for null; the header is row 0.
+def mail_parts(files: DataFrame) -> DataFrame:
+    """Parts of message files(file, content): a message is parsed where it lies, by the standard library.
 
-    By default .tsv files are cut at tabs and .csv files at commas. Quoted cells may hold separators, quotes and line breaks, so a file
-    is read by one task; empty cells, like those that ragged rows lack, are missing rows.
+    part is the part's path in the message, two digits a level, so its order is the message's. A mail inside a mail is one part
+    without content. content: texts, and attached tables.
     """
-    names = [f"c{k}" for k in range(COLUMNS)]
-
-    def read(sep: str, pattern: str) -> DataFrame:
-        options = {"header": "false", "sep": sep, "multiLine": "true", "quote": '"', "escape": '"', "nullValue": "\u0001", "emptyValue": "", "pathGlobFilter": pattern, "mode": "PERMISSIVE"}
-        rows = spark.read.options(**options).schema(", ".join(f"{c} string" for c in names)).csv(path)
-        numbered = rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.array(*names).alias("cells"))
-        return numbered.select("file", "at", F.posexplode("cells").alias("col", "value")).where("value is not null")
-
-    cells = read(separator, "*") if separator else read("\t", "*.tsv").unionByName(read(",", "*.csv"))
-    # Rows of a file stand in one partition, so their ids grow with their place.
-    nth = F.dense_rank().over(W.partitionBy("file").orderBy("at")) - 1
-    return cells.select("file", nth.cast("long").alias("row_id"), "col", "value")
-
-
-MAIL = "file string, part int, ctype string, filename string, disposition string, content string, subject string, sender string"
 
-
-def mail_parts(files: DataFrame) -> DataFrame:
-    """Parts of message files(file, content): a message is parsed where it lies, by the standard library."""
+    def leaves(message, path: str) -> Iterator[tuple]:
+        if message.get_content_type() != "message/rfc822" and message.is_multipart():
+            for k, part in enumerate(message.iter_parts()):
+                yield from leaves(part, f"{path}.{k:02d}" if path else f"{k:02d}")
+        else:
+            yield path or "00", message
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import email
@@ -74,18 +64,46 @@ def mail_parts(files: DataFrame) -> DataFrame:
             rows = []
             for file, content in zip(batch["file"], batch["content"], strict=True):
                 message = email.message_from_bytes(bytes(content or b""), policy=policy.default)
-                for k, part in enumerate(p for p in message.walk() if not p.is_multipart()):
-                    text = part.get_payload(decode=True) or b""
-                    body = text.decode(part.get_content_charset() or "utf-8", "replace") if part.get_content_maintype() == "text" else None
-                    rows.append((file, k, part.get_content_type(), part.get_filename(), part.get_content_disposition(), body, message.get("subject"), message.get("from")))
-            yield pd.DataFrame(rows, columns=["file", "part", "ctype", "filename", "disposition", "content", "subject", "sender"])
+                for path, part in leaves(message, ""):
+                    name = part.get_filename()
+                    data, body = part.get_payload(decode=True), None
+                    if data is not None and (part.get_content_maintype() == "text" or (name or "").lower().rpartition(".")[2] in TABLES):
+                        try:
+                            body = data.decode(part.get_content_charset() or "utf-8", "replace")
+                        except LookupError:
+                            body = data.decode("utf-8", "replace")
+                    rows.append((file, path, part.get_content_type(), name, part.get_content_disposition(), body, message.get("subject"), message.get("from"), message.get("date")))
+            yield pd.DataFrame(rows, columns=["file", "part", "ctype", "filename", "disposition", "content", "subject", "sender", "sent"])
 
     return files.select("file", "content").mapInPandas(parse, MAIL)
 
 
+def is_attached(parts: DataFrame) -> Column:
+    """Whether a part is an attachment: it says so, or it has a name and is no text; a mail inside the mail is none."""
+    named = F.coalesce(parts["filename"], F.lit("")) != ""
+    said = (F.coalesce(parts["disposition"], F.lit("")) == "attachment") | (named & ~F.coalesce(parts["ctype"], F.lit("")).startswith("text/"))
+    return said & (F.coalesce(parts["ctype"], F.lit("")) != "message/rfc822")
+
+
 def mail_bodies(parts: DataFrame, strip_html) -> DataFrame:
-    """file, subject, body, attachments: the plain parts joined, or all HTML parts as text where there is none."""
-    attached = (F.col("disposition") == "attachment") | (F.col("filename").isNotNull() & ~F.col("ctype").startswith("text/"))
-    joined = lambda kind, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.coalesce(attached, F.lit(False)) & (F.col("ctype") == kind), F.struct("part", value.alias("v"))))), lambda x: x["v"]), "\n")
-    got = parts.groupBy("file").agg(F.first("subject").alias("subject"), joined("text/plain", F.col("content")).alias("plain"), joined("text/html", strip_html(F.col("content"))).alias("html"), F.count_if(F.coalesce(attached, F.lit(False)) & (F.coalesce(F.col("ctype"), F.lit("")) != "message/rfc822")).alias("attachments"))
-    return got.select("file", "subject", F.coalesce(F.nullif(F.trim("plain"), F.lit("")), F.trim("html")).alias("body"), "attachments")
+    """file, subject, sender, sent, body, attachments: the plain parts joined, or all HTML parts as text where there is none."""
+    attached = is_attached(parts)
+    joined = lambda kind, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~attached & (F.col("ctype") == kind), F.struct("part", value.alias("v"))))), lambda x: x["v"]), "\n")
+    got = parts.groupBy("file").agg(
+        *[F.first(c).alias(c) for c in ("subject", "sender", "sent")], joined("text/plain", F.col("content")).alias("plain"), joined("text/html", strip_html(F.col("content"))).alias("html"),
+        F.count_if(attached).alias("attachments"),
+    )
+    return got.select("file", "subject", "sender", "sent", F.coalesce(F.nullif(F.trim("plain"), F.lit("")), F.trim("html")).alias("body"), "attachments")
+
+
+def mail_lines(bodies: DataFrame) -> DataFrame:
+    """file, line_no, line: subject, sender and date, then the body's lines."""
+    heads = [F.concat(F.lit(f"{name}: "), F.coalesce(c, F.lit(""))) for name, c in (("Subject", "subject"), ("From", "sender"), ("Date", "sent"))]
+    return bodies.select("file", F.posexplode(F.concat(F.array(*heads), F.split(F.coalesce("body", F.lit("")), "\\R"))).alias("line_no", "line"))
+
+
+def attached_cells(parts: DataFrame) -> DataFrame:
+    """file (the mail's), part, row_id, col, value of attached delimited tables; the text of a part fits a row."""
+    rows = parts.where(is_attached(parts)).select("file", "part", F.lower(F.regexp_extract("filename", r"[^.]+$", 0)).alias("ext"), F.col("content").alias("text"))
+    each = [text_cells(rows.where(F.col("ext") == ext).drop("ext"), sep) for ext, sep in TABLES.items()]
+    return reduce(DataFrame.unionByName, each)

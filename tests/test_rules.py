@@ -1,6 +1,8 @@
 """Unit cases of the scalar rules and of each layout."""
 
 import datetime as dt
+import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,15 +192,119 @@ def test_order_votes_count_months_of_any_year(spark):
 
 
 def test_delimited_files(spark, tmp_path):
-    from hourloom.sources import reports
+    from hourloom.sources import delimited
 
     (tmp_path / "a.csv").write_text('Date,"Hours, total",Note\n1/2/2026,8,"two\nlines ""q"""\n1/3/2026,,NULL\n')
     (tmp_path / "b.tsv").write_text("x\ty,z\n")
-    got = {(r.file[-5:], r.row_id, r.col): r.value for r in reports.read_delimited(spark, str(tmp_path)).collect()}
+    got = {(r.file[-5:], r.row_id, r.col): r.value for r in delimited.read_delimited(spark, str(tmp_path)).collect()}
     assert got[("a.csv", 0, 1)] == "Hours, total" and got[("a.csv", 1, 2)] == 'two\nlines "q"' and got[("a.csv", 2, 2)] == "NULL" and ("a.csv", 2, 1) not in got
     assert got[("b.tsv", 0, 1)] == "y,z" and not any(f == "b.tsv" and c > 1 for f, _, c in got)
 
 
+def random_table(rng, rows, wide):
+    value = lambda: rng.choice(["", "8", "a b", "x,y", 'say "hi"', "two\nlines", "\n\n", '"', ",", 'a""b', "é", "end\n", 'mid"dle'])
+    table = [[value() for _ in range(rng.choice([1, 3, wide]))] for _ in range(rows)]
+    return [r for r in table if r != [""]]
+
+
+@pytest.mark.parametrize("size", ["40", "173", "100000"])
+def test_ranges_of_delimited_files_fit_together(spark, tmp_path, size):
+    """Rows are those of the standard library's reader, wherever a file is cut into ranges."""
+    import csv
+    import random
+
+    from hourloom.sources import delimited
+
+    rng, want = random.Random(7), {}
+    for k in range(6):
+        table = random_table(rng, 60, 70)
+        with open(tmp_path / f"f{k}.csv", "w", newline="") as f:
+            csv.writer(f, lineterminator=rng.choice(["\n", "\r\n"]) if k else "\n").writerows(table)
+        want |= {(f"f{k}", i, c): v for i, row in enumerate(table) for c, v in enumerate(row) if v != ""}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        cells = delimited.read_delimited(spark, str(tmp_path))
+        got = {(r.file[-6:-4], r.row_id, r.col): r.value for r in cells.collect()}
+        assert size != "40" or spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 50
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want and max(c for *_, c in got) == 69
+
+
+def test_quotes_open_cells_at_their_begin_only(spark, tmp_path):
+    from hourloom.sources import delimited
+
+    (tmp_path / "a.csv").write_text('5" pipe,2\n"a"b,"c\nd"\n\n"open')
+    got = {(r.row_id, r.col): r.value for r in delimited.read_delimited(spark, str(tmp_path)).collect()}
+    assert got[0, 0] == '5" pipe' and got[1, 0] == "ab" and got[1, 1] == "c\nd" and 2 in {r for r, _ in got}
+
+
+def test_tables_in_texts(spark):
+    import csv
+    import io
+    import random
+
+    from hourloom.sources import delimited
+
+    rng, texts, want = random.Random(3), [(100, None), (101, ""), (102, "\n")], {}
+    for k in range(30):
+        out, table = io.StringIO(), random_table(rng, 8, 5)
+        csv.writer(out, lineterminator="\n").writerows(table)
+        texts.append((k, out.getvalue()))
+        want |= {(k, i, c): v for i, row in enumerate(table) for c, v in enumerate(row) if v != ""}
+    got = {(r.file, r.row_id, r.col): r.value for r in delimited.text_cells(spark.createDataFrame(texts, "file long, text string")).collect()}
+    assert got == want
+
+
+def test_dump_of_a_delimited_file(spark):
+    from hourloom.sources import delimited
+
+    cells = spark.createDataFrame([("f", 0, 0, "a"), ("f", 0, 2, "c"), ("f", 1, 1, "x"), ("f", 201, 0, "late"), ("f", 200, 0, "last")], "file string, row_id long, col int, value string")
+    assert {r.row_id: r.line for r in delimited.dump(cells).collect()} == {0: "a |  | c", 1: "[r2]  | x | ", 200: "[r201] last |  | "}
+
+
+def mail(*parts, kind="mixed"):
+    from email.message import EmailMessage
+
+    message = EmailMessage()
+    message["Subject"], message["From"], message["Date"] = "hours", "p@example.com", "Mon, 3 Feb 1997 10:00:00 +0000"
+    message.set_content(parts[0])
+    for part in parts[1:]:
+        part(message)
+    return message.as_bytes()
+
+
+def test_mail_trees(spark):
+    from hourloom.functions.text import html_to_text
+    from hourloom.sources import reports
+
+    inner = email_of("inner body")
+    table = lambda m: m.add_attachment(b'Date,Hours\r\n1/2/2026,"8\n"\r\n', maintype="application", subtype="octet-stream", filename="T.CSV")
+    notes = lambda m: m.add_attachment("plain notes", filename="n.txt")
+    html = lambda m: m.add_alternative("<b>bold</b>", subtype="html")
+    nested = lambda m: m.add_attachment(inner)
+    files = [("a", mail("text body", html, table, nested)), ("b", mail("x", notes)), ("c", b""), ("d", None), ("e", b"Subject: only\n\nbody")]
+    parts = reports.mail_parts(spark.createDataFrame(files, "file string, content binary")).cache()
+    rows = {(r.file, r.part): (r.ctype, r.content) for r in parts.collect()}
+    assert [p for f, p in sorted(rows) if f == "a"] == ["00.00", "00.01", "01", "02"] and rows["a", "02"] == ("message/rfc822", None)
+    bodies = {r.file: (r.body, r.attachments) for r in reports.mail_bodies(parts, html_to_text).collect()}
+    assert bodies["a"] == ("text body\n", 1) and bodies["b"] == ("x\n", 1) and bodies["e"] == ("body", 0) and bodies["c"][1] == bodies["d"][1] == 0
+    cells = {(r.file, r.row_id, r.col): r.value for r in reports.attached_cells(parts).collect()}
+    assert cells == {("a", 0, 0): "Date", ("a", 0, 1): "Hours", ("a", 1, 0): "1/2/2026", ("a", 1, 1): "8\n"}
+    lines = {(r.file, r.line_no): r.line for r in reports.mail_lines(reports.mail_bodies(parts, html_to_text)).collect()}
+    assert lines["a", 0] == "Subject: hours" and lines["a", 3] == "text body"
+
+
+def email_of(text):
+    from email.message import EmailMessage
+
+    message = EmailMessage()
+    message["Subject"] = "inner"
+    message.set_content(text)
+    return message
+
+
 def test_upload_batches_rewrite_their_months_only(spark, tmp_path):
     from hourloom.streaming import uploads
 
@@ -212,7 +318,61 @@ def test_upload_batches_rewrite_their_months_only(spark, tmp_path):
     run()
     got = {(r.user_id, r.year, r.month): r.status for r in uploads.read_latest(spark, target).collect()}
     assert got == {(1, 2026, 1): "c", (2, 2026, 2): "b", (3, 2026, 1): "d"}
-    assert sorted({(r.batch, r.month) for r in spark.read.parquet(target).select("batch", "month").collect()}) == [(0, 1), (0, 2), (1, 1)]
+    stored = lambda: sorted({(r.batch, r.month) for r in spark.read.parquet(f"{target}/data").select("batch", "month").collect()})
+    assert stored() == [(0, 1), (0, 2), (1, 1)]
+    add([(2, 2026, 2, 8, "e")])
+    run()
+    # What the first batch wrote of January is current of no manifest that a replay reads.
+    assert stored() == [(0, 2), (1, 1), (2, 2)] and uploads.manifests(spark, target) == [1, 2]
+    assert {(r.user_id, r.month): r.status for r in uploads.read_latest(spark, target).collect()} == {(1, 1): "c", (2, 2): "e", (3, 1): "d"}
+    # A batch that failed before its manifest stood is run again and gives the same.
+    shutil.rmtree(f"{target}/manifest/{2:012d}")
+    assert {r.status for r in uploads.read_latest(spark, target).where("month = 2").collect()} == {"b"}
+    forget(state, 2)
+    run()
+    assert {(r.user_id, r.month): r.status for r in uploads.read_latest(spark, target).collect()} == {(1, 1): "c", (2, 2): "e", (3, 1): "d"}
+    # One whose manifest stood but wasn't committed too.
+    forget(state, 2)
+    run()
+    assert stored() == [(0, 2), (1, 1), (2, 2)] and len(uploads.read_latest(spark, target).collect()) == 3
+
+
+def forget(state, number):
+    """As if a batch had failed before it was committed."""
+    for name in (f"{number}", f".{number}.crc"):
+        if os.path.exists(f"{state}/commits/{name}"):
+            os.remove(f"{state}/commits/{name}")
+
+
+def brute_first_fit(days):
+    """{(ident, file_seq): cluster} of {(ident, file_seq): {d: total}}: each in the first cluster that differs on fewer than two dates."""
+    out, clusters = {}, {}
+    for ident, file_seq in sorted(days):
+        mine, own = days[ident, file_seq], clusters.setdefault(ident, [])
+        k = next((k for k, seen in enumerate(own) if sum(abs(seen[d] - t) > 0.5 for d, t in mine.items() if d in seen) < 2), len(own))
+        if k == len(own):
+            own.append({})
+        own[k] = mine | own[k]
+        out[ident, file_seq] = k
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_split_by_parts_is_first_fit_over_the_whole(spark, seed):
+    import datetime as dt
+    import random
+
+    from hourloom.operators import identity
+
+    rng, days = random.Random(seed), {}
+    for ident in range(5):
+        for file_seq in range(rng.choice([1, 12, 40])):
+            dates = rng.sample(range(rng.choice([6, 60])), 5)
+            days[ident, file_seq] = {dt.date(2026, 1, 1) + dt.timedelta(d): rng.choice([8.0, 8.0, 8.0, 8.3, 4.0, 9.0]) if ident else 8.0 for d in dates}
+    rows = [(i, f, d, t) for (i, f), own in days.items() for d, t in own.items()]
+    table = spark.createDataFrame(rows, "ident long, file_seq long, d date, total double").repartition(5)
+    got = {(r.ident, r.file_seq): r.cluster for r in identity.split_conflicting(table).collect()}
+    assert got == brute_first_fit(days) and len(set(got.values())) > 1
 
 
 def test_grids_read_cells_twice_at_most(spark, tmp_path):
@@ -220,3 +380,28 @@ def test_grids_read_cells_twice_at_most(spark, tmp_path):
     got = grids.daily_grid(grids.role_columns(spark.read.parquet(str(tmp_path / "c"))), F.lit("MDY"), F.lit(2026))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") <= 2 and len(plan) < 60_000 and got.first().total == 8.0
+
+
+@pytest.mark.parametrize("name", ["file_results", "people", "consolidated_months", "consolidated_issues"])
+@pytest.mark.parametrize("width", ["3", "24"])
+def test_consolidation_reads_small_tables(spark, name, width):
+    """Cells are parsed once, whatever the number of partitions: what is left of a plan reads few staged tables."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", width)
+    try:
+        got = plans.queries()[name](spark, "/root/testdata/sf0.001")
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        most = 40 if name == "consolidated_issues" else 12
+        assert plan.count("Relation") <= most and len(plan) < 50_000 and got.count() > 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_staged_tables_go_with_their_scope(spark):
+    from hourloom.sources.staged import scratch, staged
+
+    with scratch(spark):
+        kept = staged(spark.range(3).toDF("k"), "x")
+        path = kept.inputFiles()[0]
+        assert kept.count() == 3 and os.path.exists(path.removeprefix("file://"))
+    assert not os.path.exists(path.removeprefix("file://"))
