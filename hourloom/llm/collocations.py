@@ -2,12 +2,14 @@
 
 Rabin-Karp in numpy: prefix polynomials over a chunk's bytes give each word a 64-bit hash, prefix polynomials over these give every
 n-gram of words its fingerprint, with its language and length mixed in. One pass a length: a task sums what it has seen, then a shuffle
-sums by fingerprint, keeping a document in which it occurs as its pointer. As a phrase is no more frequent than its parts, an n-gram is
-only shuffled if a bitmap has both its shorter n-grams as frequent; the bitmap has a fixed size, and what it lets through in error is
-counted and then dropped. Texts are read again only for the documents that pointers name, to materialise the frequent phrases.
+sums by fingerprint. As a phrase is no more frequent than its parts, an n-gram is only shuffled if a bitmap has both its shorter n-grams
+as frequent; the bitmap has a fixed size, and what it lets through in error is counted and then dropped. The pass of the next length
+also brings, for the frequent fingerprints alone, a document in which each occurs as its pointer. Texts are read again only for the
+documents that pointers name, to materialise the frequent phrases.
 
-Collisions: each occurrence also brings a second, independent fingerprint; a group in which these differ holds several phrases
-and is counted again by its words themselves. Arithmetic on counts is decimal, so it is exact for products of up to 38 digits.
+Collisions: with the pointer comes a second, independent fingerprint of each occurrence, the least and the greatest; a group in which
+these differ holds several phrases and is counted again by its words themselves. Arithmetic on counts is decimal, so it is exact for
+products of up to 38 digits.
 
 A null text is empty, a null language is `und`. Repeated rows and doc_ids count as often as they stand; rows without a doc_id count too.
 Texts of any length are worked on in windows that cut no phrase. Equal scores order by count and then by the phrase's bytes. Tables may
@@ -176,30 +178,36 @@ def chunks(batch: pa.RecordBatch, prints: Fingerprints, size: int = WINDOW) -> I
 
 
 class Sums:
-    """Occurrences of n-grams of so many words, summed up in numpy: fp, check (least and greatest), n, at (a document's id)."""
+    """What a task has seen of n-grams of so many words, summed up in numpy by fingerprint: occurrences (n), or what tells collisions and
+    points to documents (low and high of the second fingerprint, at)."""
 
-    def __init__(self, words: int) -> None:
+    NAMES = ("n", "low", "high", "at")
+
+    def __init__(self, words: int, *names: str):
         self.held: list[tuple[np.ndarray, ...]] = []
-        self.words, self.size = words, 0
+        self.words, self.names, self.size = words, names, 0
 
-    def add(self, *columns: np.ndarray) -> None:
-        self.held.append(columns)
-        self.size += len(columns[0])
+    def add(self, fp: np.ndarray, *columns: np.ndarray) -> None:
+        if len(fp):
+            self.held.append((fp, *columns))
+            self.size += len(fp)
 
     def sum_up(self) -> tuple[np.ndarray, ...]:
-        fp, low, high, n, at = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        fp, *columns = (np.concatenate(c) for c in zip(*self.held, strict=True))
         order = np.argsort(fp)
         fp = fp[order]
         first = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
-        own = fp[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), np.add.reduceat(n[order], first), np.minimum.reduceat(at[order], first)
+        ways = {"n": np.add, "low": np.minimum, "high": np.maximum, "at": np.minimum}
+        own = fp[first], *[ways[name].reduceat(c[order], first) for name, c in zip(self.names, columns, strict=True)]
         self.held, self.size = [own], len(first)
         return own
 
     def batch(self) -> pa.RecordBatch:
-        own = self.sum_up()
+        fp, *columns = self.sum_up()
         self.held, self.size = [], 0
-        words = pa.array(np.full(len(own[0]), self.words, np.int32))
-        return pa.RecordBatch.from_arrays([words, *[pa.array(c.view(np.int64)) for c in own]], ["words", "fp", "low", "high", "n", "at"])
+        known = {name: pa.array(c) for name, c in zip(self.names, columns, strict=True)}
+        rest = [known.get(name, pa.nulls(len(fp), pa.int64())) for name in self.NAMES]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), self.words, np.int32)), pa.array(fp.view(np.int64)), *rest], ["words", "fp", *self.NAMES])
 
 
 def _has(bitmap: np.ndarray, fp: np.ndarray) -> np.ndarray:
@@ -207,29 +215,39 @@ def _has(bitmap: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def _counter(n: int, shorter: object, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sums of n-grams whose two shorter ones `shorter` (a broadcast bitmap) has; with n = 1 go each language's words, as 0-grams."""
+def _counter(n: int, longest: int, shorter: object, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Occurrences of n-grams (none if n exceeds `longest`) whose two shorter ones `shorter` (a broadcast bitmap) has, and what is to be
+    known of those shorter ones. With words go, as 0-grams, all words of their language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, sums = Fingerprints(bits), {m: Sums(m) for m in ((0, 1) if n == 1 else (n,))}
+        prints = Fingerprints(bits)
+        counts = {m: Sums(m, "n") for m in ((0, 1) if n == 1 else (n,)) if m <= longest}
+        seen = {m: Sums(m, "low", "high", "at") for m in {1: (), 2: (0, 1)}.get(n, (n - 1,))}
         bitmap = None if shorter is None else np.frombuffer(shorter.value, np.uint8)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("at")).to_numpy(zero_copy_only=False)
             for chunk in chunks(batch, prints):
                 at = chunk.places(n)
-                if bitmap is not None and len(at):
-                    likely = _has(bitmap, chunk.grams(n - 1, at))
-                    at = at[likely]
-                    at = at[_has(bitmap, chunk.grams(n - 1, at + 1))]
-                for m, own in sums.items():
-                    if len(at):
-                        check = chunk.grams(m, at, 1).view(np.int64)  # signed, as Spark compares it
-                        own.add(chunk.grams(m, at), check, check, np.ones(len(at), np.int64), ids[chunk.row[at]])
+                if bitmap is not None:
+                    before = chunk.places(n - 1)
+                    before = before[_has(bitmap, chunk.grams(n - 1, before))]
+                    for m, own in seen.items():
+                        where = before if m else chunk.places(0)
+                        check = chunk.grams(m, where, 1).view(np.int64)  # signed, as Spark compares it
+                        own.add(chunk.grams(m, where), check, check, ids[chunk.row[where]])
+                    likely = np.zeros(len(chunk) + 1, bool)
+                    likely[before] = True
+                    # The last word of a segment's tail isn't owned; n-grams that end there are tested by their first part alone.
+                    likely_end = likely | ~np.append(chunk.owned, False)
+                    at = at[likely[at] & likely_end[at + 1]]
+                for m, own in counts.items():
+                    own.add(chunk.grams(m, at), np.ones(len(at), np.int64))
+                for own in (*counts.values(), *seen.values()):
                     if own.size > HELD:
                         own.sum_up()
                         if own.size > HELD // 2:
                             yield own.batch()
-        yield from (own.batch() for own in sums.values() if own.size)
+        yield from (own.batch() for own in (*counts.values(), *seen.values()) if own.size)
 
     return count
 
@@ -295,23 +313,29 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     lang = F.coalesce("lang", F.lit("und"))
     # Rows without an id are pointed at by their text, so that no pointer names them all.
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("at"), lang.alias("lang"), "text")
-    pointed, spelled, shorter = [], [], None
-    for n in range(1, longest + 1):
-        counted = rows.mapInArrow(_counter(n, shorter, bits), "words int, fp long, low long, high long, n long, at long")
-        sums = counted.groupBy("words", "fp").agg(F.sum("n").alias("f"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("at").alias("at"))
-        sums = store.materialise(sums.where(F.col("f") >= least), "phrase-counts")
-        pointed.append(sums.where("low = high").select("words", "fp", F.col("low").alias("check"), "f", "at"))
-        several = sums.where("low <> high").select("words", "fp")
-        if not several.isEmpty():
-            for m in (0, 1) if n == 1 else (n,):
-                own = several.where(F.col("words") == m).select("fp")
-                texts = rows.mapInArrow(_by_words(m, spark.sparkContext.broadcast(_bitmap(own).tobytes()), bits), "fp long, lang string, phrase string")
-                counts = texts.join(own, "fp", "left_semi").groupBy("lang", "phrase").agg(F.count("*").alias("f")).where(F.col("f") >= least)
-                spelled.append(store.materialise(counts.select("lang", F.lit(m).alias("words"), "phrase", "f"), "phrase-spelled"))
-        if sums.isEmpty():
+    frequent, seen, spelled, shorter = [], [], [], None
+    for n in range(1, longest + 2):
+        got = rows.mapInArrow(_counter(n, longest, shorter, bits), "words int, fp long, n long, low long, high long, at long")
+        sums = got.groupBy("words", "fp").agg(F.sum("n").alias("f"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("at").alias("at"))
+        sums = store.materialise(sums.where((F.col("f") >= least) | F.col("at").isNotNull()), "phrase-counts")
+        seen.append(sums.where("at is not null").select("words", "fp", "low", "high", "at"))
+        own = sums.where("f is not null").select("words", "fp", "f")
+        if n > longest or own.isEmpty():
             break
-        shorter = spark.sparkContext.broadcast(_bitmap(sums.where(F.col("words") == n)).tobytes())
-    found = store.materialise(_materialise(rows, reduce(DataFrame.unionByName, pointed), bits), "phrases")
+        frequent.append(own)
+        shorter = spark.sparkContext.broadcast(_bitmap(own.where(F.col("words") == n)).tobytes())
+    if not frequent:
+        return spark.createDataFrame([], "lang string, words int, phrase string, f long")
+    known = reduce(DataFrame.unionByName, frequent).join(reduce(DataFrame.unionByName, seen), ["words", "fp"])
+    known = store.materialise(known, "phrase-pointers")
+    several = known.where("low <> high").select("words", "fp")
+    for m in sorted(r.words for r in several.select("words").distinct().collect()):
+        own = several.where(F.col("words") == m).select("fp")
+        texts = rows.mapInArrow(_by_words(m, spark.sparkContext.broadcast(_bitmap(own).tobytes()), bits), "fp long, lang string, phrase string")
+        counts = texts.join(own, "fp", "left_semi").groupBy("lang", "phrase").agg(F.count("*").alias("f")).where(F.col("f") >= least)
+        spelled.append(store.materialise(counts.select("lang", F.lit(m).alias("words"), "phrase", "f"), "phrase-spelled"))
+    pointed = known.where("low = high").select("words", "fp", F.col("low").alias("check"), "f", "at")
+    found = store.materialise(_materialise(rows, pointed, bits), "phrases")
     return reduce(DataFrame.unionByName, spelled, found)
 
 
