@@ -290,3 +290,46 @@ def test_kept_digest_is_of_the_kept_text(spark, tmp_path):
     got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in queries.op11_line_dedup(spark, str(tmp_path)).collect())
     want = brute_lines([r for r in line_rows() if r[0] is not None], 40, 5)
     assert got == sorted((i, n, d, hashlib.sha256(t.encode()).hexdigest()) for i, t, n, d in want)
+
+
+def test_false_discovery_rule_is_benjamini_hochbergs():
+    """In each stratum the reported cells are those of the largest k sorted p-values with p <= rate * k / m."""
+    from hourloom.llm import secrets
+
+    rng = random.Random(6)
+    for _ in range(60):
+        strata = rng.sample(range(secrets.FORMS * len(secrets.BAND_ENDS)), 4)
+        draw = lambda most, skew: Counter(s * secrets.BINS + min(secrets.BINS - 1, int(secrets.BINS * rng.random() ** skew)) for s in strata for _ in range(rng.randrange(1, most)))
+        tests, nulls, want = draw(60, 0.6), draw(3000, 3), set()
+        for s in strata:
+            own = {c: n for c, n in tests.items() if c // secrets.BINS == s}
+            drawn = sum(n for c, n in nulls.items() if c // secrets.BINS == s)
+            p = {c: (sum(n for d, n in nulls.items() if d // secrets.BINS == s and d >= c) + 1) / (drawn + 1) for c in own}
+            each = sorted(p[c] for c, n in own.items() for _ in range(n))
+            fine = [v for k, v in enumerate(each, 1) if v <= 0.05 * k / len(each)]
+            want |= {c for c in own if fine and p[c] <= max(fine)}
+        assert {c for c in secrets.discoveries(tests, nulls) if c in tests} == want
+
+
+def test_decisions_of_secret_scans_follow_from_the_rule(spark):
+    """What is called random is what each run's cell, the null sample and the rule say, and nothing else."""
+    from hourloom.llm import secrets
+
+    rng = random.Random(4)
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60)) for _ in range(40)]
+    plain = ["some-ordinary-identifier_with_words", "anotherratherlongwordinonecase", "config/path/to/something/else", "ABCABCABCABCABCABCABCABCABCABCABCABC"]
+    rows = [(k, f"{plain[k % 4]} is {keys[k]} or token={keys[-k - 1]}") for k in range(20)] + [(50, None), (51, "")]
+    got = {r.doc_id: r for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    tests = Counter(secrets.cell(t[x.start : x.stop]) for k, t in rows for x in got[k].tested)
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("size(words) > 0")
+    sample = found.orderBy("doc_id").select("words").collect()
+    ordered = found.selectExpr("words", "xxhash64(doc_id) AS h").collect()
+    words = secrets.COMMON + [w for r in sorted(ordered, key=lambda r: (r.h, r.words)) for w in r.words]
+    assert len(sample) == len(ordered)
+    take = set(secrets.discoveries(tests, secrets.draw_nulls(spark, words, sorted({c // secrets.BINS for c in tests}))))
+    for k, text in rows:
+        for x in got[k].tested:
+            own = text[x.start : x.stop]
+            assert x.random == (secrets.cell(own) in take)
+    called = [text[x.start : x.stop] for k, text in rows for x in got[k].tested if x.random]
+    assert sum(c in keys for c in called) > 30 and not any(c in plain for c in called)
