@@ -1,6 +1,8 @@
 """Edit-aware token counts: a segment tree of pre-token counts for each document.
 
-A text is cut into chunks at places that no pre-token crosses; a run of chunks is a leaf, kept as its piece of the text. The tree's
+A text is cut into chunks at places that no token crosses: before blanks, and in long stretches without these, as unspaced scripts,
+tables and code have them, before other white space, where letters, digits and other characters meet, and between two characters whose
+adjoining bytes stand side by side in no token of the vocabulary. A run of chunks is a leaf, kept as its piece of the text. The tree's
 root is the document's token count, its inner nodes sum their subtrees' characters and tokens. An edit finds its leaves from the
 root, re-encodes the leaves it touches, and neighbours as long as a leaf's border is no longer such a place; then only the sums above
 the changed leaves are redone. Leaves that have grown are split and emptied ones leave, so a later edit stays small; the tree's shape
@@ -13,7 +15,9 @@ tables may be empty; other columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,73 @@ from hourloom.llm.tokenize import ChunkEncoder, default_file, encoder
 
 #: Chunks in a leaf; a leaf of more than twice as many is split.
 LEAF = 32
+#: Characters of a chunk that is cut again, and least characters of what it is cut into. Where no place is safe it stays whole.
+LONG, PIECE = 48, 16
+#: White space whose class depends on the engine.
+ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\u180e"
+
+
+@cache
+def kind(c: str) -> str:
+    """L for letters, N for numbers, S for white space, O for others; none where Unicode versions or engines differ."""
+    now, before = (u.category(c)[0] for u in (unicodedata, unicodedata.ucd_3_2_0))
+    if c in ODD_SPACE or now != before or unicodedata.category(c) == "Cn":
+        return ""
+    return "S" if c.isspace() else now if now in "LN" else "O"
+
+
+def byte_values() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable bytes are themselves, the others follow from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+_neighbours: dict[int, np.ndarray] = {}
+
+
+def neighbours(enc: ChunkEncoder) -> np.ndarray:
+    """For each pair of bytes (256 * first + second), whether some token of the vocabulary has them side by side."""
+    if id(enc) not in _neighbours:
+        values, out = byte_values(), np.zeros(1 << 16, bool)
+        for token in enc.tokenizer.get_vocab():
+            b = np.array([values.get(c, 0) for c in token], np.int64)
+            out[256 * b[:-1] + b[1:]] = True
+        _neighbours[id(enc)] = out
+    return _neighbours[id(enc)]
+
+
+def border(a: str, b: str, enc: ChunkEncoder) -> bool:
+    """Whether no token, in any text, reaches from character a to b behind it, so that a text may be encoded in parts that meet there.
+
+    A pre-token ends where kinds change and before white space, but an apostrophe may take letters along; within one kind the parts'
+    pre-tokens are those of the whole cut in two, and no merge crosses the cut.
+    """
+    x, y = kind(a), kind(b)
+    if not x or not y or x == "S":
+        return False
+    if y == "S":
+        return True
+    if x != y:
+        return a != "'"
+    return b != "'" and not neighbours(enc)[256 * a.encode()[-1] + b.encode()[0]]
+
+
+def chunks_of(text: str, enc: ChunkEncoder) -> list[str]:
+    """The encoder's chunks, long ones cut again."""
+    out = []
+    for chunk in enc.chunks(text):
+        if len(chunk) > LONG:
+            start, at = 0, PIECE
+            while at < len(chunk):
+                if border(chunk[at - 1], chunk[at], enc):
+                    out.append(chunk[start:at])
+                    start, at = at, at + PIECE
+                else:
+                    at += 1
+            chunk = chunk[start:]
+        out.append(chunk)
+    return out
 
 
 class Tree:
@@ -89,7 +160,7 @@ class Tree:
 
 def leaves_of(text: str, enc: ChunkEncoder, leaf: int) -> tuple[list[str], list[int]]:
     """Pieces of `leaf` chunks and their token counts."""
-    chunks = enc.chunks(text) if text else []
+    chunks = chunks_of(text, enc) if text else []
     sizes = enc.counts(chunks)
     cut = range(0, len(chunks), leaf)
     return ["".join(chunks[k : k + leaf]) for k in cut], [sum(sizes[k : k + leaf]) for k in cut]
@@ -99,9 +170,9 @@ def build(text: str, enc: ChunkEncoder, leaf: int = LEAF) -> Tree:
     return Tree(*leaves_of(text, enc, leaf))
 
 
-def joint(left: str, right: str) -> bool:
+def joint(left: str, right: str, enc: ChunkEncoder) -> bool:
     """Whether a leaf may end between two texts."""
-    return right.startswith(" ") and bool(left) and not left[-1].isspace()
+    return bool(left) and bool(right) and border(left[-1], right[0], enc)
 
 
 def edit(tree: Tree, at: int, delete: int, insert: str, enc: ChunkEncoder, leaf: int = LEAF) -> int:
@@ -114,15 +185,15 @@ def edit(tree: Tree, at: int, delete: int, insert: str, enc: ChunkEncoder, leaf:
     pieces = tree.pieces
     new = pieces[first][:a] + insert + pieces[stop][b:]
     while True:
-        if first > 0 and not joint(pieces[first - 1], new):
+        if first > 0 and not joint(pieces[first - 1], new, enc):
             first -= 1
             new = pieces[first] + new
-        elif stop < len(pieces) - 1 and not joint(new, pieces[stop + 1]):
+        elif stop < len(pieces) - 1 and not joint(new, pieces[stop + 1], enc):
             stop += 1
             new += pieces[stop]
         else:
             break
-    chunks = enc.chunks(new) if new else []
+    chunks = chunks_of(new, enc) if new else []
     old = stop - first + 1
     if old == 1 and 0 < len(chunks) <= 2 * leaf:
         tree.set(first, new, sum(enc.counts(chunks)))

@@ -333,3 +333,76 @@ def test_decisions_of_secret_scans_follow_from_the_rule(spark):
             assert x.random == (secrets.cell(own) in take)
     called = [text[x.start : x.stop] for k, text in rows for x in got[k].tested if x.random]
     assert sum(c in keys for c in called) > 30 and not any(c in plain for c in called)
+
+
+def unspaced(rng, form, n):
+    """Texts without blanks: han with and without stops, tables, code, one word a line, and a mix of what is hard to cut."""
+    han = [chr(c) for c in range(0x4E00, 0x4E00 + 3000, 7)]
+    pieces = {
+        "han": lambda: rng.choice(han), "stops": lambda: rng.choice([*han[:200], "，", "。"]), "table": lambda: rng.choice(["abc", "12", "3.5", "x_y"]) + rng.choice([",", ",", "\n"]),
+        "code": lambda: rng.choice(["foo(", "bar)", ";", "\n", "\t", "if(", "x=1", "'s", "''", "don't", "{}"]), "lines": lambda: rng.choice(["word", "another", "é"]) + "\n",
+        "mix": lambda: rng.choice(["'", "'s", "'re", "s", "ll", "\n", "\n\n", "\t", "\x85", "\x1c", "​", "é", "é", "９", "½", "漢", "🙂", "!", "!'", "١", "ไทย", "\U0001e900", " ", "　", "a", "Z", "0"]),
+    }
+    out = ""
+    while len(out) < n:
+        out += pieces[form]()
+    return out[:n]
+
+
+@pytest.mark.parametrize("form", ["han", "stops", "table", "code", "lines", "mix"])
+def test_unspaced_texts_have_small_leaves(form):
+    from hourloom.llm import token_counts
+    from hourloom.llm.tokenize import default_file, encoder
+
+    rng, enc = random.Random(1), encoder(default_file())
+    size = lambda t: len(enc.tokenizer.encode(t, add_special_tokens=False).ids)
+    text = unspaced(rng, form, 100_000)
+    tree = token_counts.build(text, enc)
+    assert tree.total == size(text) and (form == "mix" or max(map(len, tree.pieces)) < 1000)
+    for k in range(12):
+        at, insert = rng.randrange(len(text)), unspaced(rng, rng.choice([form, "mix"]), rng.randrange(6))
+        delete = rng.randrange(4)
+        work = token_counts.edit(tree, at, delete, insert, enc)
+        text = text[:at] + insert + text[at + delete :]
+        assert tree.text == text and (form == "mix" or work <= 3)
+    assert tree.total == size(text)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_edits_of_unspaced_texts_count_as_a_full_encoding(seed, monkeypatch):
+    from hourloom.llm import token_counts
+    from hourloom.llm.tokenize import default_file, encoder
+
+    monkeypatch.setattr(token_counts, "LONG", 4)
+    monkeypatch.setattr(token_counts, "PIECE", 1)
+    rng, enc = random.Random(seed), encoder(default_file())
+    for _ in range(150):
+        form = rng.choice(["mix", "mix", "mix", "code", "han", "table"])
+        text = unspaced(rng, form, rng.randrange(60)) + rng.choice(["", " ", " a", "  b"])
+        assert "".join(token_counts.chunks_of(text, enc)) == text
+        tree = token_counts.build(text, enc, 2)
+        for _ in range(5):
+            at, delete, insert = rng.randrange(len(text) + 2), rng.randrange(5), unspaced(rng, "mix", rng.randrange(4)) + rng.choice(["", "", " "])
+            token_counts.edit(tree, at, delete, insert, enc, 2)
+            text = text[:at] + insert + text[at + delete :]
+            assert tree.text == text and tree.total == len(enc.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_counts_after_edits_are_those_of_the_edited_texts(spark):
+    from pyspark.sql import functions as F
+
+    from hourloom.llm import store, token_counts
+    from hourloom.llm.tokenize import default_file, encoder
+
+    rng, enc = random.Random(5), encoder(default_file())
+    texts = [None, "", "one", "two words", *[" ".join(unspaced(rng, "table", rng.randrange(1, 9)).replace("\n", "") or "x" for _ in range(rng.randrange(1, 400))) for _ in range(25)], "abc,def;" * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    trees = store.materialise(token_counts.build_trees(docs), "trees")
+    got = {r.doc_id: r for r in token_counts.apply_edits(trees, token_counts.redaction_edits(F.array_join("pieces", ""))).collect()}
+    for k, text in enumerate(texts):
+        text = text or ""
+        now, size = text, len(text)
+        for at, delete, insert in ((size // 2, 20, "[masked]"), (0, 0, re.match(r"[^ \t\n\x0b\f\r]{0,40}", text)[0] + " "), (size // 3, 1, "")):
+            now = now[:at] + insert + now[at + delete :]
+        full = lambda t: len(enc.tokenizer.encode(t, add_special_tokens=False).ids)
+        assert (got[k].tokens_before, got[k].tokens_after) == (full(text), full(now)) and "".join(got[k].pieces) == now
