@@ -6,7 +6,8 @@ the other past it: an intersection size for every pair, no pair written, only ea
 their component, so that a large one is repeated less often, up to a bound of memory. Time is quadratic in the distinct texts
 of a component, as an exact count is; it is spread over tasks.
 
-Sets are compared by 64-bit hashes of their shingles, and exactly: 100 * intersection >= percent * union, in integers.
+Sets are sets of 64-bit hashes of their shingles; these are compared in integers: 100 * intersection >= percent * union. Two shingles
+of one document count as one where their hashes agree, by chance of one in 10^19 a pair.
 
 A row's links are the other rows with a doc_id that its text links with, equal texts included. Rows that share a doc_id are
 one document: theirs are added up, one another's included. Null and blank texts and null doc_ids have 0. Tables may be empty; other

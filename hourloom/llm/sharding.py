@@ -1,7 +1,8 @@
 """Fixed virtual slots: records hash into slots, and a versioned map places slots on shards.
 
 Rows with a null text have no bytes and size 1. Rows with a null doc_id hash by their text alone. Identical rows share a
-slot and get successive positions, in any order, as nothing tells them apart. An empty table gives an empty result;
+slot and get successive positions, in any order, as nothing tells them apart; one task numbers them, 24 bytes a row. The law is
+`bytes`: equal texts of other documents may go to other shards, so it keeps no groups of copies together. An empty table gives an empty result;
 columns besides doc_id and text are ignored, whatever their names.
 """
 

@@ -406,3 +406,39 @@ def test_counts_after_edits_are_those_of_the_edited_texts(spark):
             now = now[:at] + insert + now[at + delete :]
         full = lambda t: len(enc.tokenizer.encode(t, add_special_tokens=False).ids)
         assert (got[k].tokens_before, got[k].tokens_after) == (full(text), full(now)) and "".join(got[k].pieces) == now
+
+
+def test_scores_are_those_of_plain_sums():
+    """A text's score is the sigmoid of its subwords' mean margin, subwords being written out one by one."""
+    from hourloom.llm import toxicity
+
+    rng = np.random.default_rng(3)
+    margins, places = rng.normal(size=toxicity.BUCKETS), [int(p) for p in toxicity._PLACES]
+    bucket = lambda h, n: int(toxicity._bucket(np.array([h % (1 << 64)], np.uint64), n)[0])
+
+    def plain(text):
+        found = []
+        for word in toxicity.words_of(text):
+            c = [ord(x) for x in f"<{word}>"]
+            found.append(bucket(sum(v * places[k % len(places)] for k, v in enumerate(c)), 0))
+            for n in range(toxicity.SHORTEST, toxicity.LONGEST + 1):
+                found += [bucket(sum(c[i + k] * places[k] for k in range(n)), n) for i in range(len(c) - n + 1)]
+        z = 0.25 + (np.mean([margins[b] for b in found]) if found else 0.0)
+        return 1 / (1 + np.exp(-z))
+
+    texts = [None, "", "a", "Some words, some WORDS", "naïve 漢字 🙂", "x" * 300, "repeat repeat repeat"]
+    assert toxicity.Scorer(margins, 0.25).scores(texts) == pytest.approx([plain(t) for t in texts], rel=1e-9)
+
+
+def test_searches_in_parts_find_what_one_search_finds(spark, monkeypatch):
+    from hourloom.llm import decontaminate
+
+    rng = random.Random(9)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "w" * 90, "é"]) for _ in range(n))
+    items = [(k, words(rng.randrange(3, 40))) for k in range(30)]
+    docs = [(k, f"{words(30)} {rng.choice(items)[1]} {words(9)}" if k % 3 else words(40)) for k in range(40)]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    told = lambda: sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.n_near_items) for r in decontaminate.judge(decontaminate.matches(*tables, slop=1)).collect())
+    whole = told()
+    monkeypatch.setattr(decontaminate, "SEARCH_BYTES", 600)
+    assert told() == whole and any(r[2] for r in whole)
