@@ -179,13 +179,15 @@ row_number() OVER (PARTITION BY table_id ORDER BY row_id) AS k FROM v_cells GROU
 
 
 def detect_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths with the first bytes that such files have; unknown extensions are told by them."""
-    heads = F.expr("CASE WHEN file_seq % 3 = 0 THEN to_binary('%PDF-1.7', 'utf-8') WHEN file_seq % 3 = 1 THEN to_binary('PKxx word/document.xml', 'utf-8') ELSE to_binary('plain', 'utf-8') END")
+    """Paths with the first bytes that such files have; unknown extensions are told by them, zips by their members."""
+    member = "CASE file_seq % 9 WHEN 1 THEN 'word/document.xml' WHEN 4 THEN 'xl/workbook.xml' ELSE 'other.txt' END"
+    zipped = f"concat(unhex('504B0304140000000800'), to_binary({member}, 'utf-8'), unhex('00FF'))"
+    heads = F.expr(f"CASE WHEN file_seq % 3 = 0 THEN to_binary('%PDF-1.7', 'utf-8') WHEN file_seq % 3 = 1 THEN {zipped} WHEN file_seq % 9 = 2 THEN unhex('89504E470D0A1A0A') ELSE to_binary('plain', 'utf-8') END")
     return view(spark, sf_dir, "v_paths").select("file_seq", files.kind_of(F.col("path"), heads).alias("kind"))
 
 
 ORACLE["detect_kind"] = """SELECT p_partkey AS file_seq, CASE p_size % 6 WHEN 0 THEN 'excel' WHEN 1 THEN 'csv' WHEN 2 THEN 'pdf' WHEN 3 THEN 'docx' WHEN 4 THEN 'email'
-ELSE CASE p_partkey % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'unknown' ELSE 'unknown' END END AS kind FROM part"""
+ELSE CASE WHEN p_partkey % 3 = 0 THEN 'pdf' WHEN p_partkey % 9 = 1 THEN 'docx' WHEN p_partkey % 9 = 4 THEN 'excel' WHEN p_partkey % 9 = 2 THEN 'image' ELSE 'unknown' END END AS kind FROM part"""
 
 
 def pdf_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

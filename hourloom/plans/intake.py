@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from hourloom.functions import text
 from hourloom.functions.text import html_to_text
-from hourloom.operators import answers, consolidate, files, ocr, review, submissions
+from hourloom.operators import answers, consolidate, files, grids, ocr, review, submissions, weekly
 from hourloom.plans import consolidated
+from hourloom.plans.records import _calendar
 from hourloom.plans.review import ORACLE as REVIEW
 from hourloom.plans.review import SQL_REVIEW
 from hourloom.plans.review import review_calendar as calendar_of
 from hourloom.plans.review import submission_check as checked
+from hourloom.plans.scalars import ORACLE as SCALARS
 from hourloom.plans.views import table, view
 from hourloom.sources import delimited, reports
 from hourloom.sources.staged import shared_path
 
 ORACLE: dict[str, str] = {}
+#: Hours between clock times, in SQL.
+IN_OUT = SCALARS["in_out_hours"]
 #: Columns of the wide delimited files.
 WIDE = 70
 
@@ -294,10 +298,51 @@ ORACLE["submission_findings"] = f"""SELECT user_id, period, CAST(NULL AS DATE) A
 UNION ALL SELECT user_id, period, d, CASE WHEN said THEN 'error' ELSE 'warning' END, CASE WHEN said THEN 'holiday marked as worked but no hours' ELSE 'holiday hours not marked' END FROM (
   SELECT *, day(d) % 3 > 0 AND (user_id + day(d)) % 2 = 0 AS said, coalesce(total, 0) AS t FROM ({SQL_REVIEW}) WHERE is_holiday) WHERE (said AND t = 0) OR (NOT said AND t > 0)"""
 
+
+
+def clock_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids of clock times with lunch columns: the day's hours are the time between, less lunch."""
+    rows = view(spark, sf_dir, "v_clock").selectExpr(
+        "emp AS table_id", "seq AS row_id", "concat('1/', CAST(seq % 28 + 1 AS STRING), '/1997') AS a", "time_in AS b", "CASE WHEN lunch_minutes > 0 THEN '12:00 PM' END AS c",
+        "CASE lunch_minutes WHEN 30.0 THEN '12:30 pm' WHEN 60.0 THEN '1:00 PM' END AS e", "time_out AS f",
+    )
+    cells = rows.selectExpr("table_id", "row_id", "stack(5, 0, a, 1, b, 2, c, 3, e, 4, f) AS (col, value)").where("value is not null")
+    heads = rows.select("table_id").distinct().selectExpr("table_id", "-1L AS row_id", "stack(5, 0, 'Date', 1, 'Time In', 2, 'Lunch Out', 3, 'Lunch In', 4, 'Time Out') AS (col, value)")
+    return grids.daily_grid(grids.role_columns(cells.unionByName(heads)), F.lit("MDY"), F.lit(1997)).drop("project", "note")
+
+
+ORACLE["clock_grid"] = f"""SELECT emp AS table_id, seq AS row_id, make_date(1997, 1, CAST(seq % 28 + 1 AS INT)) AS d, hours AS regular, CASE WHEN hours IS NOT NULL THEN 0.0 END AS overtime, hours AS total,
+CASE WHEN hours IS NULL THEN 'UNCLEAR' WHEN hours > 16 THEN 'OUT_OF_RANGE' END AS issue FROM ({IN_OUT})"""
+
+
+def issue_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cascade's records come to: people, months, hours, findings by severity, files that results name and rejects, in one row."""
+    found = consolidated._found(spark, sf_dir)
+    got = consolidate.person_records(found, consolidated._named(spark, sf_dir, found))
+    months = weekly.with_stated(got.months, got.stated)
+    issues = consolidate.all_issues(got, _calendar(spark, got.days))
+    count = lambda severity: F.count_if(F.col("severity") == severity).alias(f"{severity}s")
+    parts = [
+        months.agg(F.count_distinct("emp").alias("people"), F.count("*").alias("months"), F.round(F.sum("total"), 2).alias("hours"), F.sum("days_worked").alias("days_worked")),
+        issues.agg(count("error"), count("warning"), count("info"), F.count_distinct(F.when(F.col("severity") == "error", F.col("emp"))).alias("people_with_errors")),
+        found.results.agg(F.count("*").alias("files"), F.count_if("needs_llm").alias("weak_files")), files.sort_out(_seen(spark, sf_dir))[1].agg(F.count("*").alias("rejects")),
+    ]
+    out = parts[0].withColumn("k", F.lit(1))
+    for part in parts[1:]:
+        out = out.join(part.withColumn("k", F.lit(1)), "k")
+    return out.drop("k")
+
+
+ORACLE["issue_totals"] = f"""SELECT * FROM (SELECT count(DISTINCT ident) AS people, count(*) AS months, round(sum(total), 2) AS hours, CAST(sum(days_worked) AS BIGINT) AS days_worked FROM ({consolidated.ORACLE["consolidated_months"]})),
+(SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos,
+  count(DISTINCT ident) FILTER (severity = 'error') AS people_with_errors FROM ({consolidated.ORACLE["consolidated_issues"]})),
+(SELECT count(*) AS files, count(*) FILTER (needs_llm) AS weak_files FROM ({consolidated.ORACLE["file_results"]})), (SELECT count(*) AS rejects FROM ({SQL_REJECTS}))"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         delimited_cells, delimited_dump, mail_results, rejects, file_balance, named_files, accepted_attempts, chained_attempts, always_worklist, contract_week_rows,
         grounded_reads, vision_pages, submission_log, newest_report, listed_files, viewer_rows, corrected_days, prefilled_answers, submission_findings,
+        clock_grid, issue_totals,
     )
 }

@@ -405,3 +405,37 @@ def test_staged_tables_go_with_their_scope(spark):
         path = kept.inputFiles()[0]
         assert kept.count() == 3 and os.path.exists(path.removeprefix("file://"))
     assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_odd_days_are_findings_with_their_sources(spark):
+    """Negative values, and regular and overtime that are not the total, name the entries they come from."""
+    from hourloom.operators import calendar as cal
+
+    rows = [(1, D(2026, 3, 2), 1, "csv", 3.0, -1.0, 0.0, -1.0), (1, D(2026, 3, 3), 2, "csv", 3.0, 8.0, 1.0, 12.0), (1, D(2026, 3, 3), 3, "image", 1.2, 8.0, 0.0, 8.0)]
+    entries = spark.createDataFrame(rows, "emp long, d date, seq long, extractor string, trust double, regular double, overtime double, total double")
+    entries = entries.withColumn("source", days.source(F.concat(F.lit("f"), F.col("seq").cast("string")), F.col("extractor"), row=F.col("seq"), region=F.lit("left")))
+    resolved = days.resolve_days(entries)
+    grid = cal.calendar_days(entries.select(F.trunc("d", "MM").alias("period")), cal.us_holidays(entries.select(F.year("d").alias("year"))))
+    got = days.day_issues(entries, resolved, grid).withColumn("sources", days.labels(F.col("sources"))).where("code <> 'MISSING'").collect()
+    seen = {(r.date.day, r.code, r.severity, r.message): r.sources for r in got}
+    assert seen[2, "INVALID", "error", "negative regular"] == seen[2, "INVALID", "error", "negative total"] == "f1 · row1 · @left"
+    assert seen[3, "TOTAL_MISMATCH", "warning", "regular and overtime are not the total"] == seen[3, "CONFLICT", "error", "several sources"] == "f2 · row2 · @left; f3 · row3 · @left"
+    missing = days.day_issues(entries, resolved, grid).where("code = 'MISSING'").withColumn("sources", days.labels(F.col("sources"))).collect()
+    assert {r.sources for r in missing} == {"f1; f2; f3"}
+
+
+def test_months_of_stated_totals_alone(spark):
+    """A stated total is the month of a person without other data, and a read by a model that yields nothing is a finding."""
+    from hourloom.operators import consolidate
+
+    period = D(2026, 3, 1)
+    months = spark.createDataFrame([(1, period, 100.0, 0.0, 100.0, 12)], "emp long, period date, regular double, overtime double, total double, days_worked long")
+    stated = spark.createDataFrame([(1, period, 100.2), (2, period, 20.0), (3, period, 168.0)], "emp long, period date, stated double")
+    got = {r.emp: (r.regular, r.overtime, r.total, r.days_worked) for r in weekly.with_stated(months, stated).collect()}
+    assert got == {1: (100.0, 0.0, 100.0, 12), 2: (20.0, 0.0, 20.0, 2), 3: (168.0, 0.0, 168.0, 21)}
+    weeks = spark.createDataFrame([], "emp long, week_start date, week_end date, total double, code string")
+    reads = spark.createDataFrame([(k, period, "llm_vision:x", False) for k in (1, 2, 3, 4)] + [(5, period, "csv", False)], "emp long, period date, method string, needs_llm boolean")
+    nobody = spark.createDataFrame([], "emp long, period date, cluster long")
+    found = consolidate.month_issues(weeks, months, stated, reads, nobody).collect()
+    # 20 hours in 2 days and no hours at all are little; 100 hours and a stated 168 are not.
+    assert {r.emp for r in found if r.code == "NEEDS_LLM"} == {2, 4} and {r.emp for r in found if r.code == "WEEK_ONLY"} == {2, 3}
