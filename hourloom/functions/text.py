@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from hourloom.functions.dates import FULL_MONTHS, MONTHS
 
 #: Words that are no names, and markers of timesheets.
-NO_NAMES = (*MONTHS, "sept", *FULL_MONTHS, "timesheet", "time sheet", "timesheets", "monthly timesheet", "monthly", "time", "sheet", "ts", "month", "approved", "signed", "final", "copy")
+NO_NAMES = (
+    *MONTHS, "sept", *FULL_MONTHS, "timesheet", "time sheet", "timesheets", "monthly timesheet", "monthly", "time", "sheet", "ts", "month", "approved", "signed",
+    "final", "copy",
+)
 LEADS = ("time sheet ", "timesheet ", "timesheets ", "ts ")
 MONTH_WORD = r"\b(" + "|".join((*MONTHS, "sept", *FULL_MONTHS)) + r")\b"
 EDGES = r"^[ \-·,]+|[ \-·,]+$"

@@ -34,7 +34,9 @@ def read_contract(answers: DataFrame) -> DataFrame:
 def contract_entries(answers: DataFrame, order: Column, base_year: Column) -> DataFrame:
     """file, employee_name, d, regular, overtime, total: one row an entry with a date."""
     rows = read_contract(answers).select("file", clean(F.col("answer.employee_name")).alias("employee_name"), F.inline("answer.entries"))
-    parsed = dates.once(rows, dates.parse_date(F.col("date"), order, base_year).alias("d")).where("d is not null").select("file", "employee_name", "d", *[hours.number_or_hours(F.col(f"{c}_hours")).alias(c) for c in ("regular", "overtime", "total")])
+    parsed = dates.once(rows, dates.parse_date(F.col("date"), order, base_year).alias("d")).where("d is not null").select(
+        "file", "employee_name", "d", *[hours.number_or_hours(F.col(f"{c}_hours")).alias(c) for c in ("regular", "overtime", "total")],
+    )
     r, o, t = hours.split_hours(F.col("total"), F.col("regular"), F.col("overtime"))
     return parsed.select("file", "employee_name", "d", r.alias("regular"), o.alias("overtime"), t.alias("total"))
 
@@ -44,7 +46,10 @@ def contract_weeks(answers: DataFrame, order: Column, base_year: Column) -> Data
     rows = read_contract(answers).select("file", F.inline("answer.weekly_totals"))
     bounds = [dates.parse_date(F.col(c), order, base_year).alias(c) for c in ("week_start", "week_end")]
     rows = rows.select("file", *bounds, hours.number_or_hours(F.col("total_hours")).alias("total")).where("week_start is not null or week_end is not null")
-    return rows.select("file", F.coalesce("week_start", F.date_sub("week_end", 6)).alias("week_start"), F.coalesce("week_end", F.date_add("week_start", 6)).alias("week_end"), "total")
+    return rows.select(
+        "file", F.coalesce("week_start", F.date_sub("week_end", 6)).alias("week_start"), F.coalesce("week_end", F.date_add("week_start", 6)).alias("week_end"),
+        "total",
+    )
 
 
 def majority(rows: DataFrame, key: str, value: str, seq: str) -> DataFrame:
@@ -82,7 +87,10 @@ def choose_read(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """The second read's measures only where it has more usable rows, or the first had none."""
     a, b = first.alias("a"), second.alias("b")
     take = F.col(f"b.{key}").isNotNull() & ((F.col("b.entries") > F.col("a.entries")) | (F.col("a.entries") == 0))
-    return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "left").select(F.col(f"a.{key}").alias(key), take.alias("second"), *[F.when(take, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in ("entries", "worked", "hours")])
+    return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "left").select(
+        F.col(f"a.{key}").alias(key), take.alias("second"),
+        *[F.when(take, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in ("entries", "worked", "hours")],
+    )
 
 
 def covers_month(worked: Column, pages: Column) -> Column:
@@ -97,7 +105,10 @@ def contract_results(answers: DataFrame) -> DataFrame:
     size = lambda c: F.greatest(F.coalesce(F.size(f"answer.{c}"), F.lit(0)), F.lit(0))
     empty = size("entries") + size("weekly_totals") == 0
     stated = F.coalesce(F.col("answer.confidence").try_cast("double"), F.lit(DEFAULT_CONFIDENCE))
-    return read_contract(answers).select("file", clean(F.col("answer.employee_name")).alias("employee_name"), clean(F.col("answer.client")).alias("client"), F.when(empty, F.least(stated, F.lit(EMPTY))).otherwise(stated).alias("confidence"), empty.alias("needs_llm"))
+    return read_contract(answers).select(
+        "file", clean(F.col("answer.employee_name")).alias("employee_name"), clean(F.col("answer.client")).alias("client"),
+        F.when(empty, F.least(stated, F.lit(EMPTY))).otherwise(stated).alias("confidence"), empty.alias("needs_llm"),
+    )
 
 
 def larger_read(reads: DataFrame) -> DataFrame:
@@ -107,7 +118,10 @@ def larger_read(reads: DataFrame) -> DataFrame:
     most = F.max_by(F.struct("seq", "worked", "hours", "pages"), F.struct("hours", -F.col("seq")))
     got = reads.groupBy("file").agg(first.alias("a"), most.alias("b"))
     keep = covers_month(F.col("a.worked"), F.col("a.pages"))
-    return got.select("file", F.when(keep, F.col("a.seq")).otherwise(F.col("b.seq")).alias("seq"), F.when(keep, F.col("a.hours")).otherwise(F.col("b.hours")).alias("hours"), keep.alias("covers"))
+    return got.select(
+        "file", F.when(keep, F.col("a.seq")).otherwise(F.col("b.seq")).alias("seq"), F.when(keep, F.col("a.hours")).otherwise(F.col("b.hours")).alias("hours"),
+        keep.alias("covers"),
+    )
 
 
 def grounding(text: Column, confidence: Column, least: float = 55.0) -> Column:

@@ -99,9 +99,15 @@ def cascade(files: DataFrame, cells: DataFrame, text: DataFrame, most: float = 1
     none = lambda kind: F.lit(None).cast(kind)
     issue_ = F.when(F.col("unclear"), F.lit("SEVERAL"))
     entries = chosen(daily, "daily_grid").select("file", F.lit("daily_grid").alias("extractor"), "table_id", "row_id", "d", "regular", "overtime", "total", "issue")
-    by_day = chosen(matrix, "weekday_matrix").select("file", F.lit("weekday_matrix").alias("extractor"), "table_id", none("long").alias("row_id"), "d", none("double").alias("regular"), none("double").alias("overtime"), "total", none("string").alias("issue"))
+    by_day = chosen(matrix, "weekday_matrix").select(
+        "file", F.lit("weekday_matrix").alias("extractor"), "table_id", none("long").alias("row_id"), "d", none("double").alias("regular"),
+        none("double").alias("overtime"), "total", none("string").alias("issue"),
+    )
     read = labelled.join(results.where("method = 'text_hours_labeled'").select("file"), "file")
-    read = read.select("file", F.lit("text_hours_labeled").alias("extractor"), none("long").alias("table_id"), none("long").alias("row_id"), F.col("date").alias("d"), "regular", "overtime", "total", issue_.alias("issue"))
+    read = read.select(
+        "file", F.lit("text_hours_labeled").alias("extractor"), none("long").alias("table_id"), none("long").alias("row_id"), F.col("date").alias("d"), "regular",
+        "overtime", "total", issue_.alias("issue"),
+    )
     return Found(results, entries.unionByName(by_day).unionByName(read), chosen(weeks, "weekly_totals"))
 
 
@@ -111,7 +117,9 @@ def attach_identity(results: DataFrame, hints: DataFrame) -> DataFrame:
     known = [c for c in ("employee_name", "employee_id", "client") if c in results.columns]
     rows = results.join(hints, "file", "left")
     own = lambda c: F.nullif(F.col(c), F.lit("")) if c in known else F.lit(None).cast("string")
-    named = rows.withColumns({"employee_name": F.coalesce(own("employee_name"), "name_hint"), "employee_id": own("employee_id"), "client": F.coalesce(own("client"), "client_hint")})
+    named = rows.withColumns(
+        {"employee_name": F.coalesce(own("employee_name"), "name_hint"), "employee_id": own("employee_id"), "client": F.coalesce(own("client"), "client_hint")},
+    )
     return named.drop("name_hint", "client_hint").withColumn("ident", ident_key(F.col("employee_name"), F.col("employee_id")))
 
 
@@ -146,14 +154,23 @@ def person_records(found: Found, named: DataFrame) -> Records:
     trust = days.trust_of(F.col("extractor"), F.col("extractor"))
     at = days.source(F.col("file"), F.col("extractor"), sheet=F.col("table_id"), row=F.col("row_id"))
     seq = F.struct("file_seq", F.coalesce("table_id", F.lit(-1)).alias("t"), F.coalesce("row_id", F.lit(-1)).alias("r"))
-    entries = found.entries.join(who, "file").select("emp", "d", seq.alias("seq"), "extractor", trust.alias("trust"), "regular", "overtime", "total", "issue", at.alias("source"))
+    entries = found.entries.join(who, "file").select(
+        "emp", "d", seq.alias("seq"), "extractor", trust.alias("trust"), "regular", "overtime", "total", "issue", at.alias("source"),
+    )
     resolved = staged(days.resolve_days(entries), "person-days")
     at = days.source(F.col("file"), F.lit("weekly_totals"), sheet=F.col("table_id"), row=F.col("row_id"))
-    weeks = found.weeks.join(who, "file").select("emp", "week_start", "week_end", "regular", "overtime", "total", F.struct("file_seq", "table_id", "row_id").alias("seq"), at.alias("source"))
+    weeks = found.weeks.join(who, "file").select(
+        "emp", "week_start", "week_end", "regular", "overtime", "total", F.struct("file_seq", "table_id", "row_id").alias("seq"), at.alias("source"),
+    )
     weeks = staged(weekly.dedupe_split(weeks), "person-weeks")
-    reads = named.select(F.col("ident").alias("emp"), "period", "method", "needs_llm", "file_seq", "stated_total", days.source(F.col("file"), F.col("method"), row=none).alias("source"))
+    reads = named.select(
+        F.col("ident").alias("emp"), "period", "method", "needs_llm", "file_seq", "stated_total",
+        days.source(F.col("file"), F.col("method"), row=none).alias("source"),
+    )
     first = F.min_by(F.struct("stated_total", "source"), "file_seq").alias("first")
-    stated = reads.where("stated_total is not null").groupBy("emp", "period").agg(first).select("emp", "period", F.col("first.stated_total").alias("stated"), F.array("first.source").alias("sources"))
+    stated = reads.where("stated_total is not null").groupBy("emp", "period").agg(first).select(
+        "emp", "period", F.col("first.stated_total").alias("stated"), F.array("first.source").alias("sources"),
+    )
     months = staged(weekly.rollup_split(weeks.drop("sources"), resolved), "person-months")
     return Records(entries, resolved, weeks, stated, reads, months)
 

@@ -115,7 +115,9 @@ SOURCES = "array<struct<file:string,sheet:string,page:int,row:bigint,cell:string
 def source_label(at: Column) -> Column:
     """file, sheet, page, cell or else row, and region, as far as they are known."""
     place = F.coalesce(at["cell"], F.concat(F.lit("row"), at["row"].cast("string")))
-    return F.concat_ws(" · ", at["file"], F.concat(F.lit("sheet="), at["sheet"]), F.concat(F.lit("p"), at["page"].cast("string")), place, F.concat(F.lit("@"), at["region"]))
+    return F.concat_ws(
+        " · ", at["file"], F.concat(F.lit("sheet="), at["sheet"]), F.concat(F.lit("p"), at["page"].cast("string")), place, F.concat(F.lit("@"), at["region"]),
+    )
 
 
 def labels(sources: Column) -> Column:
@@ -127,7 +129,10 @@ def files_of(rows: DataFrame, *keys: str) -> DataFrame:
     """keys, sources: the files that rows' sources name, once each; summed up by file before the lists are made."""
     none = lambda kind: F.lit(None).cast(kind)
     names = rows.where("source.file is not null").select(*keys, F.col("source.file").alias("file")).distinct()
-    own = F.struct(F.col("file"), none("string").alias("sheet"), none("int").alias("page"), none("long").alias("row"), none("string").alias("cell"), none("string").alias("region"), none("string").alias("extractor"))
+    own = F.struct(
+        F.col("file"), none("string").alias("sheet"), none("int").alias("page"), none("long").alias("row"), none("string").alias("cell"),
+        none("string").alias("region"), none("string").alias("extractor"),
+    )
     return names.groupBy(*keys).agg(F.array_sort(F.collect_list(own)).alias("sources"))
 
 
@@ -203,6 +208,9 @@ def day_status(days: DataFrame, calendar: DataFrame, issues: DataFrame) -> DataF
 
 def report_stats(months: DataFrame, days: DataFrame, issues: DataFrame) -> DataFrame:
     """One row: employees, employee_months, worked_days, total_hours, issues, employees_with_errors."""
-    a = months.agg(F.count_distinct("emp").alias("employees"), F.count("*").alias("employee_months"), F.round(F.sum("total"), 2).alias("total_hours"), F.sum("days_worked").alias("worked_days"))
+    a = months.agg(
+        F.count_distinct("emp").alias("employees"), F.count("*").alias("employee_months"), F.round(F.sum("total"), 2).alias("total_hours"),
+        F.sum("days_worked").alias("worked_days"),
+    )
     b = issues.agg(F.count("*").alias("issues"), F.count_distinct(F.when(F.col("severity") == "error", F.col("emp"))).alias("employees_with_errors"))
     return a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").drop("k")

@@ -92,7 +92,9 @@ def header_candidates(cells: DataFrame) -> DataFrame:
     empty = F.expr("cast(array() as array<struct<role:int,col:int>>)")
     taken = F.aggregate(F.sequence(F.lit(0), F.lit(len(ROLE_PRIORITY) - 1)), empty, choose)
     names = F.array(*[F.lit(r) for r in ROLE_PRIORITY])
-    return rows.select("table_id", "row_id", F.transform(taken, lambda t: F.struct(F.element_at(names, t["role"] + 1).alias("role"), t["col"].alias("col"))).alias("roles"))
+    return rows.select(
+        "table_id", "row_id", F.transform(taken, lambda t: F.struct(F.element_at(names, t["role"] + 1).alias("role"), t["col"].alias("col"))).alias("roles"),
+    )
 
 
 def _headers(cells: DataFrame) -> DataFrame:
@@ -160,11 +162,17 @@ def daily_grid(rows: DataFrame, order: Column, base_year: Column, most: float =
     r, o, t = hours.split_hours(F.col("t0"), F.col("regular_h"), F.col("overtime_h"))
     present = reduce(lambda a, b: a | b, [F.coalesce(F.trim(c), F.lit("")) != "" for c in hour_cols])
     clean = lambda c: F.nullif(F.trim(c), F.lit(""))
-    got = rows.select("table_id", "row_id", "d", "recovered", r.alias("r"), o.alias("o"), t.alias("t"), clean("project").alias("project"), clean("note").alias("note"), present.alias("present"))
+    got = rows.select(
+        "table_id", "row_id", "d", "recovered", r.alias("r"), o.alias("o"), t.alias("t"), clean("project").alias("project"), clean("note").alias("note"),
+        present.alias("present"),
+    )
     has = F.col("r").isNotNull() | F.col("o").isNotNull() | F.col("t").isNotNull()
     issue = F.when(~has, F.lit("UNCLEAR")).when(F.col("t") > most, F.lit("OUT_OF_RANGE"))
     extra = [] if period is None else ["recovered"]
-    return got.where(has | F.col("present")).select("table_id", "row_id", "d", F.col("r").alias("regular"), F.col("o").alias("overtime"), F.col("t").alias("total"), "project", "note", issue.alias("issue"), *extra)
+    return got.where(has | F.col("present")).select(
+        "table_id", "row_id", "d", F.col("r").alias("regular"), F.col("o").alias("overtime"), F.col("t").alias("total"), "project", "note", issue.alias("issue"),
+        *extra,
+    )
 
 
 #: Columns that a day's hours are read from.
@@ -275,9 +283,12 @@ def summary_totals(cells: DataFrame, period: Column) -> DataFrame:
     is_total = lambda v: v.isin("total", "total hours", "total hrs", "totalhours") | (v.contains("total") & (v.contains("hour") | v.contains("hrs")))
     is_period = lambda v: v.isin("period", "month", "month/year", "duration")
     last = lambda fits: F.array_max(F.transform(F.filter("cells", lambda c: fits(_plain(c["value"]))), lambda c: c["col"]))
-    heads = dates.once(rows.select("table_id", F.col("row_id").alias("head"), "cells"), last(is_total).alias("tc"), last(is_period).alias("pc")).where("tc is not null").drop("cells")
+    heads = dates.once(rows.select("table_id", F.col("row_id").alias("head"), "cells"), last(is_total).alias("tc"),
+    last(is_period).alias("pc")).where("tc is not null").drop("cells")
     of = lambda col: F.get(F.filter("cells", lambda c: c["col"] == F.col(col)), F.lit(0))["value"]
-    below = rows.withColumn("period_", period).join(heads, "table_id").where("row_id > head").select("table_id", "head", "row_id", "period_", of("tc").alias("t"), F.lower(F.trim(of("pc"))).alias("p"))
+    below = rows.withColumn("period_", period).join(heads, "table_id").where("row_id > head").select(
+        "table_id", "head", "row_id", "period_", of("tc").alias("t"), F.lower(F.trim(of("pc"))).alias("p"),
+    )
     month, own = F.lower(F.date_format("period_", "MMMM")), F.col("period_")
     named = [month, F.substring(month, 1, 3), F.concat(F.month(own).cast("string"), F.lit("/")), F.concat(F.lit("-"), F.month(own).cast("string"), F.lit("-")), F.year(own).cast("string")]
     fits = F.col("p").isNull() | (F.col("p") == "") | reduce(lambda a, b: a | b, [F.col("p").contains(x) for x in named])

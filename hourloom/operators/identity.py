@@ -94,6 +94,8 @@ def split_conflicting(days: DataFrame) -> DataFrame:
     parts = parts_of(hard)
     rows = hard.join(parts, ["ident", "file_seq"]).select("ident", "part", "file_seq", "d", "total")
     kinds = dict(days.dtypes)
-    fitted = rows.repartition("ident", "part").sortWithinPartitions("ident", "part", "file_seq", "d").mapInArrow(first_fit, f"ident {kinds['ident']}, file_seq {kinds['file_seq']}, cluster long")
+    fitted = rows.repartition("ident", "part").sortWithinPartitions("ident", "part", "file_seq", "d").mapInArrow(
+        first_fit, f"ident {kinds['ident']}, file_seq {kinds['file_seq']}, cluster long",
+    )
     alone = days.select("ident", "file_seq").distinct().join(parts, ["ident", "file_seq"], "left_anti")
     return fitted.unionByName(alone.withColumn("cluster", F.lit(0).cast("long")))

@@ -29,7 +29,9 @@ def date_orders(lines: DataFrame, period: Column) -> DataFrame:
     votes = parts.groupBy("file").agg(
         F.count_if(F.col("a") > 12).alias("a12"), F.count_if(F.col("b") > 12).alias("b12"), of_month("b").alias("dmy"), of_month("a").alias("mdy")
     )
-    return votes.select("file", F.expr("CASE WHEN a12 > 0 AND b12 = 0 THEN 'DMY' WHEN b12 > 0 AND a12 = 0 THEN 'MDY' WHEN dmy > mdy THEN 'DMY' ELSE 'MDY' END").alias("date_order"))
+    return votes.select(
+        "file", F.expr("CASE WHEN a12 > 0 AND b12 = 0 THEN 'DMY' WHEN b12 > 0 AND a12 = 0 THEN 'MDY' WHEN dmy > mdy THEN 'DMY' ELSE 'MDY' END").alias("date_order"),
+    )
 
 
 def labelled_hours(lines: DataFrame, orders: DataFrame, base_year: Column, most: float = 16.0) -> DataFrame:
@@ -45,9 +47,14 @@ def labelled_hours(lines: DataFrame, orders: DataFrame, base_year: Column, most:
     rows = dates.once(rows, found.alias("found")).where((F.size("found") == 1) & ~F.lower("line").contains("period"))
     rows = dates.once(rows, dates.parse_date(F.col("found")[0], F.col("date_order"), base_year).alias("date")).where("date is not null")
     after = F.expr("substring(line, instr(line, found[0]) + length(found[0]))")
-    same = F.coalesce(F.when(after.rlike(VALUE), F.regexp_extract(after, VALUE, 1).try_cast("double")), F.when(after.rlike(PAY_CODE), F.regexp_extract(after, PAY_CODE, 1).try_cast("double")))
+    same = F.coalesce(
+        F.when(after.rlike(VALUE), F.regexp_extract(after, VALUE, 1).try_cast("double")),
+        F.when(after.rlike(PAY_CODE), F.regexp_extract(after, PAY_CODE, 1).try_cast("double")),
+    )
     ok = lambda c: F.when(c.between(0, most), c)
     rows = dates.once(rows, F.coalesce(ok(same), ok(F.col("label"))).alias("value")).where("value is not null")
     days = rows.groupBy("file", "date").agg(F.array_sort(F.collect_set(F.round("value", 2))).alias("seen"))
     r, o, t = hours.split_hours(F.when(F.size("seen") == 1, F.col("seen")[0]), F.lit(None).cast("double"), F.lit(None).cast("double"))
-    return days.select("file", "date", r.alias("regular"), o.alias("overtime"), t.alias("total"), F.size("seen").alias("distinct_values"), (F.size("seen") > 1).alias("unclear"))
+    return days.select(
+        "file", "date", r.alias("regular"), o.alias("overtime"), t.alias("total"), F.size("seen").alias("distinct_values"), (F.size("seen") > 1).alias("unclear"),
+    )

@@ -34,4 +34,7 @@ def better_read(first: DataFrame, second: DataFrame, least: float = 55.0) -> Dat
     """Per page, the second read only if the first is weak and the second is better and not empty."""
     both = first.alias("a").join(second.alias("b"), "page", "left")
     take = (F.col("a.confidence") < least) & (F.coalesce("b.text", F.lit("")) != "") & (F.col("b.confidence") > F.col("a.confidence"))
-    return both.select("page", F.when(take, F.col("b.text")).otherwise(F.col("a.text")).alias("text"), F.when(take, F.col("b.confidence")).otherwise(F.col("a.confidence")).alias("confidence"))
+    return both.select(
+        "page", F.when(take, F.col("b.text")).otherwise(F.col("a.text")).alias("text"),
+        F.when(take, F.col("b.confidence")).otherwise(F.col("a.confidence")).alias("confidence"),
+    )

@@ -46,8 +46,13 @@ def review_calendar(calendar: DataFrame, days: DataFrame) -> DataFrame:
     users = days.select("user_id", F.trunc("d", "MM").alias("period")).distinct()
     grid = users.join(calendar, "period").withColumnRenamed("date", "d")
     rows = grid.join(days, ["user_id", "d"], "left")
-    total = F.coalesce("total", F.when(F.col("regular").isNotNull() | F.col("overtime").isNotNull(), F.coalesce("regular", F.lit(0.0)) + F.coalesce("overtime", F.lit(0.0))))
-    return rows.select("user_id", "period", "d", "is_weekend", "is_holiday", "regular", "overtime", total.alias("total"), total.isNotNull().alias("filled"), (F.col("is_holiday") & (F.coalesce(total, F.lit(0.0)) > 0)).alias("worked_on_holiday"))
+    total = F.coalesce(
+        "total", F.when(F.col("regular").isNotNull() | F.col("overtime").isNotNull(), F.coalesce("regular", F.lit(0.0)) + F.coalesce("overtime", F.lit(0.0))),
+    )
+    return rows.select(
+        "user_id", "period", "d", "is_weekend", "is_holiday", "regular", "overtime", total.alias("total"), total.isNotNull().alias("filled"),
+        (F.col("is_holiday") & (F.coalesce(total, F.lit(0.0)) > 0)).alias("worked_on_holiday"),
+    )
 
 
 def correct(days: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -56,7 +61,10 @@ def correct(days: DataFrame, corrections: DataFrame) -> DataFrame:
     total = F.when(F.col("r2").isNotNull() | F.col("o2").isNotNull(), F.coalesce("r2", F.lit(0.0)) + F.coalesce("o2", F.lit(0.0)))
     pick = lambda new, old: F.when(F.col("hit"), new).otherwise(F.col(old)).alias(old)
     rows = days.join(c, ["user_id", "d"], "left")
-    return rows.select("user_id", "d", pick(F.col("r2"), "regular"), pick(F.col("o2"), "overtime"), pick(total, "total"), (F.col("flagged") & F.col("hit").isNull()).alias("flagged"))
+    return rows.select(
+        "user_id", "d", pick(F.col("r2"), "regular"), pick(F.col("o2"), "overtime"), pick(total, "total"),
+        (F.col("flagged") & F.col("hit").isNull()).alias("flagged"),
+    )
 
 
 def month_sums(calendar: DataFrame) -> DataFrame:
@@ -120,7 +128,10 @@ def prefilled(sums: DataFrame, calendar: DataFrame) -> DataFrame:
     weekends = F.when(F.col("weekend") > 0, F.lit("yes")).otherwise(F.lit("no"))
     rows = sums.join(holidays, ["user_id", "period"], "left")
     none = F.map_from_arrays(F.array().cast("array<date>"), F.array().cast("array<boolean>"))
-    return rows.select("user_id", "period", F.col("regular").alias("stated_regular"), F.col("overtime").alias("stated_overtime"), weekends.alias("weekends"), F.coalesce("holidays_worked", none).alias("holidays_worked"))
+    return rows.select(
+        "user_id", "period", F.col("regular").alias("stated_regular"), F.col("overtime").alias("stated_overtime"), weekends.alias("weekends"),
+        F.coalesce("holidays_worked", none).alias("holidays_worked"),
+    )
 
 
 def first_of(*columns: Column) -> Column:

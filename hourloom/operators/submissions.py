@@ -40,4 +40,7 @@ def sync_baseline(timesheets: DataFrame, submissions: DataFrame) -> DataFrame:
 def register(files: DataFrame) -> DataFrame:
     """Rows of the file register: path, name, mime, size in KB, period, status of files(path, mime, length, year, month, status)."""
     name = F.regexp_extract("path", r"[^/]+$", 0)
-    return files.select("path", name.alias("name"), "mime", F.round(F.col("length") / 1024).cast("long").alias("kb"), F.make_date("year", "month", F.lit(1)).alias("period"), F.coalesce("status", F.lit("uploaded")).alias("status"))
+    return files.select(
+        "path", name.alias("name"), "mime", F.round(F.col("length") / 1024).cast("long").alias("kb"), F.make_date("year", "month", F.lit(1)).alias("period"),
+        F.coalesce("status", F.lit("uploaded")).alias("status"),
+    )

@@ -15,7 +15,9 @@ from hourloom.operators.days import MONTH_SLACK
 def dedupe(weekly: DataFrame) -> DataFrame:
     """One row per emp, week_start and week_end: the largest total (null as 0), the first to arrive among equals."""
     best = F.max_by(F.struct("total", "seq"), F.struct(F.coalesce("total", F.lit(0.0)), -F.col("seq")))
-    rows = weekly.groupBy("emp", "week_start", "week_end").agg(best.alias("best"), F.count("*").alias("n"), F.count_distinct(F.round("total", 2)).alias("distinct_totals"))
+    rows = weekly.groupBy("emp", "week_start", "week_end").agg(
+        best.alias("best"), F.count("*").alias("n"), F.count_distinct(F.round("total", 2)).alias("distinct_totals"),
+    )
     code = F.when((F.col("n") > 1) & (F.col("distinct_totals") > 1), F.lit("CONFLICT")).when(F.col("n") > 1, F.lit("DUPLICATE"))
     return rows.select("emp", "week_start", "week_end", "best.total", "best.seq", "n", code.alias("code"))
 
@@ -38,9 +40,13 @@ def rollup(weeks: DataFrame, daily: DataFrame) -> DataFrame:
 
     Days of weekly work are estimated at eight hours, rounded half to even for each week.
     """
-    per = coverage(weeks, daily).groupBy("emp", "week_start", "week_end", F.trunc("d", "MM").alias("period")).agg(F.first("total").alias("t"), F.first("span").alias("span"), F.count("*").alias("days"))
+    per = coverage(weeks, daily).groupBy("emp", "week_start", "week_end", F.trunc("d", "MM").alias("period")).agg(
+        F.first("total").alias("t"), F.first("span").alias("span"), F.count("*").alias("days"),
+    )
     part = F.coalesce(F.col("t"), F.lit(0.0)) * F.col("days") / F.col("span")
-    by_week = per.withColumn("part", part).groupBy("emp", "period").agg(F.sum("part").alias("total"), F.sum(F.bround(F.col("part") / 8)).cast("long").alias("days_worked"))
+    by_week = per.withColumn("part", part).groupBy("emp", "period").agg(
+        F.sum("part").alias("total"), F.sum(F.bround(F.col("part") / 8)).cast("long").alias("days_worked"),
+    )
     by_day = daily.groupBy("emp", F.trunc("d", "MM").alias("period")).agg(F.sum("total").alias("total"), F.count_if(F.col("total") > 0).alias("days_worked"))
     both = by_week.unionByName(by_day).groupBy("emp", "period").agg(F.round(F.sum("total"), 2).alias("total"), F.sum("days_worked").alias("days_worked"))
     return both
@@ -51,7 +57,9 @@ def dedupe_split(weekly: DataFrame) -> DataFrame:
     have a column source."""
     first = F.min_by(F.struct("total", "regular", "overtime", "seq"), F.struct(-F.coalesce("total", F.lit(0.0)), F.col("seq")))
     sources = [F.transform(F.array_sort(F.collect_list(F.struct("seq", "source"))), lambda x: x["source"]).alias("sources")] if "source" in weekly.columns else []
-    rows = weekly.groupBy("emp", "week_start", "week_end").agg(first.alias("best"), F.count("*").alias("n"), F.count_distinct(F.round("total", 2)).alias("distinct_totals"), *sources)
+    rows = weekly.groupBy("emp", "week_start", "week_end").agg(
+        first.alias("best"), F.count("*").alias("n"), F.count_distinct(F.round("total", 2)).alias("distinct_totals"), *sources,
+    )
     code = F.when((F.col("n") > 1) & (F.col("distinct_totals") > 1), F.lit("CONFLICT")).when(F.col("n") > 1, F.lit("DUPLICATE"))
     return rows.select("emp", "week_start", "week_end", "best.*", "n", code.alias("code"), *(["sources"] if sources else []))
 
@@ -60,12 +68,18 @@ def rollup_split(weeks: DataFrame, daily: DataFrame) -> DataFrame:
     """emp, period, regular, overtime, total, days_worked: rollup() with its parts. weeks: of dedupe_split; daily: emp, d, regular,
     overtime, total. A week's total that isn't split counts as regular."""
     parts = weeks.select("emp", "week_start", "week_end", F.coalesce("regular", "total").alias("regular"), "overtime")
-    per = coverage(weeks.select("emp", "week_start", "week_end", "total", "seq"), daily).groupBy("emp", "week_start", "week_end", F.trunc("d", "MM").alias("period")).agg(F.first("total").alias("t"), (F.count("*") / F.first("span")).alias("share"))
+    per = coverage(weeks.select("emp", "week_start", "week_end", "total", "seq"), daily).groupBy("emp", "week_start", "week_end", F.trunc("d", "MM").alias("period")).agg(
+        F.first("total").alias("t"), (F.count("*") / F.first("span")).alias("share"),
+    )
     per = per.join(parts, ["emp", "week_start", "week_end"])
     part = lambda c: F.coalesce(F.sum(F.col(c) * F.col("share")), F.lit(0.0)).alias(c)
-    by_week = per.withColumn("total", F.col("t")).groupBy("emp", "period").agg(part("regular"), part("overtime"), part("total"), F.coalesce(F.sum(F.bround(F.col("t") * F.col("share") / 8)), F.lit(0)).cast("long").alias("days_worked"))
+    by_week = per.withColumn("total", F.col("t")).groupBy("emp", "period").agg(
+        part("regular"), part("overtime"), part("total"), F.coalesce(F.sum(F.bround(F.col("t") * F.col("share") / 8)), F.lit(0)).cast("long").alias("days_worked"),
+    )
     plain = lambda c: F.coalesce(F.sum(c), F.lit(0.0)).alias(c)
-    by_day = daily.groupBy("emp", F.trunc("d", "MM").alias("period")).agg(plain("regular"), plain("overtime"), plain("total"), F.count_if(F.col("total") > 0).alias("days_worked"))
+    by_day = daily.groupBy("emp", F.trunc("d", "MM").alias("period")).agg(
+        plain("regular"), plain("overtime"), plain("total"), F.count_if(F.col("total") > 0).alias("days_worked"),
+    )
     two = lambda c: F.round(F.sum(c), 2).alias(c)
     return by_week.unionByName(by_day).groupBy("emp", "period").agg(two("regular"), two("overtime"), two("total"), F.sum("days_worked").alias("days_worked"))
 
@@ -73,14 +87,18 @@ def rollup_split(weeks: DataFrame, daily: DataFrame) -> DataFrame:
 def stated_mismatch(months: DataFrame, stated: DataFrame, slack: float = MONTH_SLACK) -> DataFrame:
     """emp, period, total, stated, and what else stated brings: months whose stated total is off by more than slack."""
     rest = [c for c in stated.columns if c not in ("emp", "period", "stated")]
-    return months.select("emp", "period", "total").join(stated, ["emp", "period"]).where(F.abs(F.col("stated") - F.col("total")) > slack).select("emp", "period", "total", "stated", *rest)
+    return months.select("emp", "period", "total").join(stated, ["emp", "period"]).where(F.abs(F.col("stated") - F.col("total")) > slack).select("emp",
+    "period", "total", "stated", *rest)
 
 
 def stated_only(months_with_data: DataFrame, stated: DataFrame) -> DataFrame:
     """Months known by a stated total alone: it becomes regular and total, with days at eight hours, half to even."""
     rest = [c for c in stated.columns if c not in ("emp", "period", "stated")]
     alone = stated.join(months_with_data.select("emp", "period"), ["emp", "period"], "left_anti")
-    return alone.select("emp", "period", F.round("stated", 2).alias("regular"), F.round("stated", 2).alias("total"), F.bround(F.col("stated") / 8).cast("long").alias("days_worked"), *rest)
+    return alone.select(
+        "emp", "period", F.round("stated", 2).alias("regular"), F.round("stated", 2).alias("total"),
+        F.bround(F.col("stated") / 8).cast("long").alias("days_worked"), *rest,
+    )
 
 
 def with_stated(months: DataFrame, stated: DataFrame) -> DataFrame:

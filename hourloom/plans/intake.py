@@ -41,23 +41,33 @@ def delimited_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = delimited.read_delimited(spark, _delimited(spark, sf_dir), ",")
     key = F.max(F.when(F.col("col") == 0, F.col("value"))).cast("long")
     at = lambda k: F.max(F.when(F.col("col") == k, F.col("value")))
-    got = cells.groupBy("file", "row_id").agg(key.alias("o_orderkey"), at(1).alias("note"), at(2).alias("size"), at(3).alias("hours"), at(WIDE - 1).alias("last"), F.count("*").alias("cells"))
+    got = cells.groupBy("file", "row_id").agg(
+        key.alias("o_orderkey"), at(1).alias("note"), at(2).alias("size"), at(3).alias("hours"), at(WIDE - 1).alias("last"), F.count("*").alias("cells"),
+    )
     return got.drop("file", "row_id")
 
 
-ORACLE["delimited_cells"] = """SELECT o_orderkey, concat(o_orderpriority, ', "', o_custkey, '"', CASE WHEN o_orderkey % 3 = 0 THEN concat(chr(10), chr(10), '"second" line, too') ELSE '' END) AS note,
-'5" pipe' AS size, CAST(o_orderkey % 9 AS VARCHAR) AS hours, CASE WHEN o_orderkey % 4 > 0 THEN concat('w', o_orderkey % 11) END AS last, CASE WHEN o_orderkey % 4 > 0 THEN 5 ELSE 4 END AS cells FROM orders"""
+ORACLE["delimited_cells"] = """SELECT o_orderkey, concat(o_orderpriority, ', "', o_custkey, '"', CASE WHEN o_orderkey % 3 = 0 THEN concat(chr(10), chr(10),
+  '"second" line, too') ELSE '' END) AS note,
+'5" pipe' AS size, CAST(o_orderkey % 9 AS VARCHAR) AS hours, CASE WHEN o_orderkey % 4 > 0 THEN concat('w', o_orderkey % 11) END AS last, CASE
+  WHEN o_orderkey % 4 > 0 THEN 5 ELSE 4 END AS cells FROM orders"""
 
 
 def delimited_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' orders as tables: the text dump of each, its header and first rows."""
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), "o_orderkey", F.concat(F.lit("a,b,c,d\n")).alias("head"), F.concat(F.col("o_orderkey"), F.lit(",,\"x "), F.col("o_orderkey") % 7, F.lit('"')).alias("row"))
-    texts = rows.groupBy("file").agg(F.concat(F.first("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "row"))), lambda x: x["row"]), "\r\n")).alias("text"))
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("file"), "o_orderkey", F.concat(F.lit("a,b,c,d\n")).alias("head"),
+        F.concat(F.col("o_orderkey"), F.lit(",,\"x "), F.col("o_orderkey") % 7, F.lit('"')).alias("row"),
+    )
+    texts = rows.groupBy("file").agg(
+        F.concat(F.first("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "row"))), lambda x: x["row"]), "\r\n")).alias("text"),
+    )
     return delimited.dump(delimited.text_cells(texts), 12)
 
 
 ORACLE["delimited_dump"] = """SELECT file, row_id, line FROM (SELECT DISTINCT o_custkey AS file, CAST(0 AS BIGINT) AS row_id, 'a | b | c | d' AS line FROM orders
-UNION ALL SELECT o_custkey, k, concat('[r', k + 1, '] ', o_orderkey, ' |  | x ', o_orderkey % 7, ' | ') FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k <= 12)"""
+UNION ALL SELECT o_custkey, k, concat('[r', k + 1, '] ', o_orderkey, ' |  | x ', o_orderkey % 7, ' | ') FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey
+  ORDER BY o_orderkey) AS k FROM orders) WHERE k <= 12)"""
 
 
 def _mails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +76,8 @@ def _mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = rows.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "row"))), lambda x: x["row"]), "\r\n").alias("body"))
     mail = r"""concat('From: p', k, '@example.com\nSubject: hours of ', k, '\nDate: Mon, 3 Feb 1997 10:00:00 +0000\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=XX\n\n--XX\n',
       'Content-Type: multipart/alternative; boundary=YY\n\n--YY\nContent-Type: text/plain\n\nTotal is attached\n--YY\nContent-Type: text/html\n\n<b>Total</b>\n--YY--\n--XX\n',
-      'Content-Type: ', CASE WHEN k % 2 = 0 THEN 'text/csv' ELSE 'application/octet-stream' END, '; name="hours.csv"\nContent-Disposition: attachment; filename="hours.csv"\nContent-Transfer-Encoding: base64\n\n',
+      'Content-Type: ', CASE WHEN k % 2 = 0 THEN 'text/csv' ELSE 'application/octet-stream' END,
+  '; name="hours.csv"\nContent-Disposition: attachment; filename="hours.csv"\nContent-Transfer-Encoding: base64\n\n',
       base64(to_binary(concat('Date,Hours,Note\r\n', body, '\r\n'), 'utf-8')), '\n--XX\nContent-Type: message/rfc822\n\nSubject: inner\n\n1/1/1997 9.0\n--XX--\n')"""
     return tables.selectExpr("concat('mail', k) AS file", f"to_binary({mail}, 'utf-8') AS content")
 
@@ -83,7 +94,8 @@ def mail_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.join(found.results.select("file", "method", "found"), "file").join(hours, "file")
 
 
-ORACLE["mail_results"] = """SELECT concat('mail', o_custkey) AS file, concat('hours of ', o_custkey) AS subject, concat('p', o_custkey, '@example.com') AS sender, 'Total is attached' AS body,
+ORACLE["mail_results"] = """SELECT concat('mail', o_custkey) AS file, concat('hours of ', o_custkey) AS subject, concat('p', o_custkey, '@example.com') AS sender,
+  'Total is attached' AS body,
 CAST(1 AS BIGINT) AS attachments, 'daily_grid' AS method, count(*) AS found, round(sum(o_orderkey % 9 + 0.5), 2) AS hours FROM orders GROUP BY o_custkey"""
 
 
@@ -146,8 +158,10 @@ def accepted_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql_accepted(half: int) -> str:
-    return f"""SELECT * FROM (SELECT user_id AS file, month AS page, id AS attempt, CASE WHEN id % 3 > 0 THEN id % 4 ELSE 0 END AS found, id % 4 AS worked, total / 10 AS hours, attempts FROM (
-  SELECT *, CASE WHEN id % 3 > 0 THEN id % 4 ELSE 0 END > 0 AND id % 5 > 0 AS read, max(id) OVER (PARTITION BY user_id, month) AS attempts FROM v_uploads WHERE id % 2 = {half}) WHERE id % 5 > 0
+    return f"""SELECT * FROM (SELECT user_id AS file, month AS page, id AS attempt, CASE WHEN id % 3 > 0 THEN id % 4 ELSE 0 END AS found, id % 4 AS worked,
+  total / 10 AS hours, attempts FROM (
+  SELECT *, CASE WHEN id % 3 > 0 THEN id % 4 ELSE 0 END > 0 AND id % 5 > 0 AS read, max(id) OVER (PARTITION BY user_id, month) AS attempts FROM v_uploads
+  WHERE id % 2 = {half}) WHERE id % 5 > 0
   QUALIFY row_number() OVER (PARTITION BY user_id, month ORDER BY read DESC, CASE WHEN read THEN id ELSE -id END) = 1)"""
 
 
@@ -160,11 +174,14 @@ def chained_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["chained_attempts"] = f"""WITH p AS (SELECT user_id AS file, count(DISTINCT month) AS pages FROM v_uploads GROUP BY 1),
-a AS (SELECT file, count(*) AS n, sum(worked) AS w, round(sum(hours), 2) AS h FROM ({sql_accepted(0)}) GROUP BY file), b AS (SELECT file, count(*) AS n, sum(worked) AS w, round(sum(hours), 2) AS h FROM ({sql_accepted(1)}) GROUP BY file),
+a AS (SELECT file, count(*) AS n, sum(worked) AS w, round(sum(hours), 2) AS h FROM ({sql_accepted(0)})
+  GROUP BY file), b AS (SELECT file, count(*) AS n, sum(worked) AS w, round(sum(hours), 2) AS h FROM ({sql_accepted(1)}) GROUP BY file),
 j AS (SELECT p.file, coalesce(a.n, 0) AS an, coalesce(a.w, 0) AS aw, coalesce(a.h, 0) AS ah, coalesce(b.n, 0) AS bn, coalesce(b.w, 0) AS bw, coalesce(b.h, 0) AS bh,
-  coalesce(a.w, 0) < 0.6 * CASE WHEN pages = 1 THEN 8 ELSE least(5 * pages, 22) END AND coalesce(b.h, 0) > coalesce(a.h, 0) AS more FROM p LEFT JOIN a USING (file) LEFT JOIN b USING (file)),
+  coalesce(a.w, 0) < 0.6 * CASE WHEN pages = 1 THEN 8 ELSE least(5 * pages, 22) END AND coalesce(b.h, 0) > coalesce(a.h, 0) AS more FROM p LEFT JOIN a USING (file) LEFT
+  JOIN b USING (file)),
 k AS (SELECT *, CASE WHEN NOT more THEN 'first' WHEN bw > 0 AND bw <= 24 AND bh <= 300 THEN 'coverage' ELSE 'implausible' END AS step FROM j)
-SELECT file, step, CAST(CASE step WHEN 'coverage' THEN bn ELSE an END AS BIGINT) AS read, CAST(CASE step WHEN 'coverage' THEN bw ELSE aw END AS BIGINT) AS worked, CASE step WHEN 'coverage' THEN bh ELSE ah END AS hours FROM k"""
+SELECT file, step, CAST(CASE step WHEN 'coverage' THEN bn ELSE an END AS BIGINT) AS read, CAST(CASE step WHEN 'coverage' THEN bw ELSE aw END AS BIGINT) AS worked,
+  CASE step WHEN 'coverage' THEN bh ELSE ah END AS hours FROM k"""
 
 
 def always_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,11 +196,14 @@ ORACLE["always_worklist"] = """SELECT emp, sum(total) AS hours, true AS escalate
 
 def contract_week_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly totals of answers; a missing bound is six days from the other."""
-    said = F.expr("concat('{\"weekly_totals\":[{\"', CASE file % 2 WHEN 0 THEN 'week_start' ELSE 'week_end' END, '\":\"', substr(text, instr(text, '\"date\":\"') + 8, 10), '\",\"total_hours\":\"', file % 50, ' hrs\"}, {\"total_hours\": 3}]}')")
+    said = F.expr(
+        "concat('{\"weekly_totals\":[{\"', CASE file % 2 WHEN 0 THEN 'week_start' ELSE 'week_end' END, '\":\"', substr(text, instr(text, '\"date\":\"') + 8, 10), '\",\"total_hours\":\"', file % 50, ' hrs\"}, {\"total_hours\": 3}]}')",
+    )
     return answers.contract_weeks(view(spark, sf_dir, "v_answers").select("file", said.alias("text")), F.lit("MDY"), F.lit(2000))
 
 
-ORACLE["contract_week_rows"] = """SELECT o_orderkey AS file, CAST(d - CASE WHEN o_orderkey % 2 = 1 THEN 6 ELSE 0 END AS DATE) AS week_start, CAST(d + CASE WHEN o_orderkey % 2 = 0 THEN 6 ELSE 0 END AS DATE) AS week_end,
+ORACLE["contract_week_rows"] = """SELECT o_orderkey AS file, CAST(d - CASE WHEN o_orderkey % 2 = 1 THEN 6 ELSE 0 END AS DATE) AS week_start, CAST(d + CASE
+  WHEN o_orderkey % 2 = 0 THEN 6 ELSE 0 END AS DATE) AS week_end,
 CAST(o_orderkey % 50 AS DOUBLE) AS total FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders)"""
 
 
@@ -191,18 +211,27 @@ def grounded_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of two OCR reads of a page the better one, and its text where it is good enough to ground an answer."""
     rows = view(spark, sf_dir, "v_words").select(F.col("file").alias("page"), "line", "conf", "text")
     reads = rows.groupBy("page", (F.col("line") % 2).alias("k")).agg(F.min("text").alias("text"), F.round(F.avg("conf"), 1).alias("confidence"))
-    got = ocr.better_read(reads.where("k = 1").drop("k"), reads.where("k = 0").withColumn("text", F.when(F.col("page") % 5 > 0, F.col("text")).otherwise(F.lit(""))).drop("k"))
+    got = ocr.better_read(
+        reads.where("k = 1").drop("k"), reads.where("k = 0").withColumn("text", F.when(F.col("page") % 5 > 0, F.col("text")).otherwise(F.lit(""))).drop("k"),
+    )
     return got.withColumn("grounds", answers.grounding(F.col("text"), F.col("confidence")))
 
 
 ORACLE["grounded_reads"] = """WITH r AS (SELECT file AS page, line % 2 AS k, min(text) AS text, round(avg(conf), 1) AS confidence FROM v_words GROUP BY 1, 2),
-c AS (SELECT a.page, coalesce(a.confidence < 55 AND b.page % 5 > 0 AND b.confidence > a.confidence, false) AS second, a.text AS t1, b.text AS t2, a.confidence AS c1, b.confidence AS c2 FROM (SELECT * FROM r WHERE k = 1) a LEFT JOIN (SELECT * FROM r WHERE k = 0) b ON a.page = b.page)
-SELECT page, text, confidence, CASE WHEN confidence >= 55 THEN text END AS grounds FROM (SELECT page, CASE WHEN second THEN t2 ELSE t1 END AS text, CASE WHEN second THEN c2 ELSE c1 END AS confidence FROM c)"""
+c AS (SELECT a.page, coalesce(a.confidence < 55 AND b.page % 5 > 0
+  AND b.confidence > a.confidence, false) AS second, a.text AS t1, b.text AS t2, a.confidence AS c1, b.confidence AS c2 FROM (SELECT * FROM r WHERE k = 1) a LEFT
+  JOIN (SELECT * FROM r WHERE k = 0) b ON a.page = b.page)
+SELECT page, text, confidence, CASE WHEN confidence >= 55 THEN text END AS grounds
+  FROM (SELECT page, CASE WHEN second THEN t2 ELSE t1 END AS text, CASE WHEN second THEN c2 ELSE c1 END AS confidence FROM c)"""
 
 
 def vision_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with an image and hardly any text."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), (F.col("doc_id") % 4).alias("page"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" \t\n"), F.substring("text", 1, 50))).otherwise(F.col("text")).alias("text"), (F.col("doc_id") % 2).alias("images"))
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("file"), (F.col("doc_id") % 4).alias("page"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" \t\n"), F.substring("text", 1, 50))).otherwise(F.col("text")).alias("text"),
+        (F.col("doc_id") % 2).alias("images"),
+    )
     return files.needs_vision(rows)
 
 
@@ -219,13 +248,15 @@ def submission_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.join(stored.groupBy(*submissions.KEYS).agg(F.count("*").alias("submissions")), submissions.KEYS).drop("created_at")
 
 
-ORACLE["submission_log"] = """SELECT user_id, year, month, id, total, submissions FROM (SELECT *, row_number() OVER (PARTITION BY user_id, year, month ORDER BY created_at DESC, id DESC) AS k,
+ORACLE["submission_log"] = """SELECT user_id, year, month, id, total, submissions FROM (SELECT *, row_number() OVER (PARTITION BY user_id, year, month
+  ORDER BY created_at DESC, id DESC) AS k,
 count(*) OVER (PARTITION BY user_id, year, month) AS submissions FROM v_uploads) WHERE k = 1"""
 
 
 def newest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest month of the stored report."""
-    rows = view(spark, sf_dir, "v_uploads").groupBy(F.col("user_id").alias("emp"), F.make_date("year", "month", F.lit(1)).alias("period")).agg(F.round(F.sum("total"), 2).alias("total"))
+    rows = view(spark, sf_dir, "v_uploads").groupBy(F.col("user_id").alias("emp"), F.make_date("year", "month",
+    F.lit(1)).alias("period")).agg(F.round(F.sum("total"), 2).alias("total"))
     path = shared_path(spark, "monthly-report")
     reports.write_report(rows, path)
     return reports.latest_report(spark, path).select("emp", "year", "month", "total")
@@ -237,7 +268,9 @@ ORACLE["newest_report"] = """SELECT user_id AS emp, CAST(year AS BIGINT) AS year
 def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents below a folder, in folders by brand; hidden and system files left out."""
     path = shared_path(spark, "folder")
-    rows = view(spark, sf_dir, "v_paths").select(F.concat("path", F.lit(" "), "file_seq").alias("value"), (F.col("file_seq") % 7).alias("client"), (F.col("file_seq") % 3).alias("month"))
+    rows = view(spark, sf_dir, "v_paths").select(
+        F.concat("path", F.lit(" "), "file_seq").alias("value"), (F.col("file_seq") % 7).alias("client"), (F.col("file_seq") % 3).alias("month"),
+    )
     rows.repartition(2, "client", "month").write.partitionBy("client", "month").text(path)
     found = reports.list_files(spark, path)
     folder = F.regexp_extract("path", r"client=(\d+)/month=(\d+)/[^/]+$", 0)
@@ -260,12 +293,16 @@ ORACLE["viewer_rows"] = """SELECT p.user_id AS viewer, u.user_id, u.id, u.total
 def corrected_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days of a review calendar with manual corrections of some."""
     cal = calendar_of(spark, sf_dir).select("user_id", "d", "regular", "overtime", "total", (F.col("is_weekend") & F.col("filled")).alias("flagged"))
-    fixes = cal.where(F.dayofmonth("d") % 5 == 0).select("user_id", "d", F.when(F.dayofmonth("d") % 2 == 0, F.lit(7.5)).alias("regular"), F.when(F.dayofmonth("d") % 3 == 0, F.lit(1.0)).alias("overtime"))
+    fixes = cal.where(F.dayofmonth("d") % 5 == 0).select(
+        "user_id", "d", F.when(F.dayofmonth("d") % 2 == 0, F.lit(7.5)).alias("regular"), F.when(F.dayofmonth("d") % 3 == 0, F.lit(1.0)).alias("overtime"),
+    )
     return review.correct(cal, fixes)
 
 
-ORACLE["corrected_days"] = f"""SELECT user_id, d, CASE WHEN k % 5 > 0 THEN regular WHEN k % 2 = 0 THEN 7.5 END AS regular, CASE WHEN k % 5 > 0 THEN overtime WHEN k % 3 = 0 THEN 1.0 END AS overtime,
-CASE WHEN k % 5 > 0 THEN total WHEN k % 2 = 0 OR k % 3 = 0 THEN CASE WHEN k % 2 = 0 THEN 7.5 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 1.0 ELSE 0 END END AS total, is_weekend AND filled AND k % 5 > 0 AS flagged
+ORACLE["corrected_days"] = f"""SELECT user_id, d, CASE WHEN k % 5 > 0 THEN regular WHEN k % 2 = 0 THEN 7.5 END AS regular, CASE WHEN k % 5 > 0 THEN overtime
+  WHEN k % 3 = 0 THEN 1.0 END AS overtime,
+CASE WHEN k % 5 > 0 THEN total WHEN k % 2 = 0 OR k % 3 = 0 THEN CASE WHEN k % 2 = 0 THEN 7.5 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 1.0 ELSE 0 END END AS total,
+  is_weekend AND filled AND k % 5 > 0 AS flagged
 FROM (SELECT *, day(d) AS k FROM ({SQL_REVIEW}))"""
 
 
@@ -287,16 +324,21 @@ CASE WHEN user_id % 2 = 0 THEN concat('U', user_id) ELSE 'unnamed' END AS name F
 def submission_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding on submissions as a row; the answers about holidays are checked day by day."""
     cal = calendar_of(spark, sf_dir)
-    said = F.map_from_entries(F.collect_list(F.when(F.col("is_holiday") & (F.dayofmonth("d") % 3 > 0), F.struct("d", ((F.col("user_id") + F.dayofmonth("d")) % 2 == 0).alias("v")))))
+    said = F.map_from_entries(
+        F.collect_list(F.when(F.col("is_holiday") & (F.dayofmonth("d") % 3 > 0), F.struct("d", ((F.col("user_id") + F.dayofmonth("d")) % 2 == 0).alias("v")))),
+    )
     answered = cal.groupBy("user_id", "period").agg(said.alias("worked"))
     return review.findings(checked(spark, sf_dir), review.holiday_answers(cal, answered))
 
 
 ORACLE["submission_findings"] = f"""SELECT user_id, period, CAST(NULL AS DATE) AS d, severity, message FROM (
-  SELECT user_id, period, 'error' AS severity, unnest(string_split(errors, '; ')) AS message FROM ({REVIEW['submission_check']}) UNION ALL SELECT user_id, period, 'warning', unnest(string_split(warnings, '; ')) FROM ({REVIEW['submission_check']})
+  SELECT user_id, period, 'error' AS severity, unnest(string_split(errors, '; ')) AS message FROM ({REVIEW['submission_check']})
+  UNION ALL SELECT user_id, period, 'warning', unnest(string_split(warnings, '; ')) FROM ({REVIEW['submission_check']})
   UNION ALL SELECT user_id, period, 'info', unnest(string_split(infos, '; ')) FROM ({REVIEW['submission_check']})) WHERE message <> ''
-UNION ALL SELECT user_id, period, d, CASE WHEN said THEN 'error' ELSE 'warning' END, CASE WHEN said THEN 'holiday marked as worked but no hours' ELSE 'holiday hours not marked' END FROM (
-  SELECT *, day(d) % 3 > 0 AND (user_id + day(d)) % 2 = 0 AS said, coalesce(total, 0) AS t FROM ({SQL_REVIEW}) WHERE is_holiday) WHERE (said AND t = 0) OR (NOT said AND t > 0)"""
+UNION ALL SELECT user_id, period, d, CASE WHEN said THEN 'error' ELSE 'warning' END, CASE WHEN said THEN 'holiday marked as worked but no hours'
+  ELSE 'holiday hours not marked' END FROM (
+  SELECT *, day(d) % 3 > 0 AND (user_id + day(d)) % 2 = 0 AS said, coalesce(total, 0) AS t FROM ({SQL_REVIEW}) WHERE is_holiday) WHERE (said AND t = 0) OR (NOT said
+  AND t > 0)"""
 
 
 
@@ -307,11 +349,14 @@ def clock_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE lunch_minutes WHEN 30.0 THEN '12:30 pm' WHEN 60.0 THEN '1:00 PM' END AS e", "time_out AS f",
     )
     cells = rows.selectExpr("table_id", "row_id", "stack(5, 0, a, 1, b, 2, c, 3, e, 4, f) AS (col, value)").where("value is not null")
-    heads = rows.select("table_id").distinct().selectExpr("table_id", "-1L AS row_id", "stack(5, 0, 'Date', 1, 'Time In', 2, 'Lunch Out', 3, 'Lunch In', 4, 'Time Out') AS (col, value)")
+    heads = rows.select("table_id").distinct().selectExpr(
+        "table_id", "-1L AS row_id", "stack(5, 0, 'Date', 1, 'Time In', 2, 'Lunch Out', 3, 'Lunch In', 4, 'Time Out') AS (col, value)",
+    )
     return grids.daily_grid(grids.role_columns(cells.unionByName(heads)), F.lit("MDY"), F.lit(1997)).drop("project", "note")
 
 
-ORACLE["clock_grid"] = f"""SELECT emp AS table_id, seq AS row_id, make_date(1997, 1, CAST(seq % 28 + 1 AS INT)) AS d, hours AS regular, CASE WHEN hours IS NOT NULL THEN 0.0 END AS overtime, hours AS total,
+ORACLE["clock_grid"] = f"""SELECT emp AS table_id, seq AS row_id, make_date(1997, 1, CAST(seq % 28 + 1 AS INT)) AS d, hours AS regular, CASE
+  WHEN hours IS NOT NULL THEN 0.0 END AS overtime, hours AS total,
 CASE WHEN hours IS NULL THEN 'UNCLEAR' WHEN hours > 16 THEN 'OUT_OF_RANGE' END AS issue FROM ({IN_OUT})"""
 
 
@@ -333,7 +378,8 @@ def issue_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("k")
 
 
-ORACLE["issue_totals"] = f"""SELECT * FROM (SELECT count(DISTINCT ident) AS people, count(*) AS months, round(sum(total), 2) AS hours, CAST(sum(days_worked) AS BIGINT) AS days_worked FROM ({consolidated.ORACLE["consolidated_months"]})),
+ORACLE["issue_totals"] = f"""SELECT * FROM (SELECT count(DISTINCT ident) AS people, count(*) AS months, round(sum(total), 2) AS hours,
+  CAST(sum(days_worked) AS BIGINT) AS days_worked FROM ({consolidated.ORACLE["consolidated_months"]})),
 (SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos,
   count(DISTINCT ident) FILTER (severity = 'error') AS people_with_errors FROM ({consolidated.ORACLE["consolidated_issues"]})),
 (SELECT count(*) AS files, count(*) FILTER (needs_llm) AS weak_files FROM ({consolidated.ORACLE["file_results"]})), (SELECT count(*) AS rejects FROM ({SQL_REJECTS}))"""

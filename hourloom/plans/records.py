@@ -16,7 +16,10 @@ HOLIDAYS = SQL_HOLIDAYS.replace("SELECT DISTINCT year AS y FROM v_uploads", "SEL
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """v_entries with hours above eight as overtime, a client that some entries lack, and where each was read."""
     seq, sheet = F.col("seq"), F.when(F.col("seq") % 3 == 0, F.lit("S1"))
-    at = days.source(F.concat(F.lit("f"), (seq % 5).cast("string")), F.col("extractor"), sheet=sheet, page=F.when(seq % 3 == 1, seq % 4), row=seq, cell=F.when(seq % 7 == 0, F.lit("B2")), region=F.when(seq % 11 == 0, F.lit("top")))
+    at = days.source(
+        F.concat(F.lit("f"), (seq % 5).cast("string")), F.col("extractor"), sheet=sheet, page=F.when(seq % 3 == 1, seq % 4), row=seq,
+        cell=F.when(seq % 7 == 0, F.lit("B2")), region=F.when(seq % 11 == 0, F.lit("top")),
+    )
     return view(spark, sf_dir, "v_entries").select(
         "*", F.least("total", F.lit(8.0)).alias("regular"), F.greatest(F.col("total") - 8, F.lit(0.0)).alias("overtime"),
         F.when(F.col("extractor") != "error", F.col("extractor")).alias("client"), F.when(F.col("emp") % 4 > 0, F.concat(F.lit("p"), F.col("emp") % 3)).alias("project"), at.alias("source"),
@@ -51,7 +54,8 @@ def resolve_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["resolve_day"] = f"""SELECT a.emp, a.d, seq, extractor, regular, overtime, total, a.n, distinct_totals, sources
-FROM ({SQL_DAYS}) a JOIN (SELECT emp, d, count(DISTINCT round(total, 2)) AS distinct_totals, string_agg(CAST(seq AS STRING), ',' ORDER BY seq) AS sources FROM v_entries GROUP BY emp, d) b
+FROM ({SQL_DAYS}) a JOIN (SELECT emp, d, count(DISTINCT round(total, 2)) AS distinct_totals, string_agg(CAST(seq AS STRING), ',' ORDER BY seq) AS sources FROM v_entries
+  GROUP BY emp, d) b
 ON a.emp = b.emp AND a.d = b.d"""
 
 
@@ -59,7 +63,8 @@ def day_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.duplicates(days.resolve_days(entries(spark, sf_dir)))
 
 
-SQL_CONFLICTS = f"""SELECT emp, d, CASE WHEN distinct_totals > 1 THEN 'CONFLICT' ELSE 'DUPLICATE' END AS code, CASE WHEN distinct_totals > 1 THEN 'error' ELSE 'info' END AS severity
+SQL_CONFLICTS = f"""SELECT emp, d, CASE WHEN distinct_totals > 1 THEN 'CONFLICT' ELSE 'DUPLICATE' END AS code, CASE WHEN distinct_totals > 1 THEN 'error'
+  ELSE 'info' END AS severity
 FROM ({SQL_DISTINCT}) WHERE n > 1"""
 ORACLE["day_conflicts"] = SQL_CONFLICTS
 
@@ -78,7 +83,8 @@ def employee_month_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.month_totals(days.resolve_days(entries(spark, sf_dir))).orderBy(F.desc("total"), "emp")
 
 
-SQL_MONTHS = f"""SELECT emp, CAST(date_trunc('month', d) AS DATE) AS period, round(sum(regular), 2) AS regular, round(sum(overtime), 2) AS overtime, round(sum(total), 2) AS total,
+SQL_MONTHS = f"""SELECT emp, CAST(date_trunc('month', d) AS DATE) AS period, round(sum(regular), 2) AS regular, round(sum(overtime), 2) AS overtime, round(sum(total),
+  2) AS total,
 CAST(count(*) FILTER (total > 0) AS BIGINT) AS days_worked FROM ({SQL_DAYS}) GROUP BY 1, 2"""
 ORACLE["employee_month_daily"] = SQL_MONTHS
 
@@ -112,14 +118,19 @@ def issue_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_ISSUES = f"""SELECT emp, CAST(date_trunc('month', date) AS DATE) AS period, scope, date, code, severity, message, sources FROM (
-SELECT emp, d AS date, 'entry' AS scope, 'OUT_OF_RANGE' AS code, 'warning' AS severity, concat(CAST(total AS STRING), 'h exceeds the day''s bound') AS message, {SQL_LABEL} AS sources FROM v_entries WHERE total > 16
-UNION ALL SELECT emp, d, 'day', 'OUT_OF_RANGE', 'warning', concat(CAST(total AS STRING), 'h exceeds the day''s bound'), sources FROM ({SQL_DAYS}) JOIN ({SQL_DAY_SOURCES}) USING (emp, d) WHERE total > 16
+SELECT emp, d AS date, 'entry' AS scope, 'OUT_OF_RANGE' AS code, 'warning' AS severity, concat(CAST(total AS STRING), 'h exceeds the day''s bound') AS message,
+  {SQL_LABEL} AS sources FROM v_entries WHERE total > 16
+UNION ALL SELECT emp, d, 'day', 'OUT_OF_RANGE', 'warning', concat(CAST(total AS STRING), 'h exceeds the day''s bound'), sources FROM ({SQL_DAYS})
+  JOIN ({SQL_DAY_SOURCES}) USING (emp, d) WHERE total > 16
 UNION ALL SELECT a.emp, a.d, 'day', 'OUT_OF_RANGE', 'info', CASE WHEN c.is_holiday THEN 'hours on a holiday' ELSE 'hours on a weekend' END, sources
-  FROM ({SQL_DAYS}) a JOIN ({SQL_DAY_SOURCES}) s ON s.emp = a.emp AND s.d = a.d JOIN ({SQL_CALENDAR}) c ON a.d = c.date WHERE (c.is_weekend OR c.is_holiday) AND a.total > 0
+  FROM ({SQL_DAYS}) a JOIN ({SQL_DAY_SOURCES}) s ON s.emp = a.emp AND s.d = a.d JOIN ({SQL_CALENDAR}) c ON a.d = c.date WHERE (c.is_weekend OR c.is_holiday)
+  AND a.total > 0
 UNION ALL SELECT emp, d, 'day', code, severity, 'several sources', sources FROM ({SQL_CONFLICTS}) JOIN ({SQL_DAY_SOURCES}) USING (emp, d)
-UNION ALL SELECT emp, d, 'day', 'TOTAL_MISMATCH', 'warning', 'regular and overtime are not the total', sources FROM ({SQL_DAYS}) JOIN ({SQL_DAY_SOURCES}) USING (emp, d) WHERE abs(regular + overtime - total) > 0.05
+UNION ALL SELECT emp, d, 'day', 'TOTAL_MISMATCH', 'warning', 'regular and overtime are not the total', sources FROM ({SQL_DAYS}) JOIN ({SQL_DAY_SOURCES}) USING (emp, d)
+  WHERE abs(regular + overtime - total) > 0.05
 UNION ALL SELECT emp, d, 'day', 'MISSING', 'info', 'no data for a working day', sources FROM ({SQL_MISSING}) JOIN (
-  SELECT emp, CAST(date_trunc('month', d) AS DATE) AS period, string_agg(DISTINCT concat('f', seq % 5), '; ' ORDER BY concat('f', seq % 5)) AS sources FROM v_entries GROUP BY 1, 2) USING (emp, period))"""
+  SELECT emp, CAST(date_trunc('month', d) AS DATE) AS period, string_agg(DISTINCT concat('f', seq % 5), '; ' ORDER BY concat('f', seq % 5)) AS sources FROM v_entries
+  GROUP BY 1, 2) USING (emp, period))"""
 ORACLE["issue_list"] = SQL_ISSUES
 
 
@@ -139,7 +150,8 @@ def report_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.report_stats(days.month_totals(found), found, issues)
 
 
-ORACLE["report_stats"] = f"""SELECT * FROM (SELECT count(DISTINCT emp) AS employees, count(*) AS employee_months, round(sum(total), 2) AS total_hours, CAST(sum(days_worked) AS BIGINT) AS worked_days FROM ({SQL_MONTHS})),
+ORACLE["report_stats"] = f"""SELECT * FROM (SELECT count(DISTINCT emp) AS employees, count(*) AS employee_months, round(sum(total), 2) AS total_hours,
+  CAST(sum(days_worked) AS BIGINT) AS worked_days FROM ({SQL_MONTHS})),
 (SELECT count(*) AS issues, count(DISTINCT CASE WHEN severity = 'error' THEN emp END) AS employees_with_errors FROM ({SQL_ISSUES}))"""
 
 
@@ -153,12 +165,17 @@ ORACLE["issue_counts"] = f"SELECT emp, code, count(*) AS issues FROM ({SQL_ISSUE
 def conflict_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per employee, a line for each conflicting day with its total and sources, by date."""
     found = days.resolve_days(entries(spark, sf_dir)).where("n > 1 and distinct_totals > 1")
-    line = F.concat_ws(" ", F.concat(F.col("d").cast("string"), F.lit(":")), F.concat(F.lit("total="), F.col("total").cast("long")), F.concat(F.lit("sources="), F.array_join(F.transform("sources", lambda s: s["extractor"]), "+")))
+    line = F.concat_ws(
+        " ", F.concat(F.col("d").cast("string"), F.lit(":")), F.concat(F.lit("total="), F.col("total").cast("long")),
+        F.concat(F.lit("sources="), F.array_join(F.transform("sources", lambda s: s["extractor"]), "+")),
+    )
     return found.groupBy("emp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("d", line.alias("line")))), lambda x: x["line"]), "; ").alias("digest"))
 
 
-ORACLE["conflict_digest"] = f"""SELECT a.emp, string_agg(concat(CAST(a.d AS STRING), ': total=', CAST(CAST(total AS BIGINT) AS STRING), ' sources=', src), '; ' ORDER BY a.d) AS digest
-FROM ({SQL_DAYS}) a JOIN (SELECT emp, d, count(DISTINCT round(total, 2)) AS k2, count(*) AS n2, string_agg(extractor, '+' ORDER BY seq) AS src FROM v_entries GROUP BY emp, d) b
+ORACLE["conflict_digest"] = f"""SELECT a.emp, string_agg(concat(CAST(a.d AS STRING), ': total=', CAST(CAST(total AS BIGINT) AS STRING), ' sources=', src), '; '
+  ORDER BY a.d) AS digest
+FROM ({SQL_DAYS}) a JOIN (SELECT emp, d, count(DISTINCT round(total, 2)) AS k2, count(*) AS n2, string_agg(extractor, '+' ORDER BY seq) AS src FROM v_entries
+  GROUP BY emp, d) b
 ON a.emp = b.emp AND a.d = b.d WHERE n2 > 1 AND k2 > 1 GROUP BY a.emp"""
 
 
@@ -195,7 +212,9 @@ ORACLE["weekly_dedupe"] = SQL_WEEKS
 
 
 def weekly_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weekly.coverage(weekly.dedupe(_weeks(spark, sf_dir)), _daily(spark, sf_dir)).groupBy("emp", "week_start", "week_end").agg(F.count("*").alias("owned_days"), F.min("d").alias("first_day"))
+    return weekly.coverage(weekly.dedupe(_weeks(spark, sf_dir)), _daily(spark, sf_dir)).groupBy("emp", "week_start", "week_end").agg(
+        F.count("*").alias("owned_days"), F.min("d").alias("first_day"),
+    )
 
 
 ORACLE["weekly_coverage"] = f"SELECT emp, week_start, week_end, count(*) AS owned_days, min(d) AS first_day FROM ({SQL_OWNED}) GROUP BY emp, week_start, week_end"
@@ -213,7 +232,8 @@ def stated_total_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weekly.stated_mismatch(monthly_rollup(spark, sf_dir), stated)
 
 
-ORACLE["stated_total_mismatch"] = f"""SELECT r.emp, r.period, total, stated FROM ({SQL_ROLLUP}) r JOIN (SELECT emp, CAST(date_trunc('month', week_start) AS DATE) AS period, sum(total) AS stated FROM v_weekly GROUP BY 1, 2) s
+ORACLE["stated_total_mismatch"] = f"""SELECT r.emp, r.period, total, stated FROM ({SQL_ROLLUP}) r
+  JOIN (SELECT emp, CAST(date_trunc('month', week_start) AS DATE) AS period, sum(total) AS stated FROM v_weekly GROUP BY 1, 2) s
 ON r.emp = s.emp AND r.period = s.period WHERE abs(stated - total) > 0.5"""
 
 

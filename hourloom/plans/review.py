@@ -46,7 +46,8 @@ def page_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.merge_pages(rows, "emp")
 
 
-ORACLE["page_merge"] = """SELECT emp, d, page_seq, total FROM (SELECT emp, d, seq AS page_seq, t AS total, row_number() OVER (PARTITION BY emp, d ORDER BY coalesce(t, 0) DESC, seq) AS k
+ORACLE["page_merge"] = """SELECT emp, d, page_seq, total FROM (SELECT emp, d, seq AS page_seq, t AS total, row_number() OVER (PARTITION BY emp, d
+  ORDER BY coalesce(t, 0) DESC, seq) AS k
 FROM (SELECT *, CASE WHEN seq % 7 > 0 THEN total END AS t FROM v_entries)) WHERE k = 1"""
 
 
@@ -63,8 +64,10 @@ def escalation_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.worklist(answers.result_measures(rows, "emp").join(extra, "emp"))
 
 
-ORACLE["escalation_worklist"] = """SELECT *, needs_llm OR confidence < 0.6 AS escalate, worked > 23 OR hours > 240 OR (entries > 0 AND hours < 40) AS second_opinion, worked > 0 AND worked <= 24 AND hours <= 300 AS plausible
-FROM (SELECT emp, count(*) AS entries, count(*) FILTER (total > 0) AS worked, sum(total) AS hours, min(seq) % 10 / 10.0 AS confidence, bool_or(extractor = 'error') AS needs_llm FROM v_entries GROUP BY emp)
+ORACLE["escalation_worklist"] = """SELECT *, needs_llm OR confidence < 0.6 AS escalate, worked > 23 OR hours > 240 OR (entries > 0
+  AND hours < 40) AS second_opinion, worked > 0 AND worked <= 24 AND hours <= 300 AS plausible
+FROM (SELECT emp, count(*) AS entries, count(*) FILTER (total > 0) AS worked, sum(total) AS hours, min(seq) % 10 / 10.0 AS confidence,
+  bool_or(extractor = 'error') AS needs_llm FROM v_entries GROUP BY emp)
 WHERE needs_llm OR confidence < 0.6 OR worked > 23 OR hours > 240 OR (entries > 0 AND hours < 40)"""
 
 
@@ -73,9 +76,11 @@ def second_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.choose_read(answers.result_measures(rows.where("seq % 2 = 0"), "emp"), answers.result_measures(rows.where("seq % 2 = 1"), "emp"), "emp")
 
 
-ORACLE["second_read"] = """WITH m AS (SELECT emp, seq % 2 AS half, count(*) AS entries, count(*) FILTER (total > 0) AS worked, sum(total) AS hours FROM v_entries GROUP BY 1, 2)
+ORACLE["second_read"] = """WITH m AS (SELECT emp, seq % 2 AS half, count(*) AS entries, count(*) FILTER (total > 0) AS worked, sum(total) AS hours FROM v_entries
+  GROUP BY 1, 2)
 SELECT emp, second, CASE WHEN second THEN be ELSE ae END AS entries, CASE WHEN second THEN bw ELSE aw END AS worked, CASE WHEN second THEN bh ELSE ah END AS hours FROM (
-SELECT a.emp, b.emp IS NOT NULL AND (b.entries > a.entries OR a.entries = 0) AS second, a.entries AS ae, b.entries AS be, a.worked AS aw, b.worked AS bw, a.hours AS ah, b.hours AS bh
+SELECT a.emp, b.emp IS NOT NULL AND (b.entries > a.entries OR a.entries = 0) AS second, a.entries AS ae, b.entries AS be, a.worked AS aw, b.worked AS bw, a.hours AS ah,
+  b.hours AS bh
 FROM m a LEFT JOIN m b ON a.emp = b.emp AND b.half = 1 WHERE a.half = 0)"""
 
 
@@ -85,7 +90,8 @@ def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_MAPS = "SELECT ident, file_seq, d, arg_max(total, entry_seq) AS total FROM v_results GROUP BY ident, file_seq, d"
 ORACLE["conflict_pairs"] = f"""SELECT a.ident, a.file_seq AS a, b.file_seq AS b, count(*) FILTER (abs(a.total - b.total) > 0.5) AS dates
-FROM ({SQL_MAPS}) a JOIN ({SQL_MAPS}) b ON a.ident = b.ident AND a.d = b.d AND a.file_seq < b.file_seq GROUP BY 1, 2, 3 HAVING count(*) FILTER (abs(a.total - b.total) > 0.5) >= 2"""
+FROM ({SQL_MAPS}) a JOIN ({SQL_MAPS}) b ON a.ident = b.ident AND a.d = b.d AND a.file_seq < b.file_seq
+  GROUP BY 1, 2, 3 HAVING count(*) FILTER (abs(a.total - b.total) > 0.5) >= 2"""
 
 
 def split_conflicting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +101,8 @@ def split_conflicting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: One step a result: its cluster is the first that differs on fewer than two dates, whose days it joins.
 ORACLE["split_conflicting"] = f"""WITH RECURSIVE maps AS (
-  SELECT ident, file_seq, map(list(d ORDER BY d), list(total ORDER BY d)) AS mine, row_number() OVER (PARTITION BY ident ORDER BY file_seq) AS k FROM ({SQL_MAPS}) WHERE total IS NOT NULL GROUP BY ident, file_seq),
+  SELECT ident, file_seq, map(list(d ORDER BY d), list(total ORDER BY d)) AS mine, row_number() OVER (PARTITION BY ident ORDER BY file_seq) AS k FROM ({SQL_MAPS})
+  WHERE total IS NOT NULL GROUP BY ident, file_seq),
 fit AS (
   SELECT ident, file_seq, k, CAST(0 AS BIGINT) AS cluster, [mine] AS clusters FROM maps WHERE k = 1
   UNION ALL SELECT ident, file_seq, k, cluster, CASE WHEN cluster = len(clusters) THEN list_append(clusters, mine)
@@ -153,7 +160,8 @@ def visible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.visible(view(spark, sf_dir, "v_uploads"), view(spark, sf_dir, "v_profiles"))
 
 
-ORACLE["visible_rows"] = """SELECT p.user_id AS viewer, count(*) AS rows, sum(total) AS total FROM v_profiles p JOIN v_uploads u ON p.user_id = u.user_id WHERE role <> 'admin' GROUP BY 1
+ORACLE["visible_rows"] = """SELECT p.user_id AS viewer, count(*) AS rows, sum(total) AS total FROM v_profiles p JOIN v_uploads u ON p.user_id = u.user_id
+  WHERE role <> 'admin' GROUP BY 1
 UNION ALL SELECT user_id, (SELECT count(*) FROM v_uploads), (SELECT sum(total) FROM v_uploads) FROM v_profiles WHERE role = 'admin'"""
 
 
@@ -166,9 +174,11 @@ def _review_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 SQL_H = SQL_HOLIDAYS.replace("SELECT DISTINCT year AS y FROM v_uploads", "SELECT DISTINCT CAST(year(d) AS INT) AS y FROM v_entries")
 SQL_REVIEW = f"""SELECT *, total IS NOT NULL AS filled, is_holiday AND coalesce(total, 0) > 0 AS worked_on_holiday FROM (
-SELECT u.user_id, c.period, c.date AS d, isodow(c.date) >= 6 AS is_weekend, h.name IS NOT NULL AS is_holiday, a.regular, a.overtime, coalesce(CASE WHEN a.seq % 3 > 0 THEN a.total END, a.regular + a.overtime) AS total
+SELECT u.user_id, c.period, c.date AS d, isodow(c.date) >= 6 AS is_weekend, h.name IS NOT NULL AS is_holiday, a.regular, a.overtime, coalesce(CASE
+  WHEN a.seq % 3 > 0 THEN a.total END, a.regular + a.overtime) AS total
 FROM (SELECT DISTINCT emp AS user_id, CAST(date_trunc('month', d) AS DATE) AS period FROM v_entries) u
-JOIN (SELECT period, CAST(unnest(generate_series(period, last_day(period), INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DISTINCT CAST(date_trunc('month', d) AS DATE) AS period FROM v_entries)) c ON c.period = u.period
+JOIN (SELECT period, CAST(unnest(generate_series(period, last_day(period), INTERVAL 1 DAY)) AS DATE) AS date
+  FROM (SELECT DISTINCT CAST(date_trunc('month', d) AS DATE) AS period FROM v_entries)) c ON c.period = u.period
 LEFT JOIN ({SQL_H}) h ON h.date = c.date LEFT JOIN ({SQL_DAYS}) a ON a.emp = u.user_id AND a.d = c.date)"""
 
 
@@ -180,16 +190,20 @@ ORACLE["review_calendar"] = SQL_REVIEW
 
 
 def submission_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = review.month_sums(review_calendar(spark, sf_dir)).withColumn("full_name", F.when(F.col("user_id") % 9 > 0, F.lit("x"))).withColumn("client", F.when(F.col("user_id") % 5 > 0, F.lit("c")))
+    sums = review.month_sums(review_calendar(spark, sf_dir)).withColumn("full_name", F.when(F.col("user_id") % 9 > 0, F.lit("x"))).withColumn("client",
+    F.when(F.col("user_id") % 5 > 0, F.lit("c")))
     sums = sums.withColumn("stated_regular", F.col("regular") + F.col("user_id") % 3 * 0.4).withColumn("stated_overtime", F.col("overtime")).withColumn("weekends", F.when(F.col("user_id") % 2 == 0, F.lit("yes")).otherwise(F.lit("no"))).withColumn("holidays_taken", F.col("user_id") % 4 - 1)
     return review.submission_check(sums)
 
 
 ORACLE["submission_check"] = f"""SELECT *, errors = '' AS ok FROM (SELECT user_id, period,
-concat_ws('; ', CASE WHEN user_id % 9 = 0 THEN 'name is empty' END, CASE WHEN user_id % 3 = 2 THEN 'stated regular hours are off' END, CASE WHEN user_id % 2 = 0 AND weekend = 0 THEN 'weekend work stated but no hours' END, CASE WHEN user_id % 4 = 0 THEN 'holidays taken below 0' END) AS errors,
-concat_ws('; ', CASE WHEN user_id % 5 = 0 THEN 'client is empty' END, CASE WHEN user_id % 2 = 1 AND weekend > 0 THEN 'weekend hours but none stated' END, CASE WHEN user_id % 4 = 1 AND holiday > 0 THEN 'holiday hours not marked' END) AS warnings,
+concat_ws('; ', CASE WHEN user_id % 9 = 0 THEN 'name is empty' END, CASE WHEN user_id % 3 = 2 THEN 'stated regular hours are off' END, CASE WHEN user_id % 2 = 0
+  AND weekend = 0 THEN 'weekend work stated but no hours' END, CASE WHEN user_id % 4 = 0 THEN 'holidays taken below 0' END) AS errors,
+concat_ws('; ', CASE WHEN user_id % 5 = 0 THEN 'client is empty' END, CASE WHEN user_id % 2 = 1
+  AND weekend > 0 THEN 'weekend hours but none stated' END, CASE WHEN user_id % 4 = 1 AND holiday > 0 THEN 'holiday hours not marked' END) AS warnings,
 CASE WHEN empty_days > 0 THEN 'working days are empty' ELSE '' END AS infos
-FROM (SELECT user_id, period, coalesce(sum(total) FILTER (is_weekend), 0) AS weekend, coalesce(sum(total) FILTER (is_holiday), 0) AS holiday, count(*) FILTER (NOT is_weekend AND NOT is_holiday AND NOT filled) AS empty_days FROM ({SQL_REVIEW}) GROUP BY 1, 2))"""
+FROM (SELECT user_id, period, coalesce(sum(total) FILTER (is_weekend), 0) AS weekend, coalesce(sum(total) FILTER (is_holiday), 0) AS holiday,
+  count(*) FILTER (NOT is_weekend AND NOT is_holiday AND NOT filled) AS empty_days FROM ({SQL_REVIEW}) GROUP BY 1, 2))"""
 
 
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +224,9 @@ def mail_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.mail_bodies(reports.mail_parts(files), html_to_text).select("file", "subject", "body")
 
 
-ORACLE["mail_body"] = r"""SELECT CAST(page_id AS STRING) AS file, concat('page ', CAST(page_id AS STRING)) AS subject, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'),
+ORACLE["mail_body"] = r"""SELECT CAST(page_id AS STRING) AS file, concat('page ', CAST(page_id AS STRING)) AS subject,
+  trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>',
+  ' ', 'g'),
 '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '[ \t\n\r\f\v]+', ' ', 'g')) AS body FROM pages"""
 
 QUERIES = {

@@ -44,7 +44,9 @@ ORACLE["parse_clock"] = f"SELECT seq, in_s, out_s FROM ({SQL_CLOCK})"
 
 
 def in_out_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "v_clock").select("seq", "emp", "lunch_minutes", hours.parse_clock(F.col("time_in")).alias("in_s"), hours.parse_clock(F.col("time_out")).alias("out_s"))
+    rows = view(spark, sf_dir, "v_clock").select(
+        "seq", "emp", "lunch_minutes", hours.parse_clock(F.col("time_in")).alias("in_s"), hours.parse_clock(F.col("time_out")).alias("out_s"),
+    )
     return rows.select("seq", "emp", hours.hours_between(F.col("in_s"), F.col("out_s"), F.col("lunch_minutes")).alias("hours"))
 
 
@@ -83,7 +85,9 @@ FROM (SELECT id, CASE WHEN id % 5 = 0 THEN 1900 + CAST(id % 150 AS INT) ELSE CAS
 
 
 def rescue_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "v_uploads").select("id", F.expr("make_date(year, month, 1)").alias("period"), F.expr("DATE '1900-01-01' + CAST(id % 60 AS INT)").alias("d"))
+    rows = view(spark, sf_dir, "v_uploads").select(
+        "id", F.expr("make_date(year, month, 1)").alias("period"), F.expr("DATE '1900-01-01' + CAST(id % 60 AS INT)").alias("d"),
+    )
     return rows.select("id", "d", "period", dates.rescue_epoch(F.col("d"), F.col("period")).alias("rescued"))
 
 
@@ -105,7 +109,8 @@ def date_order_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.date_orders(view(spark, sf_dir, "v_lines").select("file", F.col("line").alias("text")), F.lit("1998-01-01").cast("date"))
 
 
-ORACLE["date_order_vote"] = r"""SELECT file, CASE WHEN a12 > 0 AND b12 = 0 THEN 'DMY' WHEN b12 > 0 AND a12 = 0 THEN 'MDY' WHEN dmy > mdy THEN 'DMY' ELSE 'MDY' END AS date_order
+ORACLE["date_order_vote"] = r"""SELECT file, CASE WHEN a12 > 0 AND b12 = 0 THEN 'DMY' WHEN b12 > 0
+  AND a12 = 0 THEN 'MDY' WHEN dmy > mdy THEN 'DMY' ELSE 'MDY' END AS date_order
 FROM (SELECT file, count(*) FILTER (a > 12 AND a <= 31) AS a12, count(*) FILTER (b > 12 AND a <= 31) AS b12, count(*) FILTER (b = 1 AND a <= 31) AS dmy,
   count(*) FILTER (a = 1) AS mdy
   FROM (SELECT file, CAST(split_part(tok, '/', 1) AS INT) AS a, CAST(split_part(tok, '/', 2) AS INT) AS b, CAST(split_part(tok, '/', 3) AS INT) AS c
@@ -162,7 +167,8 @@ def calendar_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendar.calendar_days(periods, calendar.us_holidays(_years(spark, sf_dir)))
 
 
-ORACLE["calendar_days"] = f"""SELECT period, d.date, dayname(d.date) AS weekday, isodow(d.date) >= 6 AS is_weekend, h.name IS NOT NULL AS is_holiday, h.name AS holiday_name
+ORACLE["calendar_days"] = f"""SELECT period, d.date, dayname(d.date) AS weekday, isodow(d.date) >= 6 AS is_weekend, h.name IS NOT NULL AS is_holiday,
+  h.name AS holiday_name
 FROM (SELECT period, CAST(unnest(generate_series(period, last_day(period), INTERVAL 1 DAY)) AS DATE) AS date
       FROM (SELECT DISTINCT make_date(year, month, 1) AS period FROM v_uploads)) d LEFT JOIN ({SQL_HOLIDAYS}) h ON d.date = h.date"""
 

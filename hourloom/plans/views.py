@@ -97,7 +97,8 @@ FROM customer""",
 FROM orders""",
     "v_layout_cells": """SELECT file, table_id, row_id, 0 AS col, written AS value FROM v_layout_rows WHERE layout IN (0, 1, 4, 5)
 UNION ALL
-SELECT file, table_id, row_id, 1, CASE WHEN row_id % 4 = 0 THEN 'off' WHEN row_id % 7 = 0 THEN concat(CAST(h AS STRING), ' hrs') ELSE CAST(h AS STRING) END FROM v_layout_rows WHERE layout IN (0, 4)
+SELECT file, table_id, row_id, 1, CASE WHEN row_id % 4 = 0 THEN 'off' WHEN row_id % 7 = 0 THEN concat(CAST(h AS STRING), ' hrs') ELSE CAST(h AS STRING) END
+  FROM v_layout_rows WHERE layout IN (0, 4)
 UNION ALL
 SELECT file, table_id, row_id, 2, CASE WHEN row_id % 3 = 0 THEN '1:30' ELSE ' ' END FROM v_layout_rows WHERE layout IN (0, 4) AND row_id % 5 > 0
 UNION ALL
@@ -112,7 +113,8 @@ SELECT file, table_id, row_id, 0, concat('job ', CAST(w AS STRING)) FROM v_layou
 UNION ALL
 SELECT file, table_id, row_id, CAST(1 + row_id % 7 AS INT), CAST(h AS STRING) FROM v_layout_rows WHERE layout = 7
 UNION ALL
-SELECT file, file_seq, -1, 0, CASE layout WHEN 0 THEN 'Date' WHEN 4 THEN ' Work DATE ' WHEN 1 THEN 'Week Ending' WHEN 5 THEN 'Timesheet End' WHEN 3 THEN 'Period' ELSE 'Project' END
+SELECT file, file_seq, -1, 0, CASE layout WHEN 0 THEN 'Date' WHEN 4 THEN ' Work DATE ' WHEN 1 THEN 'Week Ending' WHEN 5 THEN 'Timesheet End' WHEN 3 THEN 'Period'
+  ELSE 'Project' END
 FROM v_files WHERE layout NOT IN (2, 6)
 UNION ALL
 SELECT file, file_seq, -1, 1, CASE layout WHEN 0 THEN 'Regular Hours' WHEN 4 THEN 'Reg.' WHEN 7 THEN 'Mon' ELSE 'Total Hours' END FROM v_files WHERE layout NOT IN (2, 6)
@@ -126,9 +128,11 @@ UNION ALL
 SELECT file, file_seq, 1099511627776, k, said FROM v_files, (VALUES (0, 'Month total'), (1, '160')) AS stated(k, said) WHERE layout = 0 AND file_seq % 3 = 0""",
     "v_layout_lines": """SELECT file, row_id AS line_no, concat(written, '  ', CAST(h AS STRING), '.50') AS line FROM v_layout_rows WHERE layout IN (2, 6)
 UNION ALL
-SELECT file, 2, concat('Hours from ', CAST(anchor AS STRING), ' to ', CAST(CAST(anchor + 6 AS DATE) AS STRING)) FROM v_files WHERE anchor IS NOT NULL AND file_seq % 32 < 16
+SELECT file, 2, concat('Hours from ', CAST(anchor AS STRING), ' to ', CAST(CAST(anchor + 6 AS DATE) AS STRING)) FROM v_files WHERE anchor IS NOT NULL
+  AND file_seq % 32 < 16
 UNION ALL
-SELECT file, 1, concat('For ', CAST(month(anchor) AS STRING), '/', CAST(day(anchor) AS STRING), '/1997 - 3/30/1997') FROM v_files WHERE anchor IS NOT NULL AND file_seq % 32 >= 16
+SELECT file, 1, concat('For ', CAST(month(anchor) AS STRING), '/', CAST(day(anchor) AS STRING), '/1997 - 3/30/1997') FROM v_files WHERE anchor IS NOT NULL
+  AND file_seq % 32 >= 16
 UNION ALL
 SELECT file, 9, '1/2/1998 to 1/8/1998 is the next range' FROM v_files WHERE anchor IS NOT NULL""",
     "v_paths": """SELECT p_partkey AS file_seq,

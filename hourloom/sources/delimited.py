@@ -72,7 +72,9 @@ def numbered_lines(lines: DataFrame, dialect: Dialect) -> DataFrame:
         F.when(s["inside"], b["end_1"]).otherwise(b["end_0"]).alias("inside"), (s["rows"] + F.when(s["inside"], b["begun_1"]).otherwise(b["begun_0"])).alias("rows"),
         F.array_append(s["starts"], F.struct(b["block"].alias("block"), s["inside"].alias("inside"), s["rows"].alias("rows"))).alias("starts"),
     )
-    starts = listed.select("file", F.inline(F.aggregate("blocks", start, follow)["starts"])).select("file", "block", F.col("inside").alias("begins_in"), F.col("rows").alias("rows_before"))
+    starts = listed.select("file", F.inline(F.aggregate("blocks", start, follow)["starts"])).select(
+        "file", "block", F.col("inside").alias("begins_in"), F.col("rows").alias("rows_before"),
+    )
     placed = rows.join(starts, ["file", "block"])
     of = lambda name: F.when(F.col("begins_in"), F.col(f"{name}_1")).otherwise(F.col(f"{name}_0"))
     return placed.where(of("in") | (F.col("line") != "")).select("file", (F.col("rows_before") + of("begun") - 1).alias("row_id"), "block", "at", "line")
@@ -80,7 +82,9 @@ def numbered_lines(lines: DataFrame, dialect: Dialect) -> DataFrame:
 
 def row_cells(rows: DataFrame, dialect: Dialect) -> DataFrame:
     """file, row_id, col, value of numbered_lines()."""
-    whole = rows.groupBy("file", "row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "line"))), lambda x: x["line"]), "\n").alias("row"))
+    whole = rows.groupBy("file", "row_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "line"))), lambda x: x["line"]), "\n").alias("row"),
+    )
     raw = F.regexp_extract_all(F.concat("row", F.lit(dialect.separator)), F.lit(dialect.cells), F.lit(1))
     cells = whole.select("file", "row_id", F.posexplode(raw).alias("col", "value")).select("file", "row_id", "col", unquoted(F.col("value")).alias("value"))
     return cells.where("value <> ''")
@@ -94,7 +98,10 @@ def read_delimited(spark: SparkSession, path: str, separator: str | None = None)
 
     def read(sep: str, pattern: str) -> DataFrame:
         text = spark.read.option("pathGlobFilter", pattern).text(path)
-        lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+        lines = text.select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+            F.col("value").alias("line"),
+        )
         return row_cells(numbered_lines(lines, Dialect(sep)), Dialect(sep))
 
     return read(separator, "*") if separator else read("\t", "*.tsv").unionByName(read(",", "*.csv"))
@@ -120,7 +127,9 @@ def text_cells(docs: DataFrame, separator: str = ",") -> DataFrame:
 def dump(cells: DataFrame, rows: int = DUMP_ROWS) -> DataFrame:
     """file, row_id, line of cells(file, row_id, col, value): the header as `a | b`, the first rows below it as `[r2] a | b`, with a place
     for each of the header's columns."""
-    kept = cells.where(F.col("row_id") <= rows).groupBy("file", "row_id").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("m"), F.max("col").alias("last"))
+    kept = cells.where(F.col("row_id") <= rows).groupBy("file", "row_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("m"), F.max("col").alias("last"),
+    )
     width = cells.where("row_id = 0").groupBy("file").agg(F.max("col").alias("width"))
     kept = kept.join(width, "file", "left")
     at = F.sequence(F.lit(0), F.greatest("last", F.coalesce("width", F.lit(0))))

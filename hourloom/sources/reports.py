@@ -72,7 +72,9 @@ def mail_parts(files: DataFrame) -> DataFrame:
                             body = data.decode(part.get_content_charset() or "utf-8", "replace")
                         except LookupError:
                             body = data.decode("utf-8", "replace")
-                    rows.append((file, path, part.get_content_type(), name, part.get_content_disposition(), body, message.get("subject"), message.get("from"), message.get("date")))
+                    rows.append(
+                        (file, path, part.get_content_type(), name, part.get_content_disposition(), body, message.get("subject"), message.get("from"), message.get("date")),
+                    )
             yield pd.DataFrame(rows, columns=["file", "part", "ctype", "filename", "disposition", "content", "subject", "sender", "sent"])
 
     return files.select("file", "content").mapInPandas(parse, MAIL)

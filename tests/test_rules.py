@@ -382,8 +382,7 @@ def test_grids_read_cells_twice_at_most(spark, tmp_path):
     assert plan.count("Relation") <= 2 and len(plan) < 60_000 and got.first().total == 8.0
 
 
-@pytest.mark.parametrize("name", ["file_results", "people", "consolidated_months", "consolidated_issues"])
-@pytest.mark.parametrize("width", ["3", "24"])
+@pytest.mark.parametrize(("name", "width"), [("people", "24"), ("consolidated_months", "3"), ("consolidated_months", "24"), ("consolidated_issues", "9")])
 def test_consolidation_reads_small_tables(spark, name, width):
     """Cells are parsed once, whatever the number of partitions: what is left of a plan reads few staged tables."""
     before = spark.conf.get("spark.sql.shuffle.partitions")
