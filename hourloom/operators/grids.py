@@ -304,6 +304,34 @@ def sheet_rows(cells: DataFrame, rows: int = 400, cols: int = 64) -> DataFrame:
     return lists.select("table_id", "row_id", line.alias("line"))
 
 
+def sheet_dump(cells: DataFrame, sheets: DataFrame, rows: int = 400, cols: int = 64) -> DataFrame:
+    """file, table_id, row_id, line: rows within the sheet limits as `[sheet!rN] a | b`, N from 1, of sheets(file, table_id, sheet)."""
+    lines = sheet_rows(cells.select("table_id", "row_id", "col", "value"), rows, cols).join(sheets, "table_id")
+    head = F.concat(F.lit("["), F.coalesce("sheet", F.lit("")), F.lit("!r"), (F.col("row_id") + 1).cast("string"), F.lit("] "))
+    return lines.select("file", "table_id", "row_id", F.concat(head, "line").alias("line"))
+
+
+def sheet_status(sheets: DataFrame, lines: DataFrame) -> DataFrame:
+    """file, tables, quality: how many of a file's sheets hold anything; a file of which none does is `empty`."""
+    held = lines.select("table_id").distinct().withColumn("held", F.lit(1))
+    got = sheets.join(held, "table_id", "left").groupBy("file").agg(F.count("held").alias("tables"))
+    return got.withColumn("quality", F.when(F.col("tables") > 0, F.lit("native")).otherwise(F.lit("empty")))
+
+
+def digest(cells: DataFrame, tables: DataFrame, most: int = 12, rows: int = 60) -> DataFrame:
+    """file, digest: of tables(file, table_id, title) each file's first `most` by table_id, as `# table title` and its first rows as
+    `a | b`, a blank line behind each. What a reviewer or a model is shown; both limits are its feature."""
+    nth = lambda *by: F.row_number().over(W.partitionBy(by[0]).orderBy(by[1]))
+    shown = tables.withColumn("t", nth("file", "table_id")).where(F.col("t") <= most)
+    first = grid_rows(cells).select("table_id", "row_id", "cells", nth("table_id", "row_id").alias("k")).where(F.col("k") <= rows)
+    line = F.array_join(F.transform("cells", lambda c: F.coalesce(c["value"], F.lit(""))), " | ")
+    listed = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), "\n")
+    lines = first.select("table_id", "k", line.alias("line")).groupBy("table_id").agg(listed("k", "line").alias("lines"))
+    head = F.rtrim(F.concat(F.lit("# table "), F.coalesce("title", F.lit(""))))
+    blocks = shown.join(lines, "table_id", "left").select("file", "t", F.concat(head, F.coalesce(F.concat(F.lit("\n"), "lines"), F.lit("")), F.lit("\n")).alias("block"))
+    return blocks.groupBy("file").agg(listed("t", "block").alias("digest"))
+
+
 def clean_tables(cells: DataFrame, least_rows: int = 2) -> DataFrame:
     """Cells of page and document tables: texts trimmed, tables of fewer rows dropped, and `is_header` on each table's first row."""
     sizes = cells.groupBy("table_id").agg(F.count_distinct("row_id").alias("rows"), F.min("row_id").alias("header_row")).where(F.col("rows") >= least_rows)

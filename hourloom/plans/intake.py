@@ -360,6 +360,51 @@ ORACLE["clock_grid"] = f"""SELECT emp AS table_id, seq AS row_id, make_date(1997
 CASE WHEN hours IS NULL THEN 'UNCLEAR' WHEN hours > 16 THEN 'OUT_OF_RANGE' END AS issue FROM ({IN_OUT})"""
 
 
+SHEET_ROWS = """SELECT table_id, row_number() OVER (PARTITION BY table_id ORDER BY row_id) - 1 AS row_id,
+       CASE WHEN row_id % 3 = 0 OR row_id % 4 = 1 OR table_id % 20 = 3 THEN '' ELSE written END AS a,
+       CASE WHEN row_id % 3 = 0 OR row_id % 5 = 0 OR table_id % 20 = 3 THEN ' ' ELSE CAST(h AS STRING) END AS b FROM v_layout_rows"""
+SHEETS = "SELECT concat('b', CAST(file_seq % 20 AS STRING)) AS file, file_seq AS table_id, CASE WHEN file_seq % 9 > 0 THEN concat('S', CAST(file_seq AS STRING)) END AS sheet FROM v_files"
+
+
+def _sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    for name in ("v_layout_rows", "v_files"):
+        view(spark, sf_dir, name).createOrReplaceTempView(name)
+    cells = spark.sql(SHEET_ROWS).selectExpr("table_id", "CAST(row_id AS BIGINT) AS row_id", "stack(3, 0, a, 1, b, 2, '') AS (col, value)")
+    return cells, spark.sql(SHEETS)
+
+
+def sheet_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets' rows as lines that name sheet and row, blank rows left out but counted."""
+    return grids.sheet_dump(*_sheets(spark, sf_dir))
+
+
+SQL_SHEET_TEXTS = f"""SELECT file, s.table_id, row_id, concat('[', coalesce(sheet, ''), '!r', row_id + 1, '] ', a, CASE WHEN trim(b) <> '' THEN concat(' | ', b) ELSE '' END) AS line
+FROM ({SHEET_ROWS}) r JOIN ({SHEETS}) s ON s.table_id = r.table_id WHERE a <> '' OR trim(b) <> ''"""
+ORACLE["sheet_texts"] = SQL_SHEET_TEXTS
+
+
+def sheet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by how many of their sheets hold anything; those without are empty."""
+    cells, sheets = _sheets(spark, sf_dir)
+    return grids.sheet_status(sheets, grids.sheet_dump(cells, sheets))
+
+
+ORACLE["sheet_files"] = f"""SELECT s.file, count(DISTINCT t.table_id) AS tables, CASE WHEN count(t.table_id) > 0 THEN 'native' ELSE 'empty' END AS quality
+FROM ({SHEETS}) s LEFT JOIN ({SQL_SHEET_TEXTS}) t ON t.table_id = s.table_id GROUP BY s.file"""
+
+
+def file_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reviewer sees of each file: its first tables under their titles."""
+    cells, sheets = _sheets(spark, sf_dir)
+    return grids.digest(cells, sheets.withColumnRenamed("sheet", "title"))
+
+
+ORACLE["file_digest"] = f"""SELECT file, string_agg(concat(rtrim(concat('# table ', coalesce(sheet, ''))), coalesce(concat(chr(10), lines), ''), chr(10)), chr(10) ORDER BY t) AS digest FROM (
+  SELECT *, row_number() OVER (PARTITION BY file ORDER BY table_id) AS t FROM ({SHEETS})) s
+LEFT JOIN (SELECT table_id, string_agg(concat(a, ' | ', b, ' | '), chr(10) ORDER BY row_id) AS lines FROM ({SHEET_ROWS}) WHERE row_id < 60 GROUP BY table_id) r ON r.table_id = s.table_id
+WHERE t <= 12 GROUP BY file"""
+
+
 def issue_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the cascade's records come to: people, months, hours, findings by severity, files that results name and rejects, in one row."""
     found = consolidated._found(spark, sf_dir)
@@ -389,6 +434,6 @@ QUERIES = {
     for f in (
         delimited_cells, delimited_dump, mail_results, rejects, file_balance, named_files, accepted_attempts, chained_attempts, always_worklist, contract_week_rows,
         grounded_reads, vision_pages, submission_log, newest_report, listed_files, viewer_rows, corrected_days, prefilled_answers, submission_findings,
-        clock_grid, issue_totals,
+        clock_grid, issue_totals, sheet_texts, sheet_files, file_digest,
     )
 }
