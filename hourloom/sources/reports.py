@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from email import message_from_bytes, policy
+from email.headerregistry import HeaderRegistry
+from email.message import EmailMessage
+from functools import cache, lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +45,21 @@ MAIL = "file string, part string, ctype string, filename string, disposition str
 TABLES = {"csv": ",", "tsv": "\t"}
 
 
+#: Header lines whose parsed form a task remembers.
+HEADERS = 4096
+
+
+@cache
+def mail_policy() -> policy.EmailPolicy:
+    """The standard library's policy, which parses a header each time that it is asked for, with the last headers remembered: parts of
+    many mails say the same of themselves."""
+    return policy.default.clone(header_factory=lru_cache(HEADERS)(HeaderRegistry()))
+
+
+def read_mail(content: bytes | None) -> EmailMessage:
+    return message_from_bytes(bytes(content or b""), policy=mail_policy())
+
+
 def mail_parts(files: DataFrame) -> DataFrame:
     """Parts of message files(file, content): a message is parsed where it lies, by the standard library.
 
@@ -57,13 +75,11 @@ def mail_parts(files: DataFrame) -> DataFrame:
             yield path or "00", message
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import email
-        from email import policy
-
         for batch in batches:
             rows = []
             for file, content in zip(batch["file"], batch["content"], strict=True):
-                message = email.message_from_bytes(bytes(content or b""), policy=policy.default)
+                message = read_mail(content)
+                heads = message.get("subject"), message.get("from"), message.get("date")
                 for path, part in leaves(message, ""):
                     name = part.get_filename()
                     data, body = part.get_payload(decode=True), None
@@ -72,9 +88,7 @@ def mail_parts(files: DataFrame) -> DataFrame:
                             body = data.decode(part.get_content_charset() or "utf-8", "replace")
                         except LookupError:
                             body = data.decode("utf-8", "replace")
-                    rows.append(
-                        (file, path, part.get_content_type(), name, part.get_content_disposition(), body, message.get("subject"), message.get("from"), message.get("date")),
-                    )
+                    rows.append((file, path, part.get_content_type(), name, part.get_content_disposition(), body, *heads))
             yield pd.DataFrame(rows, columns=["file", "part", "ctype", "filename", "disposition", "content", "subject", "sender", "sent"])
 
     return files.select("file", "content").mapInPandas(parse, MAIL)

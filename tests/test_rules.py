@@ -305,6 +305,18 @@ def email_of(text):
     return message
 
 
+def test_equal_headers_of_mails_are_parsed_once(spark):
+    from hourloom.sources import reports
+
+    def ask():
+        message = reports.read_mail(mail("a body", lambda m: m.add_attachment(email_of("inner"))))
+        return [(p.get_content_type(), p.get_filename(), p.get_content_disposition()) for p in message.walk()], message.get("subject")
+
+    first, parsed = ask(), reports.mail_policy().header_factory.cache_info().misses
+    # Only the boundary that a mail is written with differs.
+    assert all(ask() == first for _ in range(20)) and reports.mail_policy().header_factory.cache_info().misses <= parsed + 20
+
+
 def test_upload_batches_rewrite_their_months_only(spark, tmp_path):
     from hourloom.streaming import uploads
 
