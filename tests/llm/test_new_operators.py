@@ -335,6 +335,20 @@ def test_decisions_of_secret_scans_follow_from_the_rule(spark):
     assert sum(c in keys for c in called) > 30 and not any(c in plain for c in called)
 
 
+def test_null_words_stand_for_all_words_of_all_texts(spark):
+    """Words far into long texts and beyond thousands of documents count as often as they occur."""
+    from hourloom.llm import secrets
+
+    rows = [(k, "alpha beta gamma delta " + "epsilon " * 20 + ("Zeta" if k % 2 else "mIxed 7x")) for k in range(200)]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = Counter({"alpha": 200, "beta": 200, "gamma": 200, "delta": 200, "epsilon": 4000, "zeta": 100})
+    counts = found.selectExpr("explode(words) AS word").groupBy("word").count().withColumnRenamed("count", "n").cache()
+    assert {r.word: r.n for r in counts.collect()} == want
+    assert Counter(secrets.null_words(counts)) == want
+    few = Counter(secrets.null_words(counts, 490))
+    assert set(few) <= set(want) and all(abs(few[w] - n * 490 / 4900) < 1 for w, n in want.items())
+
+
 def unspaced(rng, form, n):
     """Texts without blanks: han with and without stops, tables, code, one word a line, and a mix of what is hard to cut."""
     han = [chr(c) for c in range(0x4E00, 0x4E00 + 3000, 7)]
