@@ -22,12 +22,36 @@ def day_maps(entries: DataFrame) -> DataFrame:
     return entries.groupBy("ident", "file_seq", "d").agg(F.max_by("total", "entry_seq").alias("total")).where("total is not null")
 
 
+def result_classes(days: DataFrame) -> DataFrame:
+    """ident, file_seq, class, days: results of an ident with the same days and totals are one class, named by the first, which alone
+    has days (array of d, total)."""
+    listed = F.array_sort(F.collect_list(F.struct("d", "total")))
+    # A total that isn't finite differs from itself: such a result is a class of its own.
+    odd = F.exists("days", lambda x: ~(F.abs(x["total"]) < float("inf")))
+    maps = days.groupBy("ident", "file_seq").agg(listed.alias("days")).withColumn("alone", F.when(odd, F.col("file_seq").cast("string")).otherwise(F.lit("")))
+    maps = staged(maps, "result-maps")
+    same = maps.groupBy("ident", "days", "alone").agg(F.min("file_seq").alias("class"))
+    first = F.when(F.col("file_seq") == F.col("class"), F.col("days")).alias("days")
+    return staged(maps.join(same, ["ident", "days", "alone"]).select("ident", "file_seq", "class", first), "result-classes")
+
+
 def conflict_pairs(days: DataFrame) -> DataFrame:
-    """ident, a, b, dates: pairs of results of one ident that differ on two or more shared dates; joined by ident and date."""
-    a = days.select("ident", "d", F.col("file_seq").alias("a"), F.col("total").alias("ta"))
-    b = days.select("ident", "d", F.col("file_seq").alias("b"), F.col("total").alias("tb"))
-    differ = F.count_if(F.abs(F.col("ta") - F.col("tb")) > SLACK)
-    return a.join(b, ["ident", "d"]).where("a < b").groupBy("ident", "a", "b").agg(differ.alias("dates")).where(F.col("dates") >= LEAST_DATES)
+    """ident, a, b, dates: pairs of results of one ident that differ on two or more shared dates.
+
+    Results of one class differ from others alike, so one of each is compared, and the pairs of classes are told to their members at
+    the end. On a date only totals that differ are brought together: work follows the differences of classes and the pairs returned,
+    which are quadratic where all results contradict one another.
+    """
+    maps = result_classes(days)
+    own = maps.where("days is not null").select("ident", "class", F.inline("days"))
+    totals = own.select("ident", "d", F.col("total").alias("low")).distinct()
+    apart = totals.join(totals.withColumnRenamed("low", "high"), ["ident", "d"]).where((F.col("low") <= F.col("high")) & (F.abs(F.col("low") - F.col("high")) > SLACK))
+    side = lambda total, name: own.select("ident", "d", F.col("total").alias(total), F.col("class").alias(name))
+    met = apart.join(side("low", "x"), ["ident", "d", "low"]).join(side("high", "y"), ["ident", "d", "high"]).where("low < high or x < y")
+    met = met.groupBy("ident", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("dates")).where(F.col("dates") >= LEAST_DATES)
+    member = lambda of, name: maps.select("ident", F.col("class").alias(of), F.col("file_seq").alias(name))
+    found = met.join(member("x", "p"), ["ident", "x"]).join(member("y", "q"), ["ident", "y"])
+    return found.select("ident", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "dates")
 
 
 def first_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -369,6 +369,28 @@ def brute_first_fit(days):
     return out
 
 
+def test_copies_of_results_are_compared_once(spark, tmp_path):
+    """Pairs against brute force, with copies, totals that aren't finite and missing names; copies don't multiply what is compared."""
+    import random
+
+    rng, day, inf = random.Random(3), dt.date(2026, 1, 1), float("inf")
+    kinds = [{rng.randrange(8): rng.choice([0.0, 0.4, 8.0, 4.0]) for _ in range(5)} for _ in range(6)] + [{0: inf, 1: float("nan"), 2: 1.0}]
+    results = [(rng.choice([1, 2, None]), k, rng.choice(kinds)) for k in range(60)]
+    rows = [(i, k, day + dt.timedelta(d), t) for i, k, own in results for d, t in own.items()]
+    days = spark.createDataFrame(rows, "ident long, file_seq long, d date, total double")
+    want = set()
+    for i, a, x in results:
+        for j, b, y in results:
+            dates = sum(not abs(x[d] - y[d]) <= 0.5 for d in x.keys() & y.keys())
+            if i == j and i is not None and a < b and dates >= 2:
+                want.add((i, a, b, dates))
+    got = list(map(tuple, identity.conflict_pairs(days).collect()))
+    assert set(got) == want and len(got) == len(want)
+    odd = [k for i, k, own in results if i is not None and own is kinds[-1]]
+    compared = identity.result_classes(days).where("days is not null")
+    assert compared.count() == len(odd) + len({(i, str(sorted(own.items()))) for i, k, own in results if i is not None and own is not kinds[-1]})
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_split_by_parts_is_first_fit_over_the_whole(spark, seed):
     import datetime as dt
