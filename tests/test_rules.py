@@ -50,6 +50,20 @@ def test_parse_date(spark, value, order, want):
     assert one(spark, value, lambda c: dates.parse_date(c, F.lit(order), F.lit(2026))) == want
 
 
+@pytest.mark.parametrize(
+    ("value", "want"), [("1:05", 3900), ("12 30 AM", 1800), (" 1.05.09p.m. ", 47109), ("12:00 pm", 43200), ("24:00", None), ("7", None), ("1:5", None), ("off", None), (None, None)],
+)
+def test_parse_clock(spark, value, want):
+    assert one(spark, value, hours.parse_clock) == want
+
+
+def test_dates_and_clock_times_are_read_without_failing_casts(spark):
+    """Casts that fail raise and catch an exception a cell."""
+    texts = spark.createDataFrame([("1/2/1997",)], "t string")
+    plan = texts.select(hours.parse_clock(F.col("t")), dates.parse_date(F.col("t"), F.lit("MDY"), F.lit(1997)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "try_cast" not in plan.lower()
+
+
 def test_week_overlap(spark):
     rows = spark.createDataFrame([(D(2026, 4, 26), D(2026, 5, 2)), (D(2026, 5, 4), D(2026, 5, 10)), (D(2026, 5, 2), D(2026, 4, 26))], "a date, b date")
     got = [r[0] for r in rows.select(dates.week_overlap(F.col("a"), F.col("b"), F.lit(D(2026, 4, 1)))).collect()]
