@@ -47,6 +47,19 @@ def test_no_nested_loops(spark, name):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_rows_of_viewers_are_not_sorted(spark):
+    from hourloom.operators.review import rows_visible_to
+
+    rows, profiles = spark.createDataFrame([(1, 2, 3.0)], "user_id long, id long, total double"), spark.createDataFrame([(1, "admin")], "user_id long, role string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rows_visible_to(rows, profiles, [1, 2])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "SortMergeJoin" not in plan and "Sort [" not in plan
+
+
 def test_split_conflicting_runs_whole(spark):
     rows = plans.queries()["split_conflicting"](spark, SF).collect()
     assert len(rows) == len({(r.ident, r.file_seq) for r in rows}) > 0
