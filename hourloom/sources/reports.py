@@ -45,6 +45,8 @@ MAIL = "file string, part string, ctype string, filename string, disposition str
 TABLES = {"csv": ",", "tsv": "\t"}
 
 
+#: Mails and bytes of mails that go to Python at a time: bounds what a worker holds.
+BATCH_MAILS, BATCH_BYTES = "256", str(8 << 20)
 #: Header lines whose parsed form a task remembers.
 HEADERS = 4096
 
@@ -64,8 +66,10 @@ def mail_parts(files: DataFrame) -> DataFrame:
     """Parts of message files(file, content): a message is parsed where it lies, by the standard library.
 
     part is the part's path in the message, two digits a level, so its order is the message's. A mail inside a mail is one part
-    without content. content: texts, and attached tables.
+    without content. content: texts, and attached tables. Mails go to Python in small batches; the session keeps this setting.
     """
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_MAILS)
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def leaves(message, path: str) -> Iterator[tuple]:
         if message.get_content_type() != "message/rfc822" and message.is_multipart():

@@ -319,6 +319,17 @@ def email_of(text):
     return message
 
 
+def test_mails_go_to_python_in_small_batches(spark, monkeypatch):
+    from hourloom.sources import reports
+
+    sizes, parse = [], type(spark.range(1)).mapInPandas
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", lambda df, f, schema: (sizes.append(df), parse(df, f, schema))[1])
+    files = spark.range(2000, numPartitions=1).selectExpr("CAST(id AS STRING) AS file", "CAST('Subject: x\n\nbody' AS BINARY) AS content")
+    assert reports.mail_parts(files).count() == 2000
+    held = parse(sizes[0], lambda batches: (b.assign(n=len(b))[["n"]].head(1) for b in batches), "n long")
+    assert max(r.n for r in held.collect()) <= int(reports.BATCH_MAILS)
+
+
 def test_equal_headers_of_mails_are_parsed_once(spark):
     from hourloom.sources import reports
 
