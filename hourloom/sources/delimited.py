@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: Lines of a range that are put in order together: bounds what the windows of a task hold.
+BLOCK_LINES = 1 << 16
 #: Rows of a file in its text dump.
 DUMP_ROWS = 200
 QUOTED = r'"(?:[^"]++|"")*+"'
@@ -102,6 +104,9 @@ def read_delimited(spark: SparkSession, path: str, separator: str | None = None)
             F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
             F.col("value").alias("line"),
         )
+        # A range's lines are cut into blocks, numbered from the range's begin: it has more bytes than lines, so the next range's numbers follow.
+        nth = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+        lines = lines.withColumn("block", F.col("block") + F.floor(nth / BLOCK_LINES))
         return row_cells(numbered_lines(lines, Dialect(sep)), Dialect(sep))
 
     return read(separator, "*") if separator else read("\t", "*.tsv").unionByName(read(",", "*.csv"))

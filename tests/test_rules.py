@@ -246,6 +246,14 @@ def test_ranges_of_delimited_files_fit_together(spark, tmp_path, size):
     assert got == want and max(c for *_, c in got) == 69
 
 
+@pytest.mark.parametrize("size", ["40", "173", "100000"])
+def test_blocks_of_ranges_fit_together(spark, tmp_path, size, monkeypatch):
+    from hourloom.sources import delimited
+
+    monkeypatch.setattr(delimited, "BLOCK_LINES", 3)
+    test_ranges_of_delimited_files_fit_together(spark, tmp_path, size)
+
+
 def test_quotes_open_cells_at_their_begin_only(spark, tmp_path):
     from hourloom.sources import delimited
 
