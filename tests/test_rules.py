@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import re
 import shutil
 
 import pytest
@@ -505,3 +506,35 @@ def test_months_of_stated_totals_alone(spark):
     found = consolidate.month_issues(weeks, months, stated, reads, nobody).collect()
     # 20 hours in 2 days and no hours at all are little; 100 hours and a stated 168 are not.
     assert {r.emp for r in found if r.code == "NEEDS_LLM"} == {2, 4} and {r.emp for r in found if r.code == "WEEK_ONLY"} == {2, 3}
+
+
+def test_cells_are_brought_together_by_row_once(spark):
+    cells = spark.createDataFrame([(1, -1, 0, "Date"), (1, -1, 1, "Hours"), (1, 5, 0, "2024-03-01"), (1, 5, 1, "8")], "table_id long, row_id long, col int, value string")
+    plan = grids.role_columns(cells)._jdf.queryExecution().optimizedPlan().toString()
+    wholes = re.findall(r"collect_list\((?:named_)?struct\(col, col#[0-9]+, value, value#", plan)
+    assert len(wholes) == 1 and plan.count("collect_list(") == 2  # whole rows, and the cells that look like a header's
+
+
+def test_headers_of_few_likely_cells(spark):
+    texts = ["  IN", "out ", "o.t x", "time in", "pto", "priority", "not specified", "cabin", "Lunch Out", "week beginning 3", "in\n", "x ot", "b/reg. y", "# OF HOURS", "İn", None, ""]
+    rows = [(k, 0, 0, t) for k, t in enumerate(texts)]
+    for k in range(30):
+        rows += [(100, k, 0, "Date" if k == 14 else "x"), (101, k, 0, "Date" if k == 15 else "x"), (102, k * 7, 2, "Date" if k in (3, 20) else "4")]
+    cells = spark.createDataFrame(rows, "table_id long, row_id long, col int, value string")
+    fits = lambda t: any(t == w or t.startswith(w + " ") or t.endswith(" " + w) if len(w) <= 3 else w in t for own in grids.ROLE_KEYWORDS.values() for w in own)
+    want = {k for k, t in enumerate(texts) if t and fits(t.strip(" ").lower())}
+    for given in (cells, grids.grid_rows(cells)):
+        got = {r.table_id: r.header_row for r in grids.header_rows(given).collect()}
+        assert {k for k in got if k < 100} == want and len(want) > 8
+        assert got[100] == 14 and 101 not in got and got[102] == 21
+
+
+def test_full_dates_and_plain_numbers(spark):
+    said = ["2024-02-29", "2023-02-29", "0000-01-01", "0001-01-01", "9999-12-31", "2024-13-01", " 2024-02-29", "2024-02-29\n", "2024-2-9", "2024-02-29 x", "٢٠٢٤-01-01", None]
+    rows = spark.createDataFrame(list(enumerate(said)), "k int, t string")
+    got = [str(r.d) for r in rows.select("k", dates.parse_date(F.col("t"), F.lit("MDY"), F.lit(2000)).alias("d")).orderBy("k").collect()]
+    assert got == ["2024-02-29", "None", "None", "0001-01-01", "9999-12-31", "None", "2024-02-29", "2024-02-29", "2024-02-09", "2024-02-29", "None", "None"]
+    said = ["8", "8.25", "8.", ".5", "007.50", "8.5\n", "1e1", "8,5", " 8.5 hrs", "-1", "", None, "1.2.3", "٨"]
+    rows = spark.createDataFrame(list(enumerate(said)), "k int, t string")
+    got = [r.h for r in rows.select("k", hours.parse_hours(F.col("t")).alias("h")).orderBy("k").collect()]
+    assert got == [8.0, 8.25, 8.0, 0.5, 7.5, 8.5, 10.0, 8.5, 8.5, None, None, None, None, None]
