@@ -538,3 +538,23 @@ def test_full_dates_and_plain_numbers(spark):
     rows = spark.createDataFrame(list(enumerate(said)), "k int, t string")
     got = [r.h for r in rows.select("k", hours.parse_hours(F.col("t")).alias("h")).orderBy("k").collect()]
     assert got == [8.0, 8.25, 8.0, 0.5, 7.5, 8.5, 10.0, 8.5, 8.5, None, None, None, None, None]
+
+
+def test_matrices_need_no_rows(spark):
+    names = list(enumerate(["Job", "Mon", "tue", "Wed", "Thursday", "fri"]))
+    rows = [(1, 0, k, n) for k, n in names] + [(1, 1, 1, "8"), (1, 2, 1, "1:30"), (1, 2, 0, "7"), (1, 2, 5, "off"), (2, 0, 0, "Mon"), (2, 1, 0, "8")]
+    cells = spark.createDataFrame(rows, "table_id long, row_id long, col int, value string")
+    anchors = spark.createDataFrame([(1, dt.date(2024, 3, 4), 0), (2, dt.date(2024, 3, 4), 0)], "table_id long, anchor date, header_row long")
+    for given in (cells, grids.grid_rows(cells)):
+        assert [tuple(r) for r in grids.weekday_matrix(given, anchors).collect()] == [(1, dt.date(2024, 3, 4), 9.5)]
+    plan = grids.weekday_matrix(cells, anchors)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"collect_list\((?:named_)?struct\(", plan)
+
+
+def test_tables_of_two_rows_need_no_distinct_ids(spark):
+    rows = [(1, 5, 0, " a"), (1, 5, 1, "b"), (2, 7, 0, "c "), (2, 9, 0, "d"), (2, 9, 1, "e"), (3, 1, 0, "f"), (3, 2, 0, "g"), (3, 3, 0, "h")]
+    cells = spark.createDataFrame(rows, "table_id long, row_id long, col int, value string")
+    got = grids.clean_tables(cells)
+    assert sorted(map(tuple, got.where("table_id = 2").collect())) == [(2, 7, 0, "c", True), (2, 9, 0, "d", False), (2, 9, 1, "e", False)]
+    assert {r.table_id for r in got.collect()} == {2, 3} and {r.table_id for r in grids.clean_tables(cells, 3).collect()} == {3}
+    assert "distinct" not in got._jdf.queryExecution().analyzed().toString().lower()
