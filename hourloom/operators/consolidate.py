@@ -58,7 +58,7 @@ def cascade(files: DataFrame, cells: DataFrame, text: DataFrame, most: float = 1
     files = files.select("file", "period").dropDuplicates(["file"])
     lines = staged(text.select("file", "line_no", "line").join(files, "file"), "file-lines")
     own = staged(grids.grid_rows(cells).join(files, "file"), "grid-rows")
-    texts = own.select("file", "period", F.explode(F.transform("cells", lambda c: c["value"])).alias("text")).where("text is not null")
+    texts = own.select("file", "period", F.explode(F.col("cells")["value"]).alias("text")).where("text is not null")
     orders = staged(date_orders(texts.unionByName(lines.select("file", "period", F.col("line").alias("text"))), F.col("period")), "date-orders")
     owned = files.join(orders, "file", "left").select("file", "period", F.coalesce("date_order", F.lit("MDY")).alias("date_order"))
     order, base_year = F.col("date_order"), F.year("period")

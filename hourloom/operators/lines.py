@@ -14,6 +14,8 @@ DATE = (
     r"\b[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\b|\b[0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2,4}\b"
     r"|\b[0-9]{1,2}[ \-/][A-Za-z]{3,9}[ \-/,]+[0-9]{2,4}\b|\b[A-Za-z]{3,9}[ \-/.]+[0-9]{1,2},?\s+[0-9]{2,4}\b"
 )
+#: What texts that can vote on the order have: numeric dates that don't begin with a year.
+VOTE = r"\b0*[0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]"
 LABEL = r"(?i)([0-9]{1,2}(?:\.[0-9]{1,2})?)\s*(?:hours|hrs|hour)\b"
 VALUE = r"(?<![:0-9.])([0-9]{1,2}\.[0-9]{1,2})(?![:0-9])"
 PAY_CODE = r"(?i)(?<![:0-9.])([0-9]{1,2})\s+(?:regular|over\s*time|overtime|o\.?t\.?|holiday|vacation|sick|worked|billable|straight)\b"
@@ -22,7 +24,7 @@ PAY_CODE = r"(?i)(?<![:0-9.])([0-9]{1,2})\s+(?:regular|over\s*time|overtime|o\.?
 def date_orders(lines: DataFrame, period: Column) -> DataFrame:
     """file, date_order of lines(file, text), period being a month or a column of months: by parts above 12, else by which order puts more dates into the period's month of any
     year; ties MDY."""
-    tokens = lines.select("file", F.month(period).alias("own"), F.explode(dates.date_tokens(F.col("text"))).alias("t"))
+    tokens = lines.where(F.col("text").rlike(VOTE)).select("file", F.month(period).alias("own"), F.explode(dates.date_tokens(F.col("text"))).alias("t"))
     a, b = (F.regexp_extract("t", dates.NUMERIC, k).cast("int") for k in (1, 2))
     parts = tokens.select("file", "own", a.alias("a"), b.alias("b")).where("a <= 31")
     of_month = lambda part: F.count_if(F.col(part) == F.col("own"))

@@ -558,3 +558,11 @@ def test_tables_of_two_rows_need_no_distinct_ids(spark):
     assert sorted(map(tuple, got.where("table_id = 2").collect())) == [(2, 7, 0, "c", True), (2, 9, 0, "d", False), (2, 9, 1, "e", False)]
     assert {r.table_id for r in got.collect()} == {2, 3} and {r.table_id for r in grids.clean_tables(cells, 3).collect()} == {3}
     assert "distinct" not in got._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_only_dates_that_may_vote_are_cut(spark):
+    texts = ["1997-03-05", "13/2/1997", "0031.1.97", "no", "x 1997-03-05 and 4-5-97", "0032/1/97"]
+    rows = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "file string, text string")
+    voters = lines.date_orders(rows, F.lit("1997-03-01").cast("date"))
+    assert {r.file: r.date_order for r in voters.collect()} == {"1": "DMY", "2": "DMY", "4": "MDY"}
+    assert {r.file for r in rows.where(F.col("text").rlike(lines.VOTE)).collect()} == {"1", "2", "4", "5"}
