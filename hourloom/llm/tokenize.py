@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
+from collections.abc import Callable
 
 #: Chunks that a worker remembers in each of two generations.
 REMEMBERED = 700_000
 #: A byte-level pre-token that holds other than white space can have a blank only as its first character, so a text may
 #: be cut before a blank that follows such a character, and its ids are those of the parts in order.
 CUT = re.compile(r"(?<=\S)(?= )")
-#: Blanks next to other white space: only then do plain splits at blanks differ from CUT.
-ODD_BLANKS = re.compile(r"\s |^ ")
+#: Blanks at the start or next to other white space: only then do plain splits at blanks differ from CUT.
+ODD_BLANKS = [w + " " for w in "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+#: Characters of which no one doubts that they are letters (Latin, Greek, Cyrillic), digits, or marks without the apostrophe.
+LETTER, DIGIT, MARK = "A-Za-zÀ-ÖØ-öø-\u024f\u0391-\u03a1\u03a3-\u03e1\u0400-\u0481\u048a-\u052f", "0-9", r"!-&(-/:-@\[-`{-~"
+#: Pieces into which the published byte-level rule cuts chunks of these alone; line ends count where they stand single inside.
+PIECES = re.compile(rf" ?[{LETTER}]+| ?[{DIGIT}]+| ?[{MARK}]+|(?<=[{LETTER}{DIGIT}{MARK}])\n(?=[{LETTER}{DIGIT}{MARK}])")
 
 
 def default_file() -> str:
@@ -20,8 +26,54 @@ def default_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Remembered(dict):
+    """Ids of chunks, looked for when first asked for. Those not asked for in a generation are forgotten, so memory stays bounded."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        self.find, self.old = find, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.find(chunk)
+        self[chunk] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def plain_model(file: str):
+    """The merges alone of a tokenizer file, if it has byte-level rules and nothing else that changes ids; else None."""
+    from tokenizers import models
+
+    with open(file, encoding="utf-8") as f:
+        rules = json.load(f)
+    model, cutter = dict(rules["model"]), rules["pre_tokenizer"] or {}
+    byte_level = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space", True)
+    limits = [rules.get(k) for k in ("normalizer", "truncation", "padding", "post_processor")]
+    if not byte_level or any(limits) or model.pop("type", None) != "BPE" or model.get("dropout"):
+        return None
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.pop("merges")]
+    # Each piece is asked for once, so the model's own cache would only cost time.
+    return models.BPE(model.pop("vocab"), merges, cache_capacity=0, **{k: v for k, v in model.items() if v is not None})
+
+
 class ChunkEncoder:
-    """Little-endian 32-bit ids of texts. Rare chunks are forgotten, so memory stays bounded."""
+    """Little-endian 32-bit ids of texts.
+
+    A chunk that wasn't met lately is cut into pieces, which are remembered like chunks; only pieces that weren't met either are merged.
+    Chunks with other characters, or with an added token's text, go through the whole tokenizer.
+    """
 
     def __init__(self, file: str):
         import os
@@ -30,46 +82,37 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.model, self.letters = plain_model(file), byte_letters()
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        if any(len(PIECES.findall(t)) < 2 for t in added):
+            self.model = None
+        self.known = Remembered(self.find)
 
     def chunks(self, text: str) -> list[str]:
-        if ODD_BLANKS.search(text):
+        if text.startswith(" ") or "\0" in text or any(w in text for w in ODD_BLANKS):
             return CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def learn(self, chunks: list[str]) -> None:
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
-        for c in set(chunks):
-            if c not in young:
-                if c in old:
-                    young[c] = old[c]
-                else:
-                    new.append(c)
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                young[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        return text.replace(" ", "\0 ").split("\0")
+
+    def find(self, chunk: str) -> bytes:
+        pieces = PIECES.findall(chunk)
+        # What no piece holds is missing from the join; an added token's text is more than one piece.
+        if self.model is None or "".join(pieces) != chunk or (len(pieces) > 1 and self.added.search(chunk)) or not chunk:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        elif len(pieces) > 1:
+            return b"".join(map(self.known.__getitem__, pieces))
+        else:
+            ids = [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def counts(self, chunks: list[str]) -> list[int]:
         """Ids in each chunk."""
-        try:
-            return [len(x) // 4 for x in map(self.young.__getitem__, chunks)]
-        except KeyError:
-            self.learn(chunks)
-            return [len(x) // 4 for x in map(self.young.__getitem__, chunks)]
+        self.known.age()
+        return [len(x) // 4 for x in map(self.known.__getitem__, chunks)]
 
     def encode(self, text: str) -> bytes:
-        chunks = self.chunks(text)
-        get = self.young.__getitem__
-        try:
-            return b"".join(map(get, chunks))
-        except KeyError:
-            self.learn(chunks)
-            return b"".join(map(self.young.__getitem__, chunks))
+        self.known.age()
+        return b"".join(map(self.known.__getitem__, self.chunks(text)))
 
 
 _encoders: dict[str, ChunkEncoder] = {}

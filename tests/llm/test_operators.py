@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hourloom.llm import decontaminate, link_counts, media, mixing, ngram_join, personal_data, secrets, sharding, store, token_counts, token_files, toxicity
-from hourloom.llm.tokenize import default_file, encoder
+from hourloom.llm.tokenize import ChunkEncoder, default_file, encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, hub string, comp string, chunk string, score string, rest string, bad_id string, of string, base string, h string"
 rng = random.Random(3)
@@ -496,3 +496,26 @@ def test_battery_tells_random_from_patterned():
     fine = [secrets.battery("".join(r.choice("0123456789abcdef") for _ in range(64)))[1] for _ in range(100)]
     assert np.mean([min(p) > 0.001 for p in fine]) > 0.9
     assert min(secrets.battery("0123456789abcdef" * 4)[1]) < 0.01 and min(secrets.battery("a" * 30 + "1")[1]) < 0.01
+
+
+def test_encoder_merges_only_new_pieces():
+    enc, r = ChunkEncoder(default_file()), random.Random(3)
+
+    class Merges:
+        def __init__(self, model):
+            self.model, self.asked = model, []
+
+        def tokenize(self, piece):
+            self.asked.append(piece)
+            return self.model.tokenize(piece)
+
+    enc.model = Merges(enc.model)
+    full = lambda t: enc.tokenizer.encode(t, add_special_tokens=False).ids
+    enc.encode("alpha beta beta")
+    assert np.frombuffer(enc.encode("alpha beta, beta;\nalpha beta99 beta,"), "<u4").tolist() == full("alpha beta, beta;\nalpha beta99 beta,")
+    assert enc.model.asked == ["alpha", "Ġbeta", ",", ";", "99"]
+    alphabet = [*"aZéß09 .,'\"-\n\t <|>_$\r\x1c\xa0　αЖ中²½́\0", " x", "'s", "'ll", " 12", "<|endoftext|>", ".\n", " \n", "\n\n", "  "]
+    for _ in range(3000):
+        t = "".join(r.choice(alphabet) for _ in range(r.randint(0, 12)))
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == full(t)
+    assert enc.encode("") == b""
