@@ -235,9 +235,12 @@ def month_issues(weeks: DataFrame, months: DataFrame, stated: DataFrame, read_by
     nought = lambda c: F.coalesce(c, F.lit(0))
     known = weekly.with_stated(months.select("emp", "period", F.lit(0.0).alias("regular"), F.lit(0.0).alias("overtime"), "total", "days_worked"), stated)
     under = reads.where("by_model").join(known, ["emp", "period"], "left").where((nought("total") < LEAST_HOURS) & (nought("days_worked") < LEAST_DAYS))
-    split = clusters.withColumn("n", F.size(F.collect_set("cluster").over(W.partitionBy("emp", "period")))).where("n > 1")
+    split = clusters
     if "source" in clusters.columns:
-        split = split.groupBy("emp", "period", "cluster").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+        # Each cluster's sources come once and in one row before clusters are counted: no window sorts the single rows.
+        split = clusters.select("emp", "period", "cluster", "source").distinct().groupBy("emp", "period", "cluster").agg(F.array_sort(F.collect_list("source")).alias("sources"))
+    by_name = W.partitionBy("emp", "period")
+    split = split.withColumns({"one": F.min("cluster").over(by_name), "other": F.max("cluster").over(by_name)}).where("one <> other")
     conflict = F.col("code") == "CONFLICT"
     said = F.concat(F.when(conflict, F.lit("conflicting")).otherwise(F.lit("repeated")), F.lit(" totals of the week from "), F.col("week_start").cast("string"))
     parts = [

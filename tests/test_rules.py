@@ -566,3 +566,25 @@ def test_only_dates_that_may_vote_are_cut(spark):
     voters = lines.date_orders(rows, F.lit("1997-03-01").cast("date"))
     assert {r.file: r.date_order for r in voters.collect()} == {"1": "DMY", "2": "DMY", "4": "MDY"}
     assert {r.file for r in rows.where(F.col("text").rlike(lines.VOTE)).collect()} == {"1", "2", "4", "5"}
+
+
+def test_split_names_are_found_without_sorting_single_rows(spark):
+    """Clusters are counted on one row a cluster, and totals of a week are compared without a shuffle of their own."""
+    from hourloom.operators import consolidate
+
+    period = D(2026, 3, 1)
+    none = lambda kind: spark.createDataFrame([], kind)
+    rows = [(1, period, 0, "a"), (1, period, 0, "a"), (1, period, 1, "b"), (2, period, 0, "a"), (2, period, 0, "c"), (3, period, 0, None), (3, period, None, "a"), (None, period, 0, "a"), (None, period, 5, "a")]
+    clusters = spark.createDataFrame(rows, "emp long, period date, cluster long, file string").withColumn("source", days.source(F.col("file"), F.lit("x"))).drop("file")
+    weeks = spark.createDataFrame([(1, D(2026, 4, 6), D(2026, 4, 12), t, k) for k, t in enumerate((40.0, 40.001, 40.0))] + [(2, D(2026, 4, 6), D(2026, 4, 12), t, k) for k, t in enumerate((None, 4.0, 5.0))], WEEK)
+    found = consolidate.month_issues(
+        weekly.dedupe(weeks), none("emp long, period date, regular double, overtime double, total double, days_worked long"), none("emp long, period date, stated double"),
+        none("emp long, period date, method string, needs_llm boolean"), clusters,
+    )
+    got = [(r.emp, r.code, r.scope, r.labels) for r in found.withColumn("labels", days.labels(F.col("sources"))).where("code <> 'WEEK_ONLY'").collect()]
+    month = [(1, "CONFLICT", "month", "a"), (1, "CONFLICT", "month", "b"), (None, "CONFLICT", "month", "a"), (None, "CONFLICT", "month", "a")]
+    assert sorted(got, key=str) == sorted([*month, (1, "DUPLICATE", "week", ""), (2, "CONFLICT", "week", "")], key=str)
+    plan = weekly.dedupe(weeks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    plan = found.where("scope = 'month' and message like '%share a name'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and plan.index("Window") < plan.index("collect_list")
