@@ -588,3 +588,41 @@ def test_split_names_are_found_without_sorting_single_rows(spark):
     assert plan.count("Exchange") == 1
     plan = found.where("scope = 'month' and message like '%share a name'")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan and plan.index("Window") < plan.index("collect_list")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_weeks_own_days_by_months(spark, seed):
+    """Weeks of any length own what a day-by-day count says, and no row a day is sent."""
+    import random
+
+    r, day = random.Random(seed), lambda: D(2024, 1, 1) + dt.timedelta(r.randrange(70))
+    weeks = []
+    for k in range(60):
+        a = day()
+        weeks.append((r.choice([1, 2, None]), a, a + dt.timedelta(r.choice([-1, 0, 3, 6, 6, 45])), r.choice([None, 7.0, 35.0, 40.0]), k))
+    daily = {(r.choice([1, 2, 3, None]), day()) for _ in range(12)}
+    want, taken = {}, {x for x in daily if x[0] is not None}
+    kept = {}
+    for emp, a, b, t, k in sorted(weeks, key=lambda w: (-(w[3] or 0), w[4])):
+        kept.setdefault((emp, a, b), (t, k))
+    for (emp, a, b), (t, k) in sorted(kept.items(), key=lambda x: (x[0][1], x[1][1])):
+        for n in range((b - a).days + 1):
+            d = a + dt.timedelta(n)
+            if (emp, d) not in taken:
+                taken.add((emp, d))
+                want[emp, d] = (a, b, t, (b - a).days + 1)
+    weeks = spark.createDataFrame([(*w[:4], None if w[3] is None else w[3] - 5, 5.0, w[4]) for w in weeks], "emp long, week_start date, week_end date, total double, regular double, overtime double, seq long")
+    daily = spark.createDataFrame([(*x, 8.0, 0.0, 8.0) for x in daily], "emp long, d date, regular double, overtime double, total double")
+    got = weekly.coverage(weekly.dedupe(weeks), daily).collect()
+    assert {(x.emp, x.d): (x.week_start, x.week_end, x.total, x.span) for x in got} == want and len(got) == len(want)
+    sums = {}
+    for (emp, d), (_, _, t, span) in want.items():
+        sums[emp, d.replace(day=1)] = sums.get((emp, d.replace(day=1)), 0) + (t or 0) / span
+    months = weekly.rollup_split(weekly.dedupe_split(weeks), daily)
+    by_month = {(x.emp, x.period): x.total for x in months.collect()}
+    for x in daily.collect():
+        key = x.emp, x.d.replace(day=1)
+        sums[key] = sums.get(key, 0) + 8
+    assert by_month.keys() == sums.keys() and all(abs(by_month[k] - sums[k]) < 0.011 for k in sums)
+    plan = months._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(sequence(") == 1 and "interval" in plan.lower().split("generate", 1)[1][:300] and plan.count("Join ") == 1
