@@ -42,11 +42,14 @@ def labelled_hours(lines: DataFrame, orders: DataFrame, base_year: Column, most:
     A line with exactly one date and without "period" gives a decimal or a number with a pay code behind the date, else the
     first labelled hours on it or the next three lines. A day with one distinct value has it; with several it is unclear.
     """
-    near = W.partitionBy("file").orderBy("line_no").rowsBetween(0, 3)
-    labelled = F.when(F.col("line").rlike(LABEL), F.regexp_extract("line", LABEL, 1).try_cast("double"))
-    rows = lines.withColumn("label", F.first(labelled, ignorenulls=True).over(near)).join(orders, "file")
+    # Cheap looks come first: every label has an h, and "period" a p.
+    has = lambda letter: F.col("line").contains(letter) | F.col("line").contains(letter.upper())
+    labelled = F.when(has("h") & F.col("line").rlike(LABEL), F.regexp_extract("line", LABEL, 1).try_cast("double"))
+    by_line = W.partitionBy("file").orderBy("line_no")
+    near = F.coalesce("own", *[F.lead("own", k).over(by_line) for k in (1, 2, 3)])
+    rows = lines.withColumn("own", labelled).withColumn("label", near).drop("own").join(orders, "file")
     found = F.regexp_extract_all("line", F.lit(DATE), F.lit(0))
-    rows = dates.once(rows, found.alias("found")).where((F.size("found") == 1) & ~F.lower("line").contains("period"))
+    rows = dates.once(rows, found.alias("found")).where((F.size("found") == 1) & ~(has("p") & F.lower("line").contains("period")))
     rows = dates.once(rows, dates.parse_date(F.col("found")[0], F.col("date_order"), base_year).alias("date")).where("date is not null")
     after = F.expr("substring(line, instr(line, found[0]) + length(found[0]))")
     same = F.coalesce(
@@ -54,7 +57,9 @@ def labelled_hours(lines: DataFrame, orders: DataFrame, base_year: Column, most:
         F.when(after.rlike(PAY_CODE), F.regexp_extract(after, PAY_CODE, 1).try_cast("double")),
     )
     ok = lambda c: F.when(c.between(0, most), c)
-    rows = dates.once(rows, F.coalesce(ok(same), ok(F.col("label"))).alias("value")).where("value is not null")
+    # Bound before ok() names it three times: else its patterns run as often.
+    rows = dates.once(rows, same.alias("same"))
+    rows = dates.once(rows, F.coalesce(ok(F.col("same")), ok(F.col("label"))).alias("value")).where("value is not null")
     days = rows.groupBy("file", "date").agg(F.array_sort(F.collect_set(F.round("value", 2))).alias("seen"))
     r, o, t = hours.split_hours(F.when(F.size("seen") == 1, F.col("seen")[0]), F.lit(None).cast("double"), F.lit(None).cast("double"))
     return days.select(

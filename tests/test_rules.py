@@ -626,3 +626,19 @@ def test_weeks_own_days_by_months(spark, seed):
     assert by_month.keys() == sums.keys() and all(abs(by_month[k] - sums[k]) < 0.011 for k in sums)
     plan = months._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode(sequence(") == 1 and "interval" in plan.lower().split("generate", 1)[1][:300] and plan.count("Join ") == 1
+
+
+def test_values_of_lines_are_looked_for_once(spark):
+    """Each pattern stands where it needs to and not again for every bound; labels reach three lines back, as before."""
+    texts = ["4/3/2026 on site", "none", "", "7.5 HOURS", "04-05-2026  8.25", "4/6/2026 9 Regular", "4/7/2026 Period 8.00", "4/8/2026 17.5 HRS", "29/4/2026 8.5", "x", "x", "x", "8 hrs", None]
+    rows = spark.createDataFrame([("f", k, t) for k, t in enumerate(texts)], "file string, line_no long, line string")
+    got = lines.labelled_hours(rows, spark.createDataFrame([("f", "MDY")], "file string, date_order string"), F.lit(2026))
+    assert {r.date: r.total for r in got.collect()} == {D(2026, 4, 3): 7.5, D(2026, 4, 5): 8.25, D(2026, 4, 6): 9.0, D(2026, 4, 29): 8.5}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(lines.PAY_CODE) <= 2 and plan.count(lines.LABEL) <= 2
+
+
+@pytest.mark.parametrize(("value", "order", "want"), [("1/12/2026", "DMY", D(2026, 12, 1)), ("1/12/2026", None, D(2026, 1, 12)), ("13-1-2026", "MDY", D(2026, 1, 13)), ("01.28.1997", "DMY", D(1997, 1, 28)), ("13/13/2026", "DMY", None), ("2/28/0026", "MDY", D(2026, 2, 28)), ("30/2/2026", "DMY", None)])
+def test_short_numeric_dates_take_the_short_way(spark, value, order, want):
+    assert one(spark, value, lambda c: dates.parse_date(c, F.lit(order), F.lit(2026))) == want
+    assert bool(re.fullmatch(dates.FULL_NUMERIC.replace(r"\z", r"\Z"), value)) == (value not in ("2/28/0026", "30/2/2026"))
