@@ -211,7 +211,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_bytes:
     got = found.toArrow()
     texts, toxic = got.column("text").to_pylist(), got.column("toxic").to_pylist()
     del got
-    return fit(texts, toxic)
+    store.give_back()
+    model = fit(texts, toxic)
+    store.give_back()  # the driver goes on for long, and what the fit held would stay with it
+    return model
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

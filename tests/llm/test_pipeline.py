@@ -65,3 +65,23 @@ def test_stages_on_nulls_and_empty_tables(spark, tmp_path):
                 # Rows without an id have no identity and stay; rows of one id become one at the near-copy stage.
                 assert docs.count() == (len(rows) if k == 0 else max(0, len(rows) - 1))
         assert (docs.count() > 0) == bool(rows)
+
+
+def test_a_fit_returns_the_drivers_memory(spark, monkeypatch):
+    """What freed texts leave behind goes back to the system, before the fit and after it."""
+    from pathlib import Path
+
+    from hourloom.llm import toxicity
+
+    held = lambda: sum(int(n) for n in re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())) / 1024
+    texts = ["x" * (2000 + k % 3000) for k in range(30_000)]
+    kept, full = texts[::500], held()
+    del texts
+    store.give_back()
+    assert held() < full - 60 and len(kept) == 60
+    calls = []
+    monkeypatch.setattr(store, "give_back", lambda: calls.append("back"))
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: calls.append("fit"))
+    docs = spark.createDataFrame([(k, "a b") for k in range(9)], "doc_id long, text string")
+    toxicity.fit_on(docs, docs.selectExpr("doc_id", "int(doc_id % 2) as toxic"))
+    assert calls == ["back", "fit", "back"]
