@@ -163,7 +163,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, roll, encode = TaskContext.get().partitionId(), 0, encoder(file).encode
+        part, roll, enc = TaskContext.get().partitionId(), 0, encoder(file)
         out = Part(end_id)
 
         def done() -> pa.RecordBatch:
@@ -175,8 +175,8 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
             return pa.RecordBatch.from_pylist([row], pa.schema(kinds))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), store.texts(batch), strict=True):
-                out.add(doc_id, encode(text or ""))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
+                out.add(doc_id, ids)
                 if out.total >= file_ids:
                     yield done()
                     out, roll = Part(end_id), roll + 1

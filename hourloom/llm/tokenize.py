@@ -7,6 +7,10 @@ import re
 import struct
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Chunks that a worker remembers in each of two generations.
 REMEMBERED = 700_000
 #: A byte-level pre-token that holds other than white space can have a blank only as its first character, so a text may
@@ -18,6 +22,14 @@ ODD_BLANKS = [w + " " for w in "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\
 LETTER, DIGIT, MARK = "A-Za-zÀ-ÖØ-öø-\u024f\u0391-\u03a1\u03a3-\u03e1\u0400-\u0481\u048a-\u052f", "0-9", r"!-&(-/:-@\[-`{-~"
 #: Pieces into which the published byte-level rule cuts chunks of these alone; line ends count where they stand single inside.
 PIECES = re.compile(rf" ?[{LETTER}]+| ?[{DIGIT}]+| ?[{MARK}]+|(?<=[{LETTER}{DIGIT}{MARK}])\n(?=[{LETTER}{DIGIT}{MARK}])")
+#: The same rule for Arrow, and chunks that are nothing but pieces: in these, line ends stand single inside.
+ARROW_PIECES = rf" ?[{LETTER}]+| ?[{DIGIT}]+| ?[{MARK}]+|\n"
+ARROW_WHOLE = rf"\A ?[{LETTER}{DIGIT}{MARK}]+(?:\n[{LETTER}{DIGIT}{MARK}]+)*\z"
+#: Texts whose blanks need CUT, for Arrow.
+ARROW_ODD = "\\A |[" + "".join(w[0] for w in ODD_BLANKS) + "] "
+#: A letter whose byte, FF, is in no UTF-8 text and here in no other token: LOT pieces with it between them are merged as one word.
+#: Their ids are told apart by four such bytes, which no ids below 2 ** 24 hold.
+BETWEEN, LOT = "ÿ", 24
 
 
 def default_file() -> str:
@@ -72,7 +84,8 @@ class ChunkEncoder:
     """Little-endian 32-bit ids of texts.
 
     A chunk that wasn't met lately is cut into pieces, which are remembered like chunks; only pieces that weren't met either are merged.
-    Chunks with other characters, or with an added token's text, go through the whole tokenizer.
+    Chunks with other characters, or with an added token's text, go through the whole tokenizer. Of a batch of texts, each distinct
+    piece is looked up once, and all new pieces are merged together.
     """
 
     def __init__(self, file: str):
@@ -83,12 +96,20 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.model, self.letters = plain_model(file), byte_letters()
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added_texts = added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         if any(len(PIECES.findall(t)) < 2 for t in added):
             self.model = None
+        self.joint, self.between = self.merger(), self.tokenizer.token_to_id(BETWEEN)
         self.known = Remembered(self.find)
 
+    def merger(self):
+        """A tokenizer that merges pieces with BETWEEN between them; None where that can't be."""
+        from tokenizers import Tokenizer
+
+        vocab = self.tokenizer.get_vocab()
+        return Tokenizer(self.model) if self.model and len(vocab) < 1 << 24 and [t for t in vocab if BETWEEN in t] == [BETWEEN] else None
+
     def chunks(self, text: str) -> list[str]:
         if text.startswith(" ") or "\0" in text or any(w in text for w in ODD_BLANKS):
             return CUT.split(text)
@@ -114,6 +135,70 @@ class ChunkEncoder:
         self.known.age()
         return b"".join(map(self.known.__getitem__, self.chunks(text)))
 
+    def merged(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece."""
+        shown = np.array([ord(self.letters[b]) for b in range(256)], "<u4")
+        raw = [b"\xff".join(map(str.encode, pieces[k : k + LOT])) for k in range(0, len(pieces), LOT)]
+        letters = shown[np.frombuffer(b"".join(raw), np.uint8)].tobytes().decode("utf-32-le")
+        ends = np.cumsum(list(map(len, raw))).tolist()
+        lots = [letters[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        ids = np.array([x for lot in self.joint.encode_batch_fast(lots, add_special_tokens=False) for x in (*lot.ids, self.between)], "<u4")
+        ids[ids == self.between] = 0xFFFFFFFF
+        return ids[:-1].tobytes().split(b"\xff" * 4)
+
+    def all_known(self, pieces: list[str], apart: set[str]) -> list[bytes]:
+        """The ids of distinct pieces, the new ones merged together, and of the chunks apart, which the whole tokenizer must have."""
+        self.known.age()
+        known, old = self.known, self.known.old
+        ids = list(map(known.get, pieces))
+        missing = [k for k, x in enumerate(ids) if x is None]
+        new = [p for p in map(pieces.__getitem__, missing) if p not in old and p not in apart]
+        if new:
+            known.update(zip(new, self.merged(new), strict=True))
+        for k in missing:
+            ids[k] = known[pieces[k]]
+        return ids
+
+    def pieces_of(self, chunks: pa.Array) -> tuple[pa.Array, set[str]]:
+        """Lists of the pieces of each chunk, and the chunks that stay whole."""
+        if self.joint is None:
+            return pc.split_pattern(chunks, "\0"), set(listed(chunks))
+        whole = pc.match_substring_regex(chunks, ARROW_WHOLE)
+        for t in self.added_texts:
+            whole = pc.and_not(whole, pc.match_substring(chunks, t))
+        cut = pc.replace_substring_regex(chunks, ARROW_PIECES, "\\0\0")
+        return pc.split_pattern(pc.if_else(whole, cut, chunks), "\0"), set(listed(chunks.filter(pc.invert(whole))))
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, none for nulls. Arrow cuts the texts, finds the distinct chunks and their distinct pieces, and puts ids in order."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        alone = pc.match_substring(texts, "\0")
+        rows = pc.if_else(alone, "", texts)
+        marked, odd = pc.replace_substring(rows, " ", "\0 "), pc.match_substring_regex(rows, ARROW_ODD)
+        if pc.any(odd).as_py():
+            cut = ["\0".join(CUT.split(t)) for t in rows.filter(odd).to_pylist()]
+            marked = pc.replace_with_mask(marked, odd, pa.array(cut, marked.type))
+        chunks = pc.split_pattern(marked, "\0")
+        coded = chunks.values.dictionary_encode()
+        pieces, apart = self.pieces_of(coded.dictionary)
+        own = pieces.values.dictionary_encode()
+        ids = pa.array(self.all_known(listed(own.dictionary), apart), pa.large_binary()).take(own.indices)
+        ids = joined(joined(ids, pieces.offsets).take(coded.indices), chunks.offsets).to_pylist()
+        for k in np.flatnonzero(alone.to_numpy(zero_copy_only=False)):
+            ids[k] = self.encode(texts[int(k)].as_py())
+        return ids
+
+
+def listed(values: pa.Array) -> list[str]:
+    """Strings without NUL as a list, faster than by to_pylist."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(values)], values), pa.scalar("\0", values.type))[0].as_py().split("\0") if len(values) else []
+
+
+def joined(values: pa.Array, cuts: pa.Array) -> pa.Array:
+    """Byte strings of the runs of values between cuts, which share the values' bytes."""
+    offsets = np.frombuffer(values.buffers()[1], "<i8")[values.offset :][cuts.to_numpy()]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), values.buffers()[2]])
+
 
 _encoders: dict[str, ChunkEncoder] = {}
 

@@ -7,6 +7,7 @@ import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -519,3 +520,18 @@ def test_encoder_merges_only_new_pieces():
         t = "".join(r.choice(alphabet) for _ in range(r.randint(0, 12)))
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == full(t)
     assert enc.encode("") == b""
+
+
+def test_a_batch_is_encoded_as_each_text_alone():
+    """Also with the library's own rules at work: added tokens, NUL, odd blanks, letters of any script. New plain pieces are merged together."""
+    enc, rng = ChunkEncoder(default_file()), random.Random(11)
+    full = lambda t: np.array(enc.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+    alone, enc.known.find = [], lambda c: alone.append(c) or enc.find(c)
+    plain = ["Ein Wort, zwei Wörter;\nthree words 4 5", None, "", "zwei Wörter!", "ÿ ÿÿ naïve ÿ"]
+    assert enc.encode_all(pa.array(plain)) == [full(t) for t in plain] and not any(alone)
+    bits = ["a", "B ", "é", " ", "  ", "\n", "\n\n", "\t", "9", "'s", "'", "ÿ", "<|endoftext|>", "<|", "\0", "漢字", "🙂", "...", "\u3000", "\xa0 ", "\r\n", " x", "\x1c", "\u0300"]
+    for k in range(60):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(rng.randrange(1, 20))] + [None]
+        assert enc.encode_all(pa.array(texts).slice(k % 2)) == [full(t) for t in texts[k % 2 :]]
+    enc.joint = None
+    assert enc.encode_all(pa.array(texts)) == [full(t) for t in texts] and enc.encode_all(pa.array([], pa.string())) == []
