@@ -8,13 +8,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourloom.sources.staged import staged
 
 #: Dates on which totals must differ, and by how much, for two results to conflict.
 LEAST_DATES, SLACK = 2, 0.5
+#: About how many results of a class, and how many classes of a total, stand in one row where all are paired with all.
+MEMBERS, BLOCK = 1024, 256
 
 
 def day_maps(entries: DataFrame) -> DataFrame:
@@ -22,35 +24,59 @@ def day_maps(entries: DataFrame) -> DataFrame:
     return entries.groupBy("ident", "file_seq", "d").agg(F.max_by("total", "entry_seq").alias("total")).where("total is not null")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many tasks as shuffles have: few bytes that become many rows aren't put into one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def result_classes(days: DataFrame) -> DataFrame:
-    """ident, file_seq, class, days: results of an ident with the same days and totals are one class, named by the first, which alone
-    has days (array of d, total)."""
-    listed = F.array_sort(F.collect_list(F.struct("d", "total")))
+    """ident, file_seq, class, size, days: results of an ident with the same days and totals are one class of that size, named by the first,
+    which alone has days (array of d, total)."""
+    listed = F.sort_array(F.collect_list(F.struct("d", "total")))
     # A total that isn't finite differs from itself: such a result is a class of its own.
     odd = F.exists("days", lambda x: ~(F.abs(x["total"]) < float("inf")))
-    maps = days.groupBy("ident", "file_seq").agg(listed.alias("days")).withColumn("alone", F.when(odd, F.col("file_seq").cast("string")).otherwise(F.lit("")))
-    maps = staged(maps, "result-maps")
-    same = maps.groupBy("ident", "days", "alone").agg(F.min("file_seq").alias("class"))
+    maps = spread(days, "ident", "file_seq").groupBy("ident", "file_seq").agg(listed.alias("days"))
+    maps = staged(maps.withColumn("alone", F.when(odd, F.col("file_seq").cast("string")).otherwise(F.lit(""))), "result-maps")
+    same = maps.groupBy("ident", "days", "alone").agg(F.min("file_seq").alias("class"), F.count("*").alias("size"))
     first = F.when(F.col("file_seq") == F.col("class"), F.col("days")).alias("days")
-    return staged(maps.join(same, ["ident", "days", "alone"]).select("ident", "file_seq", "class", first), "result-classes")
+    return staged(maps.join(same, ["ident", "days", "alone"]).select("ident", "file_seq", "class", "size", first), "result-classes")
+
+
+def dealt(key: str, count: str, most: int) -> Column:
+    """Which of as many parts, of some most rows each, a row of count rows falls into."""
+    return F.pmod(F.xxhash64(key), F.ceil(F.col(count) / most))
+
+
+def differences(maps: DataFrame) -> DataFrame:
+    """ident, x, y, dates: classes of one ident that differ on two or more shared dates, x < y.
+
+    Classes that have the same total on a date stand in one row, in blocks of some BLOCK, and only rows whose totals differ are brought
+    together. All dates of two blocks are counted in one place, so that what is sent is lists of classes and not their pairs.
+    """
+    own = maps.where("days is not null").select("ident", "class", "days")
+    own = own.join(own.where("ident is not null").groupBy("ident").agg(F.count("*").alias("classes")), "ident").withColumn("block", dealt("class", "classes", BLOCK))
+    lists = own.select("ident", "class", "block", F.inline("days")).groupBy("ident", "d", "total", "block").agg(F.collect_list("class").alias("all"))
+    side = lambda total, block, name: lists.select("ident", "d", F.col("total").alias(total), F.col("block").alias(block), F.col("all").alias(name))
+    apart = (F.col("low") <= F.col("high")) & (F.abs(F.col("low") - F.col("high")) > SLACK)
+    met = side("low", "i", "xs").join(side("high", "j", "ys"), ["ident", "d"]).where(apart)
+    met = met.select("ident", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (F.col("low") < F.col("high")).alias("apart"), "xs", "ys")
+    met = spread(met, "ident", "i", "j").withColumn("p", F.explode("xs")).withColumn("q", F.explode("ys")).where("apart or p < q")
+    pair = [F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")]
+    return met.groupBy("ident", "i", "j", *pair).agg(F.count("*").alias("dates")).where(F.col("dates") >= LEAST_DATES).select("ident", "x", "y", "dates")
 
 
 def conflict_pairs(days: DataFrame) -> DataFrame:
     """ident, a, b, dates: pairs of results of one ident that differ on two or more shared dates.
 
     Results of one class differ from others alike, so one of each is compared, and the pairs of classes are told to their members at
-    the end. On a date only totals that differ are brought together: work follows the differences of classes and the pairs returned,
-    which are quadratic where all results contradict one another.
+    the end, some MEMBERS of one class with as many of another in a row that any task may expand: work follows the differences of classes
+    and the pairs returned, which are quadratic where all results contradict one another, in time and not in memory.
     """
     maps = result_classes(days)
-    own = maps.where("days is not null").select("ident", "class", F.inline("days"))
-    totals = own.select("ident", "d", F.col("total").alias("low")).distinct()
-    apart = totals.join(totals.withColumnRenamed("low", "high"), ["ident", "d"]).where((F.col("low") <= F.col("high")) & (F.abs(F.col("low") - F.col("high")) > SLACK))
-    side = lambda total, name: own.select("ident", "d", F.col("total").alias(total), F.col("class").alias(name))
-    met = apart.join(side("low", "x"), ["ident", "d", "low"]).join(side("high", "y"), ["ident", "d", "high"]).where("low < high or x < y")
-    met = met.groupBy("ident", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("dates")).where(F.col("dates") >= LEAST_DATES)
-    member = lambda of, name: maps.select("ident", F.col("class").alias(of), F.col("file_seq").alias(name))
-    found = met.join(member("x", "p"), ["ident", "x"]).join(member("y", "q"), ["ident", "y"])
+    parts = maps.withColumn("part", dealt("file_seq", "size", MEMBERS)).groupBy("ident", "class", "part").agg(F.collect_list("file_seq").alias("files"))
+    member = lambda of, part, name: parts.select("ident", F.col("class").alias(of), F.col("part").alias(part), F.col("files").alias(name))
+    found = differences(maps).join(member("x", "i", "ps"), ["ident", "x"]).join(member("y", "j", "qs"), ["ident", "y"])
+    found = spread(found, "ident", "x", "y", "i", "j").select("ident", "dates", "qs", F.explode("ps").alias("p")).select("ident", "dates", "p", F.explode("qs").alias("q"))
     return found.select("ident", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "dates")
 
 

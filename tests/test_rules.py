@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import re
 import shutil
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -425,6 +426,23 @@ def test_copies_of_results_are_compared_once(spark, tmp_path):
     assert compared.count() == len(odd) + len({(i, str(sorted(own.items()))) for i, k, own in results if i is not None and own is not kinds[-1]})
 
 
+def test_pairs_of_large_classes_come_from_several_tasks(spark, monkeypatch):
+    """Two classes of 60 results contradict one another: few bytes become 3,600 pairs, which no single task expands; nor does one compare all blocks."""
+    monkeypatch.setattr(identity, "MEMBERS", 8, raising=False)
+    monkeypatch.setattr(identity, "BLOCK", 4, raising=False)
+    day, two = dt.date(2026, 1, 1), lambda k, t: [(1, k, day + dt.timedelta(d), t) for d in range(2)]
+    rows = [r for k in range(120) for r in two(k, 8.0 if k % 2 else 4.0)] + [(1, 200 + k, day + dt.timedelta(d), 8.0 + d * k) for k in range(1, 20) for d in range(3)]
+    days = spark.createDataFrame(rows, "ident long, file_seq long, d date, total double")
+    got = identity.conflict_pairs(days).withColumn("task", F.spark_partition_id()).collect()
+    own: dict = {}
+    for _, k, d, t in rows:
+        own.setdefault(k, {})[d] = t
+    differ = lambda a, b: sum(abs(own[a][d] - own[b][d]) > 0.5 for d in own[a].keys() & own[b].keys())
+    want = sorted((1, a, b, differ(a, b)) for a in own for b in own if a < b and differ(a, b) >= 2)
+    assert sorted((r.ident, r.a, r.b, r.dates) for r in got) == want
+    assert len({r.task for r in got}) > 1 and max(Counter(r.task for r in got).values()) < 0.6 * len(got)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_split_by_parts_is_first_fit_over_the_whole(spark, seed):
     import datetime as dt
