@@ -1,6 +1,7 @@
 """Line dedup, collocations and whitening against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -349,6 +350,31 @@ def test_null_words_stand_for_all_words_of_all_texts(spark):
     assert set(few) <= set(want) and all(abs(few[w] - n * 490 / 4900) < 1 for w, n in want.items())
 
 
+def test_null_runs_draw_each_word_from_all_of_a_large_corpus(spark, monkeypatch):
+    """Beyond what goes along as a list, no shorter list stands for the words: rare ones are drawn as often as they occur, and the same way again."""
+    from hourloom.llm import secrets
+
+    whole = secrets.null_words
+
+    def none_left_out(counts, most=secrets.DRAWN_WORDS):
+        assert counts.selectExpr("sum(n) AS n").first().n <= most
+        return whole(counts, most)
+
+    monkeypatch.setattr(secrets, "null_words", none_left_out)
+    rng = random.Random(7)
+    rare = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(20_000)]
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60)) for _ in range(40)]
+    rows = [(k, " ".join(rare[k::40]) + " often" * 1500 + f" {keys[k]} some-ordinary-identifier_with_words") for k in range(40)]
+    got = secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    called = [rows[r.doc_id][1][x.start : x.stop] for r in got for x in r.tested if x.random]
+    assert sum(c in keys for c in called) > 30 and not any("identifier" in c for c in called)
+    counts = spark.createDataFrame([(w, 1) for w in rare] + [("often", 60_000)], "word string, n long")
+    drawn = [secrets.drawn_words(counts.repartition(parts), [30_000, 1, 49_999]).collect() for parts in (2, 5)]
+    assert sorted(drawn[0]) == sorted(drawn[1]) and Counter(r.job for r in drawn[0]) == {0: 30_000, 1: 1, 2: 49_999}
+    of = Counter(r.word for r in drawn[0])
+    assert abs(of["often"] - 60_000) < 600 and abs(len(of) - 1 - 20_000 * (1 - math.exp(-1))) < 400
+
+
 def unspaced(rng, form, n):
     """Texts without blanks: han with and without stops, tables, code, one word a line, and a mix of what is hard to cut."""
     han = [chr(c) for c in range(0x4E00, 0x4E00 + 3000, 7)]
