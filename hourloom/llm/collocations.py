@@ -37,6 +37,8 @@ LONGEST, LEAST, ROWS = 5, 100, 2000
 BITMAP = 1 << 26
 #: Bytes that are hashed at a time, and occurrences that a task holds before it sums them up.
 WINDOW, HELD = 1 << 20, 2_000_000
+#: Rows that go from a task to Spark at a time.
+SENT = 1 << 16
 #: Groups that a language's phrases are dealt to before its first rows are chosen.
 SALTS = 64
 
@@ -193,21 +195,30 @@ class Sums:
             self.size += len(fp)
 
     def sum_up(self) -> tuple[np.ndarray, ...]:
-        fp, *columns = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        """Column by column, each given up as it is brought together, so that a worker never has all of them twice."""
+        columns = [list(c) for c in zip(*self.held, strict=True)][::-1]
+        self.held = []
+        fp = np.concatenate(columns.pop())
         order = np.argsort(fp)
         fp = fp[order]
         first = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
+        own = [fp[first]]
+        del fp
         ways = {"n": np.add, "low": np.minimum, "high": np.maximum, "at": np.minimum}
-        own = fp[first], *[ways[name].reduceat(c[order], first) for name, c in zip(self.names, columns, strict=True)]
-        self.held, self.size = [own], len(first)
-        return own
+        for name in self.names:
+            own.append(ways[name].reduceat(np.concatenate(columns.pop())[order], first))
+        self.held, self.size = [tuple(own)], len(first)
+        return self.held[0]
 
-    def batch(self) -> pa.RecordBatch:
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """All that is summed up, SENT rows at a time; nothing stays."""
         fp, *columns = self.sum_up()
         self.held, self.size = [], 0
-        known = {name: pa.array(c) for name, c in zip(self.names, columns, strict=True)}
-        rest = [known.get(name, pa.nulls(len(fp), pa.int64())) for name in self.NAMES]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), self.words, np.int32)), pa.array(fp.view(np.int64)), *rest], ["words", "fp", *self.NAMES])
+        for k in range(0, len(fp), SENT):
+            part = slice(k, k + SENT)
+            n, known = len(fp[part]), {name: pa.array(c[part]) for name, c in zip(self.names, columns, strict=True)}
+            rest = [known[name] if name in known else pa.nulls(n, pa.int64()) for name in self.NAMES]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, self.words, np.int32)), pa.array(fp[part].view(np.int64)), *rest], ["words", "fp", *self.NAMES])
 
 
 def _has(bitmap: np.ndarray, fp: np.ndarray) -> np.ndarray:
@@ -246,8 +257,11 @@ def _counter(n: int, longest: int, shorter: object, bits: int) -> Callable[[Iter
                     if own.size > HELD:
                         own.sum_up()
                         if own.size > HELD // 2:
-                            yield own.batch()
-        yield from (own.batch() for own in (*counts.values(), *seen.values()) if own.size)
+                            yield from own.batches()
+        for own in (*counts.values(), *seen.values()):
+            if own.size:
+                yield from own.batches()
+        store.give_back()
 
     return count
 

@@ -375,6 +375,28 @@ def test_null_runs_draw_each_word_from_all_of_a_large_corpus(spark, monkeypatch)
     assert abs(of["often"] - 60_000) < 600 and abs(len(of) - 1 - 20_000 * (1 - math.exp(-1))) < 400
 
 
+def test_sums_of_a_task_are_held_once_and_sent_in_parts(monkeypatch):
+    """Summing up gives columns up as it goes, and no batch is as large as all that a task has seen."""
+    import tracemalloc
+
+    n, rng = 400_000, np.random.default_rng(1)
+    fp, check = rng.integers(0, 1 << 63, n, np.uint64) >> np.uint64(44), rng.integers(-(1 << 62), 1 << 62, n)
+    tracemalloc.start()
+    own = co.Sums(2, "low", "high", "at")
+    for k in range(0, n, 50_000):
+        own.add(fp[k : k + 50_000].copy(), *[check[k : k + 50_000].copy() for _ in range(3)])
+    tracemalloc.reset_peak()
+    held = tracemalloc.get_traced_memory()[0]
+    own.sum_up()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < held * 1.8
+    sent = list(own.batches())
+    assert max(b.num_rows for b in sent) < 70_000 < sum(b.num_rows for b in sent) == len(np.unique(fp))
+    got = {r["fp"]: (r["low"], r["high"]) for b in sent for r in b.slice(0, 50).to_pylist()}
+    assert all((check[fp == f].min(), check[fp == f].max()) == v for f, v in got.items()) and not own.size
+
+
 def unspaced(rng, form, n):
     """Texts without blanks: han with and without stops, tables, code, one word a line, and a mix of what is hard to cut."""
     han = [chr(c) for c in range(0x4E00, 0x4E00 + 3000, 7)]
